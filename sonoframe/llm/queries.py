@@ -23,6 +23,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonoframe.llm.substring_dedup import remove_repeats
+
+    kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sonoframe.llm.sharding import shard_documents
 
@@ -46,7 +53,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_decontaminate, op6_shard, op8_token_counts, op10_mix)
+    for f in (op1_decontaminate, op2_substring_dedup, op6_shard, op8_token_counts, op10_mix)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -71,6 +78,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(word.n, 0) AS BI
 FROM doc LEFT JOIN word USING (r) LEFT JOIN named USING (r)
 """
 
+OP2 = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT r, doc_id, k, md5(array_to_string(list_slice(w, k, k + 49), ' ')) AS h FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM doc WHERE doc_id IS NOT NULL AND len(w) >= 50)),
+first AS (SELECT h, min(doc_id) AS d FROM win GROUP BY h),
+gone AS (SELECT DISTINCT r, x FROM (SELECT r, unnest(range(k, k + 50)) AS x FROM win JOIN first USING (h) WHERE d < doc_id)),
+word AS (SELECT r, unnest(range(1, len(w) + 1)) AS x, unnest(w) AS v FROM doc),
+stay AS (SELECT r, count(*) AS n, string_agg(v, ' ' ORDER BY x) AS t FROM word ANTI JOIN gone USING (r, x) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM doc LEFT JOIN stay USING (r)
+"""
+
 OP10 = r"""
 WITH base AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS k, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -103,4 +121,4 @@ SELECT doc_id, size, s AS source_size, t AS target, CAST(e * size
 FROM laid JOIN sh5 USING (k, sub)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1, "op10_mix": OP10}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1, "op2_substring_dedup": OP2, "op10_mix": OP10}
