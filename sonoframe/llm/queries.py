@@ -44,6 +44,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, "byte_bpe_50k.json").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", "over_limit")
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonoframe.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sonoframe.llm.mixing import mix_sources
 
@@ -53,7 +59,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_substring_dedup, op6_shard, op8_token_counts, op10_mix)
+    for f in (op1_decontaminate, op2_substring_dedup, op6_shard, op8_token_counts, op9_near_dup, op10_mix)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -89,6 +95,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM doc LEFT JOIN stay USING (r)
 """
 
+OP9 = rf"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+place AS (SELECT doc_id, w, least(len(w), 5) AS m, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS k FROM doc WHERE len(w) > 0),
+shingle AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, k, k + m - 1), ' ')) AS h FROM place),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+link AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingle x JOIN shingle y USING (h) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reach(v, c) AS (SELECT DISTINCT a, a FROM link UNION SELECT b, c FROM reach JOIN link ON a = v),
+comp AS (SELECT v, min(c) AS c FROM reach GROUP BY v)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(d.doc_id = coalesce(c, d.doc_id), TRUE) AS kept
+FROM doc d LEFT JOIN size USING (doc_id) LEFT JOIN comp ON v = d.doc_id
+"""
+
 OP10 = r"""
 WITH base AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS k, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -121,4 +141,4 @@ SELECT doc_id, size, s AS source_size, t AS target, CAST(e * size
 FROM laid JOIN sh5 USING (k, sub)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1, "op2_substring_dedup": OP2, "op10_mix": OP10}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1, "op2_substring_dedup": OP2, "op9_near_dup": OP9, "op10_mix": OP10}
