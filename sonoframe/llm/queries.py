@@ -30,6 +30,15 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonoframe.llm import quality
+    from sonoframe.llm.langid import held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    machine = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, machine).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sonoframe.llm.sharding import shard_documents
 
@@ -37,6 +46,14 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonoframe.llm import langid
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs)
+    return langid.identify(docs.drop("lang"), model).select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sonoframe.llm.tokens import count_tokens
 
@@ -59,7 +76,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_substring_dedup, op6_shard, op8_token_counts, op9_near_dup, op10_mix)
+    for f in (op1_decontaminate, op2_substring_dedup, op4_quality, op6_shard, op7_language_id, op8_token_counts, op9_near_dup, op10_mix)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
