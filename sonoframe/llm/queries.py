@@ -30,6 +30,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonoframe.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sonoframe.llm import quality
     from sonoframe.llm.langid import held_out
@@ -39,6 +45,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, machine).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonoframe.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sonoframe.llm.sharding import shard_documents
 
@@ -76,7 +88,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_substring_dedup, op4_quality, op6_shard, op7_language_id, op8_token_counts, op9_near_dup, op10_mix)
+    for f in (op1_decontaminate, op2_substring_dedup, op3_nearest, op4_quality, op5_warc, op6_shard, op7_language_id, op8_token_counts, op9_near_dup, op10_mix)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -112,6 +124,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM doc LEFT JOIN stay USING (r)
 """
 
+OP3 = """
+WITH ok AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pair AS (SELECT q.vec_id AS query_id, c.vec_id, q.v AS a, c.v AS b FROM ok q JOIN ok c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 AND len(q.v) = len(c.v)),
+scored AS (SELECT query_id, vec_id,
+    list_reduce(list_transform(range(1, len(a) + 1), lambda i: a[i] * b[i]), lambda x, y: x + y)
+    / (sqrt(list_reduce(list_transform(a, lambda x: x * x), lambda x, y: x + y)) * sqrt(list_reduce(list_transform(b, lambda x: x * x), lambda x, y: x + y))) AS score FROM pair)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored) WHERE r <= 5
+"""
+
+OP5 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS d, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d AND n >= 100
+"""
+
 OP9 = rf"""
 WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 place AS (SELECT doc_id, w, least(len(w), 5) AS m, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS k FROM doc WHERE len(w) > 0),
@@ -158,4 +191,4 @@ SELECT doc_id, size, s AS source_size, t AS target, CAST(e * size
 FROM laid JOIN sh5 USING (k, sub)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1, "op2_substring_dedup": OP2, "op9_near_dup": OP9, "op10_mix": OP10}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1, "op2_substring_dedup": OP2, "op3_nearest": OP3, "op5_warc": OP5, "op9_near_dup": OP9, "op10_mix": OP10}
