@@ -11,24 +11,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm import decontaminate, mixing, sharding
+from sonoframe.llm import decontaminate, langid, mixing, near_dup, sharding
 from sonoframe.llm.staging import staged, table
 
 
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told: `und` goes."""
+    found = langid.identify(docs, langid.learn(docs))
+    return found.filter("lang_pred <> 'und'").select(*docs.columns)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    gone = near_dup.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
     return decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")).filter("n_hit = 0").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
     return mixing.materialise(mixing.mix_sources(docs), docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and place of every row."""
     placed = sharding.shard_documents(docs)
     return placed.select("doc_id", "lang", "source", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
-STAGES = [("decontaminate", decontaminated), ("mix", mixed), ("shard", sharded)]
+STAGES = [("language", identified), ("near_dedup", deduplicated), ("decontaminate", decontaminated), ("mix", mixed), ("shard", sharded)]
 
 ORACLE_SQL = None
 
