@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from sonoframe.plans import queries
+from sonoframe.plans.sql import SQL
+
+QUERIES: dict = {n: f for n, f in vars(queries).items() if n.startswith("q") and callable(f)}
+ORACLE_SQL: dict[str, str] = {n: s for n, s in SQL.items() if n in QUERIES}
