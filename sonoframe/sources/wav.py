@@ -16,9 +16,17 @@ from sonoframe.functions.text import recorder_datetime
 
 
 def recordings(spark: SparkSession, *paths: str, distinct: bool = True) -> DataFrame:
-    """binaryFile rows of all WAV files at or below the paths, in path order. Empty files are not listed by Spark."""
+    """binaryFile rows of all WAV files at or below the paths. Empty files are not listed by Spark.
+
+    Only inputs that may overlap are made distinct, so a single folder is scanned without moving its contents.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[wW][aA][vV]").load(list(paths))
-    return (found.dropDuplicates(["path"]) if distinct else found).orderBy("path")
+    return found.dropDuplicates(["path"]) if distinct and len(paths) > 1 else found
+
+
+def listing(files: DataFrame) -> DataFrame:
+    """Paths and lengths in path order, without contents."""
+    return files.select("path", "length", "modificationTime").orderBy("path")
 
 
 def parse_header(raw: bytes) -> tuple[int, int, int, int, int, int]:
