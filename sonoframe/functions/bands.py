@@ -74,3 +74,13 @@ def preset(name: str, base: tuple[float, float, float] = PRESETS["balanced"], **
 def resolution(rate: Column, frame: int = 2048, hop: int = 512) -> tuple[Column, Column]:
     """Hz of a bin and milliseconds of a hop."""
     return rate / frame, 1000.0 * hop / rate
+
+
+def frequency_window(lo: Column, hi: Column, nyquist: Column, octaves: float = 1.0, floor: float = 50.0) -> tuple[Column, Column]:
+    """A band with octave margins on both sides, within what can be shown."""
+    return F.greatest(F.lit(floor), lo / 2.0**octaves), F.least(nyquist, hi * 2.0**octaves)
+
+
+def log_place(hz: Column, lo: Column, hi: Column) -> Column:
+    """Where a frequency lies on a logarithmic axis from lo (0) to hi (1)."""
+    return F.ln(hz / lo) / F.ln(hi / lo)

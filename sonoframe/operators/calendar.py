@@ -98,3 +98,8 @@ def cv_frames(frames: DataFrame, fields: tuple[str, ...] = CV_FIELDS) -> DataFra
         return F.when(F.col(c).isNotNull() & (hi - lo > 0), F.round((F.col(c) - lo) / (hi - lo), 4)).otherwise(0.0)
 
     return frames.withColumns({f"cv_{c}": scaled(c) for c in fields})
+
+
+def heatmap(hours: DataFrame) -> DataFrame:
+    """A row a day with a column for each hour. hours: day, hour, n_events."""
+    return hours.groupBy("day").pivot("hour", list(range(24))).agg(F.sum("n_events"))

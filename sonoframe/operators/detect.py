@@ -33,7 +33,7 @@ def islands(frames: DataFrame, key: str, order: str, above: str, time: str, valu
     ).drop("_run")
 
 
-def merge_gaps(events: DataFrame, key: str, gap: float) -> DataFrame:
+def merge_gaps(events: DataFrame, key: str, gap: float | Column) -> DataFrame:
     """Joins events of a key that are at most `gap` apart. The mean folds as ((m1 + m2) / 2 + m3) / 2 ..., here in closed
     form: of k means the first weighs 2^-(k-1), the i-th 2^-(k-i+1)."""
     own = W.partitionBy(key).orderBy("onset_s", "offset_s")
@@ -48,7 +48,7 @@ def merge_gaps(events: DataFrame, key: str, gap: float) -> DataFrame:
     ).drop("_group")
 
 
-def long_enough(events: DataFrame, least: float) -> DataFrame:
+def long_enough(events: DataFrame, least: float | Column) -> DataFrame:
     return events.filter(F.col("offset_s") - F.col("onset_s") >= least)
 
 

@@ -60,6 +60,48 @@ def day_messages(frames: DataFrame, changes: DataFrame, rate: float = 1.0, names
     )
 
 
+def header_messages(frames: DataFrame, diel: DataFrame, dawn: DataFrame, rate: float = 1.0, namespace: str = "/phenology") -> DataFrame:
+    """What a receiver needs first, all at 0: extent and speed, ranges of the control fields, the hours of the day, dawns.
+
+    frames: as for day_messages; diel: hour, level; dawn: onset_minutes. Each becomes one small row before it is sent.
+    """
+    ns = namespace.rstrip("/")
+    fixed = {"biophony": (0.0, 1.0), "geophony": (0.0, 1.0), "anthrophony": (0.0, 1.0), "ndsi": (-1.0, 1.0)}
+    span = lambda c, i: F.lit(fixed[c][i]) if c in fixed else F.coalesce((F.max if i else F.min)(c).cast("double"), F.lit(0.0))
+    extent = frames.agg(F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("last"), *[span(c, i).alias(f"{c}_{i}") for c in CV_FIELDS for i in (0, 1)])
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    a = extent.select(F.explode(F.array(_m(f"{ns}/meta", F.col("n"), text("first"), text("last"), number(F.lit(rate))), *[_m(f"{ns}/range/{c}", number(F.col(f"{c}_0")), number(F.col(f"{c}_1"))) for c in CV_FIELDS])).alias("_m"), F.lit(0).alias("grp"))
+    levels = diel.agg(F.array_sort(F.collect_list(F.struct("hour", "level"))).alias("h")).filter(F.size("h") > 0)
+    peak = F.array_sort(F.transform("h", lambda x: F.struct((-x["level"]).alias("n"), x["hour"].alias("hour"))))[0]["hour"]
+    table = F.struct(F.lit(f"{ns}/diel/table").alias("addr"), F.transform("h", lambda x: number(x["level"])).alias("args"))
+    b = levels.select(F.explode(F.array(table, _m(f"{ns}/diel/peak_hour", peak))).alias("_m"), F.lit(1).alias("grp"))
+    dawns = dawn.agg(*[f("onset_minutes").alias(n) for f, n in ((F.avg, "mean"), (F.min, "first"), (F.max, "last"))]).filter("mean IS NOT NULL")
+    c = dawns.select(F.explode(F.array(*[_m(f"{ns}/dawn_chorus/{n}", number(F.col(n))) for n in ("mean", "first", "last")])).alias("_m"), F.lit(2).alias("grp"))
+    return a.unionByName(b).unionByName(c).select(F.lit(0.0).alias("at"), "grp", "_m.addr", "_m.args")
+
+
+def role_messages(day_roles: DataFrame, namespace: str = "/phenology") -> DataFrame:
+    """A message for each role of a day, the most frequent first: count and share. day_roles: day, role, n."""
+    ns = namespace.rstrip("/")
+    own = W.partitionBy("day")
+    placed = day_roles.withColumns({"seq": F.row_number().over(own.orderBy(F.desc("n"), "role")) - 1, "_all": F.sum("n").over(own)})
+    return placed.select("day", "seq", F.lit(f"{ns}/day/role").alias("addr"), F.array("role", F.col("n").cast("string"), number(F.col("n") / F.greatest("_all", F.lit(1)))).alias("args"))
+
+
+def hourly_messages(hours: DataFrame, namespace: str = "/phenology") -> DataFrame:
+    """One message a day with its 24 counts. hours: day, hour, n_events, all hours there."""
+    counts = hours.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("hour", "n_events"))).alias("h"))
+    return counts.select("day", F.lit(f"{namespace.rstrip('/')}/day/hourly").alias("addr"), F.transform("h", lambda x: x["n_events"].cast("string")).alias("args"))
+
+
+def address_map(namespace: str = "/phenology", queries: tuple[str, ...] = ("meta", "day", "date", "next", "prev", "events", "reply_port")) -> dict[str, str]:
+    """Addresses that a receiver may see or send, with what their arguments are."""
+    ns = namespace.rstrip("/")
+    out = {f"{ns}/meta": "days, first, last, days a second", f"{ns}/day": "index, date, day of year", f"{ns}/day/recordings": "count", f"{ns}/day/events": "count", f"{ns}/day/dominant_role": "role", f"{ns}/day/role": "role, count, share", f"{ns}/day/hourly": "24 counts", f"{ns}/event": "type, date, day of year, magnitude", f"{ns}/end": "1"}
+    out |= {f"{ns}/day/{c}": "raw, 0 to 1" for c in CV_FIELDS} | {f"{ns}/range/{c}": "least, most" for c in CV_FIELDS}
+    return out | {f"/query/{q}": "request" for q in queries}
+
+
 def bundle_lines(messages: DataFrame) -> DataFrame:
     """Tab-separated text: time, address, arguments."""
     return messages.select(F.concat_ws("\t", F.format_string("%.4f", "at"), F.col("addr"), F.array_join("args", "\t")).alias("value"))

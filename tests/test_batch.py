@@ -94,3 +94,31 @@ def test_small_tables(spark):
     assert [r.audiomoth_id for r in annotations.chart_rows(rows).collect()] == ["m1"]
     assert [r.temperature_c for r in annotations.sort_as_text(rows, "temperature_c").collect()] == [0.0, 20.0, 5.0]
     assert [r.n for r in annotations.latest_reels(spark.createDataFrame([("x", 1, 1), ("x", 2, 2)], "role string, o int, n int"), "o").collect()] == [2]
+
+
+def test_sweep_scores_every_configuration(spark, audio):
+    from sonoframe.operators import matching
+    from sonoframe.plans import validation
+
+    files = wav.recordings(spark, str(audio)).filter("path LIKE '%WAV'")
+    frames = wav.detect_baseline(wav.frame_features(files)).withColumn("file", F.regexp_extract("path", "([^/]+)\\.[^./]+$", 1))
+    grid = matching.grid(spark, (4.0, 1e6), ((0.2, 0.5), (0.1, 0.2)))
+    ref = spark.createDataFrame([(f, i, a, a + 1.0) for f in ("20240305_051500", "20240306_210000") for i, a in enumerate((4.0, 9.0))], "file string, ref int, ref_onset_s double, ref_offset_s double")
+    rows = validation.report(validation.sweep(frames, grid), ref, grid).collect()
+    assert [r.config for r in rows][:2] in ([0, 1], [1, 0]) and len(rows) == 4 and rows[0].recall == 1.0 and rows[-1].f1 == 0.0
+
+
+def test_header_and_role_messages(spark):
+    from sonoframe.operators import calendar, timeline
+
+    frames = spark.createDataFrame([(1, 2.0), (2, 6.0)], "day int, activity double").withColumns({c: F.lit(None).cast("double") for c in ("richness", "biophony", "geophony", "anthrophony", "ndsi", "adi", "aci", "dawn")})
+    diel = spark.createDataFrame([(0, 0.5), (1, 1.0), (2, 1.0)], "hour int, level double")
+    dawn = spark.createDataFrame([(300.0,), (310.0,)], "onset_minutes double")
+    got = {r.addr: r.args for r in timeline.header_messages(frames, diel, dawn).collect()}
+    assert got["/phenology/meta"] == ["2", "1", "2", "1.0000"] and got["/phenology/range/activity"] == ["2.0000", "6.0000"] and got["/phenology/range/ndsi"] == ["-1.0000", "1.0000"]
+    assert got["/phenology/diel/peak_hour"] == ["1"] and got["/phenology/dawn_chorus/mean"] == ["305.0000"] and len(got) == 15
+    roles = spark.createDataFrame([(1, "a", 1), (1, "b", 3)], "day int, role string, n long")
+    assert [r.args for r in timeline.role_messages(roles).orderBy("seq").collect()] == [["b", "3", "0.7500"], ["a", "1", "0.2500"]]
+    hours = spark.range(24).select(F.lit(1).alias("day"), F.col("id").cast("int").alias("hour"), F.col("id").alias("n_events"))
+    assert timeline.hourly_messages(hours).first().args == [str(i) for i in range(24)] and calendar.heatmap(hours).first()["7"] == 7
+    assert timeline.address_map()["/query/prev"] == "request"
