@@ -65,26 +65,37 @@ def ranked_bands(energies: Column) -> Column:
     return F.array_sort(F.transform(energies, lambda e: F.struct((-e["energy"]).alias("neg"), e["ord"].alias("ord"), e["name"].alias("name"), e["energy"].alias("energy"))))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value evaluated once: lambda variables are bound, repeated expressions in them are not shared."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def voices(energies: Column, hour: Column, duration: Column, flatness: Column, centroid: Column, peak: Column, before: Column) -> Column:
     """array<struct(role, domain, confidence, certainty, band)>, the primary first: one for each of the three strongest bands
     with 15 % of the energy (the strongest always), repeated roles left out."""
-    total = F.aggregate(energies, F.lit(0.0), lambda a, e: a + e["energy"])
-    n_bands = F.size(F.filter(energies, lambda e: e["energy"] > 0))
-    share = lambda b: b["energy"] / total
     full = lambda role, confidence, band: F.struct(role.alias("role"), domain_of(role).alias("domain"), confidence.alias("confidence"), certainty(confidence).alias("certainty"), band.alias("band"))
 
-    def label(b: Column, i: Column) -> Column:
-        v = role_rules(b["name"], hour, duration, flatness, centroid, peak, n_bands, share(b))
-        return F.when((i == 0) | (share(b) >= 0.15), full(v["role"], F.round(v["confidence"] * (0.6 + 0.4 * share(b)), 3), b["name"]))
+    def labels(x: Column) -> Column:
+        def label(b: Column, i: Column) -> Column:
+            share = b["energy"] / x["total"]
+            voice = let(role_rules(b["name"], hour, duration, flatness, centroid, peak, x["n_bands"], share), lambda v: full(v["role"], F.round(v["confidence"] * (0.6 + 0.4 * share), 3), b["name"]))
+            return F.when((i == 0) | (share >= 0.15), voice)
 
-    top = F.slice(ranked_bands(energies), 1, 3)
-    labels = F.filter(F.transform(top, label), lambda v: v.isNotNull())
-    roles = F.transform(labels, lambda v: v["role"])
-    first_of_role = F.filter(labels, lambda v, i: F.array_position(roles, v["role"]) == i + 1)
-    change = transition(peak, before)
-    strongest = top[0]["name"]
-    nothing = F.array(full(F.lit("community_shift"), F.lit(0.2), F.lit("unknown")))
-    return F.when(~(total > 0), nothing).when(change.isNotNull(), F.array(full(change, F.lit(0.7), strongest))).otherwise(first_of_role)
+        return F.filter(F.transform(x["top"], label), lambda v: v.isNotNull())
+
+    def first_of_role(heard: Column) -> Column:
+        return F.filter(heard, lambda v, i: F.array_position(F.transform(heard, lambda w: w["role"]), v["role"]) == i + 1)
+
+    def speak(x: Column) -> Column:
+        nothing = F.array(full(F.lit("community_shift"), F.lit(0.2), F.lit("unknown")))
+        changed = F.array(full(x["change"], F.lit(0.7), x["top"][0]["name"]))
+        return F.when(~(x["total"] > 0), nothing).when(x["change"].isNotNull(), changed).otherwise(let(labels(x), first_of_role))
+
+    return let(energies, lambda e: let(
+        F.struct(
+            F.aggregate(e, F.lit(0.0), lambda a, b: a + b["energy"]).alias("total"), F.size(F.filter(e, lambda b: b["energy"] > 0)).alias("n_bands"),
+            F.slice(ranked_bands(e), 1, 3).alias("top"), transition(peak, before).alias("change"),
+        ), speak))
 
 
 def band_mix(energies: Column) -> Column:
