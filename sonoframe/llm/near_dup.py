@@ -152,7 +152,7 @@ def _compare_nodes(threshold: int):
             found = [(rep[two[same]], rep[two[same] + 1])]
             for i, m in zip(begin[count > 2], count[count > 2], strict=True):
                 own, n = sketch[i : i + m], size[i : i + m]
-                linked = (own[:, None, :] == own[None, :, :]).sum(axis=2) >= ALIKE
+                linked = np.concatenate([(own[k : k + 64, None, :] == own[None, :, :]).sum(axis=2, dtype=np.uint8) for k in range(0, m, 64)]) >= ALIKE
                 linked &= 100 * np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :])
                 found.append(_forest(rep[i : i + m], linked))
             yield _edges(found)
@@ -215,7 +215,7 @@ def _compare_tiles(threshold: int, shingle: int):
     return compare
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 75, shingle: int = 5, trees: int = 6, levels: int = 4, limit: int = 128, block_docs: int = 256, block_shingles: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 75, shingle: int = 5, trees: int = 6, levels: int = 4, limit: int = 2048, block_docs: int = 256, block_shingles: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document; threshold in percent."""
     spark = docs.sparkSession
     ship(spark)
@@ -260,7 +260,7 @@ def _branch(rows: DataFrame, trees: int, level: int) -> DataFrame:
                 own = np.flatnonzero(batch["tree"].to_numpy() == tree) if level else np.arange(len(rep))
                 above = batch["node"].to_numpy()[own].view(np.uint64) if level else np.uint64(tree + 1)
                 for r in range(2):
-                    f = tree * 10 + level * 2 + r
+                    f = (tree * 10 + level * 2 + r) % SKETCH
                     node = A.mix(A.mix(token[own, f] + np.uint64(f << 32)) ^ above).view(np.int64)
                     if len(own):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), tree, np.int32)), pa.array(node), pa.array(rep[own])], names=["tree", "node", "rep"])
