@@ -22,9 +22,9 @@ def acoustic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0))
     base = e.select("event_id", "ts", F.col("user_id").alias("site"), F.to_date("ts").alias("day"), F.col("event_type").alias("role"), F.col("value").alias("peak_flux"), k.alias("k"))
     base = base.withColumn("recording", F.concat_ws("/", F.col("site").cast("string"), F.col("day").cast("string")))
-    start = base.groupBy("recording").agg(F.min("ts").alias("rec_start"))
+    started = base.withColumn("rec_start", F.min("ts").over(W.partitionBy("recording")))  # one shuffle, which later windows of a recording reuse
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    out = base.join(start, "recording").withColumns({
+    out = started.withColumns({
         "onset_s": (micros("ts") - micros("rec_start")) / 1e6, "rec_hour": F.hour("rec_start"), "rec_minute": F.minute("rec_start"),
         "domain": F.when(F.col("role").isin("click", "view"), "biophony").when(F.col("role") == "purchase", "geophony").when(F.col("role") == "error", "anthrophony").otherwise("transition"),
         "dominant_band": F.element_at(F.array(*[F.lit(b) for b in BANDS]), F.col("k") % 5 + 1), "confidence": F.col("k") % 100 / 100,
