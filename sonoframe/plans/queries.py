@@ -98,7 +98,7 @@ def q13_thinned_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = acoustic_events(spark, sf_dir)
     kept = detect.thin(ev, "recording", "onset_s", 3600.0, ["event_id"])
     start, end = detect.fixed_window(F.col("onset_s"), F.lit(86400.0))
-    return kept.select("recording", "event_id", F.round(start, 3).alias("clip_start_s"), F.round(end, 3).alias("clip_end_s"))
+    return kept.select("recording", "event_id", F.round(start, 6).alias("clip_start_s"), F.round(end, 6).alias("clip_end_s"))
 
 
 def q14_event_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +198,7 @@ def _annotations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 def q25_onset_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.onset_pairs(*_annotations(spark, sf_dir), 3600.0).select("file", "det", "ref", F.round("distance", 4).alias("distance"))
+    return matching.onset_pairs(*_annotations(spark, sf_dir), 3600.0).select("file", "det", "ref", F.round("distance", 6).alias("distance"))
 
 
 def q26_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,7 +132,7 @@ SQL: dict[str, str] = {
     "q13_thinned_clips": "WITH RECURSIVE " + AE + """, s AS (SELECT recording, event_id, onset_s, row_number() OVER (PARTITION BY recording ORDER BY onset_s, event_id) AS i FROM ae),
         f AS (SELECT recording, event_id, onset_s, i, onset_s AS last, TRUE AS keep FROM s WHERE i = 1
           UNION ALL SELECT s.recording, s.event_id, s.onset_s, s.i, CASE WHEN s.onset_s - f.last >= 3600 THEN s.onset_s ELSE f.last END, s.onset_s - f.last >= 3600 FROM f JOIN s ON s.recording = f.recording AND s.i = f.i + 1)
-        SELECT recording, event_id, round(greatest(0, least(onset_s - 30, 86340)), 3) AS clip_start_s, round(least(86400, greatest(0, least(onset_s - 30, 86340)) + 60), 3) AS clip_end_s FROM f WHERE keep""",
+        SELECT recording, event_id, round(greatest(0, least(onset_s - 30, 86340)), 6) AS clip_start_s, round(least(86400, greatest(0, least(onset_s - 30, 86340)) + 60), 6) AS clip_end_s FROM f WHERE keep""",
     "q14_event_selection": _with(AE) + """SELECT event_id, role, domain, confidence, replace(recording, '/', '_') AS folder, 'clips/' || domain || '/' || role || '/event_' || CASE WHEN event_id < 1000 THEN lpad(CAST(event_id AS VARCHAR), 3, '0') ELSE CAST(event_id AS VARCHAR) END || '_' || role || '.wav' AS clip
         FROM ae WHERE role IN ('click', 'purchase') AND domain IN ('biophony', 'geophony') AND confidence >= 0.5""",
     "q15_role_rules": _with(AE, EN) + f""", x AS (SELECT c.event_id, CASE WHEN ratio > 5 THEN {{'r': 'silence_to_activity', 'c': 0.7}} WHEN ratio < 0.2 THEN {{'r': 'activity_to_silence', 'c': 0.7}} ELSE {_RULES} END AS v FROM ctx c JOIN rk ON rk.event_id = c.event_id AND i = 1)
@@ -164,7 +164,7 @@ SQL: dict[str, str] = {
     "q24_nearest_station": """WITH s AS (SELECT s_nationkey AS cover_key, s_suppkey AS station_id, (SELECT min(l_shipdate) FROM lineitem WHERE l_suppkey = s_suppkey) AS sampled FROM supplier),
         o AS (SELECT o_orderkey AS recording, c_nationkey AS cover_key, o_orderdate AS made FROM orders JOIN customer ON o_custkey = c_custkey)
         SELECT recording, cover_key, station_id FROM (SELECT o.recording, o.cover_key, station_id, row_number() OVER (PARTITION BY recording ORDER BY abs(epoch_us(sampled) - epoch_us(made)) NULLS LAST, station_id NULLS LAST) AS r FROM o LEFT JOIN s USING (cover_key)) WHERE r = 1""",
-    "q25_onset_band_join": _with(AE, ANN) + "SELECT file, det, ref, round(abs(onset_s - r0), 4) AS distance FROM det JOIN ref USING (file) WHERE abs(onset_s - r0) <= 3600",
+    "q25_onset_band_join": _with(AE, ANN) + "SELECT file, det, ref, round(abs(onset_s - r0), 6) AS distance FROM det JOIN ref USING (file) WHERE abs(onset_s - r0) <= 3600",
     "q26_interval_overlap": _with(AE, ANN) + ", p AS (SELECT file, det, ref, greatest(0, least(offset_s, r1) - greatest(onset_s, r0)) AS i, offset_s - onset_s + r1 - r0 AS u FROM det JOIN ref USING (file)) SELECT file, det, ref, round(i / (u - i), 6) AS iou FROM p WHERE i / (u - i) >= 0.2",
     "q27_onset_match_scores": "WITH RECURSIVE " + AE + "," + ANN + """, p AS (SELECT file, det, ref, row_number() OVER (PARTITION BY file ORDER BY abs(onset_s - r0), det, ref) AS i FROM det JOIN ref USING (file) WHERE abs(onset_s - r0) <= 3600),
         w AS (SELECT file, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS d, CAST([] AS BIGINT[]) AS r FROM (SELECT DISTINCT file FROM p)
