@@ -5,8 +5,9 @@
 2. Quotas. The mix is ceil(words / block_words) equal blocks. Sources get blocks by highest
    quotients target / (2k + 1). Rounding target / divisor gives all seats but a few; the few are
    decided by ranking the next quotients.
-3. Shards. A source's documents lie in shards of about shard_words words, dealt by a seeded hash, so a
-   source with a third of all rows is many shards. Its quota is split over them in whole blocks.
+3. Shards. A source's documents are dealt into cells by a seeded hash, and cells into shards of about
+   shard_words words, so a source with a third of all rows is many shards, and no join or window has the
+   source alone as its key. Its quota is split over the shards in whole blocks.
 4. Selection. In a shard, documents follow each other in seeded order and are cut into blocks. Each
    block is taken quota div blocks times; the rest of the quota is a cyclic run of blocks that begins
    at a seeded place. What a document gives is then interval arithmetic: no row is made for a block.
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: a source's documents are dealt into so many cells, a shard is one cell or several
+CELLS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -77,11 +80,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
         "_key": F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))),
     })
     base = base.withColumn("_h", F.md5("_key"))
-    sources = base.groupBy("_k").agg(F.max(F.col(source_col)).alias("_source"), F.sum("_size").alias("_s"))
+    base = base.withColumn("_cell", F.pmod(_hex(F.col("_h"), 9), F.lit(CELLS)))
+    cells = base.groupBy("_k", "_cell").agg(F.max(F.col(source_col)).alias("_source"), F.sum("_size").alias("_words"))
+    sources = cells.groupBy("_k").agg(F.max("_source").alias("_source"), F.sum("_words").alias("_s"))
     targets = source_targets(sources, weights, max_epochs)
-    dealt = F.expr(f"pmod(conv(substring(_h, 9, 8), 16, 10), greatest(1, ceil(_s / {shard_words})))").cast("long")
-    placed = base.join(targets.select("_k", "_s", "_t"), "_k").withColumn("_sub", dealt)
-    shards = placed.groupBy("_k", "_sub").agg(F.sum("_size").alias("_words")).withColumn("_nb", F.ceil(F.col("_words") / block).cast("long"))
+    cells = cells.join(targets.select("_k", "_s", "_t"), "_k").withColumn("_sub", F.pmod(F.col("_cell"), F.greatest(F.lit(1), F.ceil(F.col("_s") / shard_words))))
+    shards = cells.groupBy("_k", "_sub").agg(F.sum("_words").alias("_words")).withColumn("_nb", F.ceil(F.col("_words") / block).cast("long"))
     up_to = W.partitionBy("_k").orderBy("_sub")
     quotas = (
         shards.withColumns({"_cum": F.sum("_nb").over(up_to.rowsBetween(W.unboundedPreceding, 0)), "_all_nb": F.sum("_nb").over(W.partitionBy("_k"))})
@@ -93,7 +97,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
         .select("_k", "_sub", "_nb", "_e", "_r", "_at")
     )
     in_order = W.partitionBy("_k", "_sub").orderBy("_h", "_key", "_size").rowsBetween(W.unboundedPreceding, 0)
-    laid = placed.withColumn("_to", F.sum("_size").over(in_order)).join(quotas, ["_k", "_sub"])
+    cells = cells.select("_k", "_cell", "_s", "_t", "_sub").join(quotas, ["_k", "_sub"])
+    laid = base.join(cells, ["_k", "_cell"]).withColumn("_to", F.sum("_size").over(in_order))
     begin = F.col("_to") - F.col("_size")
     overlap = lambda lo, hi: F.greatest(F.lit(0), F.least(F.col("_to"), hi * block) - F.greatest(begin, lo * block))
     stop = F.col("_at") + F.col("_r")

@@ -177,7 +177,7 @@ q1 AS (SELECT *, CAST(n - sum(q0) OVER () AS BIGINT) AS d FROM q0),
 seat AS (SELECT k, rn, t, d, j, CASE WHEN d > 0 THEN q0 + j ELSE q0 - 1 - j END AS seat FROM (SELECT *, unnest(range(0, abs(d))) AS j FROM q1)),
 moved AS (SELECT k, sum(sign(d)) AS more FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN d > 0 THEN -t / (2 * seat + 1) ELSE t / (2 * seat + 1) END, rn, j) AS r FROM seat WHERE seat >= 0) WHERE r <= abs(d) GROUP BY k),
 quota AS (SELECT q1.*, CAST(q0 + coalesce(more, 0) AS BIGINT) AS q FROM q1 LEFT JOIN moved USING (k)),
-placed AS (SELECT b.*, s, t, CAST('0x' || substr(h, 9, 8) AS BIGINT) % greatest(1, CAST(ceil(s / 1048576) AS BIGINT)) AS sub FROM hashed b JOIN tgt USING (k)),
+placed AS (SELECT b.*, s, t, CAST('0x' || substr(h, 9, 8) AS BIGINT) % 4096 % greatest(1, CAST(ceil(s / 1048576) AS BIGINT)) AS sub FROM hashed b JOIN tgt USING (k)),
 sh AS (SELECT k, sub, CAST(ceil(sum(size) / 16) AS BIGINT) AS nb FROM placed GROUP BY k, sub),
 sh2 AS (SELECT *, CAST(sum(nb) OVER (PARTITION BY k ORDER BY sub) AS HUGEINT) AS cum, CAST(sum(nb) OVER (PARTITION BY k) AS HUGEINT) AS all_nb FROM sh),
 sh3 AS (SELECT sh2.*, least(q, 3 * all_nb) AS q FROM sh2 JOIN quota USING (k)),
