@@ -166,4 +166,4 @@ def _apply(docs: DataFrame, sent, kept: list[str], last: bool, block_bytes: int,
                 spans[i] = _spans(data[offsets[i] : offsets[i + 1]].tobytes(), hit)
             yield pa.RecordBatch.from_arrays([*own, pa.array(n_words), pa.array(n_hit), pa.array(ids, pa.list_(pa.string())), pa.array(spans, spans_type)], names=[*kept, "n_words", "n_hit", "item_ids", "spans"])
 
-    return docs.mapInArrow(scan, ends)
+    return docs.mapInArrow(A.trimmed(scan), ends)

@@ -113,7 +113,7 @@ def learn(docs: DataFrame, per_lang: int = 256, landmarks: int = 32, max_langs:
             yield pa.RecordBatch.from_arrays([batch["_id"], batch["_lang"], pa.array(packed, pa.binary())], names=["_id", "_lang", "bits"])
 
     schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_lang", T.StringType()), T.StructField("bits", T.BinaryType())])
-    rows = texts.mapInArrow(bits, schema).dropDuplicates(["_id"]).withColumn("_h", F.xxhash64("_id", F.lit(seed))).orderBy("_lang", "_h").collect()
+    rows = texts.mapInArrow(A.trimmed(bits), schema).dropDuplicates(["_id"]).withColumn("_h", F.xxhash64("_id", F.lit(seed))).orderBy("_lang", "_h").collect()
     packed = np.frombuffer(b"".join(bytes(r.bits) for r in rows), np.uint8).reshape(len(rows), DIMS // 8)
     return KernelModel(packed, [r._lang for r in rows], landmarks)
 
@@ -130,17 +130,19 @@ def identify(docs: DataFrame, model: KernelModel | None, text_col: str = "text",
         for batch in batches:
             data, offsets = A.buffers(batch[text_col])
             langs, scores = np.full(len(batch), "und", object), np.zeros(len(batch))
-            letter = np.zeros(len(data) + 1, np.int64)
-            np.cumsum((_FOLD[data] != 0x20) & (data < 0x80), out=letter[1:])
-            lettered = letter[offsets[1:]] > letter[offsets[:-1]]
+            lettered = np.zeros(len(batch), bool)
+            for lo, hi in A.pieces(offsets, 1 << 20):  # ASCII letters first
+                own, full = data[offsets[lo] : offsets[hi]], np.flatnonzero(np.diff(offsets[lo : hi + 1]))
+                if len(full):
+                    lettered[lo + full] = np.logical_or.reduceat((_FOLD[own] != 0x20) & (own < 0x80), offsets[lo + full] - offsets[lo])
             for i in np.flatnonzero(~lettered & (np.diff(offsets) > 0)):
                 lettered[i] = _has_letter(data[offsets[i] : offsets[i + 1]].tobytes())
-            for lo in range(0, len(batch) if model else 0, batch_docs):
-                hi = min(lo + batch_docs, len(batch))
+            runs = [(lo, min(lo + batch_docs, end)) for start, end in A.pieces(offsets) for lo in range(start, end, batch_docs)]
+            for lo, hi in runs if model else ():
                 p = model.scores(presence(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
                 best = p.argmax(axis=1)
                 langs[lo:hi], scores[lo:hi] = np.array(model.langs, object)[best], p[np.arange(hi - lo), best]
             langs[~lettered], scores[~lettered] = "und", 0.0
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(langs, pa.string()), pa.array(scores)], names=[*kept, "lang_pred", "score"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(score, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(A.trimmed(score), schema)

@@ -91,7 +91,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                 raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * SKETCH * 4, SKETCH * 4, dtype=np.int32)), pa.py_buffer(sketch)])
                 yield pa.RecordBatch.from_arrays([batch[id_col].slice(lo, n).cast(pa.int64()), pa.array(np.diff(to)), pa.array(s1), pa.array(s2), raw], names=["doc_id", "n_shingles", "s1", "s2", "sketch"])
 
-    return docs.select(id_col, text_col).mapInArrow(make, "doc_id long, n_shingles long, s1 long, s2 long, sketch binary")
+    return docs.select(id_col, text_col).mapInArrow(A.trimmed(make), "doc_id long, n_shingles long, s1 long, s2 long, sketch binary")
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[pa.RecordBatch]]:
@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, shingle: int = 5, tree
         sizes = nodes.groupBy("node").count().filter("count > 1")
         sized = staged(nodes.join(sizes, "node"), "near-nodes")
         small = sized.filter(F.col("count") <= limit).select("node", "rep").join(classes.select("rep", "n_shingles", "sketch"), "rep")
-        found.append(small.repartition(n, "node").sortWithinPartitions("node").mapInArrow(_compare_nodes(threshold), "a long, b long"))
+        found.append(small.repartition(n, "node").sortWithinPartitions("node").mapInArrow(A.trimmed(_compare_nodes(threshold)), "a long, b long"))
         large = sized.filter(F.col("count") > limit)
         if large.isEmpty():
             break
@@ -265,7 +265,7 @@ def _branch(rows: DataFrame, trees: int, level: int) -> DataFrame:
                     if len(own):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), tree, np.int32)), pa.array(node), pa.array(rep[own])], names=["tree", "node", "rep"])
 
-    return rows.mapInArrow(branch, "tree int, node long, rep long")
+    return rows.mapInArrow(A.trimmed(branch), "tree int, node long, rep long")
 
 
 def _confirm(docs: DataFrame, classes: DataFrame, clusters: DataFrame, threshold: int, shingle: int, block_docs: int, block_shingles: int, n: int) -> DataFrame:
@@ -276,4 +276,4 @@ def _confirm(docs: DataFrame, classes: DataFrame, clusters: DataFrame, threshold
     sent = docs.join(members.select(F.col("rep").alias("doc_id"), "s1", "s2", "cluster", "blocks", "block"), "doc_id")
     sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sent = sent.select(F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "doc_id", "block", "s1", "s2", "text")
-    return sent.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(_compare_tiles(threshold, shingle), "a long, b long")
+    return sent.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(A.trimmed(_compare_tiles(threshold, shingle)), "a long, b long")

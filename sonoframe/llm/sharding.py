@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sonoframe.llm import text_arrays as A
 from sonoframe.llm.staging import ship
 
 OVERHEAD = 16
@@ -63,6 +64,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, bucket_bytes: int = 64
         order = pa.table([order.field(k) for k in range(3)], ["a", "b", "c"]).append_column("i", pa.array(np.arange(len(group))))
         first = order.sort_by([("a", "ascending"), ("b", "ascending"), ("c", "ascending")])["i"].to_numpy()
         moved = first[fisher_yates(len(first), (seed, group["_shard"][0].as_py(), group["_bucket"][0].as_py()))]
+        A.trim()
         return group.drop_columns(["_order"]).take(pa.array(moved)).append_column("_place", pa.array(np.arange(len(moved))))
 
     shuffled = scattered.groupBy("_shard", "_bucket").applyInArrow(shuffle_bucket, out)

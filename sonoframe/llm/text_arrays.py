@@ -6,6 +6,8 @@ window hashes are whole-array operations; no Python object is made for a word.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -121,7 +123,28 @@ def window_hashes(hashes: np.ndarray, n: int, second: bool = False) -> np.ndarra
     return mix((total[n:] - total[:-n]) * down[:count] + np.uint64(n))
 
 
-def pieces(offsets: np.ndarray, limit: int = 4 << 20):
+def trim() -> None:
+    """Gives freed memory back to the system: workers are kept between tasks, and with them what their allocators hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def trimmed(kernel: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A kernel over batches that trims when its task is done."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from kernel(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def pieces(offsets: np.ndarray, limit: int = 1 << 20):
     """Cuts a batch into runs of rows of about limit bytes; a longer text is a run of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:
