@@ -3,7 +3,7 @@
 A passage is a run of `window` words. Any run of that length covers a whole block of `block` = (window + 1) // 2
 words aligned in its own document, so it is enough to index non-overlapping blocks and to probe them with every
 rolling window of `block` words. Around each hit the repeat is extended: all windows of `window` words that
-contain it are fingerprinted (128 bits) on both sides, and a window goes where the smallest document that
+contain it are fingerprinted (104 bits) on both sides, and a window goes where the smallest document that
 has it is smaller than its own. Adjoining windows that go make up the maximal exact repeats.
 
 Documents are dealt by id into as many chunks as the session has shuffle partitions, and never as single words or
@@ -29,6 +29,7 @@ from sonoframe.llm.staging import partitions, ship
 
 _BITS = np.uint64(40)
 _MASK = np.uint64((1 << 40) - 1)
+_REST = np.uint64(24)
 
 
 def even_keys(spark: SparkSession, n: int) -> list[int]:
@@ -37,17 +38,25 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
     return sorted(r.k for r in found.collect())  # at most n rows
 
 
+def planes(values: np.ndarray, width: int = 8) -> bytes:
+    """The low `width` bytes of 64-bit values, all first bytes, then all second ones: high bytes that are alike compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unplanes(raw: bytes, width: int = 8) -> np.ndarray:
+    own = np.frombuffer(raw, np.uint8).reshape(width, -1)
+    values = np.zeros((own.shape[1], 8), np.uint8)
+    values[:, :width] = own.T
+    return values.view(np.uint64).ravel()
+
+
 def pack(values: np.ndarray, width: int = 8) -> bytes:
-    """Sorted values as byte planes of their differences, which compress."""
-    steps = np.diff(values, prepend=np.zeros(1, np.uint64))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    """Sorted values as planes of their differences."""
+    return planes(np.diff(values, prepend=np.zeros(1, np.uint64)), width)
 
 
 def unpack(raw: bytes, width: int = 8) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(width, -1)
-    steps = np.zeros((planes.shape[1], 8), np.uint8)
-    steps[:, :width] = planes.T
-    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(unplanes(raw, width), dtype=np.uint64)
 
 
 def _fingerprints(group: pa.Table, text_col: str, sizes: list[tuple[int, bool]]):
@@ -151,7 +160,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
             near = np.concatenate([[0], np.cumsum(hit)])  # hits among the blocks that a window contains
             at = np.flatnonzero(fits)
             at = at[near[at + window - block + 1] > near[at]]
-            found.append((a[at], b[at], doc[row[at]]))
+            found.append((a[at], b[at] >> _REST, doc[row[at]]))
         a, b, owner = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
         bucket = (a >> _BITS) % np.uint64(n)
         order = np.lexsort((owner, b, a, bucket))
@@ -160,7 +169,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
         several = np.maximum.reduceat(owner, begin) != owner[begin] if len(begin) else np.zeros(0, bool)
         a, b, owner, bucket = a[begin], b[begin], owner[begin], bucket[begin]
         cut = np.flatnonzero(np.diff(bucket)) + 1
-        out = [(int(k[0]), group["_chunk"][0].as_py(), pack(x), y.tobytes(), d.tobytes(), s.tobytes()) for k, x, y, d, s in zip(*(np.split(c, cut) for c in (bucket, a, b, owner, several)), strict=True) if len(k)]
+        out = [(int(k[0]), group["_chunk"][0].as_py(), pack(x), planes(y, 5), planes(d), s.tobytes()) for k, x, y, d, s in zip(*(np.split(c, cut) for c in (bucket, a, b, owner, several)), strict=True) if len(k)]
         names = {"bucket": pa.int32(), "chunk": pa.int32(), "a": pa.binary(), "b": pa.binary(), "doc": pa.binary(), "several": pa.binary()}
         return pa.table({k: pa.array([x[i] for x in out], t) for i, (k, t) in enumerate(names.items())})
 
@@ -168,7 +177,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
         """For each window that several documents have, the smallest of them."""
         parts = [unpack(x.as_py()) for x in group["a"]]
         a = np.concatenate(parts)
-        b, doc, several = (np.concatenate([np.frombuffer(x.as_py(), t) for x in group[c]]) for c, t in (("b", np.uint64), ("doc", np.int64), ("several", bool)))
+        b = np.concatenate([unplanes(x.as_py(), 5) for x in group["b"]])
+        doc = np.concatenate([unplanes(x.as_py()).view(np.int64) for x in group["doc"]])
+        several = np.concatenate([np.frombuffer(x.as_py(), bool) for x in group["several"]])
         order = np.lexsort((doc, b, a))
         begin = _runs(a[order], b[order])
         count = np.diff(np.append(begin, len(a)))
@@ -177,13 +188,13 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
         least[order] = np.repeat(doc[order][begin], count)
         ends = np.cumsum([len(p) for p in parts])[:-1]
         cut = [np.split(x, ends) for x in (a, b, least, shared)]
-        return pa.table({"chunk": group["chunk"], **{k: pa.array([f(x[m]) for x, m in zip(cut[i], cut[3], strict=True)], pa.binary()) for i, (k, f) in enumerate((("a", pack), ("b", lambda x: x.tobytes()), ("least", lambda x: x.tobytes())))}})
+        return pa.table({"chunk": group["chunk"], **{k: pa.array([f(x[m]) for x, m in zip(cut[i], cut[3], strict=True)], pa.binary()) for i, (k, f) in enumerate((("a", pack), ("b", lambda x: planes(x, 5)), ("least", planes)))}})
 
     out_schema = T.StructType([docs.schema[c] for c in columns]).add("n_words", "long").add("n_removed", "long").add("kept", "string")
 
     def remove(group: pa.Table, answers: pa.Table) -> pa.Table:
         doc, valid = ids(group)
-        a, b, least = (np.concatenate([f(x.as_py()) for x in answers[c]]) if len(answers) else np.zeros(0, np.uint64) for c, f in (("a", unpack), ("b", lambda x: np.frombuffer(x, np.uint64)), ("least", lambda x: np.frombuffer(x, np.int64))))
+        a, b, least = (np.concatenate([f(x.as_py()) for x in answers[c]]) if len(answers) else np.zeros(0, np.uint64) for c, f in (("a", unpack), ("b", lambda x: unplanes(x, 5)), ("least", lambda x: unplanes(x).view(np.int64))))
         order = np.lexsort((b, a))
         a, b, least = a[order], b[order], least[order]
         n_words, n_removed = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
@@ -199,7 +210,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
                 w = where[open_]
                 same = a[np.minimum(w, len(a) - 1)] == x[at[open_]]
                 open_, w = open_[same & (w < len(a))], w[same & (w < len(a))]
-                match = b[w] == y[at[open_]]
+                match = b[w] == y[at[open_]] >> _REST
                 goes[open_[match]] = least[w[match]] < doc[row[at[open_[match]]]]
                 open_ = open_[~match]
                 where[open_] += 1
@@ -216,6 +227,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
             words = data[offsets[i] : offsets[i + 1]].tobytes().split()
             kept.append(b" ".join([w for w, g in zip(words, gone_of[i].tolist(), strict=True) if not g] if i in gone_of else words))
         own = {c: group[c] for c in columns}
+        A.trim()
         return pa.table(own | {"n_words": n_words, "n_removed": n_removed, "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
     by_chunk = lambda df: df.groupBy("_chunk")
