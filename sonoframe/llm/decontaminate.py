@@ -5,7 +5,7 @@ space around each. Every window of an item (10 words; a shorter item is one wind
 of texts is scanned once; hits are mapped to word numbers, and those to character offsets in the original.
 
 The items' texts go to every worker. Up to max_block_bytes of them make the automaton, kept for the worker's
-life. A larger benchmark is cut into blocks of that size, and each batch of texts meets one block's
+life under a digest of its items, so that another benchmark or part never meets it. A larger benchmark is cut into blocks of that size, and each batch of texts meets one block's
 automaton after the other, so memory stays bounded. Beyond max_broadcast_bytes the benchmark is dealt by hash
 into parts that are broadcast and applied in turn, each adding to what the former found.
 
@@ -16,6 +16,7 @@ columns named like a result column are replaced by it.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 from collections.abc import Iterator
@@ -129,12 +130,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, max_block_bytes: i
     out = docs.select(*[F.col(f"`{c}`") for c in kept])
     for part in range(n_parts):
         own = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_parts)) == part) if n_parts > 1 else items
-        sent = spark.sparkContext.broadcast(sorted((r.i, r.t) for r in own.collect()))
-        out = _apply(out, sent, kept, part == n_parts - 1, max_block_bytes, text_col)
+        held = sorted((r.i, r.t) for r in own.collect())
+        out = _apply(out, spark.sparkContext.broadcast(held), _digest(held, max_block_bytes), kept, part == n_parts - 1, max_block_bytes, text_col)
     return out
 
 
-def _apply(docs: DataFrame, sent, kept: list[str], last: bool, block_bytes: int, text_col: str) -> DataFrame:
+def _digest(items: list[tuple[str, str]], block_bytes: int) -> str:
+    """Names the automata of these items, cut into blocks of this size."""
+    return hashlib.sha256(repr((items, block_bytes)).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _apply(docs: DataFrame, sent, key: str, kept: list[str], last: bool, block_bytes: int, text_col: str) -> DataFrame:
     schema = T.StructType([docs.schema[c] for c in kept])
     ends = schema.add("n_words", "long").add("n_hit", "long").add("item_ids", T.ArrayType(T.StringType())).add("spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))) if last else schema.add("_state", "binary")
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -143,7 +149,7 @@ def _apply(docs: DataFrame, sent, kept: list[str], last: bool, block_bytes: int,
         blocks = _blocks(sent.value, block_bytes)
         for batch in batches:
             data, offsets = A.buffers(batch[text_col])
-            n_words, found = _scan(data, offsets, blocks, sent.id if hasattr(sent, "id") else id(sent))
+            n_words, found = _scan(data, offsets, blocks, key)
             if "_state" in batch.schema.names:
                 for i, state in enumerate(batch["_state"].to_pylist()):
                     if state:
