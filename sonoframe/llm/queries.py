@@ -70,7 +70,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sonoframe.llm.tokens import count_tokens
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens(docs, "byte_bpe_50k.json").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", "over_limit")
+    return count_tokens(docs, "byte_bpe_50k.json", added_tokens=True).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", "over_limit")
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,9 @@ token are proven whole (most are, but a string whose merges lead elsewhere is no
 pre-tokens by the tokenizer's own pattern. A proven pre-token counts one; the rest are merged by the
 library, each distinct one once while it stays in the worker's bounded memory.
 
+Texts may hold strings of the tokenizer's added tokens (<|endoftext|>). As the library does by default, with
+added_tokens each of them is one token and pre-tokens are counted between them; without, they are ordinary text.
+
 A null or empty text has no tokens. Every row is counted on its own; very long texts are cut by the same
 pattern and need memory in proportion to one text.
 """
@@ -52,6 +55,10 @@ class PretokenCounter:
         self.proven = self._prove()
         self.known = dict(self.proven)
         self.pieces: dict[str, int] = {}
+        self.library.encode_special_tokens = False
+        added = sorted((t for t in self.library.get_added_tokens_decoder().values() if t.content), key=lambda t: -len(t.content))
+        self.added = regex.compile("|".join(regex.escape(t.content) for t in added)) if added else None
+        self.stretched = any(t.lstrip or t.rstrip or t.single_word for t in added)
 
     def _prove(self) -> dict[str, int]:
         """Vocabulary strings that encode alone as one token."""
@@ -90,6 +97,15 @@ class PretokenCounter:
             total += get(piece) or self._piece(piece)
         return total if total < _UNSAFE else self._tokens(text)
 
+    def count_with_added(self, text: str | None) -> int:
+        """As count, but each string of an added token is that token. Where such tokens take more than their string, the library counts."""
+        if not text or self.added is None or not self.added.search(text):
+            return self.count(text)
+        if self.stretched:
+            return len(self.library.encode(text, add_special_tokens=False))
+        between = self.added.split(text)
+        return len(between) - 1 + sum(map(self.count, between))
+
 
 def counter(path: str) -> PretokenCounter:
     if path not in _loaded:
@@ -97,7 +113,7 @@ def counter(path: str) -> PretokenCounter:
     return _loaded[path]
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """docs with n_tokens; tokenizer: a .json file of the tokenizers library, or its name among the public ones."""
     ship(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() not in ("n_tokens", "over_limit")]
@@ -110,8 +126,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, text_col: st
 
             path = public_tokenizers.path(tokenizer)
         tokens = counter(path)
+        number = tokens.count_with_added if added_tokens else tokens.count
         for batch in batches:
-            counts = [tokens.count(text.as_py()) for text in batch[text_col]]
+            counts = [number(text.as_py()) for text in batch[text_col]]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(counts, pa.int64())], names=[*kept, "n_tokens"])
 
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)

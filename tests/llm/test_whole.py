@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from sonoframe.llm import decontaminate
+from sonoframe.llm import decontaminate, queries
 
 
 # --- op1
@@ -23,3 +24,17 @@ def test_parts_of_a_benchmark_meet_their_own_automata(spark):
     items = spark.createDataFrame([(k, f"number{k}") for k in range(0, 40, 2)], "item_id long, text string")
     got = decontaminate.find_contamination(texts, items, max_broadcast_bytes=20).select("doc_id", "n_hit", "item_ids").collect()
     assert sorted((r.doc_id, r.n_hit, r.item_ids) for r in got) == [(k, 1 - k % 2, [str(k)] if k % 2 == 0 else []) for k in range(40)]
+
+
+# --- op8
+
+
+def test_added_tokens_in_texts_count_as_the_library_does_by_default(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
+    e = "<|endoftext|>"
+    texts = [None, "", e, e + e, f"a {e} b", f"{e} a", f"a  {e}\n b", f"{e}\n", f" {e} ", "<|endoftext|", f"<{e}>", f"don{e}'t", f"é{e}日本 x\n\n{e}", "<|ENDOFTEXT|> a", f"word {e} " * 200, "no such string here"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(i, n, n > 512) for i, n in enumerate(len(library.encode(t or "", add_special_tokens=False)) for t in texts)]
+    assert sorted(tuple(r) for r in queries.op8_token_counts(spark, str(tmp_path)).select("doc_id", "n_tokens", "over_limit").collect()) == want
