@@ -262,6 +262,7 @@ def q35_reels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q36_event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five addresses of a tenth of the events; all of them are in q42."""
     m = timeline.event_messages(acoustic_events(spark, sf_dir).filter("k % 10 = 0"))
     return m.filter("addr IN ('/parliament/event/role', '/parliament/event/voct', '/ilda/color', '/ilda/speed', '/parliament/hour')").select("event_id", "seq", "addr", F.array_join("args", "|").alias("args"))
 
@@ -289,3 +290,8 @@ def q41_top_bands_of_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = acoustic_events(spark, sf_dir).groupBy("site", "dominant_band").agg(F.count("*").alias("n"), F.round(F.sum("peak_flux"), 4).alias("flux"))
     top = F.row_number().over(W.partitionBy("site").orderBy(F.desc("n"), "dominant_band"))
     return n.withColumn("rank", top).filter("rank <= 3")
+
+
+def q42_all_event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = timeline.event_messages(acoustic_events(spark, sf_dir))
+    return m.select("event_id", F.round("at", 6).alias("at"), "seq", "addr", F.array_join("args", "|").alias("args"))

@@ -100,6 +100,20 @@ _CERTAINTY = "CASE WHEN {0} >= 0.6 THEN 'probable' WHEN {0} > 0.35 THEN 'candida
 _ACCENT = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({0})), '[/\\-_]+', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\\b(y o|yo)\\b', ' ', 'g'), '(\\w+)s\\b', '\\1', 'g'), ' +', ' ', 'g'))"
 
 
+#: messages of an event in their order; onsets are rounded in whole microseconds, half up
+_MESSAGES = (
+    ("/parliament/event", "'1'"), ("/parliament/event/onset", "printf('%d.%04d', (us + 50) // 1000000, (us + 50) % 1000000 // 100)"), ("/parliament/event/duration", "printf('%.4f', duration_s)"),
+    ("/parliament/event/role", "role"), ("/parliament/event/domain", "domain"), ("/parliament/event/band", "dominant_band"),
+    ("/parliament/event/centroid", "printf('%.4f', centroid)"), ("/parliament/event/voct", "printf('%.4f', CASE WHEN centroid > 0 THEN log2(centroid / CAST(261.63 AS DOUBLE)) ELSE -5 END)"),
+    ("/parliament/event/flatness", "printf('%.4f', flatness)"), ("/parliament/event/flux", "printf('%.4f', peak_flux)"), ("/parliament/event/confidence", "printf('%.4f', confidence)"),
+    *[(f"/parliament/event/{i}", "'0.0000'") for i in ("aci", "ndsi", "bio", "adi")],
+    ("/parliament/habitat", "'unknown'"), ("/parliament/season", "'unknown'"), ("/parliament/temperature", "'0.0000'"),
+    ("/parliament/hour", "CAST(rec_hour AS VARCHAR)"), ("/parliament/democracy_index", "'0.0000'"),
+    ("/ilda/color", "CAST(k % 5 + 1 AS VARCHAR)"), ("/ilda/intensity", "printf('%.4f', confidence)"),
+    ("/ilda/angle", "printf('%.4f', least(centroid / 10000, 1))"), ("/ilda/speed", "printf('%.4f', least(peak_flux / 100, 1))"),
+)
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts) + " "
 
@@ -202,4 +216,5 @@ SQL: dict[str, str] = {
     "q39_first_label": _with(AE, ANN) + "SELECT file, det, label FROM (SELECT file, det, label, row_number() OVER (PARTITION BY file, det ORDER BY r0, ref) AS i FROM det JOIN ref USING (file) WHERE abs(onset_s - r0) <= 3600) WHERE i = 1",
     "q40_reference_lengths": _with(AE, ANN) + "SELECT label, count(*) AS n, round(median(r1 - r0), 4) AS median_s, round(avg(CAST(r1 - r0 < 3600 AS INTEGER)), 6) AS short_fraction FROM ref GROUP BY 1",
     "q41_top_bands_of_site": _with(AE) + ", n AS (SELECT site, dominant_band, count(*) AS n, round(sum(peak_flux), 4) AS flux FROM ae GROUP BY 1, 2) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY site ORDER BY n DESC, dominant_band) AS INTEGER) AS rank FROM n) WHERE rank <= 3",
+    "q42_all_event_messages": _with(AE) + ", t AS (SELECT *, epoch_us(ts) - epoch_us(rec_start) AS us FROM ae)" + " UNION ALL ".join(f"SELECT event_id, onset_s AS \"at\", {i} AS seq, '{a}' AS addr, {x} AS args FROM t" for i, (a, x) in enumerate(_MESSAGES)),
 }
