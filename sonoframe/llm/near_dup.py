@@ -4,12 +4,14 @@ A document is its set of word shingles; documents are linked where the sets' Jac
 
 1. Features. Sets are hashed (64 bits a shingle). A set's identity is its size and two 64-bit sums; its
    sketch is 64 minwise values. Documents of equal sets are one class from here on.
-2. Trees. In each of `trees` independent trees a node branches its documents by two minwise tokens that belong to
-   its level: a similar pair stays together in a branch with its similarity as probability. A node of at most
+2. Trees. In each of `trees` trees a node branches its documents by two minwise tokens: a similar pair stays
+   together in a branch with its similarity as probability. Roots have tokens of their own, other nodes take two
+   of their level's pool by a hash of the node, so branches of a document live or die by different tokens. A node of at most
    `limit` documents is compared exhaustively on sketches and not branched again; larger ones branch on, `levels`
    deep at most. What is still large then is very alike throughout and is taken as one cluster uncompared.
-   A pair at 0.75 is missed by a two-way branching process four levels deep with probability 0.106 in one tree,
-   1.5e-6 in six; the sketch filter (31 of 64 values) misses it with about 2e-7.
+   A pair at 0.75 whose nodes are all large is missed four levels deep with probability 0.110 in one tree and
+   1.0e-5 in six, which share the pools (0.106 and 1.4e-6 if all tokens were independent); the sketch filter
+   (31 of 64 values) misses it with about 2e-7.
 3. Clusters. The components of what the trees found are clusters; all links lie within them. Each document's
    text is sent once to its cluster, where sets are rebuilt and all intersections counted by matrix products. Large
    clusters are cut into blocks of bounded size, each pair of blocks its own task.
@@ -36,6 +38,8 @@ from sonoframe.llm.staging import partitions, ship, staged
 SKETCH = 64
 #: fewest equal sketch values of 64 for a pair that may be linked
 ALIKE = 31
+#: first and end sketch value of the root tokens and of the pools of the levels below
+_POOLS = ((0, 12), (12, 32), (32, 50), (50, 64))
 _ODD = A.mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -249,6 +253,16 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, shingle: int = 5, tree
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
+def _tokens_of(above: np.ndarray | np.uint64, tree: int, level: int, r: int):
+    """Number of the r-th of the two sketch values by which nodes branch."""
+    lo, end = _POOLS[1 + (level - 1) % (len(_POOLS) - 1) if level else 0]
+    if not level:
+        return lo + (tree * 2 + r) % (end - lo)
+    h = A.mix(above ^ np.uint64(0x5BD1E995))
+    first, step = h % np.uint64(end - lo), np.uint64(1) + (h >> np.uint64(32)) % np.uint64(end - lo - 1)
+    return lo + ((first + np.uint64(r) * step) % np.uint64(end - lo)).astype(np.int64)
+
+
 def _branch(rows: DataFrame, trees: int, level: int) -> DataFrame:
     """(tree, node, rep): each document in the two children that its tokens choose; at the root, in each tree."""
 
@@ -260,8 +274,8 @@ def _branch(rows: DataFrame, trees: int, level: int) -> DataFrame:
                 own = np.flatnonzero(batch["tree"].to_numpy() == tree) if level else np.arange(len(rep))
                 above = batch["node"].to_numpy()[own].view(np.uint64) if level else np.uint64(tree + 1)
                 for r in range(2):
-                    f = (tree * 10 + level * 2 + r) % SKETCH
-                    node = A.mix(A.mix(token[own, f] + np.uint64(f << 32)) ^ above).view(np.int64)
+                    f = _tokens_of(above, tree, level, r)
+                    node = A.mix(A.mix(token[own, f] + (np.asarray(f, np.uint64) << np.uint64(32))) ^ above).view(np.int64)
                     if len(own):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), tree, np.int32)), pa.array(node), pa.array(rep[own])], names=["tree", "node", "rep"])
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sonoframe.llm import decontaminate, queries
+from sonoframe.llm import decontaminate, near_dup, queries
 
 
 # --- op1
@@ -38,3 +39,19 @@ def test_added_tokens_in_texts_count_as_the_library_does_by_default(spark, tmp_p
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = [(i, n, n > 512) for i, n in enumerate(len(library.encode(t or "", add_special_tokens=False)) for t in texts)]
     assert sorted(tuple(r) for r in queries.op8_token_counts(spark, str(tmp_path)).select("doc_id", "n_tokens", "over_limit").collect()) == want
+
+
+# --- op9
+
+
+def test_pairs_meet_in_large_nodes_as_often_as_claimed(spark):
+    rng = np.random.default_rng(5)
+    n = 3000
+    a = rng.integers(0, 1 << 32, (n, near_dup.SKETCH), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < 0.75, a, rng.integers(0, 1 << 32, a.shape, dtype=np.uint32))
+    sketches = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(np.concatenate([a, b]))], "rep long, sketch binary")
+    nodes = near_dup._branch(sketches, 1, 0)
+    for level in range(1, 4):
+        nodes = near_dup._branch(nodes.join(sketches, "rep").select("tree", "node", "rep", "sketch"), 1, level)
+    met = nodes.groupBy("node", (F.col("rep") % n).alias("pair")).agg(F.count_distinct("rep").alias("d")).filter("d = 2").select("pair").distinct().count()
+    assert 0.08 < 1 - met / n < 0.14  # 0.110; 0.228 where all nodes of a level share two tokens
