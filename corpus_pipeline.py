@@ -22,9 +22,19 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    gone = near_dup.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies: the one with the smallest id.
+
+    Where ids are null or repeated, rows are told apart by a key of their own: of a group the row with the smallest
+    id stays, null ids last, and of rows of that id only one. Two texts of one id are each judged by themselves.
+    Rows without words belong to no group and are all kept.
+    """
+    if docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        gone = near_dup.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    keyed = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-keyed")
+    found = near_dup.near_duplicates(keyed, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    first = keyed.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")).alias("first"))
+    return keyed.join(first.select("first._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,16 @@ def test_pairs_meet_in_large_nodes_as_often_as_claimed(spark):
         nodes = near_dup._branch(nodes.join(sketches, "rep").select("tree", "node", "rep", "sketch"), 1, level)
     met = nodes.groupBy("node", (F.col("rep") % n).alias("pair")).agg(F.count_distinct("rep").alias("d")).filter("d = 2").select("pair").distinct().count()
     assert 0.08 < 1 - met / n < 0.14  # 0.110; 0.228 where all nodes of a level share two tokens
+
+
+# --- pipeline
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    import corpus_pipeline as cp
+
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(1, a), (1, a), (3, a + " more"), (None, b), (None, b), (None, c), (9, c), (4, d), (5, d + " more"), (5, e), (None, None), (6, ""), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in cp.deduplicated(spark, docs, "").select("doc_id", "text").collect()), key=str)
+    assert got == sorted([(1, a), (None, b), (9, c), (4, d), (5, e), (None, None), (6, ""), (6, "")], key=str)
