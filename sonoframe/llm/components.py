@@ -12,7 +12,8 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """edges (a, b), longs -> (v, c): every vertex that has an edge, with the smallest vertex it reaches.
 
     Each round is two aggregations and two joins on thin rows, written to the shared folder; the driver sees a count
-    and a checksum. Self-loops and repeated edges change nothing; no edges give no rows.
+    and a checksum. A star's centre is one key: its minimum is aggregated in parts and written, so that the join with it
+    is one of two plain exchanges, which Spark splits where a key is large. Self-loops and repeated edges change nothing; no edges give no rows.
     """
     apart = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = staged(apart, name)
@@ -20,7 +21,7 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     last, seen = None, mark(now)
     while seen != last:
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), f"{name}-least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()

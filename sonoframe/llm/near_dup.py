@@ -7,19 +7,24 @@ A document is its set of word shingles; documents are linked where the sets' Jac
 2. Trees. In each of `trees` trees a node branches its documents by two minwise tokens: a similar pair stays
    together in a branch with its similarity as probability. Roots have tokens of their own, other nodes take two
    of their level's pool by a hash of the node, so branches of a document live or die by different tokens. A node of at most
-   `limit` documents is compared exhaustively on sketches and not branched again; larger ones branch on, `levels`
-   deep at most. What is still large then is very alike throughout and is taken as one cluster uncompared.
+   `limit` documents is compared exhaustively on sketches (31 of 64 values) and not branched again.
+   A larger node first meets a few pivots of its own: who has 24 of 64 values of a pivot's sketch is joined with it, and who
+   has 48 does not branch on, for the pivot stands for it. So a group of near copies, whatever its size, shrinks at each level and
+   is never compared in pairs. The rest branches, `levels` deep at most; what is still large then is taken as one cluster uncompared.
    A pair at 0.75 whose nodes are all large is missed four levels deep with probability 0.110 in one tree and
-   1.0e-5 in six, which share the pools (0.106 and 1.4e-6 if all tokens were independent); the sketch filter
-   (31 of 64 values) misses it with about 2e-7.
-3. Clusters. The components of what the trees found are clusters; all links lie within them. Each document's
-   text is sent once to its cluster, where sets are rebuilt and all intersections counted by matrix products. Large
-   clusters are cut into blocks of bounded size, each pair of blocks its own task.
+   1.0e-5 in six, which share the pools (0.106 and 1.4e-6 if all tokens were independent); the sketch filter misses it
+   with about 2e-7. If a pivot stands for one of the two, the other must have 24 values of that pivot: at a similarity of 0.6 it has
+   not with 1e-4, at 0.5 (the least that 0.75 twice over allows) with 0.03.
+3. Clusters. The components of what the trees found are clusters; all links lie within them. Large clusters are cut into
+   blocks of bounded size. Each document's text is sent once to its block, and there also goes the cluster's first document.
+   Sets are rebuilt and all intersections in a block counted by matrix products. Most clusters are one component then.
+   Where one is not, only documents outside its largest component are sent to the other blocks: a cluster of n near copies
+   costs n texts and not n squared, whatever n.
 4. Components of the exact links, joined back to all documents by set identity.
 
-Nulls: a null or wordless text has no shingles and is linked with nothing; a null id is returned unlinked and kept.
-With fewer words than a shingle the whole sequence is the one shingle. Rows of one id are one vertex. An empty
-table gives an empty result.
+Ids must be integers; others stop the job. Nulls: a null or wordless text has no shingles and is linked with nothing; a null id is
+returned unlinked and kept. With fewer words than a shingle the whole sequence is the one shingle. Rows of one id are one vertex.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +43,10 @@ from sonoframe.llm.staging import partitions, ship, staged
 SKETCH = 64
 #: fewest equal sketch values of 64 for a pair that may be linked
 ALIKE = 31
+#: equal values with a pivot of a large node: for being joined with it, and for being stood for by it
+NEAR_PIVOT, AT_PIVOT = 24, 48
+#: pivots that a large node draws at each level
+PIVOTS = 3
 #: first and end sketch value of the root tokens and of the pools of the levels below
 _POOLS = ((0, 12), (12, 32), (32, 50), (50, 64))
 _ODD = A.mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -197,7 +206,7 @@ def _compare_tiles(threshold: int, shingle: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in _by_key(batches, "tile"):
             part = pa.Table.from_batches(whole).combine_chunks()
-            tile, doc, block, s1, s2 = (part[c].to_numpy() for c in ("tile", "doc_id", "block", "s1", "s2"))
+            tile, doc, side, s1, s2 = (part[c].to_numpy() for c in ("tile", "doc_id", "side", "s1", "s2"))
             sets: list[np.ndarray] = []
             right = np.zeros(len(part), bool)
             for lo, values, to in shingle_sets(part["text"], shingle):
@@ -211,15 +220,15 @@ def _compare_tiles(threshold: int, shingle: int):
                 if len(own) < 2:
                     continue
                 linked = exact_links([sets[k] for k in own], threshold)
-                if (block[own] != block[own[0]]).any():  # pairs within a block are compared in its own tile
-                    linked &= block[own][:, None] != block[own][None, :]
+                if side[own].any():  # pairs of a block have been compared
+                    linked &= side[own][:, None] != side[own][None, :]
                 found.append(_forest(doc[own], linked))
             yield _edges(found)
 
     return compare
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 75, shingle: int = 5, trees: int = 6, levels: int = 4, limit: int = 2048, block_docs: int = 256, block_shingles: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 75, shingle: int = 5, trees: int = 6, levels: int = 4, limit: int = 64, block_docs: int = 256, block_shingles: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document; threshold in percent."""
     spark = docs.sparkSession
     ship(spark)
@@ -227,30 +236,44 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, shingle: int = 5, tree
     base = staged(features(docs, id_col, text_col, shingle), "near-features")
     classes = base.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = staged(classes, "near-classes")
+    clusters = staged(components(_candidates(classes, threshold, trees, levels, limit, n), "near-alike"), "near-clusters")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    links = _confirm(own, classes, clusters, threshold, shingle, block_docs, block_shingles, n)
+    linked = links.withColumnsRenamed({"v": "rep", "c": "component"})
+    groups = classes.select("n_shingles", "s1", "s2", "rep").join(linked, "rep", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component"))
+    out = base.select("doc_id", "n_shingles", "s1", "s2").join(groups, ["n_shingles", "s1", "s2"], "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+
+
+def _candidates(classes: DataFrame, threshold: int, trees: int, levels: int, limit: int, n: int) -> DataFrame:
+    """Edges (a, b) of pairs that may be linked. Sizes and pivots are written tables, so the joins of nodes that hold many documents
+    are joins of two plain exchanges, which Spark splits where one key is large."""
+    sketches = classes.select("rep", "n_shingles", "sketch")
     found: list[DataFrame] = []
-    nodes = _branch(classes, trees, 0)
+    nodes = staged(_branch(classes, trees, 0), "near-nodes")
     for level in range(levels):
-        sizes = nodes.groupBy("node").count().filter("count > 1")
-        sized = staged(nodes.join(sizes, "node"), "near-nodes")
-        small = sized.filter(F.col("count") <= limit).select("node", "rep").join(classes.select("rep", "n_shingles", "sketch"), "rep")
-        found.append(small.repartition(n, "node").sortWithinPartitions("node").mapInArrow(A.trimmed(_compare_nodes(threshold)), "a long, b long"))
-        large = sized.filter(F.col("count") > limit)
+        order = F.struct(F.xxhash64("rep", F.lit(level)), "rep")
+        pivots = [F.min(F.when(F.pmod(F.xxhash64("rep", F.lit(f"pivot {level}")), F.lit(PIVOTS)) == k, order))["rep"].alias(f"p{k}") for k in range(PIVOTS)]
+        sizes = staged(nodes.groupBy("node").agg(F.count("*").alias("size"), *pivots).filter("size > 1"), "near-sizes")
+        small = nodes.join(sizes.filter(F.col("size") <= limit).select("node"), "node").select("node", "rep").join(sketches, "rep")
+        found.append(staged(small.repartition(n, "node").sortWithinPartitions("node").mapInArrow(A.trimmed(_compare_nodes(threshold)), "a long, b long"), "near-pairs"))
+        large = sizes.filter(F.col("size") > limit)
         if large.isEmpty():
             break
-        if level + 1 < levels:
-            nodes = _branch(large.select("tree", "node", "rep").join(classes.select("rep", "sketch"), "rep"), trees, level + 1)
-        else:
-            found.append(large.join(large.groupBy("node").agg(F.min("rep").alias("b")), "node").select(F.col("rep").alias("a"), "b").distinct())
+        if level + 1 == levels:
+            found.append(nodes.join(large.select("node", F.coalesce(*[f"p{k}" for k in range(PIVOTS)]).alias("b")), "node").select(F.col("rep").alias("a"), "b"))
+            break
+        pivot_of = large.select("node", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("rep")).filter("rep IS NOT NULL").join(sketches.select("rep", "sketch"), "rep")
+        pivot_of = staged(pivot_of.groupBy("node").agg(F.collect_list(F.struct("rep", "sketch")).alias("pivots")), "near-pivots")  # PIVOTS of a node at most
+        held = nodes.join(pivot_of, "node").join(sketches.select("rep", "sketch"), "rep")
+        step = staged(_branch(held, trees, level + 1), "near-nodes")
+        found.append(step.filter("node IS NULL").select("rep", "pivot"))
+        nodes = step.filter("node IS NOT NULL").select("tree", "node", "rep")
     alike = found[0]
     for more in found[1:]:
         alike = alike.union(more)
-    clusters = staged(components(alike, "near-alike"), "near-clusters")
-    links = _confirm(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), classes, clusters, threshold, shingle, block_docs, block_shingles, n)
-    linked = components(links, "near-links").withColumnsRenamed({"v": "rep", "c": "component"})
-    groups = classes.select("n_shingles", "s1", "s2", "rep").join(linked, "rep", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = base.select("doc_id", "n_shingles", "s1", "s2").join(groups, ["n_shingles", "s1", "s2"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return alike
 
 
 def _tokens_of(above: np.ndarray | np.uint64, tree: int, level: int, r: int):
@@ -264,30 +287,97 @@ def _tokens_of(above: np.ndarray | np.uint64, tree: int, level: int, r: int):
 
 
 def _branch(rows: DataFrame, trees: int, level: int) -> DataFrame:
-    """(tree, node, rep): each document in the two children that its tokens choose; at the root, in each tree."""
+    """(tree, node, rep, pivot): each document in the two children that its tokens choose; at the root, in each tree.
+
+    Below the root, rows carry their node's pivots. Documents alike to one give a row (rep, pivot) without node, those at
+    one do not branch on.
+    """
 
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            token = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint32).reshape(-1, SKETCH).astype(np.uint64)
-            rep = batch["rep"].to_numpy()
+            token = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint32).reshape(-1, SKETCH)
+            rep, on = batch["rep"].to_numpy(), np.ones(len(batch), bool)
+            if "pivots" in batch.schema.names and len(batch):
+                a, b, at = _meet_pivots(batch, token, rep)
+                on[at] = False
+                yield _node_rows(0, None, a, b)
+            token = token.astype(np.uint64)
             for tree in range(trees):
-                own = np.flatnonzero(batch["tree"].to_numpy() == tree) if level else np.arange(len(rep))
+                own = np.flatnonzero(on & (batch["tree"].to_numpy() == tree)) if level else np.arange(len(rep))
                 above = batch["node"].to_numpy()[own].view(np.uint64) if level else np.uint64(tree + 1)
                 for r in range(2):
                     f = _tokens_of(above, tree, level, r)
                     node = A.mix(A.mix(token[own, f] + (np.asarray(f, np.uint64) << np.uint64(32))) ^ above).view(np.int64)
                     if len(own):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), tree, np.int32)), pa.array(node), pa.array(rep[own])], names=["tree", "node", "rep"])
-
-    return rows.mapInArrow(A.trimmed(branch), "tree int, node long, rep long")
+                        yield _node_rows(tree, node, rep[own], None)
+
+    return rows.mapInArrow(A.trimmed(branch), "tree int, node long, rep long, pivot long")
+
+
+def _node_rows(tree: int, node: np.ndarray | None, rep: np.ndarray, pivot: np.ndarray | None) -> pa.RecordBatch:
+    column = lambda x: pa.nulls(len(rep), pa.int64()) if x is None else pa.array(x, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(rep), tree, np.int32)), column(node), column(rep), column(pivot)], names=["tree", "node", "rep", "pivot"])
+
+
+def _meet_pivots(batch: pa.RecordBatch, token: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges between documents and pivots alike to them, and which rows a pivot stands for.
+
+    Of the documents of a batch that are joined with one pivot, the first has the edge and the others are joined with
+    the first, so that a pivot has an edge for each batch and not for each document.
+    """
+    lists = batch["pivots"]
+    begin = lists.offsets.to_numpy()
+    first, many = begin[:-1], np.diff(begin)
+    flat = lists.values
+    ids = flat.field("rep").to_numpy()
+    sketch = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint32).reshape(-1, SKETCH)
+    a, b, stood = [], [], np.zeros(len(rep), bool)
+    for k in range(int(many.max())):
+        row = np.flatnonzero(many > k)
+        pivot = ids[first[row] + k]
+        same = (token[row] == sketch[first[row] + k]).sum(axis=1)
+        same[pivot == rep[row]] = 0  # a pivot itself branches on
+        stood[row[same >= AT_PIVOT]] = True
+        near = same >= NEAR_PIVOT
+        to, own = pivot[near], rep[row[near]]
+        order = np.argsort(to, kind="stable")
+        to, own = to[order], own[order]
+        begins = run_starts(to)
+        heads = np.repeat(own[begins], np.diff(np.append(begins, len(to))))
+        inner = np.ones(len(to), bool)
+        inner[begins] = False
+        a += [own[begins], own[inner]]
+        b += [to[begins], heads[inner]]
+    return np.concatenate(a), np.concatenate(b), np.flatnonzero(stood)
 
 
 def _confirm(docs: DataFrame, classes: DataFrame, clusters: DataFrame, threshold: int, shingle: int, block_docs: int, block_shingles: int, n: int) -> DataFrame:
-    """Exact links (a, b) within clusters, at least a spanning forest of each tile's links."""
-    members = classes.select("rep", "n_shingles", "s1", "s2").join(clusters.withColumnsRenamed({"v": "rep", "c": "cluster"}), "rep")
+    """(v, c): components of the exact links within clusters."""
+    compare = lambda sent: sent.repartition(n, "tile").sortWithinPartitions("tile", "last").mapInArrow(A.trimmed(_compare_tiles(threshold, shingle)), "a long, b long")
+    members = staged(classes.select("rep", "n_shingles", "s1", "s2").join(clusters.withColumnsRenamed({"v": "rep", "c": "cluster"}), "rep"), "near-members")
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks"))
-    members = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep", "s1"), F.col("blocks")).cast("int"))
-    sent = docs.join(members.select(F.col("rep").alias("doc_id"), "s1", "s2", "cluster", "blocks", "block"), "doc_id")
-    sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = sent.select(F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "doc_id", "block", "s1", "s2", "text")
-    return sent.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(A.trimmed(_compare_tiles(threshold, shingle)), "a long, b long")
+    sizes = staged(sizes.filter("blocks > 1"), "near-blocks")
+    members = members.join(sizes, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = members.withColumn("block", F.pmod(F.xxhash64("rep", "s1"), F.col("blocks")).cast("int"))
+    first = F.col("rep") == F.col("cluster")
+    places = members.withColumn("at", F.explode(F.when(first, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
+    places = places.select(F.col("rep").alias("doc_id"), "s1", "s2", F.xxhash64("cluster", "at").alias("tile"), (F.col("at") != F.col("block")).alias("last"), F.lit(0).alias("side"))
+    links = staged(compare(docs.join(places, "doc_id").select("tile", "last", "side", "doc_id", "s1", "s2", "text")), "near-links")
+    linked = components(links, "near-linked")
+    if sizes.isEmpty():
+        return linked
+    # clusters of several blocks that are not one component yet: who is outside the largest goes to all blocks
+    linked = staged(linked, "near-linked")
+    apart = members.filter("blocks > 1").join(linked.withColumnsRenamed({"v": "rep", "c": "component"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    apart = staged(apart.select("rep", "s1", "s2", "cluster", "blocks", "block", "component"), "near-apart")
+    parts = apart.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("core"), (F.sum("count") - F.max("count")).alias("outside"))
+    parts = staged(parts.filter("outside > 0").withColumn("groups", F.ceil(F.col("outside") / block_docs).cast("int")), "near-outside")
+    if parts.isEmpty():
+        return linked
+    rest = apart.join(parts, "cluster")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    here = rest.select("*", all_of("groups").alias("group"), F.col("block").alias("at"), F.lit(0).alias("side"))
+    there = rest.filter("component <> core").select("*", F.pmod(F.xxhash64("rep", "s2"), F.col("groups")).cast("int").alias("group"), all_of("blocks").alias("at"), F.lit(1).alias("side"))
+    places = here.unionByName(there).select(F.col("rep").alias("doc_id"), "s1", "s2", F.xxhash64("cluster", "at", "group").alias("tile"), F.lit(False).alias("last"), "side")
+    more = compare(docs.join(places, "doc_id").select("tile", "last", "side", "doc_id", "s1", "s2", "text"))
+    return components(more.union(linked.select("v", "c")), "near-linked")

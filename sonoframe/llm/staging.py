@@ -1,24 +1,25 @@
-"""Shared-folder tables, code shipping and small helpers that every operator uses."""
+"""Shared-folder tables and small helpers that every operator uses."""
 
 from __future__ import annotations
 
 import atexit
-import os
+import re
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sonoframe.session import ship  # noqa: F401
+
 _made: list[tuple[SparkSession, str]] = []
-_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='sonoframe-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -44,30 +45,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Deletes the tables that this process staged."""
-    while _made:
-        spark, path = _made.pop()
+def mark() -> int:
+    """How many tables were staged so far: release() deletes those after a mark."""
+    return len(_made)
+
+
+def release(since: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes the tables that this process staged after the mark `since`, but for those that keep reads."""
+    kept = {p for p in _made[since:] if keep is not None and any(p[1].split("/")[-1] in f for f in keep.inputFiles())}
+    gone, _made[since:] = [p for p in _made[since:] if p not in kept], [p for p in _made[since:] if p in kept]
+    for spark, path in reversed(gone):
         try:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone already; the folder is then the cluster's to clean
-            return
-
-
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers, once for each application."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parent.parent
-    target = os.path.join(tempfile.mkdtemp(prefix="sonoframe-code-"), "sonoframe.zip")
-    with zipfile.ZipFile(target, "w") as out:
-        for p in sorted(root.rglob("*.py")):
-            out.write(p, f"{root.name}/{p.relative_to(root)}")
-    context.addPyFile(os.path.realpath(target))
-    _shipped.add(context.applicationId)
+        except Exception:  # noqa: S112  the session may be gone already; the folder is then the cluster's to clean
+            continue
 
 
 def partitions(spark: SparkSession) -> int:
