@@ -1,13 +1,16 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark items.
 
-Text and items are normalised alike: A-Z lower-cased, words of letters, digits and all beyond ASCII, one
-space around each. Every window of an item (10 words; a shorter item is one window) is a pattern. A batch
-of texts is scanned once; hits are mapped to word numbers, and those to character offsets in the original.
-
-The items' texts go to every worker. Up to max_block_bytes of them make the automaton, kept for the worker's
-life under a digest of its items, so that another benchmark or part never meets it. A larger benchmark is cut into blocks of that size, and each batch of texts meets one block's
-automaton after the other, so memory stays bounded. Beyond max_broadcast_bytes the benchmark is dealt by hash
-into parts that are broadcast and applied in turn, each adding to what the former found.
+Text and items are normalised alike: A-Z lower-cased, words of letters, digits and all beyond ASCII. Each distinct word of
+the items is one letter of the automaton's alphabet (two, if there are more words than letters), any other word is one that
+no item has, so a text is a string with a letter a word and is scanned once. Patterns are the items' blocks of five words that do
+not overlap, and whole items of fewer than ten words. Any window of ten words of an item holds one of its blocks: around each
+occurrence text and item are compared five words to either side, and runs of ten or more equal words are hits. Hits are
+word numbers, which are mapped to character offsets in the original. A block that many items share gives way to all windows that
+hold it.
+
+The items' texts go to every worker, where the automaton is built once and kept under a digest of its items, so that
+another benchmark never meets it. It takes about 40 MB for 1 MB of items. A benchmark beyond max_broadcast_bytes is dealt by hash
+into parts; each is a pass of its own over the written result of the one before, adding to what that found.
 
 Nulls: a null text has no words and is never hit; an item whose id or text is null, or without words, takes
 no part. Items of one id count once. Equal rows are each judged. An empty benchmark hits nothing. Input
@@ -28,9 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonoframe.llm import text_arrays as A
-from sonoframe.llm.staging import ship
+from sonoframe.llm.staging import ship, staged
 
 WINDOW = 10
+#: words of a pattern: two of them less one word fit into a window, so each window holds a whole one
+BLOCK = 5
+#: a block of more places of the items gives way to the windows around it, so that no occurrence is compared with more places
+COMMON = 8
 #: each byte as normalised: lower case, what parts words is a space
 _NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 _PARTS = np.array([c == 0x20 for c in _NORMAL])
@@ -41,72 +48,99 @@ def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_NORMAL).split()
 
 
-def windows(words: list[bytes], n: int = WINDOW) -> list[tuple[bytes, int]]:
-    """Patterns of an item, each with its number of words."""
-    m = min(n, len(words))
-    return [(b" " + b" ".join(words[i : i + m]) + b" ", m) for i in range(len(words) - m + 1)] if m else []
-
-
-def _automaton(items: list[tuple[str, str]], key):
-    """(automaton, words of each pattern, item ids of each pattern); kept under key."""
-    import ahocorasick
-
-    if key in _built:
-        return _built[key]
-    ids: dict[bytes, int] = {}
-    sizes: list[int] = []
-    owners: list[set] = []
-    for item_id, text in items:
-        for pattern, m in windows(normal_words(text)):
-            k = ids.setdefault(pattern, len(ids))
-            if k == len(sizes):
-                sizes.append(m)
-                owners.append(set())
-            owners[k].add(item_id)
-    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for pattern, k in ids.items():
-        machine.add_word(pattern.decode("latin-1"), k)
-    machine.make_automaton()
-    _built.clear()
-    _built[key] = machine, sizes, owners
+def _letter(number: int) -> str:
+    return chr(number + 1 if number + 1 < 0xD800 else number + 0x801)  # no surrogates
+
+
+_UNKNOWN = "\0"
+_LETTERS = 0x10FFFF - 0x800 - 1
+
+
+class Benchmark:
+    """The items' automaton. letters: at least two digits of `base` letters make a word where there are more words than letters."""
+
+    def __init__(self, items: list[tuple[str, str]], base: int = _LETTERS):
+        import ahocorasick
+
+        split = [(i, w) for i, text in items if (w := normal_words(text))]
+        vocabulary = list(dict.fromkeys(x for _, w in split for x in w))
+        self.width = 1 if len(vocabulary) <= base else 2
+        spell = _letter if self.width == 1 else lambda n: _letter(n // base) + _letter(n % base)
+        self.code = {w: spell(n) for n, w in enumerate(vocabulary)}
+        self.unknown = _UNKNOWN * self.width
+        self.ids = [i for i, _ in split]
+        self.texts = [self.encode(w) for _, w in split]
+        owners: dict[str, list[tuple[int, int]]] = {}
+        for k, text in enumerate(self.texts):
+            n = len(text) // self.width
+            for at in range(0, n - BLOCK + 1, BLOCK) if n >= WINDOW else [-1]:
+                owners.setdefault(text if at < 0 else text[at * self.width : (at + BLOCK) * self.width], []).append((k, at))
+        for pattern in [p for p, own in owners.items() if len(own) > COMMON and own[0][1] >= 0]:
+            for k, at in owners.pop(pattern):  # the windows that hold this block, as patterns of their own
+                for first in range(max(0, at - WINDOW + BLOCK), min(at, len(self.texts[k]) // self.width - WINDOW) + 1):
+                    owners.setdefault(self.texts[k][first * self.width : (first + WINDOW) * self.width], []).append((k, -1))
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, pattern in enumerate(owners):
+            self.machine.add_word(pattern, k)
+        self.owners = [list(dict.fromkeys(own)) for own in owners.values()]
+        self.sizes = [len(p) // self.width for p in owners]
+        if owners:
+            self.machine.make_automaton()
+
+    def encode(self, words: list[bytes]) -> str:
+        get, unknown = self.code.get, _UNKNOWN * self.width
+        return "".join([get(w, unknown) for w in words])
+
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """First and end word of each run of hit words, and the items' ids."""
+        spans: list[tuple[int, int]] = []
+        ids: set[str] = set()
+        if not self.owners:
+            return spans, ids
+        text, w = self.encode(words), self.width
+        whole: set[int] = set()
+        for end, k in self.machine.iter(text):
+            if (end + 1) % w:
+                continue
+            stop = (end + 1) // w
+            start = stop - self.sizes[k]
+            if self.owners[k][0][1] < 0:
+                spans.append((start, stop))
+                if k not in whole:
+                    whole.add(k)
+                    ids.update(self.ids[item] for item, _ in self.owners[k])
+                continue
+            for item, at in self.owners[k]:
+                own, left, right = self.texts[item], 0, 0
+                most = min(WINDOW - BLOCK, start, at)
+                while left < most and text[(start - left - 1) * w : (start - left) * w] == own[(at - left - 1) * w : (at - left) * w]:
+                    left += 1
+                most = min(WINDOW - BLOCK, len(text) // w - stop, len(own) // w - at - BLOCK)
+                while right < most and text[(stop + right) * w : (stop + right + 1) * w] == own[(at + BLOCK + right) * w : (at + BLOCK + right + 1) * w]:
+                    right += 1
+                if left + BLOCK + right >= WINDOW:
+                    spans.append((start - left, stop + right))
+                    ids.add(self.ids[item])
+        return spans, ids
+
+
+def _benchmark(items: list[tuple[str, str]], key: str) -> Benchmark:
+    if key not in _built:
+        _built.clear()
+        _built[key] = Benchmark(items)
     return _built[key]
 
 
-def _blocks(items: list[tuple[str, str]], limit: int) -> list[list[tuple[str, str]]]:
-    blocks, held = [[]], 0
-    for item in items:
-        held += len(item[1])
-        if blocks[-1] and held > limit:
-            blocks.append([])
-            held = len(item[1])
-        blocks[-1].append(item)
-    return blocks
-
-
-def _scan(data: np.ndarray, offsets: np.ndarray, blocks: list, key) -> tuple[np.ndarray, dict]:
-    """Words of each text, and for texts that are hit: (first and end word of each occurrence, item ids)."""
+def _scan(data: np.ndarray, offsets: np.ndarray, benchmark: Benchmark) -> tuple[np.ndarray, dict]:
+    """Words of each text, and for texts that are hit: (first and end word of each run, item ids)."""
     n_words = np.zeros(len(offsets) - 1, np.int64)
     found: dict[int, tuple[list, set]] = {}
-    for lo, hi in A.pieces(offsets):
-        normal = [data[offsets[i] : offsets[i + 1]].tobytes().translate(_NORMAL).split() for i in range(lo, hi)]
-        n_words[lo:hi] = [len(x) for x in normal]
-        texts = [b" " + b" ".join(x) + b" " for x in normal]
-        starts = np.cumsum([0] + [len(x) + 1 for x in texts])
-        joined = b"\n".join(texts)
-        spaces = None
-        scanned = joined.decode("latin-1")
-        for number, block in enumerate(blocks):
-            machine, sizes, owners = _automaton(block, (key, number))
-            if not sizes:
-                continue
-            for end, k in machine.iter(scanned):
-                if spaces is None:
-                    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
-                i = int(np.searchsorted(starts, end, side="right")) - 1
-                last = int(np.searchsorted(spaces, end) - np.searchsorted(spaces, starts[i]))
-                at = found.setdefault(lo + i, ([], set()))
-                at[0].append((last - sizes[k], last))
-                at[1].update(owners[k])
+    for i in range(len(n_words)):
+        words = data[offsets[i] : offsets[i + 1]].tobytes().translate(_NORMAL).split()
+        n_words[i] = len(words)
+        spans, ids = benchmark.find(words)
+        if spans:
+            found[i] = spans, ids
     return n_words, found
 
 
@@ -119,7 +153,7 @@ def _spans(raw: bytes, hit: np.ndarray) -> list[dict]:
     return [{"start": int(chars[start[a]]), "end": int(chars[end[b - 1]])} for a, b in edge.reshape(-1, 2)]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, max_block_bytes: int = 256 << 10, max_broadcast_bytes: int = 32 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, max_broadcast_bytes: int = 32 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs with n_words, n_hit, item_ids (sorted strings) and spans (start and end character of hit passages)."""
     spark = docs.sparkSession
     ship(spark)
@@ -131,25 +165,27 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, max_block_bytes: i
     for part in range(n_parts):
         own = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_parts)) == part) if n_parts > 1 else items
         held = sorted((r.i, r.t) for r in own.collect())
-        out = _apply(out, spark.sparkContext.broadcast(held), _digest(held, max_block_bytes), kept, part == n_parts - 1, max_block_bytes, text_col)
+        out = _apply(out, spark.sparkContext.broadcast(held), _digest(held), kept, part == n_parts - 1, text_col)
+        if part < n_parts - 1:
+            out = staged(out, "benchmark-part")
     return out
 
 
-def _digest(items: list[tuple[str, str]], block_bytes: int) -> str:
-    """Names the automata of these items, cut into blocks of this size."""
-    return hashlib.sha256(repr((items, block_bytes)).encode("utf-8", "surrogatepass")).hexdigest()
+def _digest(items: list[tuple[str, str]]) -> str:
+    """Names the automaton of these items."""
+    return hashlib.sha256(repr(items).encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def _apply(docs: DataFrame, sent, key: str, kept: list[str], last: bool, block_bytes: int, text_col: str) -> DataFrame:
+def _apply(docs: DataFrame, sent, key: str, kept: list[str], last: bool, text_col: str) -> DataFrame:
     schema = T.StructType([docs.schema[c] for c in kept])
     ends = schema.add("n_words", "long").add("n_hit", "long").add("item_ids", T.ArrayType(T.StringType())).add("spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))) if last else schema.add("_state", "binary")
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = _blocks(sent.value, block_bytes)
+        benchmark = _benchmark(sent.value, key)
         for batch in batches:
             data, offsets = A.buffers(batch[text_col])
-            n_words, found = _scan(data, offsets, blocks, key)
+            n_words, found = _scan(data, offsets, benchmark)
             if "_state" in batch.schema.names:
                 for i, state in enumerate(batch["_state"].to_pylist()):
                     if state:

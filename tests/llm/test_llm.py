@@ -85,11 +85,11 @@ def brute_contamination(texts, items):
     return out
 
 
-@pytest.mark.parametrize(("block", "broadcast"), [(1 << 18, 1 << 25), (200, 1 << 25), (200, 300)])
-def test_contamination_equals_brute_force(spark, block, broadcast):
+@pytest.mark.parametrize("broadcast", [1 << 25, 300])
+def test_contamination_equals_brute_force(spark, broadcast):
     items = [(10, prose(1, 30, 3000)), (2, prose(2, 12, 3000)), (3, "Short ITEM"), (4, None), (None, "a b"), (5, "..."), (10, prose(1, 30, 3000)), (6, prose(1, 30, 3000))]
     texts = ODD + [(20, "x " + items[0][1].replace(" ", ", ").upper() + " y"), (21, " ".join(items[0][1].split()[:9])), (22, "short-item short item"), (23, items[1][1] + " " + items[0][1]), (24, "日short item")]
-    got = decontaminate.find_contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block, broadcast)
+    got = decontaminate.find_contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), broadcast)
     rows = [(r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in got.collect()]
     key = lambda r: str(r)
     assert sorted(rows, key=key) == sorted(brute_contamination(texts, items), key=key) and "size" in got.columns
@@ -97,6 +97,22 @@ def test_contamination_equals_brute_force(spark, block, broadcast):
     assert [(s.start, s.end) for s in span] == [(2, len(texts[-5][1]) - 2)]
 
 
+@pytest.mark.parametrize("base", [decontaminate._LETTERS, 7])
+@pytest.mark.parametrize("common", [8, 1, 10**9])
+def test_automaton_equals_brute_force_on_random_words(base, common, monkeypatch):
+    monkeypatch.setattr(decontaminate, "COMMON", common)
+    rng = random.Random(8)
+    words = lambda n, m: " ".join(f"v{rng.randrange(m)}" for _ in range(n))
+    for m in (2, 3, 40):
+        items = [(str(k), words(rng.randrange(1, 40), m)) for k in range(25)]
+        texts = [(k, words(rng.randrange(80), m) + " " + rng.choice(items)[1] + " " + words(rng.randrange(20), m)) for k in range(40)]
+        b = decontaminate.Benchmark(items, base)
+        assert b.width == 1 + (base < m)
+        for (_, text), (_, n, hit, ids) in zip(texts, brute_contamination(texts, items), strict=True):
+            spans, own = b.find(decontaminate.normal_words(text))
+            assert (len({x for a, e in spans for x in range(a, e)}), tuple(sorted(own))) == (hit, ids)
+
+
 def test_contamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert plain(decontaminate.find_contamination(docs(spark, [(1, "a b")]), none), "n_words", "n_hit") == [(2, 0)]
