@@ -1,26 +1,30 @@
 """Approximate nearest neighbours by cosine with a hierarchical k-means tree.
 
-The tree is fitted by spherical k-means on at most sample_rows vectors (seeded hash order) and has about one leaf for
-leaf_rows vectors of the whole table, so leaves keep their size as the table grows until the sample bounds
-their number. Every vector is put into a leaf. A query walks the tree best bin first: a priority queue holds
-nodes by the query's cosine to their centroids; the best is opened until enough leaves were visited.
+The tree is fitted by spherical k-means on a sample of at most sample_rows vectors (seeded hash). A leaf holds about the root of the
+number of vectors, so leaves and their size grow alike; a leaf needs SAMPLE sampled vectors, which bounds the leaves of one
+tree at sample_rows / SAMPLE = 4,096 (16.8 million vectors by the root; beyond that leaves grow with the table). Every vector is
+put into a leaf. A query walks the tree best bin first: a priority queue holds nodes by the query's cosine to their centroids; the
+best is opened until enough leaves were visited.
 
 How many is calibrated: for a bounded set of queries the true neighbours among all rows are found by brute
-force, and leaf visits are widened until `recall` of them lie in visited leaves.
-
-Leaves are packed into bins of at most about bin_rows vectors; a larger leaf is cut over several bins by a hash. A
-query goes once to each bin that has a leaf of its list, and leaves it with at most k rows. Candidates within
-1e-9 of the k-th by matrix product are scored again one after the other in double precision; ties go to
-smaller ids.
-
-Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do
-null ids. Equal vectors are each a candidate. A query with fewer candidates than k gets all of its visited ones; an
-empty table gives an empty result.
+force, and leaf visits are widened until `recall` of them lie in visited leaves. With no more queries than that set has
+(`calibration`) and a recall near one, the result is exact.
+
+Leaves are packed into bins of at most about bin_rows vectors; a larger leaf is cut over several bins. A query goes once to
+each bin that has a leaf of its list, and leaves it with at most k rows. A bin that more than query_rows queries visit is copied and
+its queries are dealt over the copies, so a task's group is bounded on both sides. Candidates within 1e-9 of the k-th by matrix
+product are scored again one after the other in double precision; ties go to smaller ids.
+
+Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids. Vectors of different lengths are
+not compared: each length is a search of its own. Vectors are scaled by powers of two before they are squared, so very small and very
+large ones have true cosines. Equal vectors are each a candidate. A query with fewer candidates than k gets all of its visited
+ones; an empty table gives an empty result. Ids must be integers.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sonoframe.llm import text_arrays as A
 from sonoframe.llm.staging import ship, staged
 
 
@@ -39,13 +44,20 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that the largest component is near one: no rounding, and squares neither vanish nor overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0.0))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosine of q with each row, every sum taken from left to right."""
     total = lambda p: np.cumsum(p, axis=1)[:, -1]
+    q, x = scaled(q[None, :])[0], scaled(x)
     return total(x * q) / (np.sqrt(total((q * q)[None, :])) * np.sqrt(total(x * x)))
 
 
@@ -119,27 +131,42 @@ class KMeansTree:
                 heapq.heappush(queue, (-nearness[c], c))
 
 
+#: sampled vectors that a leaf needs
+SAMPLE = 32
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v) of the vectors that take part."""
     v = F.col(vector_col).cast("array<double>")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    all_ = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & sound).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
-    lengths = all_.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return all_.filter(F.size("v") == (lengths[0]["n"] if lengths else 0))
+    return vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & sound).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.98, sample_rows: int = 8192, leaf_rows: int = 512, bin_rows: int = 8192, calibration: int = 64, seed: int = 19, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest that the search finds for each row where is_query (of id_col) holds."""
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.99, sample_rows: int = 1 << 17, leaf_rows: int | None = None, bin_rows: int = 2048, query_rows: int = 512, calibration: int = 64, seed: int = 19, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest that the search finds for each row where is_query (of id_col) holds.
+
+    leaf_rows: vectors of a leaf, the root of their number if it is None.
+    """
     spark = vectors.sparkSession
     ship(spark)
-    out = "query_id long, rank int, vec_id long, score double"
     rows = usable(vectors, id_col, vector_col)
-    total = rows.count()
-    if total < 2:
-        return spark.createDataFrame([], out)
-    seeded = F.xxhash64("vec_id", F.lit(seed))
-    sample = np.array([r.v for r in rows.orderBy(seeded, "vec_id").limit(sample_rows).select("v").collect()], np.float64)
-    tree = KMeansTree(unit(sample), max(1, min(-(-total // leaf_rows), sample_rows // 16)))
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for length in rows.groupBy(F.size("v").alias("n")).count().orderBy("n").collect():  # one row a length
+        if length["count"] > 1:
+            own = rows.filter(F.size("v") == length["n"])
+            out = out.unionByName(_nearest(own, length["count"], is_query, k, recall, sample_rows, leaf_rows, bin_rows, query_rows, calibration, seed))
+    return out
+
+
+def _nearest(rows: DataFrame, total: int, is_query: Column, k: int, recall: float, sample_rows: int, leaf_rows: int | None, bin_rows: int, query_rows: int, calibration: int, seed: int) -> DataFrame:
+    """The search among vectors of one length."""
+    spark = rows.sparkSession
+    n_leaves = max(1, min(-(-total // (leaf_rows or max(1, math.isqrt(total)))), sample_rows // SAMPLE))
+    wanted = min(total, n_leaves * SAMPLE)
+    seeded, turns = F.xxhash64("vec_id", F.lit(seed)), 1 << 30
+    sample = rows.filter(F.pmod(F.xxhash64("vec_id", "v", F.lit(seed)), F.lit(turns)) < -(-turns * wanted // total)).select("v").limit(wanted * 2)  # the limit is for tables of repeated rows
+    sample = matrix(sample.toArrow()["v"])
+    tree = KMeansTree(unit(sample), n_leaves) if len(sample) else KMeansTree(np.ones((1, 1)), 1)
     sent = spark.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,52 +180,89 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.
     queries = index.filter(is_query).select("vec_id", "v")
     visits = _calibrate(index, queries.orderBy(seeded, "vec_id").limit(calibration).distinct(), tree, k, recall)
 
-    first_bin, n_bins, filled = {}, {}, 0  # leaves in order fill bins; a large leaf has bins of its own
-    at = -1
-    for leaf in range(tree.n_leaves):
-        c = counts.get(leaf, 0)
-        if c > bin_rows:
-            first_bin[leaf], n_bins[leaf] = at + 1, -(-c // bin_rows)
-            at, filled = at + n_bins[leaf], bin_rows
-        else:
-            if at < 0 or filled + c > bin_rows:
-                at, filled = at + 1, 0
-            first_bin[leaf], n_bins[leaf] = at, 1
-            filled += c
-    bins = spark.sparkContext.broadcast((first_bin, n_bins, counts))
-    table = F.array(*[F.lit(first_bin[x]) for x in range(tree.n_leaves)]), F.array(*[F.lit(n_bins[x]) for x in range(tree.n_leaves)])
-    pick = lambda t: F.element_at(t, F.col("leaf") + 1)
-    binned = index.withColumn("bin", (pick(table[0]) + F.pmod(F.xxhash64("vec_id"), pick(table[1]))).cast("int"))
-
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, several, held = bins.value
+        for batch in batches:
+            lists = []
+            for q in unit(matrix(batch["v"])) if len(batch) else ():
+                goes, seen = [], 0
+                for leaf in sent.value.best_first(q):
+                    if len(goes) >= visits and seen > k:
+                        break
+                    seen += counts.get(leaf, 0)
+                    goes.append(leaf)
+                lists.append(goes)
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "q", "leaves"])
+
+    asked = staged(queries.mapInArrow(walk, f"query_id long, q {kind}, leaves array<int>"), "ann-asked")
+    asks = {r.leaf: r["count"] for r in asked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()}  # one row a leaf
+    bins = spark.sparkContext.broadcast(Bins(tree.n_leaves, counts, asks, bin_rows, query_rows))
+
+    def deal_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = bins.value
+        for batch in batches:
+            leaf = batch["leaf"].to_numpy()
+            at = b.first[leaf] + (_spread(batch["vec_id"].to_numpy()) + np.arange(len(leaf), dtype=np.uint64)) % b.several[leaf].astype(np.uint64)
+            copies = b.copies[at.astype(np.int64)]
+            row = np.repeat(np.arange(len(leaf)), copies)
+            part = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+            yield batch.take(pa.array(row)).append_column("bin", pa.array(at.astype(np.int32)[row])).append_column("part", pa.array(part, pa.int32()))
+
+    def deal_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = bins.value
         for batch in batches:
             row, where, leaves = [], [], []
-            for i, q in enumerate(unit(matrix(batch["v"])) if len(batch) else ()):
+            for i, own in enumerate(batch["leaves"].to_pylist()):
                 goes: dict[int, list[int]] = {}
-                seen = 0
-                for n, leaf in enumerate(sent.value.best_first(q)):
-                    if n >= visits and seen > k:
-                        break
-                    seen += held.get(leaf, 0)
-                    for b in range(first[leaf], first[leaf] + several[leaf]):
-                        goes.setdefault(b, []).append(leaf)
+                for leaf in own:
+                    for at in range(b.first[leaf], b.first[leaf] + b.several[leaf]):
+                        goes.setdefault(at, []).append(leaf)
                 row += [i] * len(goes)
                 where += goes
                 leaves += goes.values()
-            taken = pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"]], names=["query_id", "q"]).take(pa.array(row, pa.int64()))
-            yield taken.append_column("bin", pa.array(where, pa.int32())).append_column("leaves", pa.array(leaves, pa.list_(pa.int32())))
-
-    asked = queries.mapInArrow(walk, f"query_id long, q {kind}, bin int, leaves array<int>")
+            row = np.array(row, np.int64)
+            part = _spread(batch["query_id"].to_numpy()[row]) % b.copies[where].astype(np.uint64)
+            taken = batch.select(["query_id", "q"]).take(pa.array(row))
+            for name, column in (("bin", pa.array(where, pa.int32())), ("part", pa.array(part.astype(np.int32))), ("leaves", pa.array(leaves, pa.list_(pa.int32())))):
+                taken = taken.append_column(name, column)
+            yield taken
 
     def search(own: pa.Table, asked: pa.Table) -> pa.Table:
         found = _search(own, asked, k)
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
-    best = binned.select("vec_id", "v", "leaf", "bin").groupBy("bin").cogroup(asked.groupBy("bin")).applyInArrow(search, "query_id long, vec_id long, score double")
+    own = index.mapInArrow(deal_rows, f"vec_id long, v {kind}, leaf int, bin int, part int").groupBy("bin", "part")
+    theirs = asked.mapInArrow(deal_queries, f"query_id long, q {kind}, bin int, part int, leaves array<int>").groupBy("bin", "part")
+    best = own.cogroup(theirs).applyInArrow(search, "query_id long, vec_id long, score double")
     return _top(best, k).select("query_id", "rank", "vec_id", "score")
 
 
+class Bins:
+    """first bin and number of bins of each leaf; copies of each bin."""
+
+    def __init__(self, n_leaves: int, rows: dict[int, int], asks: dict[int, int], bin_rows: int, query_rows: int):
+        self.first, self.several = np.zeros(n_leaves, np.int64), np.ones(n_leaves, np.int64)
+        asked: list[int] = []
+        filled = bin_rows
+        for leaf in range(n_leaves):  # leaves in order fill bins; a large leaf has bins of its own
+            c, a = rows.get(leaf, 0), asks.get(leaf, 0)
+            if c > bin_rows:
+                self.first[leaf], self.several[leaf] = len(asked), -(-c // bin_rows)
+                asked += [a] * int(self.several[leaf])
+                filled = bin_rows
+                continue
+            if filled + c > bin_rows or not asked:
+                asked.append(0)
+                filled = 0
+            self.first[leaf] = len(asked) - 1
+            asked[-1] += a
+            filled += c
+        self.copies = np.maximum(1, -(-np.array(asked, np.int64) // query_rows))
+
+
+def _spread(ids: np.ndarray) -> np.ndarray:
+    return A.mix(ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
+
+
 def _top(best: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -212,10 +276,10 @@ def _search(own: pa.Table, asked: pa.Table, k: int) -> tuple[np.ndarray, np.ndar
     x, ids, leaf = matrix(own["v"]), own["vec_id"].to_numpy(), own["leaf"].to_numpy()
     q, qid = matrix(asked["q"]), asked["query_id"].to_numpy()
     leaves = asked["leaves"].to_pylist() if "leaves" in asked.column_names else None
-    scaled = unit(x)
+    lengthless = unit(x)
     found: list[tuple] = []
     for lo in range(0, len(q), 256):
-        near = unit(q[lo : lo + 256]) @ scaled.T
+        near = unit(q[lo : lo + 256]) @ lengthless.T
         for i, row in enumerate(near):
             ok = ids != qid[lo + i]
             if leaves is not None:

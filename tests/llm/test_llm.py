@@ -187,6 +187,32 @@ def test_few_vectors(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_every_length_and_size_of_vectors_is_searched(spark):
+    rows = [(0, [1e-200, 0.0]), (1, [1e-200, 1e-200]), (50, [0.0, 1e200]), (2, [3e-310, 0.0]), (100, [1.0, 2.0, 3.0]), (3, [2.0, 4.0, 6.0]), (4, [1.0, 0.0, 0.0]), (150, [1.0])]
+    got = sorted(tuple(r) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect())
+    r2 = 1 / np.sqrt(2)
+    want = [(0, 1, 2, 1.0), (0, 2, 1, r2), (0, 3, 50, 0.0), (50, 1, 1, r2), (50, 2, 0, 0.0), (50, 3, 2, 0.0), (100, 1, 3, 1.0), (100, 2, 4, 1 / np.sqrt(14))]
+    assert [r[:3] for r in got] == [w[:3] for w in want] and np.allclose([r[3] for r in got], [w[3] for w in want], rtol=0, atol=1e-15)
+
+
+def test_bins_bound_rows_and_queries():
+    b = ann.Bins(5, {0: 10, 1: 5, 2: 45, 4: 3}, {0: 7, 1: 7, 2: 30, 3: 1}, 16, 8)
+    assert b.first.tolist() == [0, 0, 1, 3, 4] and b.several.tolist() == [1, 1, 3, 1, 1] and b.copies.tolist() == [2, 4, 4, 4, 1]
+
+
+@needs_data
+def test_small_tables_have_several_leaves_and_exact_results(spark, monkeypatch):
+    made, start = [], ann.KMeansTree.__init__
+    monkeypatch.setattr(ann.KMeansTree, "__init__", lambda self, *a: made.append(self) or start(self, *a))
+    vectors = spark.read.parquet(f"{DATA}/../sf0.01/embeddings.parquet")
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in queries.op3_nearest(spark, f"{DATA}/../sf0.01").collect())
+    rows = vectors.orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = [(int(q), n + 1, int(ids[i])) for q in ids[ids % 50 == 0] for n, i in enumerate([i for i in np.argsort(-(u @ u[ids == q][0]), kind="stable") if ids[i] != q][:5])]
+    assert got == sorted(want) and made[0].n_leaves >= 20
+
+
 # --- op4, op7
 
 
