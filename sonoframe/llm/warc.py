@@ -5,15 +5,18 @@ the page with the same payload and the smallest id (payloads of min_revisit byte
 appended to archives of bounded size in the shared folder; every archive is written under a name of its
 attempt and then renamed, so a lost or doubled task leaves whole files only.
 
-Index. Captures are sorted by URL key (host reversed and comma-joined, then path), range-partitioned, and written as
-compressed blocks of block_lines lines. A sparse directory has each block's first key, file, place and length. A
-look-up searches the directory, reads one block by range, searches it, and reads one record by range.
+Index. Captures are sorted by URL key (host reversed and comma-joined, then path), range-partitioned, and written as index
+files of compressed blocks of block_lines lines. A file ends with its sparse block directory: each block's first key, place and
+length. One row a file, with its first key and where its directory lies, is all that the driver holds (as many as the session has
+shuffle partitions, at most). A look-up searches these rows, reads one directory by range and searches it, reads one block by
+range and searches it, and reads its records by range: three binary searches.
 
-Reading back goes through the index: blocks are dealt to tasks, each reads its blocks and their records by range.
+Reading back is such look-ups: keys are sorted over the tasks, which find the blocks that may hold them; blocks with their keys are
+dealt out again, so a key that fills many blocks is many tasks' work.
 
 Nulls: a null html is an empty payload, a null url the empty key; a page with null id is a response without number. Equal
-rows are each a record; of equal ids with equal payloads the first written is the response. An empty table
-gives empty archives and an empty result.
+rows are each a record, and rows of the smallest id with a payload are all responses. An empty table
+gives empty archives and an empty result. Ids must be integers.
 """
 
 from __future__ import annotations
@@ -106,11 +109,10 @@ def write_archives(pages: DataFrame, root: str, min_revisit: int = 100, archive_
     spark = pages.sparkSession
     ship(spark)
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    thin = own.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size")).filter(F.col("size") >= min_revisit)
-    firsts = thin.groupBy("digest").agg(F.min("page_id").alias("first"))
-    # the few payloads that occur again, with where the rest refers to
-    again = thin.join(firsts, "digest").filter("page_id <> first").select("page_id", "digest", "first").distinct()
-    sent = own.withColumn("digest", F.sha2("html", 256)).join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "first")
+    thin = own.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size")).filter(F.col("size") >= min_revisit).drop("size")
+    # payloads that occur again: minima are aggregated in parts and written, so that joins with them split where a digest is common
+    firsts = staged(thin.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "warc-repeated")
+    sent = own.withColumn("digest", F.sha2("html", 256)).join(firsts, "digest", "left").select("page_id", "url", "html", "digest", F.when((F.col("page_id") != F.col("first")) & (F.octet_length("html") >= min_revisit), F.col("first")).alias("first"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = Store(root)
@@ -143,15 +145,15 @@ def write_archives(pages: DataFrame, root: str, min_revisit: int = 100, archive_
 
 
 def write_index(captures: DataFrame, root: str, block_lines: int = 1000) -> DataFrame:
-    """Sorts captures by key into compressed blocks below root; the directory (first_key, file, place, length, n)."""
+    """Sorts captures by key into index files below root; a row a file (first_key, file, place and length of its directory, n)."""
     spark = captures.sparkSession
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, rows, lines, size = [], [], [], 0
+        blocks, directory, lines, size, n = [], [], [], 0, 0
 
         def close() -> int:
             block = gzip.compress("".join(json.dumps(x) + "\n" for x in lines).encode(), mtime=0)
-            rows.append((lines[0][0], size, len(block), len(lines)))
+            directory.append((lines[0][0], size, len(block)))
             blocks.append(block)
             lines.clear()
             return len(block)
@@ -159,77 +161,142 @@ def write_index(captures: DataFrame, root: str, block_lines: int = 1000) -> Data
         for batch in batches:
             for line in zip(*(batch[c].to_pylist() for c in ("key", "page_id", "file", "place", "length")), strict=True):
                 lines.append(line)
+                n += 1
                 if len(lines) == block_lines:
                     size += close()
         if lines:
             size += close()
         if blocks:
+            blocks.append(gzip.compress("".join(json.dumps(x) + "\n" for x in directory).encode(), mtime=0))
             data = b"".join(blocks)
             name = f"index-{hashlib.sha256(data).hexdigest()[:32]}.gz"
             Store(root).put(name, data)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([name] * len(rows)), *(pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3))], names=["first_key", "file", "place", "length", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]]), pa.array([name]), pa.array([size]), pa.array([len(blocks[-1])]), pa.array([n])], names=["first_key", "file", "place", "length", "n"])
 
     ordered = captures.repartitionByRange(partitions(spark), "key", "page_id", "file", "place").sortWithinPartitions("key", "page_id", "file", "place")
     return staged(ordered.mapInArrow(write, "first_key string, file string, place long, length long, n long"), "warc-directory")
 
 
-def read_block(store: Store, file: str, place: int, length: int) -> list[list]:
+def read_lines(store: Store, file: str, place: int, length: int) -> list[list]:
+    """The lines of a block or directory, by range."""
     with store.open(file) as f:
         f.seek(place)
         return [json.loads(x) for x in gzip.decompress(f.read(length)).splitlines()]
 
 
+class Index:
+    """Look-ups through the rows of write_index, sorted by first key. The directory last read is kept."""
+
+    def __init__(self, rows: list[tuple], store: Store):
+        self.rows, self.store = rows, store
+        self.first = [r[0] for r in rows]
+        self.kept: tuple[int, list] = (-1, [])
+
+    def _directory(self, k: int) -> list[list]:
+        if self.kept[0] != k:
+            self.kept = k, read_lines(self.store, *self.rows[k][1:4])
+        return self.kept[1]
+
+    def blocks(self, key: str) -> Iterator[tuple[str, int, int]]:
+        """(file, place, length) of each block that may hold the key."""
+        k = max(0, bisect.bisect_left(self.first, key) - 1)  # the key may begin in the file before one that begins with it
+        while k < len(self.rows) and self.first[k] <= key:
+            directory = self._directory(k)
+            firsts = [d[0] for d in directory]
+            at = max(0, bisect.bisect_left(firsts, key) - 1)
+            while at < len(directory) and firsts[at] <= key:
+                yield (self.rows[k][1], *directory[at][1:3])
+                at += 1
+            k += 1
+
+
+def lines_of(lines: list[list], keys: list[str]) -> list[list]:
+    """A block's lines of the given keys."""
+    own = [x[0] for x in lines]
+    return [x for key in keys for x in lines[bisect.bisect_left(own, key) : bisect.bisect_right(own, key)]]
+
+
 def look_up(directory: list[tuple], root: str, url: str) -> list[tuple[dict[str, str], bytes]]:
-    """All records of a URL: binary search of the sorted directory rows, then of a block, then range reads."""
+    """All records of a URL. directory: the rows of write_index, sorted."""
     key, store, out = url_key(url), Store(root), []
-    at = max(0, bisect.bisect_left([d[0] for d in directory], key) - 1)
-    while at < len(directory) and directory[at][0] <= key:
-        lines = read_block(store, *directory[at][1:4])
-        keys = [x[0] for x in lines]
-        for _, _, file, place, length in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
+    for block in Index(directory, store).blocks(key):
+        for _, _, file, place, length in lines_of(read_lines(store, *block), [key]):
             with store.open(file) as f:
                 f.seek(place)
                 fields, _, payload = parse(f.read(length))
             out.append((fields, payload))
-        at += 1
     return out
 
 
-def read_archives(directory: DataFrame, root: str) -> DataFrame:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of every record, through the index."""
-    spark = directory.sparkSession
+_RECORD = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
+
+
+def read_archives(keys: DataFrame, directory: DataFrame, root: str, batch_bytes: int = 8 << 20) -> DataFrame:
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of every record of the URL keys (key)."""
+    spark = keys.sparkSession
+    rows = sorted(tuple(r) for r in directory.collect())  # a row an index file: no more than shuffle partitions
+    sent = spark.sparkContext.broadcast(rows)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, now, held = Index(sent.value, Store(root)), None, []
+
+        def close() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1]]), pa.array([now[2]]), pa.array([held], pa.list_(pa.string()))], names=["file", "place", "length", "keys"])
+
+        for batch in batches:
+            for key in batch["key"].to_pylist():
+                for block in index.blocks(key):
+                    if block != now:
+                        if held:
+                            yield close()
+                        now, held = block, []
+                    held.append(key)
+        if held:
+            yield close()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = Store(root)
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_RECORD)], names=[n for n, _ in _RECORD])
         for batch in batches:
             for block in batch.to_pylist():
-                rows, files = [], {}
-                for _, _, file, place, length in sorted(read_block(store, block["file"], block["place"], block["length"]), key=lambda x: (x[2], x[3])):
-                    f = files.get(file)
-                    if f is None:
-                        while files:
-                            files.popitem()[1].close()
-                        f = files[file] = store.open(file)
+                rows, size, open_, f = [], 0, None, None
+                for _, _, file, place, length in sorted(lines_of(read_lines(store, block["file"], block["place"], block["length"]), block["keys"]), key=lambda x: (x[2], x[3])):
+                    if file != open_:
+                        if f:
+                            f.close()
+                        open_, f = file, store.open(file)
                     f.seek(place)
-                    fields, http, payload = parse(f.read(length))
-                    refers = fields.get("WARC-Refers-To")
-                    size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-                    digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-                    if refers is None and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-                        raise ValueError(f"{file} at {place}: the payload is not what was written")
-                    page = fields["WARC-Record-ID"][10:-1]
-                    rows.append((int(page) if page else None, fields["WARC-Target-URI"], size, digest, fields["WARC-Type"], int(refers[10:-1]) if refers else None, payload))
-                for f in files.values():
+                    rows.append(_checked(f.read(length), f"{file} at {place}"))
+                    size += len(rows[-1][-1])
+                    if size >= batch_bytes:
+                        yield made(rows)
+                        rows, size = [], 0
+                if f:
                     f.close()
-                names = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(names)], names=[n for n, _ in names])
+                if rows:
+                    yield made(rows)
+
+    n = partitions(spark)
+    wanted = keys.select("key").distinct().repartitionByRange(n, "key").sortWithinPartitions("key")
+    blocks = wanted.mapInArrow(find, "file string, place long, length long, keys array<string>")
+    return blocks.repartition(n).mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+
 
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    return directory.repartition(partitions(spark)).mapInArrow(read, schema)
+def _checked(member: bytes, where: str) -> tuple:
+    """A record's row; an error if its payload is not what its header says."""
+    fields, http, payload = parse(member)
+    refers = fields.get("WARC-Refers-To")
+    size = int(re.search(rb"Content-Length: (\d+)", http)[1])
+    digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
+    if refers is None and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
+        raise ValueError(f"{where}: the payload is not what was written")
+    page = fields["WARC-Record-ID"][10:-1]
+    return int(page) if page else None, fields["WARC-Target-URI"], size, digest, fields["WARC-Type"], int(refers[10:-1]) if refers else None, payload
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Writes archives and index of pages into the shared folder and reads every record back."""
     spark: SparkSession = pages.sparkSession
     root = new_path(spark, "warc")
-    return read_archives(write_index(write_archives(pages, root, **options), root), root)
+    captures = write_archives(pages, root, **options)
+    return read_archives(captures.select("key"), write_index(captures, root), root)

@@ -289,12 +289,25 @@ def test_warc_look_up(spark, tmp_path):
     root = f"file://{tmp_path}"
     captures = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), root, archive_bytes=3000)
     directory = sorted(tuple(r) for r in warc.write_index(captures, root, block_lines=20).collect())
-    assert len(directory) > 15
+    store = warc.Store(root)
+    assert len(directory) <= 4 and sum(len(warc.read_lines(store, *d[1:4])) for d in directory) > 15 and sum(d[4] for d in directory) == 400
     for url in ("http://h3.example/p5", "https://www.H3.example/p5", "http://h36.example/p0", "http://none.example/"):
         want = sorted(f"page {i}" for i, u, _ in rows if warc.url_key(u) == warc.url_key(url))
         assert sorted(p.decode() for _, p in warc.look_up(directory, root, url)) == want
 
 
+def test_a_key_of_many_blocks_is_read_once(spark, tmp_path):
+    rows = [(i, "http://hot.example/" if i % 3 else f"http://h{i}.example/", f"page {i}") for i in range(300)]
+    root = f"file://{tmp_path}"
+    captures = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), root)
+    index = warc.write_index(captures, root, block_lines=7)
+    wanted = spark.createDataFrame([(warc.url_key(u),) for u in ("http://hot.example/", "http://h30.example/", "http://none.example/", "http://h30.example/")], "key string")
+    got = sorted(bytes(r.payload).decode() for r in warc.read_archives(wanted, index, root, batch_bytes=50).collect())
+    assert got == sorted(f"page {i}" for i in range(300) if i % 3 or i == 30)
+    directory = sorted(tuple(r) for r in index.collect())
+    assert len(warc.look_up(directory, root, "http://hot.example/")) == 200
+
+
 def test_url_keys():
     assert warc.url_key("https://www.Example.org:443/A?b=C#frag") == "org,example)/a?b=c" and warc.url_key("http://x.y:81") == "y,x:81)/" and warc.url_key(None) == ")/"
 
