@@ -1,16 +1,16 @@
 """Sharding by a two-pass external shuffle.
 
-Pass 1 scatters records uniformly, by seeded hashes, into buckets that fit in memory; a shard is a row of
-buckets. Pass 2 brings each bucket into a canonical order, Fisher-Yates-shuffles it with a generator seeded
-by shard and bucket, and lays the buckets of a shard after each other. A rerun gives the same order, and a
-lost bucket is redone alone.
+Pass 1 scatters records uniformly, by seeded hashes of their whole rows, into buckets that fit in memory; a shard is a row of
+buckets, as many as its own bytes need. Pass 2 brings each bucket into a canonical order, Fisher-Yates-shuffles it with a generator
+seeded by shard and bucket, and lays it after the buckets before it, whose rows were counted. write_shards writes the buckets from
+there, without another exchange. A rerun gives the same order, and a lost bucket is redone alone.
 
 The shard follows from id and shard count (law "key"): the last j below n for which hash(id, j) mod (j + 1)
 is 0. That is uniform, and one more shard takes rows only into itself.
 
-Nulls: a null id is one key like any other; a null text is 16 bytes. Equal ids share a shard, equal rows
-stay as many as they were. An empty table gives an empty result. Input columns named like a result column
-are replaced by it.
+Nulls: a null id is one key like any other; a null text is 16 bytes. Equal ids share a shard, but not a bucket, so a shard that holds
+very many rows of one id has more buckets and no larger ones. Rows that are equal in all columns share a bucket and stay as many as
+they were. An empty table gives an empty result. Input columns named like a result column are replaced by it.
 """
 
 from __future__ import annotations
@@ -47,33 +47,35 @@ def fisher_yates(n: int, seed: tuple[int, ...]) -> np.ndarray:
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40, bucket_bytes: int = 64 << 20, seed: int = 29, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with size, law, shard, slot and grown_shard (the shard if there were one more)."""
+    """docs with size, law, shard, bucket, slot and grown_shard (the shard if there were one more)."""
     ship(docs.sparkSession)
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + OVERHEAD
-    total = docs.agg(F.sum(size)).first()[0] or 0
-    n_buckets = max(1, math.ceil(total / n_shards / bucket_bytes))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    results = ["size", "law", "shard", "slot", "grown_shard"]
+    shard = shard_of(key, n_shards, seed).cast("int")
+    held = {r.s: r.b for r in docs.groupBy(shard.alias("s")).agg(F.sum(size).alias("b")).collect()}  # a row a shard
+    n_buckets = F.element_at(F.array(*[F.lit(max(1, math.ceil(held.get(s, 0) / bucket_bytes))) for s in range(n_shards)]), F.col("_shard") + 1)
+    results = ["size", "law", "shard", "bucket", "slot", "grown_shard"]
     kept = [c for c in docs.columns if c.lower() not in results]
-    bucket = F.pmod(F.xxhash64(key, F.lit(seed), F.lit("bucket")), F.lit(n_buckets)).cast("int")
-    scattered = docs.select(*[F.col(f"`{c}`") for c in kept], shard_of(key, n_shards, seed).alias("_shard"), bucket.alias("_bucket"), F.struct(key, F.xxhash64(text_col), F.xxhash64(*[F.col(f"`{c}`") for c in kept])).cast("struct<a:string,b:bigint,c:bigint>").alias("_order"))
-    out = T.StructType([f for f in scattered.schema if f.name != "_order"]).add("_place", "long")
-
-    def shuffle_bucket(group: pa.Table) -> pa.Table:
+    order = F.struct(key, F.xxhash64(text_col), F.xxhash64(*[F.col(f"`{c}`") for c in kept])).cast("struct<a:string,b:bigint,c:bigint>")
+    scattered = docs.select(*[F.col(f"`{c}`") for c in kept], shard.alias("_shard"), order.alias("_order"))
+    scattered = scattered.withColumn("_bucket", F.pmod(F.xxhash64("_order", F.lit(seed)), n_buckets).cast("int"))
+    counts = scattered.groupBy("_shard", "_bucket").count()
+    base = counts.select("_shard", "_bucket", (F.sum("count").over(W.partitionBy("_shard").orderBy("_bucket")) - F.col("count")).alias("_base"))
+    out = T.StructType([f for f in scattered.schema if f.name != "_order"]).add("_slot", "long")
+
+    def shuffle_bucket(group: pa.Table, base: pa.Table) -> pa.Table:
         order = group["_order"].combine_chunks()
         order = pa.table([order.field(k) for k in range(3)], ["a", "b", "c"]).append_column("i", pa.array(np.arange(len(group))))
         first = order.sort_by([("a", "ascending"), ("b", "ascending"), ("c", "ascending")])["i"].to_numpy()
         moved = first[fisher_yates(len(first), (seed, group["_shard"][0].as_py(), group["_bucket"][0].as_py()))]
         A.trim()
-        return group.drop_columns(["_order"]).take(pa.array(moved)).append_column("_place", pa.array(np.arange(len(moved))))
+        return group.drop_columns(["_order"]).take(pa.array(moved)).append_column("_slot", pa.array(base["_base"][0].as_py() + np.arange(len(moved))))
 
-    shuffled = scattered.groupBy("_shard", "_bucket").applyInArrow(shuffle_bucket, out)
-    counts = scattered.groupBy("_shard", "_bucket").count().withColumn("_base", F.sum("count").over(W.partitionBy("_shard").orderBy("_bucket")) - F.col("count"))
-    placed = shuffled.join(counts.select("_shard", "_bucket", "_base"), ["_shard", "_bucket"])
-    made = [size.alias("size"), F.lit("key").alias("law"), F.col("_shard").cast("int").alias("shard"), (F.col("_base") + F.col("_place")).alias("slot"), shard_of(key, n_shards + 1, seed).cast("int").alias("grown_shard")]
+    placed = scattered.groupBy("_shard", "_bucket").cogroup(base.groupBy("_shard", "_bucket")).applyInArrow(shuffle_bucket, out)
+    made = [size.alias("size"), F.lit("key").alias("law"), F.col("_shard").alias("shard"), F.col("_bucket").alias("bucket"), F.col("_slot").alias("slot"), shard_of(key, n_shards + 1, seed).cast("int").alias("grown_shard")]
     return placed.select(*[F.col(f"`{c}`") for c in kept], *made)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder for each shard, rows in the order of their slots."""
-    sharded.repartition(F.col("shard")).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Folders shard=S/bucket=B of the rows of shard_documents, each file in the order of its slots: what pass 2 made is written where it was made."""
+    sharded.sortWithinPartitions("shard", "bucket", "slot").write.mode("overwrite").partitionBy("shard", "bucket").parquet(path)
