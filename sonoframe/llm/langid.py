@@ -9,7 +9,7 @@ Learning takes at most per_lang labelled texts of each language (seeded hash ord
 them as landmarks; there may be max_langs languages at most, else learning stops with an error.
 
 Nulls: a null text, or one without a letter, is `und` with score 0; rows without id or lang are not learned from;
-a null id is not held out. Every row is scored on its own, whatever its length. With nothing to learn from, all is `und`.
+a null id is not held out; of repeated ids one is learned from, the same in every run. Every row is scored on its own, whatever its length. With nothing to learn from, all is `und`.
 """
 
 from __future__ import annotations
@@ -97,7 +97,9 @@ def learn(docs: DataFrame, per_lang: int = 256, landmarks: int = 32, max_langs:
     """A model of the languages of rows that are not held out; None without any."""
     ship(docs.sparkSession)
     thin = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("_h"))
-    first = thin.withColumn("_n", F.row_number().over(W.partitionBy("_lang").orderBy("_h", "_id"))).filter(F.col("_n") <= per_lang)
+    ranked = lambda df, *keys: df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("_h", "_id"))).filter(F.col("_n") <= per_lang)
+    # first within parts of a language, so that one with most of the rows is not one task's
+    first = ranked(ranked(thin.withColumn("_part", F.pmod(F.hash("_h"), F.lit(64))), "_lang", "_part"), "_lang")
     sample = first.limit(max_langs * per_lang + 1).collect()  # bounded by both parameters
     if len({r._lang for r in sample}) > max_langs or len(sample) > max_langs * per_lang:
         raise ValueError(f"more than {max_langs} languages: raise max_langs")
@@ -113,7 +115,8 @@ def learn(docs: DataFrame, per_lang: int = 256, landmarks: int = 32, max_langs:
             yield pa.RecordBatch.from_arrays([batch["_id"], batch["_lang"], pa.array(packed, pa.binary())], names=["_id", "_lang", "bits"])
 
     schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_lang", T.StringType()), T.StructField("bits", T.BinaryType())])
-    rows = texts.mapInArrow(A.trimmed(bits), schema).dropDuplicates(["_id"]).withColumn("_h", F.xxhash64("_id", F.lit(seed))).orderBy("_lang", "_h").collect()
+    one = texts.mapInArrow(A.trimmed(bits), schema).groupBy("_id").agg(F.min(F.struct("_lang", "bits")).alias("_x"))  # of repeated ids always the same
+    rows = one.select("_id", "_x._lang", "_x.bits").withColumn("_h", F.xxhash64("_id", F.lit(seed))).orderBy("_lang", "_h").collect()
     packed = np.frombuffer(b"".join(bytes(r.bits) for r in rows), np.uint8).reshape(len(rows), DIMS // 8)
     return KernelModel(packed, [r._lang for r in rows], landmarks)
 
