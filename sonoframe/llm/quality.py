@@ -9,7 +9,8 @@ It is fitted by logistic loss on at most max_rows labelled rows (seeded hash ord
 Labels, language, source and id are never features.
 
 Nulls: a null text is an empty one; null metadata is 0; labels without id or with another value than 0 and 1 are
-not learned from; a null id is not held out. Repeated ids are learned from once. Without labels every score is 0.5.
+not learned from; a null id is not held out. Of repeated ids one is learned from, the same in every run; ids may be of any
+type. Texts are scored in pieces of about 1 MB, a longer text is a piece of its own. Without labels every score is 0.5.
 """
 
 from __future__ import annotations
@@ -139,9 +140,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, seed: int =
                 x = _dense(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]), meta[i : i + 1])[0]
                 at = np.flatnonzero(x).astype(np.int32)
                 out.append((at.tobytes(), x[at].tobytes()))
-            yield pa.RecordBatch.from_arrays([batch["_id"].cast(pa.int64()), batch["_y"].cast(pa.int32()), pa.array([a for a, _ in out], pa.binary()), pa.array([v for _, v in out], pa.binary())], names=["id", "y", "at", "value"])
+            yield pa.RecordBatch.from_arrays([batch["_id"], batch["_y"].cast(pa.int32()), pa.array([a for a, _ in out], pa.binary()), pa.array([v for _, v in out], pa.binary())], names=["id", "y", "at", "value"])
 
-    rows = texts.mapInArrow(sparse, "id long, y int, at binary, value binary").dropDuplicates(["id"]).orderBy("id").collect()
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)]).add("y", "integer").add("at", "binary").add("value", "binary")
+    one = texts.mapInArrow(A.trimmed(sparse), schema).groupBy("id").agg(F.min(F.struct("y", "at", "value")).alias("x"))  # of repeated ids always the same
+    rows = one.select("id", "x.*").orderBy("id").collect()
     if not rows:
         return None
     at = [np.frombuffer(r["at"], np.int32) for r in rows]
@@ -175,9 +178,8 @@ def classify(docs: DataFrame, machine: FactorisationMachine | None, text_col: st
             data, offsets = A.buffers(batch[text_col])
             meta = _metadata(batch, list(metadata))
             scores = np.full(len(batch), 0.5)
-            for lo in range(0, len(batch) if machine else 0, batch_docs):
-                hi = min(lo + batch_docs, len(batch))
+            for lo, hi in [(lo, min(lo + batch_docs, end)) for start, end in A.pieces(offsets) for lo in range(start, end, batch_docs)] if machine else ():
                 scores[lo:hi] = machine.score(_dense(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], meta[lo:hi]))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(score, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(A.trimmed(score), schema)
