@@ -1,12 +1,12 @@
 """Exact token counts of byte-level BPE, with a shortcut for pre-tokens that are one token.
 
-Offline, once for a tokenizer file, every vocabulary string is encoded alone; those that come back as one
-token are proven whole (most are, but a string whose merges lead elsewhere is not). Texts are cut into
-pre-tokens by the tokenizer's own pattern. A proven pre-token counts one; the rest are merged by the
+Offline, once for a tokenizer file, the driver encodes every vocabulary string alone; those that come back as one
+token are proven whole (most are, but a string whose merges lead elsewhere is not). The proven strings, no more than the
+vocabulary has, are sent to the workers. Texts are cut into pre-tokens by the tokenizer's own pattern. A proven pre-token counts one; the rest are merged by the
 library, each distinct one once while it stays in the worker's bounded memory.
 
-Texts may hold strings of the tokenizer's added tokens (<|endoftext|>). As the library does by default, with
-added_tokens each of them is one token and pre-tokens are counted between them; without, they are ordinary text.
+Texts may hold strings of the tokenizer's added tokens (<|endoftext|>). As the library does by default, each of them is one token
+and pre-tokens are counted between them; with added_tokens=False they are ordinary text.
 
 A null or empty text has no tokens. Every row is counted on its own; very long texts are cut by the same
 pattern and need memory in proportion to one text.
@@ -28,6 +28,7 @@ from sonoframe.llm.staging import ship
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _UNSAFE = 1 << 50
 _loaded: dict = {}
+_proven: dict[str, dict[str, int]] = {}
 
 
 class PretokenCounter:
@@ -39,7 +40,7 @@ class PretokenCounter:
     with other white-space runs are cut into pre-tokens as a whole.
     """
 
-    def __init__(self, path: str, memory: int = 600_000):
+    def __init__(self, path: str, memory: int = 600_000, proven: dict[str, int] | None = None):
         import regex
         from tokenizers import Tokenizer
 
@@ -52,7 +53,7 @@ class PretokenCounter:
         others = iter(range(0x100, 0x200))
         self.letters = {b: chr(b) if b in printable else chr(next(others)) for b in range(0x100)}
         self.memory = memory
-        self.proven = self._prove()
+        self.proven = self._prove() if proven is None else proven
         self.known = dict(self.proven)
         self.pieces: dict[str, int] = {}
         self.library.encode_special_tokens = False
@@ -107,25 +108,35 @@ class PretokenCounter:
         return len(between) - 1 + sum(map(self.count, between))
 
 
-def counter(path: str) -> PretokenCounter:
-    if path not in _loaded:
-        _loaded[path] = PretokenCounter(path)
-    return _loaded[path]
+def located(tokenizer: str) -> str:
+    """A path as it is, a name among the public tokenizers of this machine."""
+    if "/" in tokenizer:
+        return tokenizer
+    import public_tokenizers
 
+    return public_tokenizers.path(tokenizer)
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, text_col: str = "text", added_tokens: bool = False) -> DataFrame:
-    """docs with n_tokens; tokenizer: a .json file of the tokenizers library, or its name among the public ones."""
+
+def prove(tokenizer: str) -> dict[str, int]:
+    """Strings of the vocabulary that are one token alone: made once for a file in the driver's life."""
+    path = located(tokenizer)
+    if path not in _proven:
+        _proven[path] = PretokenCounter(path).proven
+    return _proven[path]
+
+
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, text_col: str = "text", added_tokens: bool = True) -> DataFrame:
+    """docs with n_tokens and over_limit; tokenizer: a .json file of the tokenizers library, or its name among the public ones."""
     ship(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() not in ("n_tokens", "over_limit")]
     schema = T.StructType([docs.schema[c] for c in kept]).add("n_tokens", "long")
+    sent = docs.sparkSession.sparkContext.broadcast(prove(tokenizer))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = tokenizer
-        if "/" not in path:
-            import public_tokenizers
-
-            path = public_tokenizers.path(tokenizer)
-        tokens = counter(path)
+        path = located(tokenizer)
+        if path not in _loaded:
+            _loaded[path] = PretokenCounter(path, proven=sent.value)
+        tokens = _loaded[path]
         number = tokens.count_with_added if added_tokens else tokens.count
         for batch in batches:
             counts = [number(text.as_py()) for text in batch[text_col]]

@@ -340,9 +340,21 @@ def test_fisher_yates_is_a_fair_permutation():
 def test_shards_are_written_in_order(spark, tmp_path):
     placed = sharding.shard_documents(spark.createDataFrame([(i, f"t{i}") for i in range(50)], "doc_id long, text string"), 3)
     sharding.write_shards(placed, str(tmp_path / "s"))
-    for f in (tmp_path / "s").glob("shard=*/*.parquet"):
+    found = Counter()
+    for f in (tmp_path / "s").glob("shard=*/bucket=*/*.parquet"):
         slots = [r.slot for r in spark.read.parquet(str(f)).select("slot").collect()]
         assert slots == sorted(slots)
+        found.update((f.parent.parent.name, x) for x in slots)
+    assert found == Counter((f"shard={r['shard']}", r.slot) for r in placed.collect())
+
+
+def test_rows_of_one_id_fill_many_buckets(spark):
+    d = spark.createDataFrame([(None if i % 2 else 7, f"text number {i}") for i in range(400)], "doc_id long, text string")
+    rows = sharding.shard_documents(d, 4, bucket_bytes=1000).collect()
+    held = Counter((r["shard"], r.bucket) for r in rows)
+    assert len({r["shard"] for r in rows}) <= 2 and len(held) > 10 and max(held.values()) < 80
+    for s in {r["shard"] for r in rows}:
+        assert sorted(r.slot for r in rows if r["shard"] == s) == list(range(sum(n for (k, _), n in held.items() if k == s)))
 
 
 # --- op8
@@ -354,14 +366,17 @@ def test_token_counts_equal_the_library(spark):
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     odd = ["a  b", "a \n b\n\n c", "\ta b", "don't we'll  'S", "a b ", " a", "a b 　c", "x\r\ny", "<|endoftext|> a", "½ ² ٣ 12a_b", "é a", "\n", "a\n", "'s 's", "  ", "😀 😀a", "a\n 's", "a  b", "ab\x1cc d", "_a __b"]
     texts = ODD + [(50 + i, t) for i, t in enumerate(odd)] + [(90, prose(3, 3000))]
-    library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
+    library = Tokenizer.from_file(path)  # as it is by default
     want = Counter((i, t, len(library.encode(t or "", add_special_tokens=False))) for i, t in texts)
     got = tokens.count_tokens(docs(spark, texts), "byte_bpe_50k.json")
     assert Counter(plain(got, "doc_id", "text", "n_tokens")) == want and all(r.over_limit == (r.n_tokens > 512) for r in got.collect())
     small = tokens.PretokenCounter(path, memory=10)
-    assert [small.count(t) for _, t in texts] == [n for (_, _, n) in [(i, t, len(library.encode(t or "", add_special_tokens=False))) for i, t in texts]]
+    assert [small.count_with_added(t) for _, t in texts] == [n for (_, _, n) in [(i, t, len(library.encode(t or "", add_special_tokens=False))) for i, t in texts]]
     assert tokens.count_tokens(docs(spark, ODD).limit(0), "byte_bpe_50k.json").collect() == []
+    library.encode_special_tokens = True  # added tokens as ordinary text
+    plain_text = tokens.count_tokens(docs(spark, texts), "byte_bpe_50k.json", added_tokens=False)
+    assert Counter(plain(plain_text, "doc_id", "n_tokens")) == Counter((i, len(library.encode(t or "", add_special_tokens=False))) for i, t in texts)
+    assert [small.count(t) for _, t in texts] == [len(library.encode(t or "", add_special_tokens=False)) for _, t in texts]
 
 
 # --- op9
