@@ -46,7 +46,7 @@ ALIKE = 31
 #: equal values with a pivot of a large node: for being joined with it, and for being stood for by it
 NEAR_PIVOT, AT_PIVOT = 24, 48
 #: pivots that a large node draws at each level
-PIVOTS = 3
+PIVOTS = 4
 #: first and end sketch value of the root tokens and of the pools of the levels below
 _POOLS = ((0, 12), (12, 32), (32, 50), (50, 64))
 _ODD = A.mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -228,7 +228,7 @@ def _compare_tiles(threshold: int, shingle: int):
     return compare
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 75, shingle: int = 5, trees: int = 6, levels: int = 4, limit: int = 64, block_docs: int = 256, block_shingles: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 75, shingle: int = 5, trees: int = 6, levels: int = 4, limit: int = 64, block_docs: int = 128, block_shingles: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document; threshold in percent."""
     spark = docs.sparkSession
     ship(spark)
@@ -320,11 +320,7 @@ def _node_rows(tree: int, node: np.ndarray | None, rep: np.ndarray, pivot: np.nd
 
 
 def _meet_pivots(batch: pa.RecordBatch, token: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges between documents and pivots alike to them, and which rows a pivot stands for.
-
-    Of the documents of a batch that are joined with one pivot, the first has the edge and the others are joined with
-    the first, so that a pivot has an edge for each batch and not for each document.
-    """
+    """A spanning forest of the edges between documents and pivots alike to them, and which rows a pivot stands for."""
     lists = batch["pivots"]
     begin = lists.offsets.to_numpy()
     first, many = begin[:-1], np.diff(begin)
@@ -339,16 +335,25 @@ def _meet_pivots(batch: pa.RecordBatch, token: np.ndarray, rep: np.ndarray) -> t
         same[pivot == rep[row]] = 0  # a pivot itself branches on
         stood[row[same >= AT_PIVOT]] = True
         near = same >= NEAR_PIVOT
-        to, own = pivot[near], rep[row[near]]
-        order = np.argsort(to, kind="stable")
-        to, own = to[order], own[order]
-        begins = run_starts(to)
-        heads = np.repeat(own[begins], np.diff(np.append(begins, len(to))))
-        inner = np.ones(len(to), bool)
-        inner[begins] = False
-        a += [own[begins], own[inner]]
-        b += [to[begins], heads[inner]]
-    return np.concatenate(a), np.concatenate(b), np.flatnonzero(stood)
+        a.append(rep[row[near]])
+        b.append(pivot[near])
+    a, b = spanning(np.concatenate(a), np.concatenate(b))
+    return a, b, np.flatnonzero(stood)
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each vertex of the edges (a, b) to the smallest that it reaches."""
+    vertex, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label, left, right = np.arange(len(vertex)), place[: len(a)], place[len(a) :]
+    while True:
+        before = label.copy()
+        np.minimum.at(label, left, label[right])
+        np.minimum.at(label, right, label[left])
+        label = label[label]
+        if (label == before).all():
+            break
+    out = np.flatnonzero(label != np.arange(len(label)))
+    return vertex[out], vertex[label[out]]
 
 
 def _confirm(docs: DataFrame, classes: DataFrame, clusters: DataFrame, threshold: int, shingle: int, block_docs: int, block_shingles: int, n: int) -> DataFrame:
@@ -358,26 +363,26 @@ def _confirm(docs: DataFrame, classes: DataFrame, clusters: DataFrame, threshold
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks"))
     sizes = staged(sizes.filter("blocks > 1"), "near-blocks")
     members = members.join(sizes, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    members = members.withColumn("block", F.pmod(F.xxhash64("rep", "s1"), F.col("blocks")).cast("int"))
-    first = F.col("rep") == F.col("cluster")
-    places = members.withColumn("at", F.explode(F.when(first, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
-    places = places.select(F.col("rep").alias("doc_id"), "s1", "s2", F.xxhash64("cluster", "at").alias("tile"), (F.col("at") != F.col("block")).alias("last"), F.lit(0).alias("side"))
-    links = staged(compare(docs.join(places, "doc_id").select("tile", "last", "side", "doc_id", "s1", "s2", "text")), "near-links")
+    members = members.withColumn("block", F.pmod(F.xxhash64("rep", "s1"), F.col("blocks")).cast("int")).drop("n_shingles")
+    texts = staged(docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id"), "near-texts")  # all texts are exchanged here, once; those of clusters go on
+    first = F.col("doc_id") == F.col("cluster")
+    places = texts.withColumn("at", F.explode(F.when(first, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
+    places = places.select(F.xxhash64("cluster", "at").alias("tile"), (F.col("at") != F.col("block")).alias("last"), F.lit(0).alias("side"), "doc_id", "s1", "s2", "text")
+    links = staged(compare(places), "near-links")
     linked = components(links, "near-linked")
     if sizes.isEmpty():
         return linked
     # clusters of several blocks that are not one component yet: who is outside the largest goes to all blocks
     linked = staged(linked, "near-linked")
     apart = members.filter("blocks > 1").join(linked.withColumnsRenamed({"v": "rep", "c": "component"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    apart = staged(apart.select("rep", "s1", "s2", "cluster", "blocks", "block", "component"), "near-apart")
+    apart = staged(apart.select("rep", "cluster", "component"), "near-apart")
     parts = apart.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("core"), (F.sum("count") - F.max("count")).alias("outside"))
     parts = staged(parts.filter("outside > 0").withColumn("groups", F.ceil(F.col("outside") / block_docs).cast("int")), "near-outside")
     if parts.isEmpty():
         return linked
-    rest = apart.join(parts, "cluster")
+    rest = texts.join(apart.join(parts, "cluster").select(F.col("rep").alias("doc_id"), "component", "core", "groups"), "doc_id")
     all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     here = rest.select("*", all_of("groups").alias("group"), F.col("block").alias("at"), F.lit(0).alias("side"))
-    there = rest.filter("component <> core").select("*", F.pmod(F.xxhash64("rep", "s2"), F.col("groups")).cast("int").alias("group"), all_of("blocks").alias("at"), F.lit(1).alias("side"))
-    places = here.unionByName(there).select(F.col("rep").alias("doc_id"), "s1", "s2", F.xxhash64("cluster", "at", "group").alias("tile"), F.lit(False).alias("last"), "side")
-    more = compare(docs.join(places, "doc_id").select("tile", "last", "side", "doc_id", "s1", "s2", "text"))
+    there = rest.filter("component <> core").select("*", F.pmod(F.xxhash64("doc_id", "s2"), F.col("groups")).cast("int").alias("group"), all_of("blocks").alias("at"), F.lit(1).alias("side"))
+    more = compare(here.unionByName(there).select(F.xxhash64("cluster", "at", "group").alias("tile"), F.lit(False).alias("last"), "side", "doc_id", "s1", "s2", "text"))
     return components(more.union(linked.select("v", "c")), "near-linked")
