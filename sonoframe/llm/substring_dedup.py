@@ -6,18 +6,20 @@ rolling window of `block` words. Around each hit the repeat is extended: all win
 contain it are fingerprinted (104 bits) on both sides, and a window goes where the smallest document that
 has it is smaller than its own. Adjoining windows that go make up the maximal exact repeats.
 
-Documents are dealt by id into as many chunks as the session has shuffle partitions, and never as single words or
-pairs: a chunk sends each bucket of the fingerprint space one packed row (sorted unique values, so a passage
+Documents are dealt by id into chunks of at most about chunk_bytes of text, at least as many as the session has shuffle partitions, so a
+task's memory does not follow the table. Chunks exchange never single words or pairs: a chunk sends each bucket of the fingerprint space one packed row (sorted unique values, so a passage
 that a third of all documents share is one value per chunk), and gets one packed row back.
 Three such passes read the texts of a chunk: blocks and probes; windows around hits; removal.
 
 Nulls: a null text has no words; a document whose id is null is returned unchanged and takes no part. Rows of
-the same id never remove from each other. Empty texts and tables give empty results; a very long text needs
+the same id never remove from each other. Ids must be integers; others stop the job. Empty texts and tables give empty results; a very long text needs
 memory in proportion to itself. Input columns named like a result column are replaced by it.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -99,11 +101,11 @@ def _runs(*sorted_columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, chunk_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with n_words, n_removed and kept (the words that stay, joined by one space)."""
     spark = docs.sparkSession
     ship(spark)
-    n = partitions(spark)
+    n = max(partitions(spark), math.ceil((docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) / chunk_bytes))
     block = (window + 1) // 2
     results = ["n_words", "n_removed", "kept"]
     columns = [c for c in docs.columns if c.lower() not in results]
