@@ -6,15 +6,20 @@
    quotients target / (2k + 1). Rounding target / divisor gives all seats but a few; the few are
    decided by ranking the next quotients.
 3. Shards. A source's documents are dealt into cells by a seeded hash, and cells into shards of about
-   shard_words words, so a source with a third of all rows is many shards, and no join or window has the
-   source alone as its key. Its quota is split over the shards in whole blocks.
+   shard_words words, so a source with a third of all rows is many shards. There are as many cells as shards would be of all
+   words, 4,096 at least, so shards keep their size however large a source is. Rows of documents are joined and ranked by source
+   and cell or shard; only tables of sources and of shards have the source as a key, and only the table of sources (a thin row
+   each, some hundred bytes) is ranked as a whole. Its quota is split over the shards in whole blocks.
 4. Selection. In a shard, documents follow each other in seeded order and are cut into blocks. Each
    block is taken quota div blocks times; the rest of the quota is a cyclic run of blocks that begins
    at a seeded place. What a document gives is then interval arithmetic: no row is made for a block.
 
+Texts are read once, for their words and a hash: that thin table is written to the shared folder, and what the mix needs besides
+comes from it; texts are read again only if the result is to hold them.
+
 Nulls: a null text has no words; a null source is a source (last in order); a null id is an id like any
-other. Empty texts get nothing. Equal rows are each their own document. An empty table gives an empty
-result. Input columns named like a result column are replaced by it.
+other. Empty texts get nothing. Equal rows are each their own document; rows of one id and size are in the order of their texts'
+hashes. An empty table gives an empty result. Input columns named like a result column are replaced by it.
 """
 
 from __future__ import annotations
@@ -23,7 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: a source's documents are dealt into so many cells, a shard is one cell or several
+from sonoframe.llm.staging import staged
+
+#: a source's documents are dealt into so many cells at least, a shard is one cell or several
 CELLS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -58,8 +65,11 @@ def sainte_lague(targets: DataFrame, block_words: int) -> DataFrame:
         .withColumn("_q0", F.when(F.col("_all") > 0, F.floor(F.col("_t") / (F.col("_all") / F.col("_n")) + 0.5)).otherwise(0).cast("long"))
         .withColumn("_d", F.col("_n") - F.sum("_q0").over(whole))
     )
-    # the seat after the last (or the last itself, to give back), and so on: as many as any source could need
-    step = F.explode(F.when(F.col("_d") != 0, F.sequence(F.lit(0), F.abs("_d") - 1)).otherwise(F.array()))
+    # the seat after the last (or the last itself, to give back), and so on: as many as the source could need. The divisor that gives all
+    # seats moves the sum of t / divisor by no more than |d| and the number of sources, a source's part of that is its share of t
+    most = F.least(F.abs("_d"), (F.floor(F.coalesce(F.try_divide(F.col("_t"), F.col("_all")), F.lit(0.0)) * (F.abs("_d") + F.count("*").over(whole))) + 2).cast("long"))
+    start = start.withColumn("_most", most)
+    step = F.explode(F.when(F.col("_d") != 0, F.sequence(F.lit(0), F.col("_most") - 1)).otherwise(F.array()))
     seats = start.filter("_d <> 0").select("_k", "_rn", "_t", "_q0", "_d", step.alias("_j")).withColumn("_seat", F.when(F.col("_d") > 0, F.col("_q0") + F.col("_j")).otherwise(F.col("_q0") - 1 - F.col("_j")))
     seats = seats.filter("_seat >= 0").withColumn("_quotient", F.col("_t") / (2 * F.col("_seat") + 1))
     order = W.orderBy(F.when(F.col("_d") > 0, -F.col("_quotient")).otherwise(F.col("_quotient")), "_rn", "_j")
@@ -67,21 +77,36 @@ def sainte_lague(targets: DataFrame, block_words: int) -> DataFrame:
     return start.join(moved, "_k", "left").withColumn("_q", F.col("_q0") + F.coalesce("_more", F.lit(0)))
 
 
+#: columns of measured()
+MEASURES = ("_n_words", "_text_hash")
+
+
+def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with what the mix needs of a text: its number of words and a hash. Then it takes no text."""
+    return docs.withColumns({MEASURES[0]: F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0)), MEASURES[1]: F.md5(F.coalesce(F.col(text_col), F.lit("")))})
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, block_words: int = 16, shard_words: int = 1 << 20, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with size, source_size, target and taken (words that the mix takes of the document).
 
+    docs may be a table of measured(), written beforehand; its measures are left out of the result.
     The tables of sources and of shards are joined without a hint: Spark broadcasts them only below
     spark.sql.autoBroadcastJoinThreshold, and splits skewed keys of a sort-merge join otherwise.
     """
     block = F.lit(block_words)
-    base = docs.withColumns({
-        "_k": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")),
-        "_size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0)),
+    own = docs if MEASURES[0] in docs.columns else measured(docs, text_col)
+    base = own.withColumns({
+        "_k": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")), "_size": F.col(MEASURES[0]), "_tie": F.col(MEASURES[1]),
         "_key": F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))),
     })
     base = base.withColumn("_h", F.md5("_key"))
-    base = base.withColumn("_cell", F.pmod(_hex(F.col("_h"), 9), F.lit(CELLS)))
-    cells = base.groupBy("_k", "_cell").agg(F.max(F.col(source_col)).alias("_source"), F.sum("_size").alias("_words"))
+    thin = base.select("_k", F.col(source_col).alias("_source"), "_size", _hex(F.col("_h"), 9).alias("_place"))
+    thin = thin if own is docs else staged(thin, "mix-sizes")
+    words = thin.agg(F.sum("_size")).first()[0] or 0
+    n_cells = max(CELLS, 1 << (max(1, -(-words // shard_words)) - 1).bit_length())
+    base = base.withColumn("_cell", F.pmod(_hex(F.col("_h"), 9), F.lit(n_cells)))
+    thin = thin.withColumn("_cell", F.pmod("_place", F.lit(n_cells)))
+    cells = thin.groupBy("_k", "_cell").agg(F.max("_source").alias("_source"), F.sum("_size").alias("_words"))
     sources = cells.groupBy("_k").agg(F.max("_source").alias("_source"), F.sum("_words").alias("_s"))
     targets = source_targets(sources, weights, max_epochs)
     cells = cells.join(targets.select("_k", "_s", "_t"), "_k").withColumn("_sub", F.pmod(F.col("_cell"), F.greatest(F.lit(1), F.ceil(F.col("_s") / shard_words))))
@@ -96,7 +121,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
         .withColumn("_at", F.when(F.col("_nb") > 0, _hex(F.concat_ws(":", F.lit(str(seed)), F.col("_k"), F.col("_sub").cast("string")), 1) % F.col("_nb")).otherwise(0))
         .select("_k", "_sub", "_nb", "_e", "_r", "_at")
     )
-    in_order = W.partitionBy("_k", "_sub").orderBy("_h", "_key", "_size").rowsBetween(W.unboundedPreceding, 0)
+    in_order = W.partitionBy("_k", "_sub").orderBy("_h", "_key", "_size", "_tie").rowsBetween(W.unboundedPreceding, 0)
     cells = cells.select("_k", "_cell", "_s", "_t", "_sub").join(quotas, ["_k", "_sub"])
     laid = base.join(cells, ["_k", "_cell"]).withColumn("_to", F.sum("_size").over(in_order))
     begin = F.col("_to") - F.col("_size")
@@ -104,7 +129,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
     stop = F.col("_at") + F.col("_r")
     extra = overlap(F.col("_at"), stop) + F.when(stop > F.col("_nb"), overlap(F.lit(0), stop - F.col("_nb"))).otherwise(0)
     results = {"size": F.col("_size"), "source_size": F.col("_s"), "target": F.col("_t"), "taken": (F.col("_e") * F.col("_size") + extra).cast("long")}
-    kept = [c for c in docs.columns if c.lower() not in results]
+    kept = [c for c in docs.columns if c.lower() not in (*results, *MEASURES)]
     return laid.select(*[F.col(f"`{c}`") for c in kept], *[v.alias(k) for k, v in results.items()])
 
 

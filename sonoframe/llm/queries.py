@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm.staging import table
+from sonoframe.llm.staging import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,10 +80,10 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sonoframe.llm.mixing import mix_sources
+    from sonoframe.llm.mixing import measured, mix_sources
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    docs = measured(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+    return mix_sources(staged(docs, "mix-measured")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Query] = {
@@ -161,7 +161,7 @@ FROM doc d LEFT JOIN size USING (doc_id) LEFT JOIN comp ON v = d.doc_id
 
 OP10 = r"""
 WITH base AS (
-  SELECT doc_id, source, coalesce('s' || source, 'n') AS k, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+  SELECT doc_id, source, coalesce('s' || source, 'n') AS k, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(text, '')) AS tie,
     '17:' || coalesce(CAST(doc_id AS VARCHAR), '') AS key FROM documents),
 hashed AS (SELECT *, md5(key) AS h FROM base),
 src AS (SELECT k, max(source) AS source, CAST(sum(size) AS BIGINT) AS s FROM base GROUP BY k),
@@ -177,14 +177,14 @@ q1 AS (SELECT *, CAST(n - sum(q0) OVER () AS BIGINT) AS d FROM q0),
 seat AS (SELECT k, rn, t, d, j, CASE WHEN d > 0 THEN q0 + j ELSE q0 - 1 - j END AS seat FROM (SELECT *, unnest(range(0, abs(d))) AS j FROM q1)),
 moved AS (SELECT k, sum(sign(d)) AS more FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN d > 0 THEN -t / (2 * seat + 1) ELSE t / (2 * seat + 1) END, rn, j) AS r FROM seat WHERE seat >= 0) WHERE r <= abs(d) GROUP BY k),
 quota AS (SELECT q1.*, CAST(q0 + coalesce(more, 0) AS BIGINT) AS q FROM q1 LEFT JOIN moved USING (k)),
-placed AS (SELECT b.*, s, t, CAST('0x' || substr(h, 9, 8) AS BIGINT) % 4096 % greatest(1, CAST(ceil(s / 1048576) AS BIGINT)) AS sub FROM hashed b JOIN tgt USING (k)),
+placed AS (SELECT b.*, s, t, CAST('0x' || substr(h, 9, 8) AS BIGINT) % greatest(4096, CAST(2 ** ceil(log2(greatest(1, ceil(total / 1048576)))) AS BIGINT)) % greatest(1, CAST(ceil(s / 1048576) AS BIGINT)) AS sub FROM hashed b JOIN tgt USING (k)),
 sh AS (SELECT k, sub, CAST(ceil(sum(size) / 16) AS BIGINT) AS nb FROM placed GROUP BY k, sub),
 sh2 AS (SELECT *, CAST(sum(nb) OVER (PARTITION BY k ORDER BY sub) AS HUGEINT) AS cum, CAST(sum(nb) OVER (PARTITION BY k) AS HUGEINT) AS all_nb FROM sh),
 sh3 AS (SELECT sh2.*, least(q, 3 * all_nb) AS q FROM sh2 JOIN quota USING (k)),
 sh4 AS (SELECT *, CASE WHEN nb = 0 THEN 0 ELSE q * cum // all_nb - q * (cum - nb) // all_nb END AS qj FROM sh3),
 sh5 AS (SELECT k, sub, nb, CASE WHEN nb = 0 THEN 0 ELSE qj // nb END AS e, CASE WHEN nb = 0 THEN 0 ELSE qj % nb END AS r,
     CASE WHEN nb = 0 THEN 0 ELSE CAST('0x' || substr(md5('17:' || k || ':' || sub), 1, 8) AS BIGINT) % nb END AS a FROM sh4),
-laid AS (SELECT *, sum(size) OVER (PARTITION BY k, sub ORDER BY h, key, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM placed)
+laid AS (SELECT *, sum(size) OVER (PARTITION BY k, sub ORDER BY h, key, size, tie ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM placed)
 SELECT doc_id, size, s AS source_size, t AS target, CAST(e * size
   + greatest(0, least(hi, (a + r) * 16) - greatest(hi - size, a * 16))
   + CASE WHEN a + r > nb THEN greatest(0, least(hi, (a + r - nb) * 16) - greatest(hi - size, 0)) ELSE 0 END AS BIGINT) AS taken
