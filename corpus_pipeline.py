@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 the columns of documents. Language ID drops documents without a language, near-dedup keeps one document of
 each group of near copies, decontamination drops documents with benchmark passages, mixing repeats or drops
 documents so that sources meet their targets, sharding gives each row its shard and place.
+
+Nulls in any column, empty and very long texts, ties, repeated rows, empty tables and extra columns are handled as each stage's
+operator says, and no stage fails on them: a null or letterless text goes with language ID; a null id is an id like any other, but one of
+a group of near copies goes before one with an id; repeated rows are copies of each other, of which near-dedup keeps one; a null source
+is a source. Columns that have the name of a result column are kept as they are by all stages but the last.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonoframe.llm import decontaminate, langid, mixing, near_dup, sharding
-from sonoframe.llm.staging import staged, table
+from sonoframe.llm.staging import mark, release, staged, table
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +65,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    start = mark()
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(start, keep_last=True)  # the stage before, and what this one wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -50,10 +50,10 @@ def mark() -> int:
     return len(_made)
 
 
-def release(since: int = 0, keep: DataFrame | None = None) -> None:
-    """Deletes the tables that this process staged after the mark `since`, but for those that keep reads."""
-    kept = {p for p in _made[since:] if keep is not None and any(p[1].split("/")[-1] in f for f in keep.inputFiles())}
-    gone, _made[since:] = [p for p in _made[since:] if p not in kept], [p for p in _made[since:] if p in kept]
+def release(since: int = 0, keep_last: bool = False) -> None:
+    """Deletes the tables that this process staged after the mark `since`; with keep_last all but the last of them."""
+    gone = _made[since : len(_made) - keep_last]
+    del _made[since : len(_made) - keep_last]
     for spark, path in reversed(gone):
         try:
             jvm = spark.sparkContext._jvm
