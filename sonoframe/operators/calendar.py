@@ -15,26 +15,46 @@ from sonoframe.operators.census import first_seen_mode
 DOMAINS = ("biophony", "geophony", "anthrophony", "transition")
 
 
-def daily(events: DataFrame) -> DataFrame:
-    """One row a day: recordings, events, richness, shares of domains, dominant role."""
+def _recordings(events: DataFrame, recordings: DataFrame | None) -> DataFrame:
+    """Recordings with day and start hour; where none are given, those that have events."""
+    if recordings is None:
+        return events.groupBy("recording").agg(F.min("day").alias("day"), F.min("rec_hour").alias("rec_hour"))
+    return recordings.select("recording", "day", "rec_hour")
+
+
+def daily(events: DataFrame, recordings: DataFrame | None = None) -> DataFrame:
+    """One row a day: recordings, events, richness, shares of domains, dominant role.
+
+    recordings (recording, day, rec_hour): all that were made, silent ones too. A day without events has zeros, null shares and the
+    role 'silence'. Without that table only recordings with events count.
+    """
+    made = _recordings(events, recordings)
     counts = [F.count_if(F.col("domain") == d).alias(f"n_{d}") for d in DOMAINS]
-    days = events.groupBy("day").agg(F.count_distinct("recording").alias("n_recordings"), F.count("*").alias("n_events"), F.count_distinct("role").alias("richness"), *counts)
-    shares = {f"{d}_share": F.round(F.col(f"n_{d}") / F.col("n_events"), 4) for d in DOMAINS}
+    heard = events.groupBy("day").agg(F.count("*").alias("n_events"), F.count_distinct("role").alias("richness"), *counts)
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    days = made.groupBy("day").agg(F.count_distinct("recording").alias("n_recordings")).join(heard, "day", "left")
+    days = days.select("day", "n_recordings", *[zero(c) for c in ("n_events", "richness", *[f"n_{d}" for d in DOMAINS])])
+    shares = {f"{d}_share": F.round(F.try_divide(f"n_{d}", "n_events"), 4) for d in DOMAINS}
     days = days.withColumns({"day_of_year": F.dayofyear("day"), "events_per_recording": F.round(F.col("n_events") / F.col("n_recordings"), 3), **shares})
     top = first_seen_mode(events, ["day"], "role", F.struct("rec_start", "event_id")).withColumnRenamed("role", "dominant_role")
     return days.join(top, "day", "left").withColumn("dominant_role", F.coalesce("dominant_role", F.lit("silence")))
 
 
-def hourly(events: DataFrame) -> DataFrame:
-    """Events of each day and hour; the hour is that of the event, with zeros for silent hours."""
-    hour = F.pmod(F.floor(F.col("rec_hour") + (F.col("rec_minute") * 60 + F.col("onset_s")) / 3600), F.lit(24)).cast("int")
-    grid = events.select("day").distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
+def hourly(events: DataFrame, recordings: DataFrame | None = None, by_start: bool = False) -> DataFrame:
+    """Events of each day and hour, with zeros for silent hours: the hour of the event, or with by_start that in which its recording began."""
+    made = _recordings(events, recordings)
+    of_event = F.pmod(F.floor(F.col("rec_hour") + (F.col("rec_minute") * 60 + F.col("onset_s")) / 3600), F.lit(24)).cast("int")
+    hour = F.col("rec_hour") if by_start else of_event
+    grid = made.select("day").distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
     return grid.join(events.groupBy("day", hour.alias("hour")).count(), ["day", "hour"], "left").select("day", "hour", F.coalesce("count", F.lit(0)).alias("n_events"))
 
 
-def diel_pattern(events: DataFrame) -> DataFrame:
-    """Mean and most events of a recording by its start hour; all 24 hours."""
-    per = events.groupBy("recording", "rec_hour").agg(F.count("*").alias("n"), *[F.count_if(F.col("domain") == d).alias(f"n_{d}") for d in DOMAINS])
+def diel_pattern(events: DataFrame, recordings: DataFrame | None = None) -> DataFrame:
+    """Mean and most events of a recording by its start hour; all 24 hours. recordings as for daily: silent ones lower the means."""
+    made = _recordings(events, recordings)
+    counted = events.groupBy("recording").agg(F.count("*").alias("n"), *[F.count_if(F.col("domain") == d).alias(f"n_{d}") for d in DOMAINS])
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    per = made.join(counted, "recording", "left").select("rec_hour", *[zero(c) for c in ("n", *[f"n_{d}" for d in DOMAINS])])
     hours = per.groupBy("rec_hour").agg(F.avg("n").alias("mean_events"), F.max("n").alias("max_events"), F.count("*").alias("n_recordings"), *[F.sum(f"n_{d}").alias(f"n_{d}") for d in DOMAINS])
     grid = events.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
     filled = grid.join(hours, grid.hour == hours.rec_hour, "left").drop("rec_hour")

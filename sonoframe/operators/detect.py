@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sonoframe.session import ship
+
 
 def running_median_mad(frames: DataFrame, key: str, order: str, value: str, width: int) -> DataFrame:
     """frames with median and mad of the last `width` values, fewer at the start. Memory is width values a row: for
@@ -60,21 +66,47 @@ def pad(events: DataFrame, duration: Column, pre: float = 20.0, post: float = 10
 
 
 def thin(events: DataFrame, key: str, onset: str, separation: float, payload: list[str]) -> DataFrame:
-    """Greedy thinning: an event stays if it begins at least `separation` after the last that stayed. A fold over the
-    sorted events of a recording, so the state is one number."""
-    row = F.struct(F.col(onset).alias("_at"), *payload)
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(f"array<{_type(events, onset, payload)}>").alias("kept"))
-
-    def step(state, e):
-        keep = state["last"].isNull() | (e["_at"] - state["last"] >= separation)
-        return F.struct(F.when(keep, e["_at"]).otherwise(state["last"]).alias("last"), F.when(keep, F.concat(state["kept"], F.array(e))).otherwise(state["kept"]).alias("kept"))
-
-    folded = events.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_all")).withColumn("_kept", F.aggregate("_all", start, step)["kept"])
-    return folded.select(key, F.explode("_kept").alias("_e")).select(key, F.col("_e._at").alias(onset), *[F.col(f"_e.{c}") for c in payload])
-
-
-def _type(df: DataFrame, onset: str, payload: list[str]) -> str:
-    return df.select(F.struct(F.col(onset).alias("_at"), *payload).alias("s")).schema["s"].dataType.simpleString()
+    """Greedy thinning: an event stays if it begins at least `separation` after the last that stayed.
+
+    Events are sorted within partitions and stream by; the state is the key and the onset last kept, so a recording of any length
+    takes constant memory.
+    """
+    ship(events.sparkSession)
+    rows = events.select(key, onset, *payload)
+    rows = rows.repartition(F.col(key)).sortWithinPartitions(key, onset, *payload)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            at = batch.column(1).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            names = batch.column(0).dictionary_encode()
+            code = names.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            keep = np.zeros(len(batch), bool)
+            for a, b in zip(begin, np.append(begin[1:], len(code)), strict=True):
+                own = ("null",) if code[a] < 0 else (names.dictionary[int(code[a])].as_py(),)
+                if own != now:
+                    now, last = own, None
+                last = kept_onsets(at[a:b], separation, last, keep[a:b])
+            yield batch.filter(pa.array(keep))
+
+    return rows.mapInArrow(stream, rows.schema)
+
+
+def kept_onsets(at: np.ndarray, separation: float, last: float | None, keep: np.ndarray) -> float | None:
+    """Marks in keep which of the sorted onsets stay; the last that stayed."""
+    i = 0
+    while True:
+        if last is not None:
+            i = max(i, int(np.searchsorted(at, last + separation)) - 1)
+            while i < len(at) and at[i] - last < separation:
+                i += 1
+        if i >= len(at):
+            return last
+        keep[i], last = True, float(at[i])
+        i += 1
 
 
 def fixed_window(onset: Column, duration: Column, length: float = 60.0, before: float = 30.0) -> tuple[Column, Column]:

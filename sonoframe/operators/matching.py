@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sonoframe.functions.kernels import greedy_pairs
+from sonoframe.session import ship
 
 
 def onset_pairs(found: DataFrame, reference: DataFrame, tolerance: float) -> DataFrame:
@@ -44,6 +45,7 @@ def match_greedy(pairs: DataFrame, keys: list[str], cost: str) -> DataFrame:
         chosen = greedy_pairs(list(zip(pdf[cost], pdf["det"], pdf["ref"], strict=True)))
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(chosen) for k in keys}, "det": [d for d, _ in chosen], "ref": [r for _, r in chosen]})
 
+    ship(pairs.sparkSession)
     thin = pairs.select(*keys, "det", "ref", cost)
     return thin.groupBy(*keys).applyInPandas(match, thin.drop(cost).schema)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sonoframe.operators import detect, matching
@@ -23,7 +24,7 @@ def sweep(frames: DataFrame, grid: DataFrame) -> DataFrame:
     for gap in [r.merge_gap for r in gaps.collect()]:  # as many as the grid has
         part = detect.long_enough(detect.merge_gaps(found.filter(F.col("merge_gap") == gap), "run", gap).join(names, "run"), F.col("min_duration"))
         merged = part if merged is None else merged.unionByName(part)
-    return merged.select("config", "file", F.hash("onset_s").alias("det"), "onset_s", "offset_s")
+    return merged.select("config", "file", F.row_number().over(W.partitionBy("config", "file").orderBy("onset_s")).alias("det"), "onset_s", "offset_s")
 
 
 def report(events: DataFrame, reference: DataFrame, grid: DataFrame, tolerance: float = 0.5) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sonoframe.session import ship
+
 
 def sessions(crossings: DataFrame, key: str, time: str, value: str, gap: str, late: str) -> DataFrame:
     """Merged events of a stream: bounds, peak and number of crossings; rows later than `late` are left out."""
@@ -35,5 +37,6 @@ def thin(events: DataFrame, key: str, time: str, separation: float) -> DataFrame
         if last is not None:
             state.update((last,))
 
+    ship(events.sparkSession)
     thinned = events.select(F.col(key).alias("key"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("at"))
     return thinned.groupBy("key").applyInPandasWithState(step, f"key {thinned.schema['key'].dataType.simpleString()}, at double", "last double", "append", GroupStateTimeout.NoTimeout)
