@@ -2,29 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
 from math import gcd
 
 import numpy as np
 
 
-def resample(audio: np.ndarray, rate: int, target: int) -> tuple[np.ndarray, int]:
-    """Audio at the target rate by a windowed-sinc low-pass filter; unchanged if target is 0 or not below the rate."""
-    if target <= 0 or rate <= target or not len(audio):
-        return audio, rate
+@lru_cache(maxsize=16)
+def _low_pass(rate: int, target: int) -> tuple[int, int, int, np.ndarray]:
+    """Factors up and down, half the filter's length, and its taps: a windowed sinc."""
     up, down = target // gcd(rate, target), rate // gcd(rate, target)
     half = 10 * max(up, down)
     t = np.arange(-half, half + 1)
     taps = np.sinc(t / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
-    taps *= up / taps.sum()
-    n_out = -(-len(audio) * up // down)
-    # each output sample is a short dot product of the input samples that its phase meets
-    centre = np.arange(n_out) * down
-    first = -(-(centre - half) // up)
-    reach = np.arange(2 * half // up + 1)
-    at = first[:, None] + reach[None, :]
-    tap = centre[:, None] - at * up + half
-    ok = (at >= 0) & (at < len(audio)) & (tap >= 0) & (tap <= 2 * half)
-    return (np.where(ok, audio[np.clip(at, 0, len(audio) - 1)], 0.0) * np.where(ok, taps[np.clip(tap, 0, 2 * half)], 0.0)).sum(axis=1), target
+    return up, down, half, taps * (up / taps.sum())
+
+
+def resampled_length(n: int, rate: int, target: int) -> int:
+    if target <= 0 or rate <= target:
+        return n
+    up, down, _, _ = _low_pass(rate, target)
+    return -(-n * up // down)
+
+
+def resample_range(read: Callable[[int, int], np.ndarray], n_in: int, rate: int, target: int, start: int, n: int, block: int = 1 << 14) -> np.ndarray:
+    """Samples start to start + n of audio at the target rate; read(first, count) gives samples at the rate it has.
+
+    A phase of the filter at a time, by strided dot products over blocks: memory follows n and not the recording.
+    """
+    if target <= 0 or rate <= target:
+        return read(start, n)
+    up, down, half, taps = _low_pass(rate, target)
+    out = np.empty(n)
+    for at in range(0, n, block):
+        own = out[at : at + block]
+        begin = (start + at) * down
+        first, last = -(-(begin - half) // up), (begin + (len(own) - 1) * down + half) // up
+        x = np.zeros(last - first + 2 + len(taps) // up)
+        lo, hi = max(first, 0), min(last, n_in - 1)
+        if lo <= hi:
+            x[lo - first : hi - first + 1] = read(lo, hi - lo + 1)
+        for phase in range(min(up, len(own))):
+            centre = begin + phase * down
+            k = -(-(centre - half) // up)  # the first input sample that this phase's outputs meet
+            weights = taps[centre - k * up + half :: -up]
+            own[phase::up] = np.lib.stride_tricks.sliding_window_view(x[k - first :], len(weights))[::down][: len(range(phase, len(own), up))] @ weights
+    return out
+
+
+def resample(audio: np.ndarray, rate: int, target: int) -> tuple[np.ndarray, int]:
+    """Audio at the target rate by a windowed-sinc low-pass filter; unchanged if target is 0 or not below the rate."""
+    if target <= 0 or rate <= target or not len(audio):
+        return audio, rate
+    return resample_range(lambda a, n: audio[a : a + n], len(audio), rate, target, 0, resampled_length(len(audio), rate, target)), target
 
 
 def magnitudes(audio: np.ndarray, frame: int = 2048, hop: int = 512) -> np.ndarray:
@@ -113,8 +144,8 @@ def band_features(mag: np.ndarray, freqs: np.ndarray, lo: float, hi: float, fram
     return {"band_crest": round(float(crest), 3), "band_entropy": round(float(entropy), 4), "band_centroid": round(float(centre), 1), "periodicity": round(pulse[0], 4), "pulse_rate_hz": round(pulse[1], 3), "context_periodicity": round(wide[0], 4), "context_rate_hz": round(wide[1], 3)}
 
 
-def indices(mag: np.ndarray, freqs: np.ndarray) -> dict[str, float]:
-    """ACI, BIO, NDSI, ADI and AEI of a spectrogram."""
+def indices(mag: np.ndarray, freqs: np.ndarray, floor_db: float = -50.0) -> dict[str, float]:
+    """ACI, BIO, NDSI, ADI and AEI of a spectrogram; a kilohertz band is active in a frame above floor_db."""
     out = dict.fromkeys(("aci", "bio", "ndsi", "adi", "aei"), 0.0)
     if not len(mag):
         return out
@@ -132,7 +163,7 @@ def indices(mag: np.ndarray, freqs: np.ndarray) -> dict[str, float]:
     active = []
     for lo in range(0, 10_000, 1000):
         own = (freqs >= lo) & (freqs < lo + 1000)
-        active.append(float((10 * np.log10(np.maximum(power[:, own].mean(axis=1), 1e-20)) > -50).mean()) if own.any() else 0.0)
+        active.append(float((10 * np.log10(np.maximum(power[:, own].mean(axis=1), 1e-20)) > floor_db).mean()) if own.any() else 0.0)
     a = np.sort(active)
     if a.sum() > 0:
         p = a[a > 0] / a.sum()

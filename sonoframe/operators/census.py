@@ -39,3 +39,16 @@ def reels(events: DataFrame, role: str = "role", order: tuple[str, ...] = ("even
     own = W.partitionBy(role)
     placed = events.withColumns({"clip_no": F.row_number().over(own.orderBy(*order)), "n_clips": F.count("*").over(own)})
     return placed.filter((F.col("n_clips") >= least) & (F.col("clip_no") <= most))
+
+
+def band_means(rows: DataFrame, keys: list[str], energies: str, bands: list[str]) -> DataFrame:
+    """Mean energy of each band, a column a band. energies: array of (ord, name, energy), in which a name may be missing."""
+    one = rows.select(*keys, F.explode(energies).alias("_e"))
+    return one.groupBy(*keys).agg(*[F.round(F.avg(F.when(F.col("_e.name") == b, F.col("_e.energy"))), 4).alias(b) for b in bands])
+
+
+def totals(recordings: DataFrame, events: DataFrame) -> DataFrame:
+    """One row of a batch: files, silent files, events, events with a clip, and roles."""
+    heard = events.agg(F.count("*").alias("n_events"), F.count_if(F.col("clip_path").isNotNull()).alias("n_clips"), F.count_distinct("role").alias("n_roles"))
+    silent = recordings.join(events.select("recording").distinct(), "recording", "left_anti").agg(F.count("*").alias("n_silent"))
+    return recordings.agg(F.count("*").alias("n_files")).crossJoin(silent).crossJoin(heard)  # three tables of one row each

@@ -90,6 +90,30 @@ def first_label(found: DataFrame, reference: DataFrame, tolerance: float) -> Dat
     return pairs.groupBy("file", "det").agg(F.min_by("label", F.struct("ref_onset_s", "ref")).alias("label"))
 
 
+def confusion(matched: DataFrame, kinds: tuple[str, ...] = ("role", "domain", "dominant_band")) -> DataFrame:
+    """(kind, value, n): how often matched events were given each role, domain and band, the most frequent first."""
+    one = matched.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in kinds])).alias("_x")).select("_x.*")
+    return one.groupBy("kind", "value").agg(F.count("*").alias("n")).orderBy("kind", F.desc("n"), "value")
+
+
+def accuracy(matched: DataFrame, keys: list[str], domain: str, role: str | None = None) -> DataFrame:
+    """Matched events of each key, and which share has the expected domain and role; null without events or expectation."""
+    share = lambda c, want: F.round(F.try_divide(F.count_if(F.col(c) == want), F.count("*")), 4) if want else F.lit(None).cast("double")
+    return matched.groupBy(*keys).agg(F.count("*").alias("n"), share("domain", domain).alias("domain_accuracy"), share("role", role).alias("role_accuracy"))
+
+
+def reference_lengths(reference: DataFrame, keys: list[str], short: float = 2.0) -> DataFrame:
+    """Number, median length and share of short ones among the annotations."""
+    long = F.col("ref_offset_s") - F.col("ref_onset_s")
+    return reference.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.median(long), 4).alias("median_s"), F.round(F.avg((long < short).cast("double")), 6).alias("short_fraction"))
+
+
+def config_label(factor: Column, least: Column, gap: Column) -> Column:
+    """A configuration in words, numbers without superfluous zeros."""
+    short = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
+    return F.concat(F.lit("k="), short(factor), F.lit(" min="), short(least), F.lit("s merge="), short(gap), F.lit("s"))
+
+
 def grid(spark, factors: tuple = (1.5, 2.5, 3.0, 4.0, 6.0, 8.0), timings: tuple = ((2.0, 5.0), (1.0, 3.0), (0.5, 1.0), (0.3, 0.5), (0.25, 0.25))) -> DataFrame:
     """Every factor with every (shortest event, merge gap): a fixed small table."""
     rows = [(i * len(timings) + j, float(f), float(a), float(b)) for i, f in enumerate(factors) for j, (a, b) in enumerate(timings)]

@@ -21,12 +21,12 @@ def placemarks(texts: DataFrame, text: str = "value") -> DataFrame:
     return rows.filter("lon IS NOT NULL AND lat IS NOT NULL").withColumns({"sampled_at": survey_date(F.coalesce(F.col("attributes")["FEC_MUEST"], F.lit(""))), "cover_key": normalize_cover(F.coalesce(F.col("attributes")["N_COBERT"], F.lit("")))})
 
 
-def station_fields(stations: DataFrame) -> DataFrame:
-    """The fields that go onto every event: a blank elevation is 0, one that is no number is null."""
+def station_fields(stations: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The fields that go onto every event, after columns to keep: a blank elevation is 0, one that is no number is null."""
     a = lambda k: F.coalesce(F.col("attributes")[k], F.lit(""))
     elevation = F.when(a("COTA") == "", 0.0).otherwise(F.round(a("COTA").try_cast("double"), 1))
     return stations.select(
-        a("ID_MUES_PT").alias("station_id"), F.round("lat", 6).alias("latitude"), F.round("lon", 6).alias("longitude"), elevation.alias("elevation_m"),
+        *keep, a("ID_MUES_PT").alias("station_id"), F.round("lat", 6).alias("latitude"), F.round("lon", 6).alias("longitude"), elevation.alias("elevation_m"),
         a("VEREDA").alias("locality"), a("NOMENCLAT").alias("corine_code"), a("HABITAT").alias("habitat_description"), a("PROYECTO").alias("project"),
     )
 

@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sonoframe.functions import bands as B
-from sonoframe.functions.text import place_from_path
-from sonoframe.operators import calendar, census, classify, detect
+from sonoframe.functions.text import normalize_cover
+from sonoframe.operators import calendar, census, classify, detect, metadata, sites
+from sonoframe.session import staged
 from sonoframe.sources import wav
 
 
@@ -82,30 +83,72 @@ def clips(found: DataFrame, s: Settings = Settings()) -> DataFrame:
     return chosen.drop("clip_start_s", "clip_end_s").join(kept.select("path", "event_index"), ["path", "event_index"], "left_semi").join(ends, "path").withColumns({"clip_start_s": start, "clip_end_s": end}).drop("_end")
 
 
-def detect_files(spark: SparkSession, *paths: str, settings: Settings = Settings()) -> DataFrame:
-    """Events of all WAV files at or below the paths, with site, season and cover of their folders. Unreadable files give none."""
+def analyse(spark: SparkSession, *paths: str, settings: Settings = Settings(), stations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(recordings, events) of all WAV files at or below the paths.
+
+    recordings: a row for each file, silent and unreadable ones too (with error), with its metadata, place, band means and indices. events: as
+    of events(), with site, season and cover. Frames are computed once and written to the shared folder. stations (see
+    sites.placemarks): each recording and event gets the fields of the station of its cover that was sampled nearest to it.
+    """
     files = wav.recordings(spark, *paths)
-    probes = wav.probe(files).filter("error IS NULL").select("path", "duration_s", "recorded_at")
-    good = files.join(probes.select("path"), "path", "left_semi")
-    frames = wav.frame_features(good, settings.bands, settings.frame, settings.hop, settings.target_rate)
-    return events(frames, probes, settings).withColumns({k: v for k, v in place_from_path(F.col("path")).items()})
+    rows = staged(metadata.of_probes(wav.probe(files)), "recordings")
+    good = rows.filter("error IS NULL")
+    frames = staged(wav.frame_features(good, settings.bands, settings.frame, settings.hop, settings.target_rate), "frames")
+    found = events(frames, good.select("path", "duration_s", "recorded_at"), settings)
+    means = frames.groupBy("path").agg(*[F.avg(F.col("band_energies")[b]).alias(b) for b in settings.bands])
+    means = means.select("path", F.create_map(*[x for b in settings.bands for x in (F.lit(b), F.round(b, 4))]).alias("band_energies"))
+    measured = wav.file_indices(good, frame=settings.frame, hop=settings.hop)
+    measured = measured.select("path", F.create_map(*[x for i in ("aci", "bio", "ndsi", "adi", "aei") for x in (F.lit(i), F.col(i))]).alias("indices"))
+    rows = rows.join(means, "path", "left").join(measured, "path", "left")
+    own = ["site", "season", "cover"]
+    if stations is not None:
+        keyed = rows.withColumn("cover_key", normalize_cover(F.coalesce("cover", F.lit(""))))
+        fields = sites.station_fields(stations, keep=("cover_key", "sampled_at", "file_ord"))
+        rows = sites.nearest_station(keyed, fields, when="recorded_at").drop("cover_key", "sampled_at", "file_ord")
+        own += ["station_id", "latitude", "longitude", "elevation_m"]
+    rows = staged(rows, "recordings")
+    return rows, found.join(rows.select("path", *own), "path")
 
 
-def results(found: DataFrame) -> DataFrame:
-    """One nested row a recording, as the JSON results have them."""
-    event = F.struct(*[c for c in found.columns if c not in ("path", "recorded_at", "site", "season", "cover")])
-    return found.groupBy("path", "recorded_at", "season", "cover").agg(F.array_sort(F.collect_list(event), lambda a, b: a["event_index"] - b["event_index"]).alias("_e")).select(
+def detect_files(spark: SparkSession, *paths: str, settings: Settings = Settings()) -> DataFrame:
+    """Events of all WAV files at or below the paths, with site, season and cover of their folders. Unreadable files give none."""
+    return analyse(spark, *paths, settings=settings)[1]
+
+
+def measured(found: DataFrame) -> DataFrame:
+    """Events with indices and band features of their clips."""
+    spans = found.select("path", F.col("event_index").cast("long").alias("event_index"), "onset_s", "offset_s", "clip_start_s", "clip_end_s", F.col("band_lo_hz").cast("double").alias("lo_hz"), F.col("band_hi_hz").cast("double").alias("hi_hz"))
+    return found.join(wav.measure_clips(spans), ["path", "event_index"])
+
+
+def results(found: DataFrame, recordings: DataFrame | None = None) -> DataFrame:
+    """One nested row a recording, as the JSON results have them; recordings without events have none of them in their row.
+
+    Without recordings only those with events have a row.
+    """
+    of_recording = ("path", "recorded_at", "site", "season", "cover", "duration_of_file")
+    event = F.struct(*[c for c in found.columns if c not in of_recording])
+    heard = found.groupBy("path").agg(F.array_sort(F.collect_list(event), lambda a, b: a["event_index"] - b["event_index"]).alias("_e"))
+    if recordings is None:
+        rows = found.groupBy("path", "recorded_at", "season", "cover").agg(F.lit(None).cast("double").alias("duration_s"))
+    else:
+        rows = recordings.filter("error IS NULL")
+    more = {"samplerate_hz": ("sample_rate", "int"), "temperature_c": ("temperature_c", "double"), "indices": ("indices", "map<string,double>"), "band_energies": ("band_energies", "map<string,double>")}
+    extra = [(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(n) for c, (n, t) in more.items()]
+    out = rows.join(heard, "path", "left").withColumn("_e", F.coalesce("_e", F.array().cast(heard.schema["_e"].dataType)))
+    has = lambda c: F.size(F.filter("_e", lambda e: e[c].isNotNull())) if c in found.columns else F.lit(0)
+    return out.select(
         F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("path").alias("filepath"), F.date_format("recorded_at", "yyyy-MM-dd'T'HH:mm:ss").alias("recording_datetime"), "season", F.col("cover").alias("habitat"),
-        F.size("_e").alias("n_events"), F.col("_e").alias("events"),
+        "duration_s", *extra, F.size("_e").alias("n_events"), has("clip_path").alias("n_clips"), F.col("_e").alias("events"),
     )
 
 
-def calendar_of(found: DataFrame) -> dict[str, DataFrame]:
-    """Daily entries, hours of the day, dawns, dawn shifts and censuses of dated events."""
-    dated = found.filter("recorded_at IS NOT NULL").select(
-        F.col("path").alias("recording"), F.to_date("recorded_at").alias("day"), F.col("recorded_at").alias("rec_start"), F.hour("recorded_at").alias("rec_hour"), F.minute("recorded_at").alias("rec_minute"),
-        "onset_s", "role", "domain", "dominant_band", F.col("event_index").alias("event_id"),
-    )
+def calendar_of(found: DataFrame, recordings: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Daily entries, hours of the day, dawns, dawn shifts and censuses of dated events. recordings (path, recorded_at): all that were
+    made, so that silent ones and silent days count."""
+    start = lambda at: [F.to_date(at).alias("day"), F.col(at).alias("rec_start"), F.hour(at).alias("rec_hour"), F.minute(at).alias("rec_minute")]
+    dated = found.filter("recorded_at IS NOT NULL").select(F.col("path").alias("recording"), *start("recorded_at"), "onset_s", "role", "domain", "dominant_band", F.col("event_index").alias("event_id"))
+    made = None if recordings is None else recordings.filter("recorded_at IS NOT NULL").select(F.col("path").alias("recording"), *start("recorded_at"))
     dawn = calendar.dawn_onset(dated)
-    pattern = calendar.diel_pattern(dated)
-    return {"daily": calendar.daily(dated), "hourly": calendar.hourly(dated), "diel": pattern, "diel_table": calendar.diel_table(pattern), "dawn": dawn, "dawn_shift": calendar.dawn_shift(dawn), "census": census.parliament(dated, ["recording"]), "census_all": census.parliament_rollup(dated, "recording")}
+    pattern = calendar.diel_pattern(dated, made)
+    return {"daily": calendar.daily(dated, made), "hourly": calendar.hourly(dated, made, by_start=True), "diel": pattern, "diel_table": calendar.diel_table(pattern), "dawn": dawn, "dawn_shift": calendar.dawn_shift(dawn), "census": census.parliament(dated, ["recording"]), "census_all": census.parliament_rollup(dated, "recording")}

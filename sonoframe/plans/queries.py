@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sonoframe.functions import bands as B
 from sonoframe.functions import spectral as S
 from sonoframe.functions import text as X
-from sonoframe.operators import calendar, census, classify, detect, matching, sites, timeline
-from sonoframe.plans.views import BANDS, RATE, acoustic_events, bins, energies, spectral_frames, table
+from sonoframe.operators import calendar, census, classify, detect, matching, metadata, series, sites, spectrogram, timeline
+from sonoframe.plans import validation
+from sonoframe.plans.views import BANDS, RATE, acoustic_events, energies, heard, recordings_made, spectral_frames, table
+from sonoframe.streaming import sessions
 
 _before = lambda: F.lag("peak_flux").over(W.partitionBy("recording").orderBy("onset_s", "event_id"))
 
@@ -104,7 +106,7 @@ def q13_thinned_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q14_event_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = detect.select(acoustic_events(spark, sf_dir), ("CLICK", "purchase"), ("biophony", "Geophony"), 0.5)
     path = X.clip_path(F.col("domain"), F.col("role"), F.col("event_id"), F.col("onset_s"), F.col("offset_s"))
-    return chosen.select("event_id", "role", "domain", "confidence", X.safe_name(F.col("recording")).alias("folder"), F.regexp_replace(path, "_[0-9.]+s-[0-9.]+s", "").alias("clip"))
+    return chosen.select("event_id", "role", "domain", "confidence", X.safe_name(F.col("recording")).alias("folder"), path.alias("clip"))
 
 
 def q15_role_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,30 +153,12 @@ def q20_band_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q21_band_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = bins(spectral_frames(spark, sf_dir)).filter((F.col("f") >= 2000) & (F.col("f") < 8000))
-    spectrum = own.groupBy("recording", "k", "f").agg(F.avg("m").alias("m"), F.avg(F.col("m") * F.col("m")).alias("p"), F.sum("m").alias("w"))
-    whole = spectrum.withColumn("q", F.col("p") / F.sum("p").over(W.partitionBy("recording")))
-    return whole.groupBy("recording").agg(
-        F.round(F.max("m") / F.avg("m"), 3).alias("band_crest"), F.round(-F.sum(F.col("q") * F.ln("q")) / F.ln(F.count("*")), 4).alias("band_entropy"), F.round(F.sum(F.col("w") * F.col("f")) / F.sum("w"), 1).alias("band_centroid")
-    )
+    return spectrogram.band_shape(spectral_frames(spark, sf_dir), "recording", "frame", "mag", RATE, 2000.0, 8000.0).select("recording", "band_crest", "band_entropy", "band_centroid")
 
 
 def q22_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bins(spectral_frames(spark, sf_dir))
-    after = F.lead("m").over(W.partitionBy("recording", "k").orderBy("frame"))
-    per_bin = b.withColumn("n", after).groupBy("recording", "k", "f").agg(F.sum(F.abs(F.col("n") - F.col("m"))).alias("d"), F.sum(F.when(F.col("n").isNotNull(), F.col("m"))).alias("s"), F.avg("m").alias("m"), F.avg(F.col("m") * F.col("m")).alias("p"))
-    level = 20 * F.log10(F.greatest("m", F.lit(1e-10)))
-    voice = F.col("f").between(2000, 8000)
-    power = lambda lo, hi: F.coalesce(F.sum(F.when((F.col("f") >= lo) & (F.col("f") < hi), F.col("p"))), F.lit(0.0))
-    bio, anthro = power(2000, 8000), power(1000, 2000)
-    one = per_bin.groupBy("recording").agg(
-        F.round(F.sum(F.col("d") / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))), 4).alias("aci"),
-        F.round(F.sum(F.when(voice, level)) - F.count_if(voice) * F.min(F.when(voice, level)), 4).alias("bio"), F.round(F.coalesce(F.try_divide(bio - anthro, bio + anthro), F.lit(0.0)), 4).alias("ndsi"),
-    )
-    cells = b.filter("f < 10000").groupBy("recording", "frame", F.floor(F.col("f") / 1000).alias("band")).agg((10 * F.log10(F.greatest(F.avg(F.col("m") * F.col("m")), F.lit(1e-20))) > -30).cast("double").alias("on"))
-    active = cells.groupBy("recording", "band").agg(F.avg("on").alias("a")).withColumns({"p": F.col("a") / F.sum("a").over(W.partitionBy("recording")), "i": F.row_number().over(W.partitionBy("recording").orderBy("a", "band"))})
-    even = active.groupBy("recording").agg(F.round(F.abs(F.sum(F.when(F.col("p") > 0, -F.col("p") * F.ln("p")).otherwise(0.0))), 4).alias("adi"), F.round(F.sum((2 * F.col("i") - 11) * F.col("a")) / (10 * F.sum("a")), 4).alias("aei"))
-    return one.join(even, "recording")
+    """With a floor of -30 dB: these frames are loud, at -50 dB all bands of all frames are active (q45 has that floor)."""
+    return spectrogram.indices(spectral_frames(spark, sf_dir), "recording", "frame", "mag", RATE, floor_db=-30.0)
 
 
 def q23_cover_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,20 +218,15 @@ def q30_osc_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q31_metadata_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") < 50).alias("n_errors"), F.sum("n_chars").alias("total"), F.count_distinct("source").alias("n_places"))
+    return metadata.summary(table(spark, sf_dir, "documents"), ["lang"], F.col("n_chars") < 50, F.col("n_chars"), "source")
 
 
 def q32_recordings_per_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recs = acoustic_events(spark, sf_dir).select("recording", "rec_hour").distinct().groupBy("rec_hour").count()
-    grid = spark.range(24).select(F.col("id").cast("int").alias("hour"))
-    return grid.join(recs, grid.hour == recs.rec_hour, "left").select("hour", F.coalesce("count", F.lit(0)).alias("n"))
+    return metadata.per_hour(acoustic_events(spark, sf_dir).select("recording", "rec_hour").distinct(), "rec_hour")
 
 
 def q33_temp_by_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").filter(F.col("s_acctbal").isNotNull() & (F.col("s_acctbal") != 0))
-    q = lambda p, n: F.round(F.percentile("s_acctbal", F.lit(p)), 4).alias(n)
-    return s.groupBy("s_nationkey").agg(q(0.25, "q1"), q(0.5, "median"), q(0.75, "q3"), F.round(F.avg("s_acctbal"), 4).alias("mean"), F.round(F.coalesce(F.stddev("s_acctbal"), F.lit(0.0)), 4).alias("sd"), F.count("*").alias("n"))
+    return metadata.by_place(table(spark, sf_dir, "supplier"), "s_nationkey", "s_acctbal")
 
 
 def q34_kml_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,9 +241,8 @@ def q35_reels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q36_event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five addresses of a tenth of the events; all of them are in q42."""
-    m = timeline.event_messages(acoustic_events(spark, sf_dir).filter("k % 10 = 0"))
-    return m.filter("addr IN ('/parliament/event/role', '/parliament/event/voct', '/ilda/color', '/ilda/speed', '/parliament/hour')").select("event_id", "seq", "addr", F.array_join("args", "|").alias("args"))
+    m = timeline.event_messages(acoustic_events(spark, sf_dir))
+    return m.select("event_id", "seq", "addr", F.array_join("args", "|").alias("args"))
 
 
 def q37_hourly_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,8 +250,7 @@ def q37_hourly_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q38_band_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = acoustic_events(spark, sf_dir).select("recording", F.explode(energies(F.col("k"))).alias("e"))
-    return e.groupBy("recording").pivot("e.name", list(BANDS)).agg(F.round(F.avg("e.energy"), 4))
+    return census.band_means(acoustic_events(spark, sf_dir).withColumn("energies", energies(F.col("k"))), ["recording"], "energies", list(BANDS))
 
 
 def q39_first_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,8 +259,7 @@ def q39_first_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q40_reference_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, ref = _annotations(spark, sf_dir)
-    long = F.col("ref_offset_s") - F.col("ref_onset_s")
-    return ref.groupBy("label").agg(F.count("*").alias("n"), F.round(F.median(long), 4).alias("median_s"), F.round(F.avg((long < 3600).cast("double")), 6).alias("short_fraction"))
+    return matching.reference_lengths(ref, ["label"], 3600.0)
 
 
 def q41_top_bands_of_site(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,3 +271,176 @@ def q41_top_bands_of_site(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q42_all_event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = timeline.event_messages(acoustic_events(spark, sf_dir))
     return m.select("event_id", F.round("at", 6).alias("at"), "seq", "addr", F.array_join("args", "|").alias("args"))
+
+
+def q43_calendar_of_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of all recordings, silent ones among them."""
+    return calendar.daily(heard(spark, sf_dir), recordings_made(spark, sf_dir))
+
+
+def q44_diel_of_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calendar.diel_pattern(heard(spark, sf_dir), recordings_made(spark, sf_dir))
+
+
+def q45_kernel_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the floor of -50 dB that recordings have, on frames a tenth as loud."""
+    quiet = spectral_frames(spark, sf_dir).withColumn("mag", F.transform("mag", lambda m: m / 10))
+    return spectrogram.indices(quiet, "recording", "frame", "mag", RATE)
+
+
+def q46_hourly_of_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by the hour in which their recording began, for every day with a recording."""
+    return calendar.hourly(heard(spark, sf_dir), recordings_made(spark, sf_dir), by_start=True)
+
+
+def _comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a recorder's header comment in one of its wordings."""
+    ev = acoustic_events(spark, sf_dir)
+    name = F.lpad(F.upper(F.hex(F.col("event_id") * 7919)), 16, "0")
+    begin = F.concat(F.lit("Recorded at "), F.date_format("ts", "HH:mm:ss dd/MM/yyyy"))
+    tenths = lambda n: F.format_string("%d.%d", F.floor(n / 10).cast("int"), (n % 10).cast("int"))
+    k = F.col("k")
+    text = (
+        F.when(k % 4 == 0, F.concat(begin, F.lit(" (UTC) by AudioMoth "), name, F.lit(" at gain setting "), (k % 5).cast("string"), F.lit(" while battery state was "), tenths(30 + k % 15), F.lit("V")))
+        .when(k % 4 == 1, F.concat(begin, F.lit(" (UTC-5) by AudioMoth "), name, F.lit(" at medium-high gain while battery was less than 2.5V and temperature was -3.5C.")))
+        .when(k % 4 == 2, F.concat(begin, F.lit(" (UTC+5:30) by AudioMoth "), name, F.lit(" at low gain while battery was greater than 4.9V and temperature was "), tenths(100 + k * 7 % 300), F.lit("C.")))
+    )
+    return ev.withColumn("comment", text)
+
+
+def q47_recorder_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _comments(spark, sf_dir).select("event_id", *[v.alias(n) for n, v in metadata.recorder_fields(F.coalesce("comment", F.lit(""))).items()])
+    return rows.withColumn("temperature_class", X.temperature_class(F.col("temperature_c")))
+
+
+def q48_metadata_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of files whose headers and paths the events give; a seventh can't be read."""
+    k = F.col("k")
+    season = F.when(k % 3 == 0, "Época lluvias").when(k % 3 == 1, "Epoca seca").otherwise("otra")
+    cover = F.when(k % 2 == 0, "Pastos limpios").otherwise("Sitio sin nombre")
+    rows = _comments(spark, sf_dir).withColumns({
+        "path": F.concat_ws("/", F.lit("file:/d"), F.when(k % 5 == 0, "Luna").otherwise("x"), season, cover, F.concat(F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit(".WAV"))),
+        "samplerate_hz": F.when(k % 7 != 0, F.element_at(F.array(*[F.lit(r) for r in (8000, 48000, 96000, 192000, 384000)]), k % 5 + 1).cast("long")),
+        "error": F.when(k % 7 == 0, "not a RIFF WAVE file"), "recorded_at": F.date_trunc("second", F.col("ts").cast("timestamp")).cast("timestamp_ntz"),
+    })
+    made = metadata.of_probes(rows)
+    kept = metadata.table_filter(made, "2", "")
+    return kept.groupBy("location", "quality", "site", "season", "cover").agg(F.count("*").alias("n"), F.count("error").alias("n_errors"), F.count("battery_v").alias("n_battery"), F.min("recorded_at").alias("first"), F.min("file_url").alias("url"), F.count_distinct("audiomoth_id").alias("n_recorders"))
+
+
+def q49_groups_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = acoustic_events(spark, sf_dir)
+    one = lambda c: series.by_count(ev, c, ["ts", "event_id"]).select(F.lit(c).alias("kind"), F.col(c).alias("value"), "n")
+    return one("role").unionByName(one("domain")).unionByName(one("dominant_band"))
+
+
+def _text(numbers: str, digits: int = 6) -> Column:
+    return F.array_join(F.transform(numbers, lambda x: F.format_string(f"%.{digits}f", x)), "|")
+
+
+def q50_time_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = series.time_line(acoustic_events(spark, sf_dir).withColumn("offset_s", F.col("onset_s") + 2 * F.col("k")), "recording")
+    return rows.select("recording", "domain", "colour", _text("base").alias("base"), _text("length", 3).alias("length"))
+
+
+def q51_flux_and_index_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    ev = acoustic_events(spark, sf_dir).withColumns({"aci": (k / 4).cast("double"), "ndsi": F.when(k % 2 == 0, k / 8), "adi": F.lit(0.5)})
+    flux, index = series.flux_series(ev, "recording"), series.index_series(ev, "recording")
+    return flux.join(index, "recording").select("recording", F.array_join("role", ",").alias("roles"), F.array_join("colour", ",").alias("colours"), F.array_join("labels", ",").alias("labels"), _text("aci", 3).alias("aci"), _text("ndsi", 3).alias("ndsi"), F.size("peak_flux").alias("n"), F.round(F.array_max("peak_flux"), 4).alias("peak"))
+
+
+def q52_domain_pies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.pie(census.parliament(acoustic_events(spark, sf_dir), ["recording"]), "recording").select("recording", "domain", F.round("percent", 6).alias("percent"), "colour")
+
+
+def q53_batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clip = F.when(F.col("k") % 4 == 0, F.concat(F.lit("clips/"), F.col("event_id").cast("string")))
+    return census.totals(recordings_made(spark, sf_dir), heard(spark, sf_dir).withColumn("clip_path", clip))
+
+
+def q54_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.confusion(acoustic_events(spark, sf_dir))
+
+
+def q55_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.accuracy(acoustic_events(spark, sf_dir), ["site"], "biophony", "click")
+
+
+def q56_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, sizes, frequencies and links made of orders."""
+    o = table(spark, sf_dir, "orders").withColumn("n", F.col("o_orderkey").cast("int"))
+    n, day = F.col("n"), F.col("o_orderdate")
+    unit = F.element_at(F.array(*[F.lit(u) for u in ("", "K", "mb", " G", "x")]), n % 5 + 1)
+    hz, rate = (n % 9000).cast("double"), F.element_at(F.array(*[F.lit(r) for r in (16000.0, 48000.0, 192000.0)]), n % 3 + 1)
+    lo, hi = B.frequency_window(hz, hz * 2, rate / 2)
+    res = B.resolution(rate)
+    return o.select(
+        "o_orderkey", X.parse_size(F.concat((n % 700).cast("string"), unit)).alias("size"), F.round(X.hz_to_voct(hz), 9).alias("voct"), F.round(res[0], 6).alias("hz_per_bin"), F.round(res[1], 6).alias("ms_per_hop"),
+        F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"), F.round(B.log_place(hz + 100, F.lit(100.0), F.lit(10000.0)), 9).alias("place"),
+        X.html_escape(F.concat(F.lit('<a href="'), F.col("o_orderpriority"), F.lit('">&'))).alias("escaped"), X.relative_href(F.concat(F.when(n % 2 == 0, "/out/").otherwise("/else/"), F.col("o_orderpriority"), F.lit("#1")), "/out").alias("href"),
+        X.file_url(F.concat(F.lit("/r/"), F.col("o_orderpriority"), F.lit("+ñ.wav"))).alias("url"), X.safe_name(F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit("?"))).alias("safe"),
+        X.valid_coordinates((n % 200 - 100).cast("double"), (n % 400 - 200).cast("double")).alias("on_earth"),
+        X.reference_datetime(F.concat(F.lit("REC_"), F.date_format(day, "yyyyMMdd"), F.lit("_"), F.lpad((n % 24).cast("string"), 2, "0"), F.lit("3015_x.wav"))).alias("referenced"),
+        X.survey_date(F.when(n % 3 == 0, F.date_format(day, "yyyy/MM/dd")).when(n % 3 == 1, F.date_format(day, "yyyy-MM-dd")).otherwise("soon")).alias("surveyed"),
+        X.iso_datetime(F.when(n % 2 == 0, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T04:05:06"))).otherwise("never")).alias("iso"),
+        matching.config_label((n % 8).cast("double") / 2, (n % 3).cast("double"), F.lit(0.25)).alias("label"),
+    )
+
+
+def q57_kml_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stations read from the markup of a placemark for each supplier; a third of them has no coordinates."""
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey").cast("int")
+    data = lambda name, value: F.concat(F.lit(f'<SimpleData name="{name}">'), value, F.lit("</SimpleData>"))
+    point = F.when(k % 3 != 0, F.concat(F.lit("<Point><coordinates> -"), (k % 180).cast("string"), F.lit(".25,"), (k % 90).cast("string"), F.lit(".5,0</coordinates></Point>"))).otherwise("")
+    mark = F.concat(F.lit('<kml><Placemark id="a">'), data("ID_MUES_PT", F.col("s_name")), data("N_COBERT", F.when(k % 2 == 0, "Pastos Limpios").otherwise("Bosque de galería y/o ripario")), data("COTA", F.when(k % 4 == 0, " ").when(k % 4 == 1, "x").otherwise((k / 4).cast("string"))), data("FEC_MUEST", F.concat(F.lit("2024/03/"), F.lpad((k % 28 + 1).cast("string"), 2, "0"))), data("VEREDA", F.lit("first")), data("VEREDA", F.lit("last")), point, F.lit("</Placemark></kml>"))
+    rows = sites.placemarks(s.select(mark.alias("value")))
+    return sites.station_fields(rows, keep=("cover_key", "sampled_at")).select("station_id", "cover_key", "sampled_at", "latitude", "longitude", "elevation_m", "locality")
+
+
+def q58_anchored_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The production baseline, exact at anchors and linear between them, over the events of each type as one recording."""
+    out = spectrogram.baseline(table(spark, sf_dir, "events"), "event_type", "event_id", "value", 50, anchors=300, warmup=100)
+    return out.select("event_id", F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))
+
+
+def q59_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tones at 96 kHz, one for each supplier, through resampling, transform and frame series: where their energy is found."""
+    s = table(spark, sf_dir, "supplier").withColumn("bin", F.col("s_suppkey").cast("int") % 900 + 20)
+    tone = F.transform(F.sequence(F.lit(0), F.lit(6143)), lambda i: F.sin(2 * F.pi() * i * F.col("bin") / 4096))
+    frames = spectrogram.of_samples(s.select("s_suppkey", tone.alias("x")), "s_suppkey", "x", 96000, B.AUDIBLE, frame=2048, hop=512, target_rate=48000)
+    best = F.array_sort(F.transform(F.map_entries("band_energies"), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("band"))))[0]["band"]
+    return frames.select("s_suppkey", "frame_idx", F.round("t_s", 9).alias("t_s"), F.round("peak_hz", 4).alias("peak_hz"), best.alias("band"), (F.col("flux") == 0).alias("first"))
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(known).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: a stream's path may not be a single file
+
+
+def q60_stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that the watermark has closed."""
+    days = sessions.drained(sessions.daily_counts(_stream(spark, sf_dir), "ts", "event_type", "1 day"), "stream-days")
+    return days.select(F.to_date("day").alias("day"), "event_type", "n")
+
+
+def q61_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged events of a stream, gaps of up to two hours."""
+    merged = sessions.drained(sessions.sessions(_stream(spark, sf_dir), "user_id", "ts", "value", "2 hours", "1 day"), "stream-sessions")
+    return merged.select("user_id", (F.unix_micros("onset") / 1e6).alias("onset_s"), (F.unix_micros("last") / 1e6).alias("last_s"), F.round("peak", 4).alias("peak"), "n")
+
+
+def q62_stream_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = sessions.drained(sessions.thin(_stream(spark, sf_dir), "user_id", "ts", 7200.0), "stream-thin")
+    return kept.select(F.col("key").alias("user_id"), F.round("at", 6).alias("at"))
+
+
+def q63_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All configurations of the grid over the events as frames, scored one-to-one against annotations."""
+    ev = acoustic_events(spark, sf_dir)
+    frames = detect.running_median_mad(ev.withColumnsRenamed({"recording": "file", "peak_flux": "flux"}), "file", "event_id", "flux", 20)
+    frames = frames.select("file", F.col("event_id").alias("frame_idx"), F.col("onset_s").alias("t_s"), "flux", "median", "mad")
+    grid = matching.grid(spark, (0.0, 0.5, 1.0), ((0.0, 600.0), (600.0, 7200.0)))
+    _, ref = _annotations(spark, sf_dir)
+    scored = validation.report(validation.sweep(frames, grid), ref, grid, 1800.0)
+    return scored.select("config", "tp", "fp", "fn", "precision", "recall", "f1")

@@ -147,7 +147,7 @@ SQL: dict[str, str] = {
         f AS (SELECT recording, event_id, onset_s, i, onset_s AS last, TRUE AS keep FROM s WHERE i = 1
           UNION ALL SELECT s.recording, s.event_id, s.onset_s, s.i, CASE WHEN s.onset_s - f.last >= 3600 THEN s.onset_s ELSE f.last END, s.onset_s - f.last >= 3600 FROM f JOIN s ON s.recording = f.recording AND s.i = f.i + 1)
         SELECT recording, event_id, round(greatest(0, least(onset_s - 30, 86340)), 6) AS clip_start_s, round(least(86400, greatest(0, least(onset_s - 30, 86340)) + 60), 6) AS clip_end_s FROM f WHERE keep""",
-    "q14_event_selection": _with(AE) + """SELECT event_id, role, domain, confidence, replace(recording, '/', '_') AS folder, 'clips/' || domain || '/' || role || '/event_' || CASE WHEN event_id < 1000 THEN lpad(CAST(event_id AS VARCHAR), 3, '0') ELSE CAST(event_id AS VARCHAR) END || '_' || role || '.wav' AS clip
+    "q14_event_selection": _with(AE) + """SELECT event_id, role, domain, confidence, replace(recording, '/', '_') AS folder, 'clips/' || domain || '/' || role || '/event_' || CASE WHEN event_id < 1000 THEN lpad(CAST(event_id AS VARCHAR), 3, '0') ELSE CAST(event_id AS VARCHAR) END || '_' || role || '_' || printf('%.1fs-%.1fs', onset_s, onset_s + duration_s) || '.wav' AS clip
         FROM ae WHERE role IN ('click', 'purchase') AND domain IN ('biophony', 'geophony') AND confidence >= 0.5""",
     "q15_role_rules": _with(AE, EN) + f""", x AS (SELECT c.event_id, CASE WHEN ratio > 5 THEN {{'r': 'silence_to_activity', 'c': 0.7}} WHEN ratio < 0.2 THEN {{'r': 'activity_to_silence', 'c': 0.7}} ELSE {_RULES} END AS v FROM ctx c JOIN rk ON rk.event_id = c.event_id AND i = 1)
         SELECT event_id, v.r AS role, {_DOMAIN.format('v.r')} AS domain, CAST(v.c AS DOUBLE) AS confidence, {_CERTAINTY.format('v.c')} AS certainty FROM x""",
@@ -207,9 +207,7 @@ SQL: dict[str, str] = {
         FROM supplier WHERE s_acctbal <> 0 GROUP BY 1""",
     "q34_kml_extract": """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href FROM pages) SELECT page_id, count(*) AS n_links, count(DISTINCT href) AS n_distinct, min(href) AS first_href FROM l GROUP BY 1""",
     "q35_reels": _with(AE) + ", r AS (SELECT role, event_id, CAST(row_number() OVER (PARTITION BY role ORDER BY event_id) AS INTEGER) AS clip_no, count(*) OVER (PARTITION BY role) AS n_clips FROM ae) SELECT * FROM r WHERE n_clips >= 2 AND clip_no <= 24",
-    "q36_event_messages": _with(AE) + """, t AS (SELECT * FROM ae WHERE k % 10 = 0) SELECT event_id, seq, addr, args FROM (
-          SELECT event_id, 3 AS seq, '/parliament/event/role' AS addr, role AS args FROM t UNION ALL SELECT event_id, 7, '/parliament/event/voct', printf('%.4f', CASE WHEN centroid > 0 THEN log2(centroid / CAST(261.63 AS DOUBLE)) ELSE -5 END) FROM t
-          UNION ALL SELECT event_id, 18, '/parliament/hour', CAST(rec_hour AS VARCHAR) FROM t UNION ALL SELECT event_id, 20, '/ilda/color', CAST(k % 5 + 1 AS VARCHAR) FROM t UNION ALL SELECT event_id, 23, '/ilda/speed', printf('%.4f', least(peak_flux / 100, 1)) FROM t)""",
+    "q36_event_messages": _with(AE) + ", t AS (SELECT *, epoch_us(ts) - epoch_us(rec_start) AS us FROM ae)" + " UNION ALL ".join(f"SELECT event_id, {i} AS seq, '{a}' AS addr, {x} AS args FROM t" for i, (a, x) in enumerate(_MESSAGES)),
     "q37_hourly_heatmap": _with(AE) + """, h AS (SELECT day, CAST(floor(rec_hour + (rec_minute * 60 + onset_s) / 3600) AS BIGINT) % 24 AS hour, count(*) AS n FROM ae GROUP BY 1, 2)
         SELECT d.day, CAST(g.hour AS INTEGER) AS hour, coalesce(n, 0) AS n_events FROM (SELECT DISTINCT day FROM ae) d CROSS JOIN range(24) g(hour) LEFT JOIN h ON h.day = d.day AND h.hour = g.hour""",
     "q38_band_means": _with(AE, EN) + "SELECT recording, " + ", ".join(f"round(avg(energy) FILTER (name = '{n}'), 4) AS {n}" for n in ("geophony", "biophony_low", "biophony_mid", "biophony_high", "ultrasonic")) + " FROM en GROUP BY 1",

@@ -33,6 +33,16 @@ def acoustic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("offset_s", F.col("onset_s") + F.col("duration_s"))
 
 
+def recordings_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All recordings: recording, day, rec_hour."""
+    return acoustic_events(spark, sf_dir).groupBy("recording").agg(F.min("day").alias("day"), F.min("rec_hour").alias("rec_hour"))
+
+
+def heard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acoustic events of a survey in which many recordings and some whole days are silent."""
+    return acoustic_events(spark, sf_dir).filter("role IN ('click', 'purchase') AND k % 3 = 0 AND dayofmonth(day) % 7 <> 3")
+
+
 def energies(k: Column) -> Column:
     """array<struct(ord, name, energy)> made from k."""
     return F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(b).alias("name"), ((k * (i + 3)) % 17).cast("double").alias("energy")) for i, b in enumerate(BANDS)])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sonoframe.functions.text import clip_path
+from sonoframe.session import ship
 from sonoframe.sources import wav
 
 
@@ -32,30 +34,31 @@ def stride_sample(rows: DataFrame, order: str, limit: int) -> DataFrame:
     return placed.filter((F.col("_n") <= limit) | ((j < limit) & (F.floor(j * F.col("_n") / limit) == F.col("_i")))).drop("_i", "_n")
 
 
-def cut_clips(files: DataFrame, clips: DataFrame, root: str, organize_by: str = "role") -> DataFrame:
+def cut_clips(clips: DataFrame, root: str, organize_by: str = "role") -> DataFrame:
     """Writes each clip as a WAV at native rate below root (a folder that all executors share); path, event_index, clip.
 
-    A clip is written under a name of its attempt and renamed, so a repeated task leaves one whole file.
+    Only a clip's own samples are read. A clip is written under a name of its attempt and renamed, so a repeated task leaves one
+    whole file.
     """
+    ship(clips.sparkSession)
     root = re.sub(r"^file:(//)?", "", root)
     named = clips.withColumn("clip", clip_path(F.col("domain"), F.col("role"), F.col("event_index"), F.col("clip_start_s"), F.col("clip_end_s"), organize_by))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for c in pdf.itertuples():
-                rate = wav.parse_header(c.content)[2]
-                first = int(c.clip_start_s * rate)
-                audio, _ = wav.decode(c.content, first, max(0, int(c.clip_end_s * rate) - first))
-                target = f"{root}/{c.clip}"
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                part = f"{target}.{os.getpid()}"
-                with open(part, "wb") as out:
-                    out.write(wav.encode(audio, rate))
-                os.replace(part, target)
+            for path, own in pdf.groupby("path", sort=False):
+                with wav.Source(path) as source:
+                    wave = wav.Wave(source)
+                    for c in own.itertuples():
+                        target = f"{root}/{c.clip}"
+                        os.makedirs(os.path.dirname(target), exist_ok=True)
+                        part = f"{target}.{uuid.uuid4().hex}"
+                        with open(part, "wb") as out:
+                            out.write(wav.encode(wave.seconds(c.clip_start_s, c.clip_end_s), wave.rate))
+                        os.replace(part, target)
             yield pdf[["path", "event_index", "clip"]]
 
-    own = files.select("path", "content").join(named.select("path", "event_index", "clip", "clip_start_s", "clip_end_s"), "path")
-    return own.mapInPandas(cut, "path string, event_index long, clip string")
+    return named.select("path", "event_index", "clip", "clip_start_s", "clip_end_s").mapInPandas(cut, "path string, event_index long, clip string")
 
 
 def max_rate(probes: DataFrame, first: int = 50) -> DataFrame:

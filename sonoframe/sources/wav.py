@@ -1,9 +1,14 @@
-"""WAV recordings as DataFrames: discovery, header probe, block scan to per-frame features, ranged reads."""
+"""WAV recordings as DataFrames: discovery, header probe, block scan to per-frame features, ranged reads.
+
+Tasks read files by range under their path: a header costs some bytes, a clip its own samples. Local paths and those of Arrow's file
+systems work so. With content=True Spark reads whole files instead (of less than 2 GB), for stores that only Spark can open.
+"""
 
 from __future__ import annotations
 
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +18,108 @@ from pyspark.sql import functions as F
 from sonoframe.functions import kernels
 from sonoframe.functions.bands import AUDIBLE
 from sonoframe.functions.text import recorder_datetime
+from sonoframe.session import ship
+
+
+class Source:
+    """A file's bytes by range, from its path or from bytes that are at hand."""
+
+    def __init__(self, path: str, raw: bytes | None = None):
+        self.raw, self.file = raw, None
+        if raw is not None:
+            self.size = len(raw)
+        elif re.match(r"file:|/", path):
+            self.file = open(re.sub(r"^file:(//)?", "", path), "rb")  # noqa: SIM115
+            self.size = self.file.seek(0, 2)
+        else:
+            from pyarrow import fs
+
+            system, name = fs.FileSystem.from_uri(path)
+            self.file = system.open_input_file(name)
+            self.size = self.file.size()
+
+    def read(self, start: int, n: int) -> bytes:
+        if self.file is None:
+            return self.raw[start : start + n]
+        self.file.seek(start)
+        return self.file.read(n)
+
+    def __enter__(self) -> Source:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
+class Wave:
+    """Header and samples of a RIFF file."""
+
+    def __init__(self, source: Source):
+        self.source, self.comment, fmt = source, "", None
+        head = source.read(0, 12)
+        if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+            raise ValueError("not a RIFF WAVE file")
+        at = 12
+        while at + 8 <= source.size:
+            name, size = struct.unpack("<4sI", source.read(at, 8))
+            if name == b"fmt ":
+                own = source.read(at + 8, min(size, 40))
+                kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", own)
+                fmt = (struct.unpack_from("<H", own, 24)[0] if kind == 0xFFFE and len(own) >= 26 else kind, channels, rate, bits)
+            elif name == b"LIST" and size < 1 << 16:
+                self.comment = _comment(source.read(at + 8, size)) or self.comment
+            elif name == b"data" and fmt:
+                self.kind, self.channels, self.rate, self.bits = fmt
+                self.width = self.channels * self.bits // 8
+                self.first, self.frames = at + 8, min(size, source.size - at - 8) // self.width
+                return
+            at += 8 + size + size % 2
+        raise ValueError("no audio data")
+
+    def samples(self, start: int = 0, n: int | None = None) -> np.ndarray:
+        """Samples from frame `start` on, as doubles in -1 to 1, channels averaged."""
+        n = max(0, min(self.frames - start, self.frames if n is None else n))
+        own = self.source.read(self.first + start * self.width, n * self.width)
+        if self.kind == 3:
+            x = np.frombuffer(own, f"<f{self.bits // 8}").astype(np.float64)
+        elif self.bits == 8:
+            x = (np.frombuffer(own, np.uint8).astype(np.float64) - 128) / 128
+        elif self.bits == 24:
+            b = np.frombuffer(own, np.uint8).reshape(-1, 3).astype(np.int32)
+            x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8) / float(1 << 23)
+        else:
+            x = np.frombuffer(own, f"<i{self.bits // 8}").astype(np.float64) / float(1 << self.bits - 1)
+        return x.reshape(-1, self.channels).mean(axis=1)
+
+    def seconds(self, start: float, end: float) -> np.ndarray:
+        first = int(start * self.rate)
+        return self.samples(first, max(0, int(end * self.rate) - first))
+
+
+def _comment(chunk: bytes) -> str:
+    """The comment of an INFO list."""
+    at = 4
+    while chunk[:4] == b"INFO" and at + 8 <= len(chunk):
+        name, size = struct.unpack_from("<4sI", chunk, at)
+        if name == b"ICMT":
+            return chunk[at + 8 : at + 8 + size].split(b"\0")[0].decode("utf-8", "replace").strip()
+        at += 8 + size + size % 2
+    return ""
+
+
+def decode(raw: bytes, start: int = 0, frames: int | None = None) -> tuple[np.ndarray, int]:
+    """Samples of WAV bytes, and their rate."""
+    wave = Wave(Source("", raw))
+    return wave.samples(start, frames), wave.rate
+
+
+def encode(audio: np.ndarray, rate: int, comment: str = "") -> bytes:
+    """16-bit mono WAV bytes."""
+    data = np.clip(np.round(audio * 32767), -32768, 32767).astype("<i2").tobytes()
+    text = comment.encode() + b"\0" * (1 + (len(comment.encode()) + 1) % 2)
+    info = b"LIST" + struct.pack("<I", 12 + len(text)) + b"INFOICMT" + struct.pack("<I", len(text)) + text if comment else b""
+    return b"RIFF" + struct.pack("<I", 36 + len(info) + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate * 2, 2, 16) + info + b"data" + struct.pack("<I", len(data)) + data
 
 
 def recordings(spark: SparkSession, *paths: str, distinct: bool = True) -> DataFrame:
@@ -29,90 +136,63 @@ def listing(files: DataFrame) -> DataFrame:
     return files.select("path", "length", "modificationTime").orderBy("path")
 
 
-def parse_header(raw: bytes) -> tuple[int, int, int, int, int, int]:
-    """(format, channels, rate, bits, first data byte, data bytes) of a RIFF file."""
-    if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
-        raise ValueError("not a RIFF WAVE file")
-    at, fmt = 12, None
-    while at + 8 <= len(raw):
-        name, size = raw[at : at + 4], struct.unpack_from("<I", raw, at + 4)[0]
-        if name == b"fmt ":
-            kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", raw, at + 8)
-            fmt = (struct.unpack_from("<H", raw, at + 32)[0] if kind == 0xFFFE else kind, channels, rate, bits)
-        elif name == b"data" and fmt:
-            return (*fmt, at + 8, min(size, len(raw) - at - 8))
-        at += 8 + size + size % 2
-    raise ValueError("no audio data")
+def _by_file(files: DataFrame, kernel: Callable[[str, Wave], Iterator[pd.DataFrame]], schema: str, content: bool) -> DataFrame:
+    """kernel's frames of every file, one file open at a time."""
+    ship(files.sparkSession)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, raw in zip(pdf["path"], pdf["content"] if content else [None] * len(pdf), strict=True):
+                with Source(path, raw) as source:
+                    yield from kernel(path, Wave(source))
 
-def decode(raw: bytes, start: int = 0, frames: int | None = None) -> tuple[np.ndarray, int]:
-    """Samples from frame `start` on, as doubles in -1 to 1, channels averaged; and the rate."""
-    kind, channels, rate, bits, first, size = parse_header(raw)
-    width = channels * bits // 8
-    n = max(0, min(size // width - start, frames if frames is not None else size // width))
-    own = raw[first + start * width : first + (start + n) * width]
-    if kind == 3:
-        x = np.frombuffer(own, f"<f{bits // 8}").astype(np.float64)
-    elif bits == 8:
-        x = (np.frombuffer(own, np.uint8).astype(np.float64) - 128) / 128
-    elif bits == 24:
-        b = np.frombuffer(own, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8) / float(1 << 23)
-    else:
-        x = np.frombuffer(own, f"<i{bits // 8}").astype(np.float64) / float(1 << bits - 1)
-    return x.reshape(-1, channels).mean(axis=1), rate
-
-
-def encode(audio: np.ndarray, rate: int) -> bytes:
-    """16-bit mono WAV bytes."""
-    data = np.clip(np.round(audio * 32767), -32768, 32767).astype("<i2").tobytes()
-    return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate * 2, 2, 16) + b"data" + struct.pack("<I", len(data)) + data
+    # without contents a file is a thin row, so rows are dealt out by path: the scan's own splits hold many files each
+    rows = files.select("path", "content") if content else files.select("path").repartition("path")
+    return rows.mapInPandas(run, schema)
 
 
-def probe(files: DataFrame) -> DataFrame:
-    """path, samplerate_hz, duration_s, recorded_at, error: what the header and the name say, or why they can't be read."""
+def probe(files: DataFrame, content: bool = False) -> DataFrame:
+    """path, samplerate_hz, duration_s, comment, recorded_at, error: what header and name say, or why they can't be read."""
+    ship(files.sparkSession)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for path, raw in zip(pdf["path"], pdf["content"], strict=True):
+            for path, raw in zip(pdf["path"], pdf["content"] if content else [None] * len(pdf), strict=True):
                 try:
-                    _, channels, rate, bits, _, size = parse_header(raw)
-                    rows.append((path, rate, size // (channels * bits // 8) / rate, None))
-                except (ValueError, struct.error, ZeroDivisionError) as e:
-                    rows.append((path, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["path", "samplerate_hz", "duration_s", "error"]).astype({"samplerate_hz": "Int64"})
+                    with Source(path, raw) as source:
+                        wave = Wave(source)
+                    rows.append((path, wave.rate, wave.frames / wave.rate, wave.comment, None))
+                except (ValueError, OSError, struct.error, ZeroDivisionError) as e:
+                    rows.append((path, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "samplerate_hz", "duration_s", "comment", "error"]).astype({"samplerate_hz": "Int64"})
 
     stem = F.regexp_extract("path", "([^/]+)\\.[^./]+$", 1)
-    return files.select("path", "content").mapInPandas(read, "path string, samplerate_hz long, duration_s double, error string").withColumn("recorded_at", recorder_datetime(stem))
+    rows = files.select("path", "content") if content else files.select("path")
+    return rows.mapInPandas(read, "path string, samplerate_hz long, duration_s double, comment string, error string").withColumn("recorded_at", recorder_datetime(stem))
 
 
-def frame_features(files: DataFrame, bands: dict = AUDIBLE, frame: int = 2048, hop: int = 512, target_rate: int = 48000, block: int = 4096) -> DataFrame:
+def frame_features(files: DataFrame, bands: dict = AUDIBLE, frame: int = 2048, hop: int = 512, target_rate: int = 48000, block: int = 4096, content: bool = False) -> DataFrame:
     """path, frame_idx, t_s, flux, centroid, flatness, band_energies of each frame.
 
     A file is read in blocks of `block` frames that overlap by a frame less a hop, so frames tile as in a whole read, and
-    the last magnitude is carried over; memory does not grow with the recording beyond its bytes.
+    the last magnitude is carried over. Resampling is by block too: memory does not grow with the recording.
     """
 
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, raw in zip(pdf["path"], pdf["content"], strict=True):
-                _, channels, rate, bits, _, size = parse_header(raw)
-                whole = 0 < target_rate < rate
-                total, done, before = size // (channels * bits // 8), 0, None
-                audio, own_rate = kernels.resample(*decode(raw), target_rate) if whole else (None, rate)
-                total = len(audio) if whole else total
-                freqs = kernels.frequency_axis(own_rate, frame)
-                while done * hop + frame <= total:
-                    start, n = done * hop, (block - 1) * hop + frame
-                    mag = kernels.magnitudes(audio[start : start + n] if whole else decode(raw, start, n)[0], frame, hop)
-                    series = kernels.frame_series(mag, freqs, bands, before)
-                    at = done + np.arange(len(mag))
-                    energies = [dict(zip(bands, v, strict=True)) for v in zip(*(series[b] for b in bands), strict=True)]
-                    yield pd.DataFrame({"path": path, "frame_idx": at, "t_s": at * hop / own_rate, "flux": series["flux"], "centroid": series["centroid"], "flatness": series["flatness"], "band_energies": energies})
-                    before, done = mag[-1], done + len(mag)
-
-    return files.select("path", "content").mapInPandas(stream, "path string, frame_idx long, t_s double, flux double, centroid double, flatness double, band_energies map<string,double>")
+    def stream(path: str, wave: Wave) -> Iterator[pd.DataFrame]:
+        rate = target_rate if 0 < target_rate < wave.rate else wave.rate
+        total, done, before = kernels.resampled_length(wave.frames, wave.rate, rate), 0, None
+        freqs = kernels.frequency_axis(rate, frame)
+        while done * hop + frame <= total:
+            n = min((block - 1) * hop + frame, total - done * hop)
+            mag = kernels.magnitudes(kernels.resample_range(wave.samples, wave.frames, wave.rate, rate, done * hop, n), frame, hop)
+            series = kernels.frame_series(mag, freqs, bands, before)
+            at = done + np.arange(len(mag))
+            energies = [dict(zip(bands, v, strict=True)) for v in zip(*(series[b] for b in bands), strict=True)]
+            yield pd.DataFrame({"path": path, "frame_idx": at, "t_s": at * hop / rate, "flux": series["flux"], "centroid": series["centroid"], "flatness": series["flatness"], "band_energies": energies})
+            before, done = mag[-1], done + len(mag)
+
+    return _by_file(files, stream, "path string, frame_idx long, t_s double, flux double, centroid double, flatness double, band_energies map<string,double>", content)
 
 
 def detect_baseline(frames: DataFrame, seconds: float = 60.0) -> DataFrame:
@@ -126,45 +206,46 @@ def detect_baseline(frames: DataFrame, seconds: float = 60.0) -> DataFrame:
         pdf["median"], pdf["mad"] = kernels.baseline(pdf["flux"].to_numpy(), window)
         return pdf
 
+    ship(frames.sparkSession)
     own = frames.select("path", "frame_idx", "t_s", "flux")
     return own.groupBy("path").applyInPandas(add, "path string, frame_idx long, t_s double, flux double, median double, mad double")
 
 
-def measure_clips(files: DataFrame, clips: DataFrame, frame: int = 2048, hop: int = 512) -> DataFrame:
-    """Indices and band features of clips. clips: path, event_index, onset_s, offset_s, clip_start_s, clip_end_s, lo_hz, hi_hz."""
+def measure_clips(clips: DataFrame, frame: int = 2048, hop: int = 512) -> DataFrame:
+    """Indices and band features of clips, each read by range. clips: path, event_index, onset_s, offset_s, clip_start_s, clip_end_s, lo_hz, hi_hz."""
+    ship(clips.sparkSession)
     names = ["aci", "bio", "ndsi", "adi", "aei", "band_crest", "band_entropy", "band_centroid", "periodicity", "pulse_rate_hz", "context_periodicity", "context_rate_hz"]
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for c in pdf.itertuples():
-                rate = parse_header(c.content)[2]
-                first = int(c.clip_start_s * rate)
-                mag = kernels.magnitudes(decode(c.content, first, max(0, int(c.clip_end_s * rate) - first))[0], frame, hop)
-                freqs, fps = kernels.frequency_axis(rate, frame), rate / hop
-                f0 = min(max(int((c.onset_s - c.clip_start_s) * fps), 0), max(len(mag) - 1, 0))
-                f1 = max(int(min(len(mag), (c.offset_s - c.clip_start_s) * fps) + 1), f0 + 1)
-                rows.append({"path": c.path, "event_index": c.event_index} | kernels.indices(mag, freqs) | kernels.band_features(mag[f0:f1], freqs, c.lo_hz, c.hi_hz, fps, mag))
+            for path, own in pdf.groupby("path", sort=False):
+                with Source(path) as source:
+                    wave = Wave(source)
+                    freqs, fps = kernels.frequency_axis(wave.rate, frame), wave.rate / hop
+                    for c in own.itertuples():
+                        mag = kernels.magnitudes(wave.seconds(c.clip_start_s, c.clip_end_s), frame, hop)
+                        f0 = min(max(int((c.onset_s - c.clip_start_s) * fps), 0), max(len(mag) - 1, 0))
+                        f1 = max(int(min(len(mag), (c.offset_s - c.clip_start_s) * fps) + 1), f0 + 1)
+                        rows.append({"path": path, "event_index": c.event_index} | kernels.indices(mag, freqs) | kernels.band_features(mag[f0:f1], freqs, c.lo_hz, c.hi_hz, fps, mag))
             yield pd.DataFrame(rows, columns=["path", "event_index", *names])
 
-    return files.select("path", "content").join(clips, "path").mapInPandas(measure, f"path string, event_index long, {', '.join(f'{n} double' for n in names)}")
+    own = clips.select("path", "event_index", "onset_s", "offset_s", "clip_start_s", "clip_end_s", "lo_hz", "hi_hz")
+    return own.mapInPandas(measure, f"path string, event_index long, {', '.join(f'{n} double' for n in names)}")
 
 
-def file_indices(files: DataFrame, longest: float = 60.0, slices: int = 6, slice_s: float = 10.0, frame: int = 2048, hop: int = 512) -> DataFrame:
-    """Indices of each file: of all of it up to `longest` seconds, else of evenly spaced slices joined together."""
+def file_indices(files: DataFrame, longest: float = 60.0, slices: int = 6, frame: int = 2048, hop: int = 512, content: bool = False) -> DataFrame:
+    """Indices of each file and the seconds that they are of: all of it up to `longest` seconds, else evenly spaced slices joined together."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, raw in zip(pdf["path"], pdf["content"], strict=True):
-                _, channels, rate, bits, _, size = parse_header(raw)
-                total = size // (channels * bits // 8)
-                if total / rate <= longest:
-                    audio = decode(raw)[0]
-                else:
-                    n = int(slice_s * rate)
-                    audio = np.concatenate([decode(raw, int(s), n)[0] for s in np.linspace(0, total - n, slices)])
-                rows.append({"path": path} | kernels.indices(kernels.magnitudes(audio, frame, hop), kernels.frequency_axis(rate, frame)))
-            yield pd.DataFrame(rows, columns=["path", "aci", "bio", "ndsi", "adi", "aei"])
-
-    return files.select("path", "content").mapInPandas(read, "path string, aci double, bio double, ndsi double, adi double, aei double")
+    def read(path: str, wave: Wave) -> Iterator[pd.DataFrame]:
+        want = int(longest * wave.rate)
+        if wave.frames <= want:
+            audio = wave.samples()
+        else:
+            each = want // slices
+            step = (wave.frames - each) // max(1, slices - 1)
+            audio = np.concatenate([wave.samples(i * step, each) for i in range(slices)])
+        found = kernels.indices(kernels.magnitudes(audio, frame, hop), kernels.frequency_axis(wave.rate, frame))
+        yield pd.DataFrame([{"path": path} | found | {"estimated_from_s": round(len(audio) / wave.rate, 1)}])
+
+    return _by_file(files, read, "path string, aci double, bio double, ndsi double, adi double, aei double, estimated_from_s double", content)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sonoframe.session import ship
+from sonoframe.session import new_path, ship
 
 
 def sessions(crossings: DataFrame, key: str, time: str, value: str, gap: str, late: str) -> DataFrame:
@@ -40,3 +40,12 @@ def thin(events: DataFrame, key: str, time: str, separation: float) -> DataFrame
     ship(events.sparkSession)
     thinned = events.select(F.col(key).alias("key"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("at"))
     return thinned.groupBy("key").applyInPandasWithState(step, f"key {thinned.schema['key'].dataType.simpleString()}, at double", "last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """All that a stream has now, in as many batches as it takes, as a written table in the shared folder."""
+    spark = stream.sparkSession
+    path = new_path(spark, name)
+    query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start(path)
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)

@@ -163,9 +163,11 @@ def test_wav_source(spark, audio_dir):
     loud = detect.islands(above, "path", "frame_idx", F.col("above"), "t_s", "flux").orderBy(F.desc("peak_flux")).first()
     assert 1.4 < loud.onset_s < 1.6
     clip = whole.select("path").selectExpr("path", "1L event_index", "1.5D onset_s", "2.0D offset_s", "1.0D clip_start_s", "2.5D clip_end_s", "2000.0D lo_hz", "4000.0D hi_hz")
-    measured = wav.measure_clips(whole, clip).first()
+    measured = wav.measure_clips(clip).first()
     assert abs(measured.band_centroid - 3000) < 100 and measured.band_crest > 5
-    assert wav.file_indices(whole, longest=1.0, slices=3, slice_s=0.5).first().aci > 0
+    assert wav.file_indices(whole, longest=1.5, slices=3).first().estimated_from_s == 1.5 and wav.file_indices(whole, content=True).first().aci > 0
+    by_content = sorted((r.frame_idx, round(r.flux, 9)) for r in wav.frame_features(whole, content=True).collect())
+    assert by_content == small and wav.probe(files, content=True).filter("error IS NULL").count() == 1
 
 
 def test_results_round_trip(spark, tmp_path):
