@@ -89,11 +89,12 @@ def dawn_shift(dawn: DataFrame, least: float = 15.0) -> DataFrame:
 def shifts(days: DataFrame, day_roles: DataFrame, dawn: DataFrame, breeding: float = 2.0, adi: float = 0.5, jump: int = 3) -> DataFrame:
     """(type, day, day_of_year, magnitude) of changes against the recorded day before; gaps are not filled.
 
-    days: day, day_of_year, low, high (band energies), adi, n_geophony. day_roles: day, roles (array).
+    days: day, day_of_year, low, high (band energies), adi, n_geophony. day_roles: day, roles (array); a day without any has none.
     """
     by_day = W.orderBy("day")
     before = lambda c: F.lag(c).over(by_day)
-    paired = days.join(day_roles, "day").withColumns({f"_{c}": before(c) for c in ("low", "high", "adi", "n_geophony", "roles")}).filter(F.col("_adi").isNotNull())
+    whole = days.join(day_roles, "day", "left").withColumns({"roles": F.coalesce("roles", F.array().cast("array<string>")), "adi": F.coalesce("adi", F.lit(0.0))})
+    paired = whole.withColumns({f"_{c}": before(c) for c in ("day", "low", "high", "adi", "n_geophony", "roles")}).filter(F.col("_day").isNotNull())
     ratio = lambda c: F.col(c) / F.greatest(F.col(f"_{c}"), F.lit(1e-10))
     night = F.array(*[F.lit(r) for r in NOCTURNAL])
     turned = F.size(F.array_intersect(F.array_except("roles", "_roles"), night)) + F.size(F.array_intersect(F.array_except("_roles", "roles"), night))

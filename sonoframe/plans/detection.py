@@ -12,7 +12,7 @@ from sonoframe.functions import bands as B
 from sonoframe.functions.text import normalize_cover
 from sonoframe.operators import calendar, census, classify, detect, metadata, sites
 from sonoframe.session import staged
-from sonoframe.sources import wav
+from sonoframe.sources import annotations, wav
 
 
 @dataclass(frozen=True)
@@ -151,4 +151,22 @@ def calendar_of(found: DataFrame, recordings: DataFrame | None = None) -> dict[s
     made = None if recordings is None else recordings.filter("recorded_at IS NOT NULL").select(F.col("path").alias("recording"), *start("recorded_at"))
     dawn = calendar.dawn_onset(dated)
     pattern = calendar.diel_pattern(dated, made)
-    return {"daily": calendar.daily(dated, made), "hourly": calendar.hourly(dated, made, by_start=True), "diel": pattern, "diel_table": calendar.diel_table(pattern), "dawn": dawn, "dawn_shift": calendar.dawn_shift(dawn), "census": census.parliament(dated, ["recording"]), "census_all": census.parliament_rollup(dated, "recording")}
+    more = {} if recordings is None or "indices" not in recordings.columns else frames_and_shifts(dated, recordings, calendar.daily(dated, made), dawn)
+    return more | {"daily": calendar.daily(dated, made), "hourly": calendar.hourly(dated, made, by_start=True), "diel": pattern, "diel_table": calendar.diel_table(pattern), "dawn": dawn, "dawn_shift": calendar.dawn_shift(dawn), "census": census.parliament(dated, ["recording"]), "census_all": census.parliament_rollup(dated, "recording")}
+
+
+def frames_and_shifts(dated: DataFrame, recordings: DataFrame, daily: DataFrame, dawn: DataFrame) -> dict[str, DataFrame]:
+    """Control frames of all days, and changes from day to day. recordings: path, recorded_at, indices, band_energies."""
+    day = F.to_date("recorded_at").alias("day")
+    measured = recordings.filter("recorded_at IS NOT NULL").groupBy(day).agg(*[F.avg(F.col("indices")[i]).alias(i) for i in ("ndsi", "adi", "aci")], *[F.sum(F.col("band_energies")[b]).alias(n) for b, n in (("biophony_low", "low"), ("biophony_high", "high"))])
+    days = daily.join(measured, "day", "left").join(dawn.select("day", F.col("onset_minutes").alias("dawn")), "day", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("double")
+    days = days.withColumns({"activity": F.col("events_per_recording"), "richness": F.col("richness").cast("double"), **{d: zero(f"{d}_share") for d in ("biophony", "geophony", "anthrophony")}, **{c: zero(c) for c in ("ndsi", "adi", "aci", "low", "high")}})
+    roles = dated.groupBy("day").agg(F.collect_set("role").alias("roles"))
+    return {"frames": calendar.cv_frames(days.drop("low", "high")), "shifts": calendar.shifts(days.select("day", "day_of_year", "low", "high", "adi", "n_geophony"), roles, dawn)}
+
+
+def export(found: DataFrame, root: str, organize_by: str = "role", s: Settings = Settings()) -> DataFrame:
+    """Events with the clip that was cut for each selected one below root, or why there is none."""
+    cut = annotations.cut_clips(clips(found, s), root, organize_by).select("path", F.col("event_index").cast("int").alias("event_index"), F.col("clip").alias("clip_path"))
+    return found.join(staged(cut, "clips"), ["path", "event_index"], "left").withColumn("clip_skipped", F.when(F.col("clip_path").isNull(), "not selected"))

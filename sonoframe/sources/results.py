@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +35,8 @@ def read_results(spark: SparkSession, path: str, multi_line: bool = False) -> Da
 
 def events_of(results: DataFrame) -> DataFrame:
     """A row for each event of each recording."""
-    return results.select("filename", "recorded_at", "habitat", "season", F.explode("events").alias("_e")).select("filename", "recorded_at", "habitat", "season", "_e.*")
+    own = [c for c in ("path", "filename", "recorded_at", "habitat", "season") if c in results.columns]
+    return results.select(*own, F.explode("events").alias("_e")).select(*own, "_e.*")
 
 
 def gallery(events: DataFrame, base: str) -> DataFrame:
@@ -70,3 +73,19 @@ def write_csv(frames: DataFrame, path: str) -> None:
 def write_lines(lines: DataFrame, path: str) -> None:
     """Text lines in their order."""
     lines.coalesce(1).write.mode("overwrite").text(path)
+
+
+def find_first(start: str, patterns: tuple[str, ...], upward: int = 1) -> str | None:
+    """The first file, by name, of the first pattern that has any, at a local folder or one of those above it: a station table
+    beside the recordings ("Ubicacion/KML/*.kml", "*.kml", "**/AudioMoth.kml"), a stored calendar ("**/calendar*.json")."""
+    here = Path(start).resolve()
+    here = here.parent if here.is_file() else here
+    for folder in [here, *here.parents][:upward]:
+        for pattern in patterns:
+            if found := sorted(folder.glob(pattern)):
+                return str(found[0])
+    return None
+
+
+#: where station tables lie
+STATION_TABLES = ("Ubicacion/KML/*.kml", "*.kml", "**/AudioMoth.kml")

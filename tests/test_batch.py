@@ -50,6 +50,7 @@ def test_results_calendar_and_commands(spark, found, tmp_path):
     results.write_results(detection.results(found), out)
     back = results.events_of(results.read_results(spark, out))
     assert back.count() == found.count() and back.filter("recorded_at IS NULL").count() == 0
+    assert cli.main(["osc", out, "--mode", "map"], spark) == 0
     days = detection.calendar_of(found)
     assert days["daily"].count() == 2 and days["diel"].filter("n_recordings > 0").count() == 2 and days["hourly"].agg(F.sum("n_events")).first()[0] == found.count()
     assert cli.main(["phenology", out, "--output", str(tmp_path / "cal")], spark) == 0 and spark.read.json(str(tmp_path / "cal" / "daily")).count() == 2
@@ -121,3 +122,75 @@ def test_header_and_role_messages(spark):
     hours = spark.range(24).select(F.lit(1).alias("day"), F.col("id").cast("int").alias("hour"), F.col("id").alias("n_events"))
     assert timeline.hourly_messages(hours).first().args == [str(i) for i in range(24)] and calendar.heatmap(hours).first()["7"] == 7
     assert timeline.address_map()["/query/prev"] == "request"
+
+
+@pytest.fixture(scope="module")
+def silent(tmp_path_factory):
+    """One loud and two silent recordings on two days, a station table above them, and a header comment."""
+    top = tmp_path_factory.mktemp("survey")
+    root = top / "audio" / "Pastos limpios"
+    root.mkdir(parents=True)
+    rng = np.random.default_rng(6)
+    t = np.arange(RATE * 8) / RATE
+    comment = "Recorded at 05:15:00 05/03/2024 (UTC) by AudioMoth 24E144085F256D88 at medium gain while battery was 4.2V and temperature was 19.2C."
+    for name, loud in (("20240305_051500", True), ("20240305_061500", False), ("20240306_051500", False)):
+        x = 1e-3 * rng.normal(size=len(t)) + (0.4 * np.sin(2 * np.pi * 3000 * t) * (np.sin(2 * np.pi * 8 * t) > 0) * ((t > 4) & (t < 5)) if loud else 0)
+        (root / f"{name}.WAV").write_bytes(wav.encode(x, RATE, comment if loud else ""))
+    (root / "broken.wav").write_bytes(b"nothing")
+    (top / "places.kml").write_text('<kml><Placemark><SimpleData name="ID_MUES_PT">P7</SimpleData><SimpleData name="N_COBERT">Pastos Limpios</SimpleData><SimpleData name="FEC_MUEST">2024/03/04</SimpleData><Point><coordinates>-74.5,4.5,0</coordinates></Point></Placemark></kml>')
+    return root
+
+
+def test_silent_recordings_count(spark, silent, tmp_path):
+    s = detection.Settings(factor=12.0, min_duration=0.2, merge_gap=0.5)
+    made, found = detection.analyse(spark, str(silent), settings=s)
+    rows = {r.filename: r for r in made.collect()}
+    assert len(rows) == 4 and rows["broken.wav"].error and rows["20240305_051500.WAV"].temperature_c == 19.2 and rows["20240305_051500.WAV"].audiomoth_id == "24E144085F256D88" and rows["20240306_051500.WAV"].temperature_c is None
+    heard = {r.path.rsplit("/", 1)[1] for r in found.collect()}
+    stored = {r.filename: r for r in detection.results(found, made).collect()}
+    assert set(stored) == {n for n in rows if n != "broken.wav"} and all((stored[n].n_events > 0) == (n in heard) for n in stored) and "20240305_051500.WAV" in heard
+    days = {str(r.day): r for r in detection.calendar_of(found.filter("path LIKE '%20240305_051500%'"), made)["daily"].collect()}
+    assert [days[d].n_recordings for d in sorted(days)] == [2, 1] and days["2024-03-06"].dominant_role == "silence" and days["2024-03-06"].n_events == 0 and days["2024-03-06"].biophony_share is None
+    assert days["2024-03-05"].events_per_recording == days["2024-03-05"].n_events / 2
+
+
+def test_detect_writes_results_clips_and_calendar(spark, silent, tmp_path):
+    out = str(tmp_path / "out")
+    assert cli.main([str(silent), "-o", out, "--threshold", "12", "--min-duration", "0.2", "--merge-gap", "0.5", "--phenology", "--days-per-second", "2"], spark) == 0
+    stored = results.read_results(spark, f"{out}/results")
+    assert stored.count() == 3 and stored.filter("n_events = 0").count() >= 1
+    ev = results.events_of(stored).collect()
+    assert all(r.station_id == "P7" and r.latitude == 4.5 and r.clip_path and (tmp_path / "out" / r.clip_path).exists() and r.aci is not None for r in ev) and ev
+    assert spark.read.json(f"{out}/phenology/frames").count() == 2 and spark.read.text(f"{out}/phenology/messages").count() >= 2 * 13
+    assert cli.main(["metadata", str(silent), "-o", f"{out}/meta", "--text", "wav"], spark) == 0
+    assert spark.read.json(f"{out}/meta/files").count() == 4 and spark.read.json(f"{out}/meta/summary").first().n_errors == 1 and spark.read.json(f"{out}/meta/temperatures").count() == 1
+    for mode in ("phenology", "score"):
+        assert cli.main(["osc", f"{out}/results", "-o", f"{out}/{mode}", "--mode", mode], spark) == 0 and spark.read.text(f"{out}/{mode}").count() > 20
+    assert cli.main(["gallery", f"{out}/results", "-o", f"{out}/gal"], spark) == 0 and spark.read.json(f"{out}/gal/roles").count() >= 1
+    tables = tmp_path / "ref"
+    tables.mkdir()
+    (tables / "20240305_051500.txt").write_text("Begin Time (s)\tEnd Time (s)\tSpecies\n4.0\t5.0\ta\n")
+    assert cli.main(["validate", str(silent), str(tables), "--sweep", "-o", f"{out}/sweep"], spark) == 0 and spark.read.json(f"{out}/sweep").count() == 30
+
+
+def test_workers_need_not_have_the_package(silent, tmp_path):
+    """A session of its own whose workers' path lacks this repository."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys; sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+from sonoframe.plans import detection
+from sonoframe.operators import matching
+assert detection.detect_files(spark, {str(silent)!r}, settings=detection.Settings(factor=12.0, min_duration=0.2)).count() > 0
+pairs = spark.createDataFrame([("f", 1, 1, 0.5)], "file string, det int, ref int, distance double")
+assert matching.match_greedy(pairs, ["file"], "distance").count() == 1
+"""
+    import os
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-2000:]
