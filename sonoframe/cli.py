@@ -98,7 +98,7 @@ def _detect(spark: SparkSession, args: argparse.Namespace) -> None:
     made, found = detection.analyse(spark, *args.inputs, settings=s, stations=stations)
     if not args.json_only:
         found = detection.export(detection.measured(found), args.output, args.organize_by, s)
-    results.write_results(detection.results(found, made), f"{args.output}/results")
+    results.write_results(detection.results(found, made), f"{args.output}/results", folders=True)
     if not args.no_osc and not args.json_only:
         results.write_lines(timeline.bundle_lines(timeline.event_messages(found.withColumn("event_id", F.col("event_index"))).orderBy("at", "event_id", "seq")), f"{args.output}/messages")
     if args.phenology:

@@ -172,6 +172,16 @@ def indices(mag: np.ndarray, freqs: np.ndarray, floor_db: float = -50.0) -> dict
     return {k: round(v, 4) for k, v in out.items()}
 
 
+def exact_baseline(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Median and median deviation of the last `width` values at each place, fewer at the start."""
+    median, mad = np.empty(len(values)), np.empty(len(values))
+    for i in range(len(values)):
+        own = values[max(0, i - width + 1) : i + 1]
+        median[i] = np.median(own)
+        mad[i] = np.median(np.abs(own - median[i]))
+    return median, mad
+
+
 def baseline(flux: np.ndarray, window: int, anchors: int = 2000, warmup: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Causal running median and median deviation: exact at anchors, linear between them.
 

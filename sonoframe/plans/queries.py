@@ -10,8 +10,10 @@ from sonoframe.functions import bands as B
 from sonoframe.functions import spectral as S
 from sonoframe.functions import text as X
 from sonoframe.operators import calendar, census, classify, detect, matching, metadata, series, sites, spectrogram, timeline
-from sonoframe.plans import validation
-from sonoframe.plans.views import BANDS, RATE, acoustic_events, energies, heard, recordings_made, spectral_frames, table
+from sonoframe.plans import detection, validation
+from sonoframe.plans.views import BANDS, RATE, acoustic_events, energies, field_audio, heard, recordings_made, spectral_frames, table
+from sonoframe.session import new_path
+from sonoframe.sources import annotations, results
 from sonoframe.streaming import sessions
 
 _before = lambda: F.lag("peak_flux").over(W.partitionBy("recording").orderBy("onset_s", "event_id"))
@@ -444,3 +446,106 @@ def q63_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, ref = _annotations(spark, sf_dir)
     scored = validation.report(validation.sweep(frames, grid), ref, grid, 1800.0)
     return scored.select("config", "tp", "fp", "fn", "precision", "recall", "f1")
+
+
+def q64_stream_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The causal median and deviation on a stream, with the last values as state."""
+    rows = sessions.drained(sessions.running_baseline(_stream(spark, sf_dir), "user_id", "ts", "value", 20), "stream-baseline")
+    return rows.select(F.col("key").alias("user_id"), F.round("at", 6).alias("at"), F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))
+
+
+def q65_stream_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectral flux of a stream of frames, with the last frame as state."""
+    known = table(spark, sf_dir, "embeddings").schema
+    frames = spark.readStream.schema(known).parquet(f"{sf_dir}/embeddings.parque[t]").withColumn("mag", F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    rows = sessions.drained(sessions.flux(frames, "label", "vec_id", "mag"), "stream-flux")
+    return rows.select(F.col("key").alias("recording"), "frame", F.round("flux", 6).alias("flux"))
+
+
+def q66_periodicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pulse trains in a band's energy at ten frames a second."""
+    shape = spectrogram.band_shape(spectral_frames(spark, sf_dir), "recording", "frame", "mag", RATE, 2000.0, 8000.0, 10.0)
+    return shape.select("recording", "periodicity", "pulse_rate_hz")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as the JSON results of their recordings, silent ones too, and read again."""
+    k = F.col("k")
+    made = recordings_made(spark, sf_dir).withColumn("path", F.concat(F.lit("/out/"), "recording"))
+    ev = heard(spark, sf_dir).select(
+        F.concat(F.lit("/out/"), "recording").alias("path"), F.row_number().over(W.partitionBy("recording").orderBy("onset_s", "event_id")).alias("event_index"), "onset_s", "offset_s", "role", "domain", "dominant_band", "confidence", "peak_flux",
+        F.when(k % 2 == 0, F.concat(F.lit("/out/clips/"), "role", F.lit(" #"), (k % 3).cast("string"), F.lit(".wav"))).alias("clip_path"),
+    )
+    rows = made.select("path", F.when(F.dayofmonth("day") % 3 != 0, F.col("day").cast("timestamp_ntz")).alias("recorded_at"), F.lit("seca").alias("season"), F.lit("pasto").alias("cover"), F.lit(60.0).alias("duration_s"), F.lit(None).cast("string").alias("error"), F.create_map(F.lit("ndsi"), (F.col("rec_hour") / 24)).alias("indices"))
+    path = new_path(spark, "results")
+    results.write_results(detection.results(ev, rows), path)
+    return results.read_results(spark, path)
+
+
+def q67_results_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = _stored(spark, sf_dir)
+    return back.select("filepath", "recorded_at", "habitat", "season", "n_events", "n_clips", F.round("ndsi", 6).alias("ndsi"), F.array_join(F.transform("events", lambda e: e["role"]), ",").alias("roles"))
+
+
+def q68_gallery_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored events that have clips, with portable links, that a search for purchases finds, rain hidden."""
+    shown = results.gallery(results.events_of(_stored(spark, sf_dir)), "/out")
+    return results.search(shown, "PURCH", ("biophony",)).groupBy("role", "domain", "clip_path").agg(F.count("*").alias("n"), F.round(F.max("confidence"), 4).alias("confidence"))
+
+
+def q69_score_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = timeline.event_messages(acoustic_events(spark, sf_dir).filter("role = 'click'"))
+    score = timeline.score_lines(m.filter("addr LIKE '%/role' OR addr LIKE '%/hour' OR addr LIKE '%/confidence'")).withColumn("kind", F.lit("score"))
+    bundle = timeline.bundle_lines(m.filter("addr LIKE '%/role' OR addr LIKE '%/hour' OR addr LIKE '%/confidence'")).withColumn("kind", F.lit("bundle"))
+    return score.unionByName(bundle).groupBy("kind", "value").count().withColumnRenamed("count", "n")
+
+
+def q70_calendar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calendar through its CSV and its JSON, read again."""
+    days, path = calendar.daily(heard(spark, sf_dir), recordings_made(spark, sf_dir)), new_path(spark, "calendar")
+    results.write_csv(days, f"{path}/csv")
+    results.write_calendar(days, f"{path}/json")
+    csv = spark.read.csv(f"{path}/csv", header=True)
+    json = results.read_calendar(spark, f"{path}/json")
+    return csv.select("day", F.col("n_events").cast("long").alias("n_events"), F.col("biophony_share").cast("double").alias("share")).join(json.select("day", "n_recordings", "dominant_role"), "day")
+
+
+def q71_header_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _frames(spark, sf_dir)
+    m = timeline.header_messages(frames, q04_diel_table(spark, sf_dir), q05_dawn_onset(spark, sf_dir), 2.0)
+    return m.select("addr", F.array_join("args", "|").alias("args"))
+
+
+def q72_stepping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days before the first and after the last, around the calendar."""
+    days = q01_daily_calendar(spark, sf_dir).select("day", "n_events")
+    return timeline.step(days, 0, -1).withColumn("step", F.lit("before")).unionByName(timeline.step(days, 3, 2).withColumn("step", F.lit("after")))
+
+
+def q73_deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates by recorder, else by cover, of suppliers as recordings; nations are covers."""
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey").cast("int")
+    rows = s.select("s_suppkey", F.concat(F.lit("am"), (k % 7).cast("string")).alias("audiomoth_id"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("cover"))
+    ids = spark.range(5).select(F.concat(F.lit("am"), F.col("id").cast("string")).alias("key"), F.when(F.col("id") == 3, "").otherwise(F.concat(F.col("id").cast("string"), F.lit(",1"))).alias("coordinates"))
+    covers = table(spark, sf_dir, "nation").filter("n_nationkey < 12").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("key"), F.col("n_name").alias("coordinates"))
+    return annotations.deployments(rows, ids, covers).select("s_suppkey", "coordinates")
+
+
+def q74_stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every so many recordings at even distances, forty of all: the sampling operator, whose limit is its feature."""
+    return annotations.stride_sample(recordings_made(spark, sf_dir).select("recording"), "recording", 40)
+
+
+def q75_role_and_hour_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = heard(spark, sf_dir)
+    roles = timeline.role_messages(ev.groupBy("day", "role").agg(F.count("*").alias("n"))).drop("seq")
+    hours = timeline.hourly_messages(calendar.hourly(ev, recordings_made(spark, sf_dir), by_start=True))
+    return roles.unionByName(hours).select("day", "addr", F.array_join("args", "|").alias("args"))
+
+
+def q76_detection_of_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WAV files of all suppliers through the whole batch: where events are found, in which band, and what silent files give."""
+    made, found = detection.analyse(spark, field_audio(spark, sf_dir), settings=detection.Settings(factor=20.0, min_duration=0.3, merge_gap=0.5))
+    per = found.groupBy("path").agg(F.count("*").alias("n"), F.round(F.min("onset_s")).alias("onset"), F.round(F.max("offset_s")).alias("offset"), F.min(F.array_join(F.transform("roles", lambda r: r), ",")).alias("roles"), F.min_by(F.array_sort(F.transform(F.map_entries("band_energies"), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("b"))))[0]["b"], "event_index").alias("band"))
+    name = F.regexp_extract("path", "([^/]+)$", 1).alias("file")
+    return made.join(per, "path", "left").select(name, "samplerate_hz", F.round("duration_s", 3).alias("duration_s"), "recorded_at", F.coalesce("n", F.lit(0)).alias("n_events"), "onset", "offset", "band")

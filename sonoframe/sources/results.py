@@ -21,9 +21,16 @@ RESULT = (
 )
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """One JSON object a line, a folder for each recording; keyed by the whole path, so equal names don't collide."""
-    results.withColumn("recording_id", F.sha2(F.coalesce("filepath", F.lit("")), 256)).write.mode("overwrite").partitionBy("recording_id").json(path)
+def write_results(results: DataFrame, path: str, folders: bool = False) -> None:
+    """One JSON object a line for each recording, in as many files as there are partitions.
+
+    With folders each recording has one of its own, named by its whole path, so equal file names don't collide: for surveys of
+    thousands of recordings, not for millions.
+    """
+    if folders:
+        results.withColumn("recording_id", F.sha2(F.coalesce("filepath", F.lit("")), 256)).write.mode("overwrite").partitionBy("recording_id").json(path)
+    else:
+        results.write.mode("overwrite").json(path)
 
 
 def read_results(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
