@@ -35,10 +35,13 @@ def parliament_rollup(rows: DataFrame, key: str, role: str = "role") -> DataFram
 
 
 def reels(events: DataFrame, role: str = "role", order: tuple[str, ...] = ("event_id",), most: int = 24, least: int = 2) -> DataFrame:
-    """Up to `most` clips, in event order, of every role that has at least `least`."""
-    own = W.partitionBy(role)
-    placed = events.withColumns({"clip_no": F.row_number().over(own.orderBy(*order)), "n_clips": F.count("*").over(own)})
-    return placed.filter((F.col("n_clips") >= least) & (F.col("clip_no") <= most))
+    """Up to `most` clips, in event order, of every role that has at least `least`.
+
+    Clips are counted apart, in parts, so that the ranking keeps no more than `most` rows of a role and partition.
+    """
+    counts = events.groupBy(role).agg(F.count("*").alias("n_clips")).filter(F.col("n_clips") >= least)
+    placed = events.withColumn("clip_no", F.row_number().over(W.partitionBy(role).orderBy(*order))).filter(F.col("clip_no") <= most)
+    return placed.join(counts, role)
 
 
 def band_means(rows: DataFrame, keys: list[str], energies: str, bands: list[str]) -> DataFrame:

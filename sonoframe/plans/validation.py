@@ -13,18 +13,20 @@ def sweep(frames: DataFrame, grid: DataFrame) -> DataFrame:
     """Events of every configuration: config, file, det, onset_s, offset_s.
 
     frames: file, frame_idx, t_s, flux, median, mad (see wav.detect_baseline). grid: config, factor, min_duration, merge_gap; a
-    fixed table of some dozen rows, which is what is broadcast.
+    fixed table of some dozen rows, which is what is broadcast. Frames are numbered once, and each meets the distinct factors
+    only, of which it keeps those that it exceeds; islands, which are few, meet the timings.
     """
-    runs = frames.crossJoin(F.broadcast(grid)).withColumn("run", F.concat_ws("|", F.col("config").cast("string"), "file"))
-    loud = runs.withColumn("above", detect.above_threshold(F.col("flux"), F.col("median"), F.col("mad"), F.col("factor")))
-    names = loud.select("run", "config", "file", "min_duration", "merge_gap").distinct()
-    found = detect.islands(loud.select("run", "frame_idx", "t_s", "flux", "above"), "run", "frame_idx", F.col("above"), "t_s", "flux").join(names, "run")
-    gaps = names.select("merge_gap").distinct()
-    merged = None
-    for gap in [r.merge_gap for r in gaps.collect()]:  # as many as the grid has
-        part = detect.long_enough(detect.merge_gaps(found.filter(F.col("merge_gap") == gap), "run", gap).join(names, "run"), F.col("min_duration"))
-        merged = part if merged is None else merged.unionByName(part)
-    return merged.select("config", "file", F.row_number().over(W.partitionBy("config", "file").orderBy("onset_s")).alias("det"), "onset_s", "offset_s")
+    factors = F.broadcast(grid.select("factor").distinct())
+    numbered = frames.withColumn("_i", F.row_number().over(W.partitionBy("file").orderBy("frame_idx")))
+    loud = numbered.crossJoin(factors).filter(detect.above_threshold(F.col("flux"), F.col("median"), F.col("mad"), F.col("factor")))
+    own = W.partitionBy("file", "factor").orderBy("_i")
+    runs = loud.withColumn("_run", F.col("_i") - F.row_number().over(own)).groupBy("file", "factor", "_run")
+    found = runs.agg(F.min("t_s").alias("onset_s"), F.max("t_s").alias("offset_s"), F.max("flux").alias("peak_flux"), F.avg("flux").alias("mean_flux"))
+    cases = found.join(F.broadcast(grid), "factor").withColumn("run", F.struct("config", "file"))
+    merged = detect.merge_gaps(cases, "run", F.col("merge_gap"))
+    timed = merged.select("run.config", "run.file", "onset_s", "offset_s").join(F.broadcast(grid.select("config", "min_duration")), "config")
+    kept = detect.long_enough(timed, F.col("min_duration"))
+    return kept.select("config", "file", F.row_number().over(W.partitionBy("config", "file").orderBy("onset_s")).alias("det"), "onset_s", "offset_s")
 
 
 def report(events: DataFrame, reference: DataFrame, grid: DataFrame, tolerance: float = 0.5) -> DataFrame:
