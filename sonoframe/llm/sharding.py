@@ -60,7 +60,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, bucket_bytes: int = 64
     scattered = docs.select(*[F.col(f"`{c}`") for c in kept], shard.alias("_shard"), order.alias("_order"))
     scattered = scattered.withColumn("_bucket", F.pmod(F.xxhash64("_order", F.lit(seed)), n_buckets).cast("int"))
     counts = scattered.groupBy("_shard", "_bucket").count()
-    base = counts.select("_shard", "_bucket", (F.sum("count").over(W.partitionBy("_shard").orderBy("_bucket")) - F.col("count")).alias("_base"))
+    base = counts.select(F.col("_shard").alias("_s"), F.col("_bucket").alias("_b"), (F.sum("count").over(W.partitionBy("_shard").orderBy("_bucket")) - F.col("count")).alias("_base"))
     out = T.StructType([f for f in scattered.schema if f.name != "_order"]).add("_slot", "long")
 
     def shuffle_bucket(group: pa.Table, base: pa.Table) -> pa.Table:
@@ -71,7 +71,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, bucket_bytes: int = 64
         A.trim()
         return group.drop_columns(["_order"]).take(pa.array(moved)).append_column("_slot", pa.array(base["_base"][0].as_py() + np.arange(len(moved))))
 
-    placed = scattered.groupBy("_shard", "_bucket").cogroup(base.groupBy("_shard", "_bucket")).applyInArrow(shuffle_bucket, out)
+    placed = scattered.groupBy("_shard", "_bucket").cogroup(base.groupBy("_s", "_b")).applyInArrow(shuffle_bucket, out)
     made = [size.alias("size"), F.lit("key").alias("law"), F.col("_shard").alias("shard"), F.col("_bucket").alias("bucket"), F.col("_slot").alias("slot"), shard_of(key, n_shards + 1, seed).cast("int").alias("grown_shard")]
     return placed.select(*[F.col(f"`{c}`") for c in kept], *made)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sonoframe.llm import decontaminate, near_dup, queries
+from sonoframe.llm import decontaminate, langid, near_dup, quality, queries
 
 
 # --- op1
@@ -68,3 +68,156 @@ def test_one_row_of_each_group_stays_whatever_the_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = sorted(((r.doc_id, r.text) for r in cp.deduplicated(spark, docs, "").select("doc_id", "text").collect()), key=str)
     assert got == sorted([(1, a), (None, b), (9, c), (4, d), (5, e), (None, None), (6, ""), (6, "")], key=str)
+
+
+def test_a_large_group_of_near_copies_is_one_component(spark):
+    """More copies than nodes and blocks hold, some of them linked with others only through a third."""
+    import random
+
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(120)]
+    texts = []
+    for i in range(400):
+        own = list(base)
+        for at in rng.sample(range(120), i % 3):
+            own[at] = word()
+        texts.append((i, " ".join(own)))
+    far = base[:90] + [word() for _ in range(30)]
+    texts += [(1000, " ".join(base[:104] + [word() for _ in range(16)])), (1001, " ".join(far)), (1002, " ".join([word() for _ in range(120)]))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    sets = {d: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in texts)}
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and root(a) != root(b):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    for more in ({}, {"limit": 8, "block_docs": 16}):
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, **more).collect()}
+        assert got == {d: root(d) for d in sets}
+
+
+def test_spanning_edges_join_what_the_edges_join():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 60):
+        a, b = rng.integers(0, 50, n), rng.integers(0, 50, n)
+        u, v = near_dup.spanning(a, b)
+
+        def parts(a, b):
+            parent = {int(x): int(x) for x in [*a, *b]}
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                x, y = find(parent, x), find(parent, y)
+                parent[max(x, y)] = min(x, y)
+            return {x: find(parent, x) for x in parent}
+
+        def find(parent, x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        whole = parts(a, b)
+        assert {int(x): int(y) for x, y in zip(u, v, strict=True)} == {x: r for x, r in whole.items() if x != r}
+
+
+# --- op4
+
+
+def test_scores_equal_a_slow_version(spark):
+    """The whole score of texts by loops over words, characters and pairs of features."""
+    import math
+    import pyarrow as pa
+
+    from sonoframe.llm import text_arrays as A
+
+    texts = ["", "Alpha beta beta, GAMMA! 12", "x" * 30 + " y", "ñandú\nañil | a|b # c"]
+    meta = np.array([[0.1], [0.2], [0.0], [0.7]])
+    width = quality.WORDS + quality.STATS + 1
+    rng = np.random.default_rng(2)
+    m = quality.FactorisationMachine(width, rank=3)
+    m.w = rng.normal(size=width).astype(np.float32)
+    m.b = 0.3
+    m.mean[quality.WORDS :], m.scale[quality.WORDS :] = rng.random(quality.STATS + 1) / 5, 0.5 + rng.random(quality.STATS + 1)
+    data, off = A.buffers(pa.array(texts))
+    got = m.score(quality._dense(data, off, meta))
+    for text, own, score in zip(texts, meta, got, strict=True):
+        raw = text.encode()
+        words = raw.split()
+        h = A.word_hashes(*(lambda d, o: (d, *A.words(d, o)[:2]))(*A.buffers(pa.array([text]))), lower=True) if words else []
+        x = [0.0] * width
+        for v in h:
+            x[int(v >> np.uint64(40)) % quality.WORDS] += 1
+        x = [math.log1p(v) for v in x]
+        norm = math.sqrt(sum(v * v for v in x)) or 1.0
+        x = [v / norm for v in x]
+        stats = [math.sqrt(sum(b in own for b in raw) / max(len(raw), 1)) for own in quality._CLASSES]
+        n = max(len(words), 1)
+        odd = {*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)}
+        again = sum(a.lower() == b.lower() for a, b in zip(words, words[1:], strict=False))
+        distinct = sum(v > 0 for v in x)
+        stats += [math.sqrt(again / n), min(distinct / n, 1), math.log1p(len(words)) / 10, sum(map(len, words)) / n / 20, math.sqrt(sum(w[-1] in odd for w in words) / n), math.sqrt(sum(len(w) > 25 for w in words) / n)]
+        x[quality.WORDS :] = [min(4, max(-4, (v - float(a)) / float(s))) for v, a, s in zip([*stats, own[0]], m.mean[quality.WORDS :], m.scale[quality.WORDS :], strict=True)]
+        at = [i for i, v in enumerate(x) if v]
+        raw_score = m.b + sum(float(m.w[i]) * x[i] for i in at) + sum(float(m.v[i] @ m.v[j]) * x[i] * x[j] for p, i in enumerate(at) for j in at[p + 1 :])
+        assert abs(1 / (1 + math.exp(-raw_score)) - score) < 1e-4
+
+
+# --- op7
+
+
+def test_ridge_equals_a_plain_solution():
+    """With all texts as landmarks the weights are those of kernel ridge regression, one language at a time."""
+    rng = np.random.default_rng(3)
+    packed = np.packbits(rng.random((24, langid.DIMS)) < 0.02, axis=1)
+    langs = [("en", "fr", "de")[i % 3] for i in range(24)]
+    model = langid.KernelModel(packed, langs, 24, ridge=1e-3)
+    x = [set(np.flatnonzero(np.unpackbits(row))) for row in packed]
+    k = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in x] for a in x])
+    probe = rng.random((5, langid.DIMS)) < 0.02
+    own = np.array([[len(set(np.flatnonzero(p)) & b) / np.sqrt(p.sum() * len(b)) for b in x] for p in probe])
+    for j, lang in enumerate(model.langs):
+        y = np.array([1.0 if v == lang else -1.0 for v in langs])
+        alpha = np.linalg.solve(k + 1e-3 * 8 * np.eye(24), y)  # texts of a language weigh an eighth each
+        got = model._kernel(probe.astype(np.float32)) @ model.weights[:, j]
+        assert np.allclose(got, own @ alpha, atol=2e-3)
+
+
+# --- pipeline
+
+
+def test_mix_and_shards_of_the_pipeline_equal_a_plain_version(spark):
+    """Copies by interval arithmetic over all documents, shards by the law, places without gaps."""
+    import corpus_pipeline as cp
+    from sonoframe.llm import mixing
+
+    rows = [(i, " ".join(f"w{i % 7}" for _ in range(5 + i * 13 % 40)), "en", f"s{i % 3}", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = cp.mixed(spark, docs, "")
+    taken = {r.doc_id: (r.taken, r["size"]) for r in mixing.mix_sources(docs).collect()}
+    want = {d: int(t / n + 0.5) for d, (t, n) in taken.items() if int(t / n + 0.5)}
+    held = [r.doc_id for r in mixed.collect()]
+    assert {d: held.count(d) for d in set(held)} == want
+    total = {s: sum(t for d, (t, _) in taken.items() if d % 3 == s) for s in range(3)}
+    size = sum(n for _, n in taken.values())
+    assert all(abs(total[s] - size * (s + 1) / 6) <= 32 for s in range(3))
+    placed = cp.sharded(spark, mixed, "").collect()
+    assert sorted(r.doc_id for r in placed) == sorted(held)
+    for s in {r["shard"] for r in placed}:
+        assert sorted(r.slot for r in placed if r["shard"] == s) == list(range(sum(r["shard"] == s for r in placed)))
+    assert all(len({r["shard"] for r in placed if r.doc_id == d}) == 1 for d in want)
+
+
+def test_a_folder_must_be_shared_unless_the_master_is_local():
+    from types import SimpleNamespace
+
+    from sonoframe import session
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        session.shared_dir(cluster)
