@@ -253,8 +253,8 @@ def _candidates(classes: DataFrame, threshold: int, trees: int, levels: int, lim
     found: list[DataFrame] = []
     nodes = staged(_branch(classes, trees, 0), "near-nodes")
     for level in range(levels):
-        order = F.struct(F.xxhash64("rep", F.lit(level)), "rep")
-        pivots = [F.min(F.when(F.pmod(F.xxhash64("rep", F.lit(f"pivot {level}")), F.lit(PIVOTS)) == k, order))["rep"].alias(f"p{k}") for k in range(PIVOTS)]
+        turned = F.lit(int(_ODD[level].view(np.int64)))  # another order of ids at each level, as plain longs
+        pivots = [F.min(F.when(F.pmod(F.xxhash64("rep", F.lit(level)), F.lit(PIVOTS)) == k, F.col("rep").bitwiseXOR(turned))).bitwiseXOR(turned).alias(f"p{k}") for k in range(PIVOTS)]
         sizes = staged(nodes.groupBy("node").agg(F.count("*").alias("size"), *pivots).filter("size > 1"), "near-sizes")
         small = nodes.join(sizes.filter(F.col("size") <= limit).select("node"), "node").select("node", "rep").join(sketches, "rep")
         found.append(staged(small.repartition(n, "node").sortWithinPartitions("node").mapInArrow(A.trimmed(_compare_nodes(threshold)), "a long, b long"), "near-pairs"))
