@@ -256,17 +256,18 @@ def _candidates(classes: DataFrame, threshold: int, trees: int, levels: int, lim
         turned = F.lit(int(_ODD[level].view(np.int64)))  # another order of ids at each level, as plain longs
         pivots = [F.min(F.when(F.pmod(F.xxhash64("rep", F.lit(level)), F.lit(PIVOTS)) == k, F.col("rep").bitwiseXOR(turned))).bitwiseXOR(turned).alias(f"p{k}") for k in range(PIVOTS)]
         sizes = staged(nodes.groupBy("node").agg(F.count("*").alias("size"), *pivots).filter("size > 1"), "near-sizes")
-        small = nodes.join(sizes.filter(F.col("size") <= limit).select("node"), "node").select("node", "rep").join(sketches, "rep")
+        sized = staged(nodes.join(sizes.select("node", "size"), "node"), "near-sized")
+        small = sized.filter(F.col("size") <= limit).select("node", "rep").join(sketches, "rep")
         found.append(staged(small.repartition(n, "node").sortWithinPartitions("node").mapInArrow(A.trimmed(_compare_nodes(threshold)), "a long, b long"), "near-pairs"))
         large = sizes.filter(F.col("size") > limit)
         if large.isEmpty():
             break
         if level + 1 == levels:
-            found.append(nodes.join(large.select("node", F.coalesce(*[f"p{k}" for k in range(PIVOTS)]).alias("b")), "node").select(F.col("rep").alias("a"), "b"))
+            found.append(sized.join(large.select("node", F.coalesce(*[f"p{k}" for k in range(PIVOTS)]).alias("b")), "node").select(F.col("rep").alias("a"), "b"))
             break
         pivot_of = large.select("node", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("rep")).filter("rep IS NOT NULL").join(sketches.select("rep", "sketch"), "rep")
         pivot_of = staged(pivot_of.groupBy("node").agg(F.collect_list(F.struct("rep", "sketch")).alias("pivots")), "near-pivots")  # PIVOTS of a node at most
-        held = nodes.join(pivot_of, "node").join(sketches.select("rep", "sketch"), "rep")
+        held = sized.filter(F.col("size") > limit).drop("size").join(pivot_of, "node").join(sketches.select("rep", "sketch"), "rep")
         step = staged(_branch(held, trees, level + 1), "near-nodes")
         found.append(step.filter("node IS NULL").select("rep", "pivot"))
         nodes = step.filter("node IS NOT NULL").select("tree", "node", "rep")
