@@ -97,14 +97,14 @@ def learn(docs: DataFrame, per_lang: int = 256, landmarks: int = 32, max_langs:
     """A model of the languages of rows that are not held out; None without any."""
     ship(docs.sparkSession)
     thin = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("_h"))
-    held = {r._lang: r["count"] for r in thin.groupBy("_lang").count().limit(max_langs + 1).collect()}
+    held = {r._lang: r.n for r in thin.groupBy("_lang").agg(F.approx_count_distinct("_id").alias("n")).limit(max_langs + 1).collect()}
     if len(held) > max_langs:
         raise ValueError(f"more than {max_langs} languages: raise max_langs")
     if not held:
         return None
     # the first by hash lie among the few whose hash is small enough for four times as many, so no task sees a language whole
-    share = F.element_at(F.create_map(*[x for lang, n in held.items() for x in (F.lit(lang), F.lit(4.0 * per_lang / n))]), F.col("_lang"))
-    few = thin.filter(F.col("_h").cast("double") / 2.0**64 + 0.5 <= share)
+    share = F.element_at(F.create_map(*[x for lang, n in held.items() for x in (F.lit(lang), F.lit(4.0 * per_lang / max(n, 1)))]), F.col("_lang"))
+    few = thin.filter(F.col("_h").cast("double") / 2.0**64 + 0.5 <= share).distinct()
     first = few.withColumn("_n", F.row_number().over(W.partitionBy("_lang").orderBy("_h", "_id"))).filter(F.col("_n") <= per_lang)
     sample = first.collect()  # bounded by both parameters
     if not sample:

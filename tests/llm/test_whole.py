@@ -187,6 +187,13 @@ def test_ridge_equals_a_plain_solution():
         assert np.allclose(got, own @ alpha, atol=2e-3)
 
 
+def test_a_language_of_one_repeated_id_is_learned(spark):
+    rows = [(7, f"abc abd {i}", "xx") for i in range(3000)] + [(100 + i, f"der die das {i}", "de") for i in range(40)]
+    for seed in range(4):
+        model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), seed=seed)
+        assert model.langs == ["de", "xx"]
+
+
 # --- pipeline
 
 
