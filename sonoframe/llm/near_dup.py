@@ -274,7 +274,13 @@ def _candidates(classes: DataFrame, threshold: int, trees: int, levels: int, lim
     alike = found[0]
     for more in found[1:]:
         alike = alike.union(more)
-    return alike
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _edges([spanning(batch["a"].to_numpy(), batch["b"].to_numpy())])
+
+    # trees find the same pairs again and again: what a batch has twice need not go into the components
+    return alike.coalesce(max(1, n // 8)).mapInArrow(A.trimmed(forest), "a long, b long")
 
 
 def _tokens_of(above: np.ndarray | np.uint64, tree: int, level: int, r: int):
