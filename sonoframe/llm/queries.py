@@ -86,9 +86,31 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(staged(docs, "mix-measured")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonoframe.llm.whitening import whiten
+
+    found = whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonoframe.llm.alignment import align
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align(docs, "byte_bpe_50k.json", "piece_bpe_32k.model").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonoframe.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.classify(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_substring_dedup, op3_nearest, op4_quality, op5_warc, op6_shard, op7_language_id, op8_token_counts, op9_near_dup, op10_mix)
+    for f in (op1_decontaminate, op2_substring_dedup, op3_nearest, op4_quality, op5_warc, op6_shard, op7_language_id, op8_token_counts, op9_near_dup, op10_mix, op11_whiten, op12_align, op13_toxicity)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
