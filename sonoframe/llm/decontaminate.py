@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonoframe.llm import text_arrays as A
-from sonoframe.llm.staging import ship, staged
+from sonoframe.llm.staging import free, ship, staged
 
 WINDOW = 10
 #: words of a pattern: two of them less one word fit into a window, so each window holds a whole one
@@ -75,14 +74,18 @@ class Benchmark:
             n = len(text) // self.width
             for at in range(0, n - BLOCK + 1, BLOCK) if n >= WINDOW else [-1]:
                 owners.setdefault(text if at < 0 else text[at * self.width : (at + BLOCK) * self.width], []).append((k, at))
-        for pattern in [p for p, own in owners.items() if len(own) > COMMON and own[0][1] >= 0]:
-            for k, at in owners.pop(pattern):  # the windows that hold this block, as patterns of their own
+        for pattern in [p for p, own in owners.items() if sum(at >= 0 for _, at in own) > COMMON]:
+            common = owners.pop(pattern)
+            if whole := [x for x in common if x[1] < 0]:
+                owners[pattern] = whole
+            for k, at in (x for x in common if x[1] >= 0):  # the windows that hold this block, as patterns of their own
                 for first in range(max(0, at - WINDOW + BLOCK), min(at, len(self.texts[k]) // self.width - WINDOW) + 1):
                     owners.setdefault(self.texts[k][first * self.width : (first + WINDOW) * self.width], []).append((k, -1))
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for k, pattern in enumerate(owners):
             self.machine.add_word(pattern, k)
-        self.owners = [list(dict.fromkeys(own)) for own in owners.values()]
+        self.wholes = [sorted({self.ids[k] for k, at in own if at < 0}) for own in owners.values()]
+        self.blocks = [list(dict.fromkeys(x for x in own if x[1] >= 0)) for own in owners.values()]
         self.sizes = [len(p) // self.width for p in owners]
         if owners:
             self.machine.make_automaton()
@@ -95,7 +98,7 @@ class Benchmark:
         """First and end word of each run of hit words, and the items' ids."""
         spans: list[tuple[int, int]] = []
         ids: set[str] = set()
-        if not self.owners:
+        if not self.sizes:
             return spans, ids
         text, w = self.encode(words), self.width
         whole: set[int] = set()
@@ -104,13 +107,12 @@ class Benchmark:
                 continue
             stop = (end + 1) // w
             start = stop - self.sizes[k]
-            if self.owners[k][0][1] < 0:
+            if self.wholes[k]:
                 spans.append((start, stop))
                 if k not in whole:
                     whole.add(k)
-                    ids.update(self.ids[item] for item, _ in self.owners[k])
-                continue
-            for item, at in self.owners[k]:
+                    ids.update(self.wholes[k])
+            for item, at in self.blocks[k]:
                 own, left, right = self.texts[item], 0, 0
                 most = min(WINDOW - BLOCK, start, at)
                 while left < most and text[(start - left - 1) * w : (start - left) * w] == own[(at - left - 1) * w : (at - left) * w]:
@@ -177,26 +179,29 @@ def _digest(items: list[tuple[str, str]]) -> str:
 
 
 def _apply(docs: DataFrame, sent, key: str, kept: list[str], last: bool, text_col: str) -> DataFrame:
+    state = free(kept, "state")
+    found_so_far = state in docs.columns
     schema = T.StructType([docs.schema[c] for c in kept])
-    ends = schema.add("n_words", "long").add("n_hit", "long").add("item_ids", T.ArrayType(T.StringType())).add("spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))) if last else schema.add("_state", "binary")
+    held = T.StructType().add("first", T.ArrayType(T.IntegerType())).add("stop", T.ArrayType(T.IntegerType())).add("ids", T.ArrayType(T.StringType()))
+    ends = schema.add("n_words", "long").add("n_hit", "long").add("item_ids", T.ArrayType(T.StringType())).add("spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))) if last else schema.add(state, held)
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    held_type = pa.struct([("first", pa.list_(pa.int32())), ("stop", pa.list_(pa.int32())), ("ids", pa.list_(pa.string()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         benchmark = _benchmark(sent.value, key)
         for batch in batches:
             data, offsets = A.buffers(batch[text_col])
             n_words, found = _scan(data, offsets, benchmark)
-            if "_state" in batch.schema.names:
-                for i, state in enumerate(batch["_state"].to_pylist()):
-                    if state:
-                        hits, ids = pickle.loads(state)
+            if found_so_far:
+                for i, before in enumerate(batch[state].to_pylist()):
+                    if before:
                         at = found.setdefault(i, ([], set()))
-                        at[0].extend(hits)
-                        at[1].update(ids)
+                        at[0].extend(zip(before["first"], before["stop"], strict=True))
+                        at[1].update(before["ids"])
             own = [batch[c] for c in kept]
             if not last:
-                state = pa.array([pickle.dumps(found[i]) if i in found else None for i in range(len(batch))], pa.binary())
-                yield pa.RecordBatch.from_arrays([*own, state], names=[*kept, "_state"])
+                rows = [{"first": [a for a, _ in found[i][0]], "stop": [b for _, b in found[i][0]], "ids": sorted(found[i][1])} if i in found else None for i in range(len(batch))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(rows, held_type)], names=[*kept, state])
                 continue
             n_hit, ids, spans = np.zeros(len(batch), np.int64), [[]] * len(batch), [[]] * len(batch)
             for i, (hits, owners) in found.items():

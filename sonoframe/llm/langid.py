@@ -110,7 +110,8 @@ def learn(docs: DataFrame, per_lang: int = 256, landmarks: int = 32, max_langs:
     if not sample:
         return None
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(r._id, r._lang) for r in sample], T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_lang", T.StringType())])).distinct())
-    texts = docs.join(wanted, (F.col(id_col) == F.col("_id")) & (F.col(lang_col).cast("string") == F.col("_lang"))).select("_id", "_lang", F.col(text_col).alias("_text"))
+    own = docs.select(F.col(id_col).alias("_own"), F.col(lang_col).cast("string").alias("_said"), F.col(text_col).alias("_text"))
+    texts = own.join(wanted, (F.col("_own") == F.col("_id")) & (F.col("_said") == F.col("_lang"))).select("_id", "_lang", "_text")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

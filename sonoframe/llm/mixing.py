@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sonoframe.llm.staging import staged
+from sonoframe.llm.staging import apart, free, staged
 
 #: a source's documents are dealt into so many cells at least, a shard is one cell or several
 CELLS = 4096
@@ -86,15 +86,21 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumns({MEASURES[0]: F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0)), MEASURES[1]: F.md5(F.coalesce(F.col(text_col), F.lit("")))})
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, block_words: int = 16, shard_words: int = 1 << 20, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, block_words: int = 16, shard_words: int = 1 << 20, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", measures: bool = False) -> DataFrame:
     """docs with size, source_size, target and taken (words that the mix takes of the document).
 
-    docs may be a table of measured(), written beforehand; its measures are left out of the result.
+    With measures docs is a table of measured(), written beforehand; its measures are left out of the result.
     The tables of sources and of shards are joined without a hint: Spark broadcasts them only below
     spark.sql.autoBroadcastJoinThreshold, and splits skewed keys of a sort-merge join otherwise.
     """
+    used = [id_col, source_col, *(MEASURES if measures else [text_col])]
+    found = apart(docs, used, ["size", "source_size", "target", "taken"], lambda own: _mixed(own, weights, max_epochs, block_words, shard_words, seed, id_col, text_col, source_col, measures))
+    return found.drop(*MEASURES) if measures else found
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], max_epochs: int, block_words: int, shard_words: int, seed: int, id_col: str, text_col: str, source_col: str, measures: bool) -> DataFrame:
     block = F.lit(block_words)
-    own = docs if MEASURES[0] in docs.columns else measured(docs, text_col)
+    own = docs if measures else measured(docs, text_col)
     base = own.withColumns({
         "_k": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")), "_size": F.col(MEASURES[0]), "_tie": F.col(MEASURES[1]),
         "_key": F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))),
@@ -129,11 +135,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
     stop = F.col("_at") + F.col("_r")
     extra = overlap(F.col("_at"), stop) + F.when(stop > F.col("_nb"), overlap(F.lit(0), stop - F.col("_nb"))).otherwise(0)
     results = {"size": F.col("_size"), "source_size": F.col("_s"), "target": F.col("_t"), "taken": (F.col("_e") * F.col("_size") + extra).cast("long")}
-    kept = [c for c in docs.columns if c.lower() not in (*results, *MEASURES)]
+    kept = [c for c in docs.columns if c.lower() not in results]
     return laid.select(*[F.col(f"`{c}`") for c in kept], *[v.alias(k) for k, v in results.items()])
 
 
 def materialise(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: each document as often as its taken words make it up, to the nearest whole copy."""
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    return mixed.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*columns)
+    return mixed.filter(copies > 0).select(*columns, F.explode(F.sequence(F.lit(1), copies)).alias(free(columns, "copy"))).select(*columns)

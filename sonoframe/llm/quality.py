@@ -129,12 +129,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, seed: int =
     labelled = dict(reversed([(r._id, r._y) for r in sample]))
     wanted = F.broadcast(spark.createDataFrame(list(labelled.items()), T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_y", T.IntegerType())])))
     columns = list(metadata)
-    texts = docs.join(wanted, F.col(id_col) == F.col("_id")).select("_id", "_y", F.col(text_col).alias("_text"), *columns)
+    names = [f"_meta{i}" for i in range(len(columns))]
+    own = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text"), *[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)])
+    texts = own.join(wanted, F.col("_own") == F.col("_id")).drop("_own")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = A.buffers(batch["_text"])
-            meta = _metadata(batch, columns)
+            meta = _metadata(batch, names)
             out = []
             for i in range(len(batch)):
                 x = _dense(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]), meta[i : i + 1])[0]

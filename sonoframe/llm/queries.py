@@ -83,7 +83,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sonoframe.llm.mixing import measured, mix_sources
 
     docs = measured(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
-    return mix_sources(staged(docs, "mix-measured")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(staged(docs, "mix-measured"), measures=True).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:

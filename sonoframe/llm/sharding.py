@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonoframe.llm import text_arrays as A
-from sonoframe.llm.staging import ship
+from sonoframe.llm.staging import apart, ship
 
 OVERHEAD = 16
 
@@ -48,6 +48,10 @@ def fisher_yates(n: int, seed: tuple[int, ...]) -> np.ndarray:
 
 def shard_documents(docs: DataFrame, n_shards: int = 40, bucket_bytes: int = 64 << 20, seed: int = 29, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with size, law, shard, bucket, slot and grown_shard (the shard if there were one more)."""
+    return apart(docs, [id_col, text_col], ["size", "law", "shard", "bucket", "slot", "grown_shard"], lambda own: _sharded(own, n_shards, bucket_bytes, seed, id_col, text_col))
+
+
+def _sharded(docs: DataFrame, n_shards: int, bucket_bytes: int, seed: int, id_col: str, text_col: str) -> DataFrame:
     ship(docs.sparkSession)
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + OVERHEAD
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonoframe.llm import text_arrays as A
-from sonoframe.llm.staging import partitions, ship
+from sonoframe.llm.staging import apart, partitions, ship
 
 _BITS = np.uint64(40)
 _MASK = np.uint64((1 << 40) - 1)
@@ -103,6 +103,10 @@ def _runs(*sorted_columns: np.ndarray) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, window: int = 50, chunk_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with n_words, n_removed and kept (the words that stay, joined by one space)."""
+    return apart(docs, [id_col, text_col], ["n_words", "n_removed", "kept"], lambda own: _remove_repeats(own, window, chunk_bytes, id_col, text_col))
+
+
+def _remove_repeats(docs: DataFrame, window: int, chunk_bytes: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     n = max(partitions(spark), math.ceil((docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) / chunk_bytes))

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sonoframe.llm import ann, components, decontaminate, langid, mixing, near_dup, quality, queries, sharding, substring_dedup, text_arrays, tokens, warc
+from sonoframe.llm import alignment, ann, components, decontaminate, langid, mixing, near_dup, quality, queries, sharding, substring_dedup, text_arrays, tokens, toxicity, warc
 
 DATA = Path("/root/testdata/sf0.001")
 needs_data = pytest.mark.skipif(not DATA.exists(), reason="no driver tables here")
@@ -538,3 +538,55 @@ def test_pipeline_keeps_what_it_should(spark):
 def test_crc_of_held_out(spark):
     got = spark.range(20).select("id", langid.held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in got)
+
+
+NAMES = ["_state", "_chunk", "_id", "_own", "_y", "_h", "_lang", "_text", "_n_words", "_text_hash", "_k", "_cell", "_bucket", "_shard", "_order", "_slot", "_size", "_tie", "_key", "_to", "state", "hits", "copy", "_copy", "_meta0", "input column 2"]
+
+
+@pytest.mark.parametrize("name", ["decontaminate", "decontaminate in parts", "substring_dedup", "quality", "shard", "langid", "tokens", "mix", "materialised mix", "align", "toxicity"])
+def test_columns_named_like_internal_ones_come_back_unchanged(spark, name):
+    rows = [(i, prose(i, 60 + i), "en" if i % 2 else "de", f"s{i % 3}", 7) for i in range(40)]
+    table = spark.createDataFrame(rows, SCHEMA).withColumns({n: F.concat(F.lit(f"{n}:"), F.col("doc_id")) for n in NAMES})
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(k, prose(k, 12)) for k in range(6)], "item_id long, text string")
+    work = {
+        "decontaminate": lambda: decontaminate.find_contamination(table, items),
+        "decontaminate in parts": lambda: decontaminate.find_contamination(table, items, max_broadcast_bytes=100),
+        "substring_dedup": lambda: substring_dedup.remove_repeats(table),
+        "quality": lambda: quality.classify(table, quality.learn(table, labels)),
+        "shard": lambda: sharding.shard_documents(table, 4),
+        "langid": lambda: langid.identify(table, langid.learn(table)),
+        "tokens": lambda: tokens.count_tokens(table, "byte_bpe_50k.json"),
+        "mix": lambda: mixing.mix_sources(table),
+        "materialised mix": lambda: mixing.materialise(mixing.mix_sources(table, weights=(1,)), table.columns),
+        "align": lambda: alignment.align(table, "byte_bpe_50k.json", "piece_bpe_32k.model"),
+        "toxicity": lambda: toxicity.classify(table, toxicity.learn(table, labels)),
+    }[name]()
+    found = work.collect()
+    assert {r.doc_id for r in found} == set(range(40)) and (len(found) == 40 or name == "materialised mix")
+    assert all(r[n] == f"{n}:{r.doc_id}" for r in found for n in NAMES)
+    if name.startswith("decontaminate"):
+        assert {r.doc_id for r in found if r.n_hit} == set(range(6))
+
+
+def test_short_items_inside_longer_ones_at_every_place():
+    long = [f"w{i}" for i in range(23)]
+    items = [("long", " ".join(long))]
+    items += [(f"short{n}-{a}", " ".join(long[a : a + n])) for n in range(1, 10) for a in range(0, 23 - n)]
+    items += [(f"copy{k}", " ".join([f"x{k}"] * 3 + long[5:15])) for k in range(decontaminate.COMMON + 3)]  # a block of more owners than COMMON
+    texts = ["x " + " ".join(long[a : a + n]) + " y" for n in (4, 5, 6, 9, 10, 12) for a in range(0, 23 - n, 2)] + [" ".join(long), "a " + " ".join(long[5:10]) + " b"]
+    for chosen in (items, items[::-1], [i for i in items if i[0] in ("long", "short5-5", "short5-0")]):
+        machine = decontaminate.Benchmark(chosen)
+        for text in texts:
+            words = text.split()
+            hit, ids = set(), set()
+            for i, t in chosen:
+                w = t.split()
+                m = min(10, len(w))
+                for win in {tuple(w[k : k + m]) for k in range(len(w) - m + 1)}:
+                    for k in range(len(words) - m + 1):
+                        if tuple(words[k : k + m]) == win:
+                            hit.update(range(k, k + m))
+                            ids.add(i)
+            spans, found = machine.find([x.encode() for x in words])
+            assert found == ids and {x for a, b in spans for x in range(a, b)} == hit, text
