@@ -21,6 +21,7 @@ proportion to one text. Extra columns are kept; those named like a result are re
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import itertools
 import json
@@ -82,6 +83,7 @@ class Tokenizers:
         written = [str(i).encode() for i in range(max(n, len(self.b_bytes)))]
         size = np.array([len(w) for w in written])
         self.decimal = (np.frombuffer(b"".join(written), np.uint8), np.cumsum(size) - size, size)
+        self.kind = np.int32 if n * len(self.b_bytes) < 1 << 31 else np.int64  # holds any pair of ids
         self.cuts = self._cuts(a_path)
 
     def _cuts(self, a_path: str) -> bool:
@@ -96,21 +98,50 @@ class Tokenizers:
         """space+text cut at spaces between other characters."""
         return _CUT.split(f" {text}") if self.cuts else [f" {text}"]
 
-    def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        return a, self.b.encode([c[1:] for c in chunks], num_threads=1)
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of both, one chunk after the other, and how many bytes each chunk has: none where the tokens' bytes are not its own.
+
+        Chunks that end in another character than white space are encoded joined, as both tokenizers cut between them anyway.
+        """
+        size = np.zeros(len(chunks), np.int64)
+        flat: tuple[list[int], list[int]] = ([], [])
+        runs, at = [], 0
+        while at < len(chunks):
+            stop = at + 1
+            while self.cuts and stop < len(chunks) and stop - at < 2048 and not chunks[stop - 1][-1].isspace():
+                stop += 1
+            runs.append((at, stop))
+            at = stop
+        texts = ["".join(chunks[lo:hi]) for lo, hi in runs]
+        for (lo, hi), text, a, b in zip(runs, texts, self.a.encode_batch_fast(texts, add_special_tokens=False), self.b.encode([t[1:] for t in texts], num_threads=1), strict=True):
+            a, raw = a.ids, text.encode("utf-8", "replace")
+            if self._same(a, b, raw):
+                size[lo:hi] = [len(c) for c in chunks[lo:hi]] if len(raw) == len(text) else [len(c.encode("utf-8", "replace")) for c in chunks[lo:hi]]
+                flat[0].extend(a)
+                flat[1].extend(b)
+                continue
+            for k in range(lo, hi):  # some chunk's bytes are not kept: each by itself
+                raw, a, b = chunks[k].encode("utf-8", "replace"), self.a.encode(chunks[k], add_special_tokens=False).ids, self.b.encode(chunks[k][1:])
+                if self._same(a, b, raw):
+                    size[k] = len(raw)
+                    flat[0].extend(a)
+                    flat[1].extend(b)
+        return np.array(flat[0], np.int64), np.array(flat[1], np.int64), size
+
+    def _same(self, a: list[int], b: list[int], raw: bytes) -> bool:
+        return b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
 
 
 class Chunks:
     """What is known of each chunk: tokens, groups and linked pairs, in arrays by number."""
 
-    def __init__(self, a_path: str, b_path: str, memory: int = 250_000):
+    def __init__(self, a_path: str, b_path: str, memory: int = 160_000):
         import duckdb
 
         self.tokenizers = Tokenizers(a_path, b_path)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
         self.memory = memory
-        self.number: dict[str, int] = {}
+        self.number: dict[str, int] = collections.defaultdict(itertools.count().__next__)
         self.groups: list[bytes] = []
         self.counts = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, whether the bytes are the text's
         self.pairs, self.first = np.zeros(0, np.int64), np.zeros(1, np.int64)
@@ -121,7 +152,7 @@ class Chunks:
         kept = np.sort(np.argsort(-self.uses, kind="stable")[: self.memory // 2])
         kept = kept[self.uses[kept] > 1]
         names = list(self.number)
-        self.number = {names[i]: k for k, i in enumerate(kept.tolist())}
+        self.number = collections.defaultdict(itertools.count(len(kept)).__next__, {names[i]: k for k, i in enumerate(kept.tolist())})
         self.groups = [self.groups[i] for i in kept.tolist()]
         self.counts, self.uses = self.counts[kept], self.uses[kept] // 2
         self.pairs = self.pairs[_ranges(self.first[kept], self.first[kept + 1])]
@@ -129,38 +160,26 @@ class Chunks:
 
     def learn(self, chunks: list[str]) -> None:
         """Aligns new chunks, all of them in one set of tables."""
-        a, b = self.tokenizers.encode(chunks)
-        texts = [c.encode("utf-8", "replace") for c in chunks]
-        same = self._same(a, self.tokenizers.a_bytes, texts) & self._same(b, self.tokenizers.b_bytes, texts)
+        *flat, size = self.tokenizers.encode(chunks)
+        ends = np.cumsum(size)
         counts = np.zeros((len(chunks), 4), np.int64)
-        counts[:, 3] = same
-        counts[:, 0], counts[:, 1] = [len(x) if ok else 0 for x, ok in zip(a, same, strict=True)], [len(y) if ok else 0 for y, ok in zip(b, same, strict=True)]
-        if not same.all():
-            a, b = ([x if ok else [] for x, ok in zip(ids, same, strict=True)] for ids in (a, b))
-        flat = [np.fromiter((i for x in ids for i in x), np.int64, int(n)) for ids, n in ((a, counts[:, 0].sum()), (b, counts[:, 1].sum()))]
-        for name, ids, size in zip("ab", flat, (self.tokenizers.a_size, self.tokenizers.b_size), strict=True):
-            stop = np.cumsum(size[ids])
-            self.db.register("rows", pa.table({"place": np.arange(len(ids)), "id": ids, "start": stop - size[ids], "stop": stop}))
-            self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM rows")
-            self.db.unregister("rows")
+        counts[:, 3] = size > 0
+        for k, (name, ids, bytes_of) in enumerate(zip("ab", flat, (self.tokenizers.a_size, self.tokenizers.b_size), strict=True)):
+            stop = np.cumsum(bytes_of[ids])
+            counts[:, k] = np.bincount(np.searchsorted(ends, stop), minlength=len(chunks))
+            self.db.register(name, pa.table({"place": np.arange(len(ids)), "id": ids, "start": stop - bytes_of[ids], "stop": stop}))
         self.db.execute(LINKS)
         self.db.execute(SPANS)
-        link = self.db.sql("SELECT a_place, a_id, b_id FROM link ORDER BY stop").to_arrow_table()
+        link = self.db.sql("SELECT a_id, b_id, stop FROM link ORDER BY stop").to_arrow_table()
         g_a, g_b = (self.db.sql(q).to_arrow_table()["g"].to_numpy() for q in (GROUPS_A, GROUPS_B))
-        chunk_of = np.repeat(np.arange(len(chunks)), counts[:, 0])[link["a_place"].to_numpy()]
-        counts[:, 2] = np.bincount(chunk_of, minlength=len(chunks))
+        counts[:, 2] = np.bincount(np.searchsorted(ends, link["stop"].to_numpy()), minlength=len(chunks))
         last = np.cumsum(counts[:, 2]) - 1
-        n = len(self.number)
-        self.number.update(zip(chunks, range(n, n + len(chunks)), strict=True))
         self.groups += self._written(flat, g_a, g_b, last[counts[:, 2] > 0], counts)
         self.counts, self.uses = np.concatenate([self.counts, counts]), np.concatenate([self.uses, np.zeros(len(chunks), np.int64)])
         self.pairs = np.concatenate([self.pairs, link["a_id"].to_numpy() * len(self.tokenizers.b_bytes) + link["b_id"].to_numpy()])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts[:, 2])])
-
-    @staticmethod
-    def _same(ids: list[list[int]], own: list[bytes], texts: list[bytes]) -> np.ndarray:
-        """Which chunks' tokens have the bytes of their text."""
-        return np.fromiter((b"".join([own[i] for i in x]) == t for x, t in zip(ids, texts, strict=True)), bool, len(texts))
+        for name in "ab":
+            self.db.unregister(name)
 
     def _written(self, ids: list[np.ndarray], g_a: np.ndarray, g_b: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """Each chunk's groups as text: ids of A before those of B, and after each id what parts it from the next."""
@@ -188,14 +207,13 @@ class Chunks:
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """The chunks' numbers of each text; None for a text without tokens."""
-        cut = [self.tokenizers.chunks(t) if t else () for t in texts]
         if len(self.number) > self.memory:
             self.forget()
-        known = self.number
-        new = [c for c in dict.fromkeys(itertools.chain.from_iterable(cut)) if c not in known]
-        if new:
-            self.learn(new)
-        numbers = [np.fromiter(map(known.__getitem__, own), np.int64, len(own)) for own in cut]
+        known, before = self.number, len(self.number)
+        number, cut = known.__getitem__, self.tokenizers.chunks  # a chunk that is new gets the next number
+        numbers = [np.fromiter(map(number, cut(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
+        if len(known) > before:
+            self.learn(list(itertools.islice(known, before, None)))
         self.uses += np.bincount(np.concatenate([np.zeros(0, np.int64), *numbers]), minlength=len(self.uses))
         return [k if len(k) and self.counts[k, 3].all() else None for k in numbers]
 
@@ -217,6 +235,12 @@ def _ranges(first: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
 
 
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that hold the numbers from each end to the next."""
+    size = values.dtype.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((ends * size).astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
+
+
 def align(docs: DataFrame, a: str, b: str, text_col: str = "text") -> DataFrame:
     """docs with n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256; a and b: files, or names among the public tokenizers."""
     spark = docs.sparkSession
@@ -225,7 +249,7 @@ def align(docs: DataFrame, a: str, b: str, text_col: str = "text") -> DataFrame:
     order = [f"k{i}" for i in range(len(kept))]  # input columns, under names that nothing else has
     fields = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(order, kept, strict=True)]
     text_at = order[kept.index(text_col)]
-    schema = T.StructType([*fields, *(T.StructField(n, T.LongType()) for n in ("a", "b", "g"))]).add("sha", "string").add("pairs", T.ArrayType(T.LongType())).add("times", T.ArrayType(T.LongType())).add("partial", "boolean")
+    schema = T.StructType([*fields, *(T.StructField(n, T.LongType()) for n in ("a", "b", "g"))]).add("sha", "string").add("links", "binary").add("pairs", T.ArrayType(T.LongType())).add("times", T.ArrayType(T.LongType()))
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (located(a), located(b))
@@ -234,7 +258,7 @@ def align(docs: DataFrame, a: str, b: str, text_col: str = "text") -> DataFrame:
         chunks = _ready[key]
         for whole in batches:
             offsets = A.buffers(whole[text_at])[1]
-            for lo, hi in A.pieces(offsets, 1 << 22):
+            for lo, hi in A.pieces(offsets, 1 << 21):
                 batch = whole.slice(lo, hi - lo)
                 numbers = chunks.texts(batch[text_at].to_pylist())
                 none = np.zeros(0, np.int64)
@@ -247,17 +271,17 @@ def align(docs: DataFrame, a: str, b: str, text_col: str = "text") -> DataFrame:
                 sha = [None if k is None else hashlib.sha256(b";".join([chunks.groups[i] for i in k.tolist()])).hexdigest() for k in numbers]
                 links = chunks.pairs[_ranges(chunks.first[flat], chunks.first[flat + 1])]
                 ends = np.concatenate([[0], np.cumsum(chunks.first[flat + 1] - chunks.first[flat])])[np.concatenate([[0], stop])]
-                pairs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(links))
-                done = [*(batch[n] for n in order), *(pa.array(sums[:, i]) for i in range(3)), pa.array(sha, pa.string()), pairs, pa.nulls(len(batch), pa.list_(pa.int64())), pa.array(np.zeros(len(batch), bool))]
-                yield pa.RecordBatch.from_arrays(done, names=schema.names)
+                held = [*(batch[n] for n in order), *(pa.array(sums[:, i]) for i in range(3)), pa.array(sha, pa.string()), _packed(links.astype(chunks.tokenizers.kind), ends), *(pa.nulls(len(batch), pa.list_(pa.int64())) for _ in range(2))]
+                yield pa.RecordBatch.from_arrays(held, names=schema.names)
                 pair, times = chunks.count_pairs(flat)
-                counted = [*(pa.nulls(1, batch[n].type) for n in order), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.string()), pa.array([pair], pa.list_(pa.int64())), pa.array([times], pa.list_(pa.int64())), pa.array([True])]
+                counted = [*(pa.nulls(1, batch[n].type) for n in order), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.array([pair], pa.list_(pa.int64())), pa.array([times], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(counted, names=schema.names)
 
     done = staged(docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(order, kept, strict=True)]).mapInArrow(A.trimmed(first_pass), schema), "align")
-    partial = done.filter("partial").select(F.explode(F.arrays_zip("pairs", "times")).alias("x")).groupBy("x.pairs").agg(F.sum("x.times").alias("n"))
+    partial = done.filter("pairs IS NOT NULL").select(F.explode(F.arrays_zip("pairs", "times")).alias("x")).groupBy("x.pairs").agg(F.sum("x.times").alias("n"))
     merged = partial.toArrow()  # no more rows than both vocabularies have bytes
-    width = len(Tokenizers(located(a), located(b)).b_bytes)
+    both = Tokenizers(located(a), located(b))
+    width, kind = len(both.b_bytes), both.kind
     pair, count = merged["pairs"].to_numpy(), merged["n"].to_numpy()
     turn = np.argsort(pair)
     pair, count = pair[turn], count[turn]
@@ -269,13 +293,14 @@ def align(docs: DataFrame, a: str, b: str, text_col: str = "text") -> DataFrame:
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, count, best = sent.value
         for batch in batches:
-            links = batch["pairs"]
-            size = np.diff(links.offsets.to_numpy())
-            at = np.searchsorted(pair, links.flatten().to_numpy())
+            raw, offsets = A.buffers(batch["links"])
+            links = raw.view(kind) if len(raw) else np.zeros(0, kind)
+            size = np.diff(offsets) // np.dtype(kind).itemsize
+            at = np.searchsorted(pair, links)
             sums = [np.concatenate([[0], np.cumsum(v)]) for v in ((best[at].astype(np.int64), count[at]) if len(at) else (np.zeros(0, np.int64),) * 2)]
             stop = np.cumsum(size)
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in order), batch["a"], batch["b"], batch["g"], pa.array(size.astype(np.int64)), *(pa.array(s[stop] - s[stop - size]) for s in sums), batch["sha"]], names=last.names)
 
-    scored = done.filter("NOT partial").drop("times", "partial").mapInArrow(A.trimmed(second_pass), last)
+    scored = done.filter("links IS NOT NULL").drop("pairs", "times").mapInArrow(A.trimmed(second_pass), last)
     names = dict(zip(order, kept, strict=True)) | dict(zip(("a", "b", "g", "l", "best", "sum"), RESULT, strict=False))
     return scored.select(*[F.col(n).alias(c) for n, c in names.items()], F.coalesce("sha", F.lit("")).alias("groups_sha256"))
