@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import collections
+import math
 from collections.abc import Callable
 from functools import lru_cache
 from math import gcd
@@ -146,59 +149,123 @@ def band_features(mag: np.ndarray, freqs: np.ndarray, lo: float, hi: float, fram
 
 def indices(mag: np.ndarray, freqs: np.ndarray, floor_db: float = -50.0) -> dict[str, float]:
     """ACI, BIO, NDSI, ADI and AEI of a spectrogram; a kilohertz band is active in a frame above floor_db."""
-    out = dict.fromkeys(("aci", "bio", "ndsi", "adi", "aei"), 0.0)
-    if not len(mag):
-        return out
-    power = mag * mag
-    if len(mag) > 1:
-        base = mag[:-1].sum(axis=0)
-        out["aci"] = float((np.abs(np.diff(mag, axis=0)).sum(axis=0) / np.where(base == 0, 1.0, base)).sum())
-    voice = (freqs >= 2000) & (freqs <= 8000)
-    if voice.any():
-        level = 20 * np.log10(np.maximum(mag[:, voice].mean(axis=0), 1e-10))
-        out["bio"] = float((level - level.min()).sum())
-    sums = [power[:, (freqs >= lo) & (freqs < hi)].mean(axis=0).sum() for lo, hi in ((1000, 2000), (2000, 8000))]
-    if sum(sums) > 0:
-        out["ndsi"] = float((sums[1] - sums[0]) / (sums[1] + sums[0]))
-    active = []
-    for lo in range(0, 10_000, 1000):
-        own = (freqs >= lo) & (freqs < lo + 1000)
-        active.append(float((10 * np.log10(np.maximum(power[:, own].mean(axis=1), 1e-20)) > floor_db).mean()) if own.any() else 0.0)
-    a = np.sort(active)
-    if a.sum() > 0:
-        p = a[a > 0] / a.sum()
-        out["adi"] = float(-(p * np.log(p)).sum())
-        out["aei"] = float(((2 * np.arange(1, 11) - 11) * a).sum() / (10 * a.sum()))
-    return {k: round(v, 4) for k, v in out.items()}
+    return indices_of(*index_states(mag, freqs, None, floor_db), len(mag), freqs)
+
+
+class SortedWindow:
+    """The last `width` values in order: a value costs two binary searches, the median a look-up, the median deviation one more search."""
+
+    def __init__(self, width: int, values: list[float] = ()):
+        self.width, self.ring, self.sorted = width, collections.deque(values), sorted(values)
+
+    def push(self, value: float) -> None:
+        if len(self.ring) == self.width:
+            del self.sorted[bisect.bisect_left(self.sorted, self.ring.popleft())]
+        self.ring.append(value)
+        bisect.insort(self.sorted, value)
+
+    def median(self) -> float:
+        n = len(self.sorted)
+        return (self.sorted[(n - 1) // 2] + self.sorted[n // 2]) / 2
+
+    def _nearest(self, middle: float, k: int) -> float:
+        """The k-th smallest distance (from 0) to middle: below and above it distances are sorted, so it is found by bisection."""
+        s = self.sorted
+        split = bisect.bisect_left(s, middle)
+        lo, hi = max(0, k + 1 - (len(s) - split)), min(k + 1, split)  # how many of the k + 1 nearest lie below
+        while lo < hi:
+            take = (lo + hi) // 2
+            if middle - s[split - take - 1] < s[split + k - take] - middle:
+                lo = take + 1
+            else:
+                hi = take
+        below = middle - s[split - lo] if lo else -math.inf
+        above = s[split + k - lo] - middle if lo <= k else -math.inf
+        return max(below, above)
+
+    def deviation(self, middle: float) -> float:
+        n = len(self.sorted)
+        return (self._nearest(middle, (n - 1) // 2) + self._nearest(middle, n // 2)) / 2
 
 
 def exact_baseline(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Median and median deviation of the last `width` values at each place, fewer at the start."""
     median, mad = np.empty(len(values)), np.empty(len(values))
-    for i in range(len(values)):
-        own = values[max(0, i - width + 1) : i + 1]
-        median[i] = np.median(own)
-        mad[i] = np.median(np.abs(own - median[i]))
+    window = SortedWindow(width)
+    for i, v in enumerate(values.tolist()):
+        window.push(v)
+        median[i] = window.median()
+        mad[i] = window.deviation(median[i])
     return median, mad
 
 
-def baseline(flux: np.ndarray, window: int, anchors: int = 2000, warmup: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Causal running median and median deviation: exact at anchors, linear between them.
+def anchor_stride(n: int, anchors: int, warmup: int) -> int:
+    """Frames from an anchor to the next after the first `warmup` of n frames; 1 where all are anchors."""
+    return 1 if n <= anchors else -(-(n - warmup) // (anchors - warmup))
 
-    Up to `anchors` frames all are anchors; beyond, the first `warmup` are, then every so many, and the last.
+
+def anchors_around(n: int, lo: int, hi: int, anchors: int, warmup: int) -> np.ndarray:
+    """The anchors from the last at or before frame lo to the first at or after frame hi - 1."""
+    stride = anchor_stride(n, anchors, warmup)
+    before = lo if lo < warmup else lo - (lo - warmup) % stride
+    at = np.arange(before, min(n, hi - 1 + stride))
+    return at[(at < warmup) | ((at - warmup) % stride == 0) | (at == n - 1)]
+
+
+def baseline(flux: np.ndarray, window: int, anchors: int = 2000, warmup: int = 512, first: int = 0, lo: int = 0, hi: int | None = None, n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Causal running median and median deviation of frames lo to hi of n: exact at anchors, linear between them.
+
+    Up to `anchors` frames all are anchors; beyond, the first `warmup` are, then every so many, and the last. flux begins at frame `first`: it
+    must reach a window and a stride before lo, and a stride beyond hi.
     """
-    n = len(flux)
-    if n <= anchors:
-        at = np.arange(n)
-    else:
-        stride = -(-(n - warmup) // (anchors - warmup))
-        at = np.unique(np.concatenate([np.arange(warmup), np.arange(warmup, n, stride), [n - 1]]))
+    n = len(flux) if n is None else n
+    hi = n if hi is None else min(hi, n)
+    if hi <= lo:
+        return np.zeros(0), np.zeros(0)
+    at = anchors_around(n, lo, hi, anchors, warmup)
     median, mad = np.empty(len(at)), np.empty(len(at))
     for k, i in enumerate(at):
-        own = flux[max(0, i - window + 1) : i + 1]
+        own = flux[max(0, i - window + 1 - first) : i + 1 - first]
         median[k] = np.median(own)
         mad[k] = np.median(np.abs(own - median[k]))
-    return np.interp(np.arange(n), at, median), np.interp(np.arange(n), at, mad)
+    return np.interp(np.arange(lo, hi), at, median), np.interp(np.arange(lo, hi), at, mad)
+
+
+def index_states(mag: np.ndarray, freqs: np.ndarray, before: np.ndarray | None, floor_db: float = -50.0) -> tuple[np.ndarray, np.ndarray]:
+    """What indices need of some frames, to be added up: for each bin the sums of changes, of what they change from, of magnitudes and of powers;
+    for each kilohertz below ten the number of active frames. before: the frame before the first."""
+    power = mag * mag
+    whole = mag if before is None else np.vstack([before[None, :], mag])
+    bins = np.stack([np.abs(np.diff(whole, axis=0)).sum(axis=0), whole[:-1].sum(axis=0), mag.sum(axis=0), power.sum(axis=0)])
+    active = np.zeros(10)
+    for k in range(10):
+        own = (freqs >= 1000 * k) & (freqs < 1000 * k + 1000)
+        if own.any():
+            active[k] = (10 * np.log10(np.maximum(power[:, own].mean(axis=1), 1e-20)) > floor_db).sum()
+    return bins, active
+
+
+def indices_of(bins: np.ndarray, active: np.ndarray, n: int, freqs: np.ndarray) -> dict[str, float]:
+    """ACI, BIO, NDSI, ADI and AEI from the sums of n frames (see index_states)."""
+    out = dict.fromkeys(("aci", "bio", "ndsi", "adi", "aei"), 0.0)
+    if not n:
+        return out
+    change, base, level, power = bins
+    if n > 1:
+        out["aci"] = float((change / np.where(base == 0, 1.0, base)).sum())
+    voice = (freqs >= 2000) & (freqs <= 8000)
+    if voice.any():
+        db = 20 * np.log10(np.maximum(level[voice] / n, 1e-10))
+        out["bio"] = float((db - db.min()).sum())
+    sums = [(power[(freqs >= lo) & (freqs < hi)] / n).sum() for lo, hi in ((1000, 2000), (2000, 8000))]
+    if sum(sums) > 0:
+        out["ndsi"] = float((sums[1] - sums[0]) / (sums[1] + sums[0]))
+    a = np.sort(active / n)
+    if a.sum() > 0:
+        p = a[a > 0] / a.sum()
+        out["adi"] = float(-(p * np.log(p)).sum())
+        out["aei"] = float(((2 * np.arange(1, 11) - 11) * a).sum() / (10 * a.sum()))
+    return {k: round(v, 4) for k, v in out.items()}
 
 
 def greedy_pairs(candidates: list[tuple[float, int, int]]) -> list[tuple[int, int]]:

@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sonoframe.functions import kernels
+from sonoframe.operators import ranges
 from sonoframe.session import ship
 
 
 def running_median_mad(frames: DataFrame, key: str, order: str, value: str, width: int) -> DataFrame:
     """frames with median and mad of the last `width` values, fewer at the start. Memory is width values a row: for
-    windows of thousands of frames take kernels.baseline within a recording."""
+    windows of thousands of frames take exact_baseline."""
     own = W.partitionBy(key).orderBy(order).rowsBetween(-(width - 1), 0)
     middle = F.percentile(F.col(value), F.lit(0.5)).over(own)
     held = frames.withColumns({"median": middle, "_own": F.collect_list(value).over(own)})
@@ -25,6 +28,19 @@ def running_median_mad(frames: DataFrame, key: str, order: str, value: str, widt
     return held.withColumn("mad", (at(F.floor((n + 1) / 2)) + at(F.floor((n + 2) / 2))) / 2).drop("_own")
 
 
+def exact_baseline(frames: DataFrame, key: str, order: str, value: str, width: int, size: int = 1 << 14) -> DataFrame:
+    """As running_median_mad, for windows of thousands: frames are dealt by ranges, each with the width - 1 frames before it, and a sorted
+    window slides over them. A frame costs the logarithm of the width, a group holds a range and a window, and a key is many groups."""
+    rows = ranges.numbered(frames, key, [order])
+
+    def add(group: pa.Table, lo: int, hi: int) -> pa.Table:
+        skip = lo - group["_i"][0].as_py()
+        found = kernels.exact_baseline(group[value].to_numpy().astype(float), width)
+        return group.slice(skip).append_column("median", pa.array(found[0][skip:])).append_column("mad", pa.array(found[1][skip:]))
+
+    return ranges.over_ranges(rows, key, "_i", max(size, width), width - 1, 0, add, T.StructType([*rows.schema, T.StructField("median", T.DoubleType()), T.StructField("mad", T.DoubleType())])).drop("_i")
+
+
 def above_threshold(value: Column, median: Column, mad: Column, factor: float = 2.5, scale: float = 1.4826) -> Column:
     return value > median + factor * scale * mad
 

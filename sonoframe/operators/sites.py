@@ -35,7 +35,7 @@ def nearest_station(recordings: DataFrame, stations: DataFrame, key: str = "cove
     """Each recording with the station of its cover that was sampled nearest to it, in either direction.
 
     Undated stations count only where no dated one is, or the recording has no date; ties go to the first in the file.
-    Left outer: a recording without a station keeps nulls. An as-of match both ways: recordings and stations of a cover and a cell of
+    Left outer: a recording without a cover, or whose cover has no station, keeps nulls. An as-of match both ways: recordings and stations of a cover and a cell of
     time are ordered together, and each recording takes the last station before and the first after it; what lies in
     other cells comes from a table of cells. No pairs are made, and a cover with most of the recordings is as many groups as it has cells.
     """
@@ -43,12 +43,12 @@ def nearest_station(recordings: DataFrame, stations: DataFrame, key: str = "cove
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     cell = lambda t: F.floor(t / F.lit(cell_days * 86_400e6))
     first = lambda rows, *by: rows.groupBy(*by).agg(F.min_by("_s", F.struct(F.col("_s")[ord_col].isNull(), F.col("_s")[ord_col], F.col("_s")[station_id])).alias("_s"))
-    plots = stations.select(F.col(key).alias("_k"), micros(sampled).alias("_t"), F.struct(*columns).alias("_s"))
+    plots = stations.select(F.col(key).alias("_k"), micros(sampled).alias("_t"), F.struct(*columns).alias("_s")).filter("_k IS NOT NULL")
     default = first(plots, "_k").withColumnRenamed("_s", "_default")
     dated = first(plots.filter("_t IS NOT NULL"), "_k", "_t").withColumns({"_c": cell(F.col("_t")), "_at": F.struct(F.col("_t").alias("t"), F.col("_s").alias("s"))})
     made = recordings.withColumns({"_k": F.col(key), "_t": micros(when)}).withColumn("_c", cell(F.col("_t")))
     row = F.struct(*[c for c in recordings.columns])
-    both = made.select("_k", "_c", "_t", row.alias("_r"), F.lit(None).cast(dated.schema["_at"].dataType).alias("_at")).filter("_t IS NOT NULL")
+    both = made.select("_k", "_c", "_t", row.alias("_r"), F.lit(None).cast(dated.schema["_at"].dataType).alias("_at")).filter("_t IS NOT NULL AND _k IS NOT NULL")
     both = both.unionByName(dated.select("_k", "_c", "_t", F.lit(None).cast(both.schema["_r"].dataType).alias("_r"), "_at"))
     inside = W.partitionBy("_k", "_c").orderBy("_t")
     held = both.withColumns({"_before": F.last("_at", ignorenulls=True).over(inside.rangeBetween(W.unboundedPreceding, 0)), "_after": F.first("_at", ignorenulls=True).over(inside.rangeBetween(0, W.unboundedFollowing))}).filter("_r IS NOT NULL")
@@ -60,6 +60,6 @@ def nearest_station(recordings: DataFrame, stations: DataFrame, key: str = "cove
     a, b = away("_a"), away("_b")
     order = lambda x: F.struct(x["d"], x["n"], x["o"], x["i"])
     near = held.select("_k", "_r", F.when(a.isNull() | (b.isNotNull() & (order(b) < order(a))), b["s"]).otherwise(a["s"]).alias("_s"))
-    undated = made.filter("_t IS NULL").select("_k", row.alias("_r"), F.lit(None).cast(near.schema["_s"].dataType).alias("_s"))
+    undated = made.filter("_t IS NULL OR _k IS NULL").select("_k", row.alias("_r"), F.lit(None).cast(near.schema["_s"].dataType).alias("_s"))
     found = near.unionByName(undated).join(default, "_k", "left").withColumn("_s", F.coalesce("_s", "_default"))
     return found.select(F.col(f"_r.{key}").alias(key), *[F.col(f"_r.{c}").alias(c) for c in recordings.columns if c != key], *[F.col(f"_s.{c}").alias(c) for c in columns])

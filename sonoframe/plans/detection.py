@@ -102,12 +102,13 @@ def analyse(spark: SparkSession, *paths: str, settings: Settings = Settings(), s
     rows = rows.join(means, "path", "left").join(measured, "path", "left")
     own = ["site", "season", "cover"]
     if stations is not None:
-        keyed = rows.withColumn("cover_key", normalize_cover(F.coalesce("cover", F.lit(""))))
-        fields = sites.station_fields(stations, keep=("cover_key", "sampled_at", "file_ord"))
+        keyed = rows.withColumn("cover_key", F.nullif(normalize_cover(F.coalesce("cover", F.lit(""))), F.lit("")))
+        placed = stations.withColumn("cover_key", F.nullif("cover_key", F.lit("")))  # no cover is none to match
+        fields = sites.station_fields(placed, keep=("cover_key", "sampled_at", "file_ord"))
         rows = sites.nearest_station(keyed, fields, when="recorded_at").drop("cover_key", "sampled_at", "file_ord")
         own += ["station_id", "latitude", "longitude", "elevation_m"]
     rows = staged(rows, "recordings")
-    return rows, found.join(rows.select("path", *own), "path")
+    return rows, staged(found.join(rows.select("path", *own), "path"), "events")
 
 
 def detect_files(spark: SparkSession, *paths: str, settings: Settings = Settings()) -> DataFrame:
@@ -118,7 +119,7 @@ def detect_files(spark: SparkSession, *paths: str, settings: Settings = Settings
 def measured(found: DataFrame) -> DataFrame:
     """Events with indices and band features of their clips."""
     spans = found.select("path", F.col("event_index").cast("long").alias("event_index"), "onset_s", "offset_s", "clip_start_s", "clip_end_s", F.col("band_lo_hz").cast("double").alias("lo_hz"), F.col("band_hi_hz").cast("double").alias("hi_hz"))
-    return found.join(wav.measure_clips(spans), ["path", "event_index"])
+    return staged(found.join(wav.measure_clips(spans), ["path", "event_index"]), "measured")
 
 
 def results(found: DataFrame, recordings: DataFrame | None = None) -> DataFrame:

@@ -12,8 +12,8 @@ from sonoframe.functions import text as X
 from sonoframe.operators import calendar, census, classify, detect, matching, metadata, series, sites, spectrogram, timeline
 from sonoframe.plans import detection, validation
 from sonoframe.plans.views import BANDS, RATE, acoustic_events, energies, field_audio, heard, recordings_made, spectral_frames, table
-from sonoframe.session import new_path
-from sonoframe.sources import annotations, results
+from sonoframe.session import new_path, staged
+from sonoframe.sources import annotations, results, wav
 from sonoframe.streaming import sessions
 
 _before = lambda: F.lag("peak_flux").over(W.partitionBy("recording").orderBy("onset_s", "event_id"))
@@ -171,7 +171,7 @@ def q23_cover_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q24_nearest_station(spark: SparkSession, sf_dir: str) -> DataFrame:
     supply = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.min("l_shipdate").alias("sampled_at"))
     stations = table(spark, sf_dir, "supplier").join(supply, F.col("s_suppkey") == F.col("l_suppkey"), "left").select(F.col("s_nationkey").alias("cover_key"), F.col("s_suppkey").alias("station_id"), "sampled_at", F.col("s_suppkey").alias("file_ord"))
-    recs = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("recording"), F.col("c_nationkey").alias("cover_key"), F.col("o_orderdate").alias("at"))
+    recs = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("recording"), F.nullif("c_nationkey", F.lit(7)).alias("cover_key"), F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderdate")).alias("at"))
     return sites.nearest_station(recs, stations).select("recording", "cover_key", "station_id")
 
 
@@ -549,3 +549,24 @@ def q76_detection_of_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = found.groupBy("path").agg(F.count("*").alias("n"), F.round(F.min("onset_s")).alias("onset"), F.round(F.max("offset_s")).alias("offset"), F.min(F.array_join(F.transform("roles", lambda r: r), ",")).alias("roles"), F.min_by(F.array_sort(F.transform(F.map_entries("band_energies"), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("b"))))[0]["b"], "event_index").alias("band"))
     name = F.regexp_extract("path", "([^/]+)$", 1).alias("file")
     return made.join(per, "path", "left").select(name, "samplerate_hz", F.round("duration_s", 3).alias("duration_s"), "recorded_at", F.coalesce("n", F.lit(0)).alias("n_events"), "onset", "offset", "band")
+
+
+def q77_split_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of all WAV files read in ranges of several sizes, each frame by itself included, and how many differ from those of a whole read."""
+    files = wav.recordings(spark, field_audio(spark, sf_dir))
+    series = lambda span, name: wav.frame_features(files, span=span).select("path", "frame_idx", F.array("t_s", "flux", "centroid", "flatness", F.col("band_energies")["geophony"]).alias(name))
+    whole = staged(series(1 << 20, "x"), "whole-frames")
+    alike = F.forall(F.zip_with("x", "y", lambda a, b: F.abs(a - b) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(a))), lambda same: same)  # transforms of one frame or of many may differ in the last bit
+    out = None
+    for span in (1, 7, 64, 183, 184):
+        both = whole.join(series(span, "y"), ["path", "frame_idx"], "full").groupBy("path").agg(F.count("*").alias("n_frames"), F.count_if(~F.coalesce(alike, F.lit(False))).alias("n_different"))
+        both = both.join(wav.frame_ranges(files, 2048, 512, 48000, span).groupBy("path").agg(F.count("*").alias("n_ranges"), F.max("n").alias("longest")), "path")
+        both = both.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.lit(span).alias("span"), "n_frames", "n_ranges", "longest", "n_different")
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+def q78_wide_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact median and deviation of the last 5,000 values, a few long keys dealt by ranges."""
+    out = detect.exact_baseline(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), "event_type", "event_id", "value", 5000, size=700)
+    return out.select("event_id", F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))

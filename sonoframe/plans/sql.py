@@ -176,7 +176,7 @@ SQL: dict[str, str] = {
         SELECT recording, any_value(aci) AS aci, any_value(bio) AS bio, any_value(ndsi) AS ndsi, round(abs(sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END)), 4) AS adi, round(sum((2 * i - 11) * a) / (10 * sum(a)), 4) AS aei FROM r JOIN one USING (recording) GROUP BY recording""",
     "q23_cover_normalise": "SELECT page_id, " + _ACCENT.format("regexp_extract(html, '<title>(.*?)</title>', 1)") + " AS cover_key FROM pages",
     "q24_nearest_station": """WITH s AS (SELECT s_nationkey AS cover_key, s_suppkey AS station_id, (SELECT min(l_shipdate) FROM lineitem WHERE l_suppkey = s_suppkey) AS sampled FROM supplier),
-        o AS (SELECT o_orderkey AS recording, c_nationkey AS cover_key, o_orderdate AS made FROM orders JOIN customer ON o_custkey = c_custkey)
+        o AS (SELECT o_orderkey AS recording, nullif(c_nationkey, 7) AS cover_key, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate END AS made FROM orders JOIN customer ON o_custkey = c_custkey)
         SELECT recording, cover_key, station_id FROM (SELECT o.recording, o.cover_key, station_id, row_number() OVER (PARTITION BY recording ORDER BY abs(epoch_us(sampled) - epoch_us(made)) NULLS LAST, station_id NULLS LAST) AS r FROM o LEFT JOIN s USING (cover_key)) WHERE r = 1""",
     "q25_onset_band_join": _with(AE, ANN) + "SELECT file, det, ref, round(abs(onset_s - r0), 6) AS distance FROM det JOIN ref USING (file) WHERE abs(onset_s - r0) <= 3600",
     "q26_interval_overlap": _with(AE, ANN) + ", p AS (SELECT file, det, ref, greatest(0, least(offset_s, r1) - greatest(onset_s, r0)) AS i, offset_s - onset_s + r1 - r0 AS u FROM det JOIN ref USING (file)) SELECT file, det, ref, round(i / (u - i), 6) AS iou FROM p WHERE i / (u - i) >= 0.2",

@@ -132,4 +132,9 @@ SQL_MORE: dict[str, str] = {
     "q76_detection_of_audio": """WITH s AS (SELECT CAST(s_suppkey AS INTEGER) AS k FROM supplier), t AS (SELECT k, 500 + k * 37 % 6500 AS hz, k % 5 <> 0 AS loud, make_timestamp(2024, 1 + k % 12, 1 + k % 28, k % 24, k // 24 % 60, CAST(k // 1440 % 60 AS DOUBLE)) AS made FROM s)
         SELECT strftime(made, '%Y%m%d_%H%M%S') || '.wav' AS file, CAST(16000 AS BIGINT) AS samplerate_hz, CAST(6 AS DOUBLE) AS duration_s, made AS recorded_at, CAST(loud AS BIGINT) AS n_events, CASE WHEN loud THEN CAST(3 AS DOUBLE) END AS onset, CASE WHEN loud THEN CAST(4 AS DOUBLE) END AS "offset",
           CASE WHEN NOT loud THEN NULL WHEN hz < 2000 THEN 'geophony' WHEN hz < 4000 THEN 'biophony_low' ELSE 'biophony_mid' END AS band FROM t""",
+    "q77_split_recordings": """WITH s AS (SELECT CAST(s_suppkey AS INTEGER) AS k FROM supplier), p AS (SELECT unnest([1, 7, 64, 183, 184]) AS span)
+        SELECT strftime(make_timestamp(2024, 1 + k % 12, 1 + k % 28, k % 24, k // 24 % 60, CAST(k // 1440 % 60 AS DOUBLE)), '%Y%m%d_%H%M%S') || '.wav' AS file, span, CAST((96000 - 2048) // 512 + 1 AS BIGINT) AS n_frames,
+          CAST(ceil(184 / CAST(span AS DOUBLE)) AS BIGINT) AS n_ranges, CAST(span AS BIGINT) AS longest, CAST(0 AS BIGINT) AS n_different FROM s, p""",
+    "q78_wide_baseline": """SELECT event_id, round(median(value) OVER w, 6) AS median, round(mad(value) OVER w, 6) AS mad FROM events
+        WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 4999 PRECEDING AND CURRENT ROW)""",
 }

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sonoframe.functions.bands import AUDIBLE
 from sonoframe.session import new_path, ship
-from sonoframe.sources import wav
+from sonoframe.sources import files, wav
 
 RATE = 48000.0
 AUDIO_RATE = 16000
@@ -78,16 +75,13 @@ def field_audio(spark: SparkSession, sf_dir: str) -> str:
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = np.arange(6 * AUDIO_RATE) / AUDIO_RATE
-        os.makedirs(local := re.sub(r"^file:(//)?", "", root), exist_ok=True)
         for pdf in batches:
             for key in pdf["s_suppkey"]:
                 x = 1e-4 * np.random.default_rng(int(key)).normal(size=len(t))
                 if key % 5:
                     x += 0.4 * np.sin(2 * np.pi * (500 + int(key) * 37 % 6500) * t) * (np.sin(2 * np.pi * 8 * t) > 0) * ((t >= 3) & (t < 4))
-                name = f"{local}/2024{1 + key % 12:02d}{1 + key % 28:02d}_{key % 24:02d}{key // 24 % 60:02d}{key // 1440 % 60:02d}.wav"
-                with open(part := f"{name}.{uuid.uuid4().hex}", "wb") as out:
-                    out.write(wav.encode(x, AUDIO_RATE))
-                os.replace(part, name)
+                name = f"{root}/2024{1 + key % 12:02d}{1 + key % 28:02d}_{key % 24:02d}{key // 24 % 60:02d}{key // 1440 % 60:02d}.wav"
+                files.put(name, wav.encode(x, AUDIO_RATE))
             yield pdf
 
     table(spark, sf_dir, "supplier").select("s_suppkey").mapInPandas(write, "s_suppkey long").write.format("noop").mode("overwrite").save()

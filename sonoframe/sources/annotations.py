@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import re
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,8 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sonoframe.functions.text import clip_path
+from sonoframe.operators import ranges
 from sonoframe.session import ship
-from sonoframe.sources import wav
+from sonoframe.sources import files, wav
 
 
 def intervals(spark: SparkSession, path: str, label: str = "Species") -> DataFrame:
@@ -26,22 +24,23 @@ def intervals(spark: SparkSession, path: str, label: str = "Species") -> DataFra
 
 
 def stride_sample(rows: DataFrame, order: str, limit: int) -> DataFrame:
-    """`limit` rows at even distances in order; all if there are no more."""
-    n = F.count("*").over(W.partitionBy())
-    placed = rows.withColumns({"_i": F.row_number().over(W.orderBy(order)) - 1, "_n": n})
+    """`limit` rows at even distances in order; all if there are no more. Rows are numbered in range partitions, not in one task."""
+    placed = ranges.numbered(rows, None, [order])
+    n = placed.count()
+    if n <= limit:
+        return placed.drop("_i")
     # row i is one of int(j * n / limit) for some j
-    j = F.ceil(F.col("_i") * limit / F.col("_n"))
-    return placed.filter((F.col("_n") <= limit) | ((j < limit) & (F.floor(j * F.col("_n") / limit) == F.col("_i")))).drop("_i", "_n")
+    j = F.ceil(F.col("_i") * limit / n)
+    return placed.filter((j < limit) & (F.floor(j * n / limit) == F.col("_i"))).drop("_i")
 
 
 def cut_clips(clips: DataFrame, root: str, organize_by: str = "role") -> DataFrame:
     """Writes each clip as a WAV at native rate below root (a folder that all executors share); path, event_index, clip.
 
-    Only a clip's own samples are read. A clip is written under a name of its attempt and renamed, so a repeated task leaves one
-    whole file.
+    Only a clip's own samples are read. A clip is written under a name of its attempt and renamed (see files.put), so a repeated task leaves
+    one whole file.
     """
     ship(clips.sparkSession)
-    root = re.sub(r"^file:(//)?", "", root)
     named = clips.withColumn("clip", clip_path(F.col("domain"), F.col("role"), F.col("event_index"), F.col("clip_start_s"), F.col("clip_end_s"), organize_by))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,12 +49,7 @@ def cut_clips(clips: DataFrame, root: str, organize_by: str = "role") -> DataFra
                 with wav.Source(path) as source:
                     wave = wav.Wave(source)
                     for c in own.itertuples():
-                        target = f"{root}/{c.clip}"
-                        os.makedirs(os.path.dirname(target), exist_ok=True)
-                        part = f"{target}.{uuid.uuid4().hex}"
-                        with open(part, "wb") as out:
-                            out.write(wav.encode(wave.seconds(c.clip_start_s, c.clip_end_s), wave.rate))
-                        os.replace(part, target)
+                        files.put(f"{root}/{c.clip}", wav.encode(wave.seconds(c.clip_start_s, c.clip_end_s), wave.rate))
             yield pdf[["path", "event_index", "clip"]]
 
     return named.select("path", "event_index", "clip", "clip_start_s", "clip_end_s").mapInPandas(cut, "path string, event_index long, clip string")

@@ -18,9 +18,14 @@ from pyspark.sql import functions as F
 from sonoframe.functions import kernels
 from sonoframe.functions.bands import AUDIBLE
 from sonoframe.functions.text import recorder_datetime
+from sonoframe.operators import spectrogram
 from sonoframe.session import ship
 
 
+#: format and bits of what samples() decodes: integers (1) and floats (3)
+READABLE = {(1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)}
+
+
 class Source:
     """A file's bytes by range, from its path or from bytes that are at hand."""
 
@@ -71,6 +76,8 @@ class Wave:
                 self.comment = _comment(source.read(at + 8, size)) or self.comment
             elif name == b"data" and fmt:
                 self.kind, self.channels, self.rate, self.bits = fmt
+                if (self.kind, self.bits) not in READABLE or not self.channels or not self.rate:
+                    raise ValueError(f"no linear PCM that can be read: format {self.kind}, {self.bits} bits, {self.channels} channels, {self.rate} Hz")
                 self.width = self.channels * self.bits // 8
                 self.first, self.frames = at + 8, min(size, source.size - at - 8) // self.width
                 return
@@ -172,43 +179,75 @@ def probe(files: DataFrame, content: bool = False) -> DataFrame:
     return rows.mapInPandas(read, "path string, samplerate_hz long, duration_s double, comment string, error string").withColumn("recorded_at", recorder_datetime(stem))
 
 
-def frame_features(files: DataFrame, bands: dict = AUDIBLE, frame: int = 2048, hop: int = 512, target_rate: int = 48000, block: int = 4096, content: bool = False) -> DataFrame:
+def frame_ranges(files: DataFrame, frame: int, hop: int, target_rate: int, span: int) -> DataFrame:
+    """path, first, n: the frames of every file in ranges of at most `span`, from headers alone."""
+    ship(files.sparkSession)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            frames = []
+            for path in pdf["path"]:
+                with Source(path) as source:
+                    wave = Wave(source)
+                total = kernels.resampled_length(wave.frames, wave.rate, target_rate)
+                frames.append(max(0, (total - frame) // hop + 1))
+            yield pd.DataFrame({"path": pdf["path"], "frames": frames})
+
+    counted = files.select("path").mapInPandas(count, "path string, frames long").filter("frames > 0")
+    ranged = counted.select("path", "frames", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1, F.lit(span).cast("long"))).alias("first"))
+    return ranged.select("path", "first", F.least(F.lit(span).cast("long"), F.col("frames") - F.col("first")).alias("n"))
+
+
+def frame_features(files: DataFrame, bands: dict = AUDIBLE, frame: int = 2048, hop: int = 512, target_rate: int = 48000, block: int = 4096, content: bool = False, span: int = 1 << 14) -> DataFrame:
     """path, frame_idx, t_s, flux, centroid, flatness, band_energies of each frame.
 
-    A file is read in blocks of `block` frames that overlap by a frame less a hop, so frames tile as in a whole read, and
-    the last magnitude is carried over. Resampling is by block too: memory does not grow with the recording.
+    A recording is dealt by ranges of `span` frames (three minutes at the defaults) over all tasks; a range reads its own samples and the frame before
+    it, whose magnitude flux needs, so nothing is carried from one to the next. Within a range samples are read in blocks of `block` frames: memory
+    follows the block. With content=True a file is one task, as Spark hands it over whole.
     """
 
-    def stream(path: str, wave: Wave) -> Iterator[pd.DataFrame]:
+    def stream(path: str, wave: Wave, first: int = 0, n: int | None = None) -> Iterator[pd.DataFrame]:
         rate = target_rate if 0 < target_rate < wave.rate else wave.rate
-        total, done, before = kernels.resampled_length(wave.frames, wave.rate, rate), 0, None
+        total = kernels.resampled_length(wave.frames, wave.rate, rate)
+        stop = max(0, (total - frame) // hop + 1) if n is None else first + n
         freqs = kernels.frequency_axis(rate, frame)
-        while done * hop + frame <= total:
-            n = min((block - 1) * hop + frame, total - done * hop)
-            mag = kernels.magnitudes(kernels.resample_range(wave.samples, wave.frames, wave.rate, rate, done * hop, n), frame, hop)
+        read = lambda at, count: kernels.magnitudes(kernels.resample_range(wave.samples, wave.frames, wave.rate, rate, at * hop, (count - 1) * hop + frame), frame, hop)
+        before = read(first - 1, 1)[0] if first else None
+        for done in range(first, stop, block):
+            mag = read(done, min(block, stop - done))
             series = kernels.frame_series(mag, freqs, bands, before)
             at = done + np.arange(len(mag))
             energies = [dict(zip(bands, v, strict=True)) for v in zip(*(series[b] for b in bands), strict=True)]
             yield pd.DataFrame({"path": path, "frame_idx": at, "t_s": at * hop / rate, "flux": series["flux"], "centroid": series["centroid"], "flatness": series["flatness"], "band_energies": energies})
-            before, done = mag[-1], done + len(mag)
+            before = mag[-1]
 
-    return _by_file(files, stream, "path string, frame_idx long, t_s double, flux double, centroid double, flatness double, band_energies map<string,double>", content)
+    schema = "path string, frame_idx long, t_s double, flux double, centroid double, flatness double, band_energies map<string,double>"
+    if content:
+        return _by_file(files, stream, schema, True)
+
+    def read_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, own in pdf.groupby("path", sort=False):
+                with Source(path) as source:
+                    wave = Wave(source)
+                    for r in own.itertuples():
+                        yield from stream(path, wave, r.first, r.n)
+
+    spark = files.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)  # a number, so thin rows are not coalesced
+    return frame_ranges(files, frame, hop, target_rate, span).repartition(tasks, "path", "first").mapInPandas(read_ranges, schema)
 
 
 def detect_baseline(frames: DataFrame, seconds: float = 60.0) -> DataFrame:
-    """frames with the causal median and mad of their recording; the window is at most half the recording."""
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        n = len(pdf)
-        dt = pdf["t_s"].iloc[1] - pdf["t_s"].iloc[0] if n > 1 else 1.0
-        window = min(max(1, int(seconds / dt)), max(1, n // 2))
-        pdf["median"], pdf["mad"] = kernels.baseline(pdf["flux"].to_numpy(), window)
-        return pdf
-
-    ship(frames.sparkSession)
-    own = frames.select("path", "frame_idx", "t_s", "flux")
-    return own.groupBy("path").applyInPandas(add, "path string, frame_idx long, t_s double, flux double, median double, mad double")
+    """frames with the causal median and mad of their recording; the window is at most half the recording.
+
+    frame_idx numbers the frames of a recording, so they are dealt by ranges of it (see spectrogram.anchored).
+    """
+    own = frames.select("path", F.col("frame_idx").alias("_i"), "t_s", "flux")
+    step = F.max(F.when(F.col("_i") == 1, F.col("t_s"))) - F.max(F.when(F.col("_i") == 0, F.col("t_s")))
+    counts = own.groupBy(F.col("path").alias("_key")).agg((F.max("_i") + 1).alias("_n"), step.alias("_dt"))
+    window = F.least(F.greatest(F.lit(1), F.floor(seconds / F.coalesce("_dt", F.lit(1.0)))), F.greatest(F.lit(1), F.floor(F.col("_n") / 2)))
+    return spectrogram.anchored(own, counts.select("_key", "_n", window.alias("_window")), "path", "flux").select("path", F.col("_i").alias("frame_idx"), "t_s", "flux", "median", "mad")
 
 
 def measure_clips(clips: DataFrame, frame: int = 2048, hop: int = 512) -> DataFrame:
