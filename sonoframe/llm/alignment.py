@@ -135,7 +135,7 @@ class Tokenizers:
 class Chunks:
     """What is known of each chunk: tokens, groups and linked pairs, in arrays by number."""
 
-    def __init__(self, a_path: str, b_path: str, memory: int = 160_000):
+    def __init__(self, a_path: str, b_path: str, memory: int = 80_000):
         import duckdb
 
         self.tokenizers = Tokenizers(a_path, b_path)
@@ -241,14 +241,17 @@ def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((ends * size).astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
 
 
-def align(docs: DataFrame, a: str, b: str, text_col: str = "text") -> DataFrame:
-    """docs with n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256; a and b: files, or names among the public tokenizers."""
+def align(docs: DataFrame, a: str, b: str, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs with n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256; a and b: files, or names among the public tokenizers.
+
+    Without keep_text the result has no text, so none is written between the passes."""
     spark = docs.sparkSession
     ship(spark)
     kept = [c for c in docs.columns if c.lower() not in RESULT]
-    order = [f"k{i}" for i in range(len(kept))]  # input columns, under names that nothing else has
-    fields = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(order, kept, strict=True)]
-    text_at = order[kept.index(text_col)]
+    held_columns = [c for c in kept if keep_text or c != text_col]
+    order = [f"k{i}" for i in range(len(held_columns))]  # input columns, under names that nothing else has
+    fields = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(order, held_columns, strict=True)]
+    text_at = "text"
     schema = T.StructType([*fields, *(T.StructField(n, T.LongType()) for n in ("a", "b", "g"))]).add("sha", "string").add("links", "binary").add("pairs", T.ArrayType(T.LongType())).add("times", T.ArrayType(T.LongType()))
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +261,7 @@ def align(docs: DataFrame, a: str, b: str, text_col: str = "text") -> DataFrame:
         chunks = _ready[key]
         for whole in batches:
             offsets = A.buffers(whole[text_at])[1]
-            for lo, hi in A.pieces(offsets, 1 << 21):
+            for lo, hi in A.pieces(offsets, 1 << 20):
                 batch = whole.slice(lo, hi - lo)
                 numbers = chunks.texts(batch[text_at].to_pylist())
                 none = np.zeros(0, np.int64)
@@ -277,7 +280,7 @@ def align(docs: DataFrame, a: str, b: str, text_col: str = "text") -> DataFrame:
                 counted = [*(pa.nulls(1, batch[n].type) for n in order), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.array([pair], pa.list_(pa.int64())), pa.array([times], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(counted, names=schema.names)
 
-    done = staged(docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(order, kept, strict=True)]).mapInArrow(A.trimmed(first_pass), schema), "align")
+    done = staged(docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(order, held_columns, strict=True)], F.col(f"`{text_col}`").alias(text_at)).mapInArrow(A.trimmed(first_pass), schema), "align")
     partial = done.filter("pairs IS NOT NULL").select(F.explode(F.arrays_zip("pairs", "times")).alias("x")).groupBy("x.pairs").agg(F.sum("x.times").alias("n"))
     merged = partial.toArrow()  # no more rows than both vocabularies have bytes
     both = Tokenizers(located(a), located(b))
@@ -302,5 +305,5 @@ def align(docs: DataFrame, a: str, b: str, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in order), batch["a"], batch["b"], batch["g"], pa.array(size.astype(np.int64)), *(pa.array(s[stop] - s[stop - size]) for s in sums), batch["sha"]], names=last.names)
 
     scored = done.filter("links IS NOT NULL").drop("pairs", "times").mapInArrow(A.trimmed(second_pass), last)
-    names = dict(zip(order, kept, strict=True)) | dict(zip(("a", "b", "g", "l", "best", "sum"), RESULT, strict=False))
+    names = dict(zip(order, held_columns, strict=True)) | dict(zip(("a", "b", "g", "l", "best", "sum"), RESULT, strict=False))
     return scored.select(*[F.col(n).alias(c) for n, c in names.items()], F.coalesce("sha", F.lit("")).alias("groups_sha256"))

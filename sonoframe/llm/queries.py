@@ -97,7 +97,7 @@ def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sonoframe.llm.alignment import align
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return align(docs, "byte_bpe_50k.json", "piece_bpe_32k.model").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    return align(docs, "byte_bpe_50k.json", "piece_bpe_32k.model", keep_text=False).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
