@@ -158,9 +158,13 @@ class SortedWindow:
     def __init__(self, width: int, values: list[float] = ()):
         self.width, self.ring, self.sorted = width, collections.deque(values), sorted(values)
 
+    def drop(self) -> None:
+        """Lets the oldest value go."""
+        del self.sorted[bisect.bisect_left(self.sorted, self.ring.popleft())]
+
     def push(self, value: float) -> None:
         if len(self.ring) == self.width:
-            del self.sorted[bisect.bisect_left(self.sorted, self.ring.popleft())]
+            self.drop()
         self.ring.append(value)
         bisect.insort(self.sorted, value)
 

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from sonoframe.functions import bands as B
 from sonoframe.functions import spectral as S
 from sonoframe.functions import text as X
-from sonoframe.operators import calendar, census, classify, detect, matching, metadata, series, sites, spectrogram, timeline
+from sonoframe.operators import calendar, census, classify, detect, matching, metadata, ranges, series, sites, spectrogram, timeline
 from sonoframe.plans import detection, validation
 from sonoframe.plans.views import BANDS, RATE, acoustic_events, energies, field_audio, heard, recordings_made, spectral_frames, table
 from sonoframe.session import new_path, staged
 from sonoframe.sources import annotations, results, wav
-from sonoframe.streaming import sessions
+from sonoframe.streaming import sessions, stateful
 
 _before = lambda: F.lag("peak_flux").over(W.partitionBy("recording").orderBy("onset_s", "event_id"))
 
@@ -415,9 +415,20 @@ def q59_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.select("s_suppkey", "frame_idx", F.round("t_s", 9).alias("t_s"), F.round("peak_hz", 4).alias("peak_hz"), best.alias("band"), (F.col("flux") == 0).alias("first"))
 
 
+def _cut_stream(rows: DataFrame, time: str, spread: float, parts: int = 6) -> DataFrame:
+    """rows as a stream of `parts` files, one a micro-batch, cut by time; up to `spread` seconds around each cut are in either file, so rows come late."""
+    at = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    jitter = F.pmod(F.xxhash64(*rows.columns), F.lit(1000)) / 1000.0 * spread
+    part = F.floor((at + jitter - low) / (high - low + spread + 1) * parts)
+    path = new_path(rows.sparkSession, "stream-parts")
+    for i in range(parts):  # files in the order of their writing are the stream
+        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(known).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: a stream's path may not be a single file
+    return _cut_stream(table(spark, sf_dir, "events"), "ts", 7200.0)
 
 
 def q60_stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -433,7 +444,8 @@ def q61_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q62_stream_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = sessions.drained(sessions.thin(_stream(spark, sf_dir), "user_id", "ts", 7200.0), "stream-thin")
+    """Six micro-batches; what the watermark has not passed at the end still waits."""
+    kept = sessions.drained(stateful.thin(_stream(spark, sf_dir), "user_id", "ts", 7200.0, "1 day"), "stream-thin")
     return kept.select(F.col("key").alias("user_id"), F.round("at", 6).alias("at"))
 
 
@@ -449,16 +461,15 @@ def q63_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q64_stream_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The causal median and deviation on a stream, with the last values as state."""
-    rows = sessions.drained(sessions.running_baseline(_stream(spark, sf_dir), "user_id", "ts", "value", 20), "stream-baseline")
+    """The causal median and deviation of two days on a stream of six micro-batches, with the window as state."""
+    rows = sessions.drained(stateful.running_baseline(_stream(spark, sf_dir), "user_id", "ts", "value", 172_800.0, "1 day"), "stream-baseline")
     return rows.select(F.col("key").alias("user_id"), F.round("at", 6).alias("at"), F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))
 
 
 def q65_stream_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spectral flux of a stream of frames, with the last frame as state."""
-    known = table(spark, sf_dir, "embeddings").schema
-    frames = spark.readStream.schema(known).parquet(f"{sf_dir}/embeddings.parque[t]").withColumn("mag", F.transform("embedding", lambda x: F.abs(x.cast("double"))))
-    rows = sessions.drained(sessions.flux(frames, "label", "vec_id", "mag"), "stream-flux")
+    """Spectral flux of a stream of frames, one a second in six micro-batches, with the last frame as state."""
+    frames = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("mag"), F.timestamp_seconds(F.col("vec_id") + 1000).alias("made"))
+    rows = sessions.drained(stateful.flux(_cut_stream(frames, "made", 30.0), "label", "made", "vec_id", "mag", "60 seconds"), "stream-flux")
     return rows.select(F.col("key").alias("recording"), "frame", F.round("flux", 6).alias("flux"))
 
 
@@ -570,3 +581,23 @@ def q78_wide_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact median and deviation of the last 5,000 values, a few long keys dealt by ranges."""
     out = detect.exact_baseline(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), "event_type", "event_id", "value", 5000, size=700)
     return out.select("event_id", F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))
+
+
+def q79_stream_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a stream of six micro-batches merged over gaps of up to two hours, with the folded mean of the batch operator."""
+    merged = sessions.drained(stateful.merged_events(_stream(spark, sf_dir), "user_id", "ts", "value", 7200.0, "1 day"), "stream-merged")
+    return merged.select(F.col("key").alias("user_id"), F.round("onset", 6).alias("onset_s"), F.round("last", 6).alias("last_s"), F.round("peak", 4).alias("peak"), F.round("mean", 6).alias("mean"), "n")
+
+
+def q80_stream_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of clients for days of the calendar and their replies: a cursor for each client over six micro-batches."""
+    days = ranges.numbered(q01_daily_calendar(spark, sf_dir).select("day"), None, ["day"])
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0))
+    kind = F.col("event_type")
+    ev = table(spark, sf_dir, "events").select(
+        "user_id", "ts", F.concat(F.lit("/phenology/query/"), F.when(kind == "click", "next").when(kind == "view", "prev").when(kind == "purchase", "day").when(kind == "error", "date").when(k % 2 == 0, "meta").otherwise("sleep")).alias("verb"),
+        F.when(kind == "purchase", F.when(k % 7 == 0, "x").otherwise((k - 20).cast("string"))).when(kind == "error", F.date_add(F.to_date("ts"), k % 20).cast("string")).alias("arg"),
+    )
+    found = sessions.drained(stateful.replies(_cut_stream(ev, "ts", 7200.0), "user_id", "ts", "verb", "arg", days, "1 day"), "stream-replies")
+    shown = found.join(days.withColumnRenamed("_i", "frame"), "frame", "left")
+    return shown.select(F.col("client").alias("user_id"), F.round("at", 6).alias("at"), "verb", "frame", "day")

@@ -79,7 +79,7 @@ SQL_MORE: dict[str, str] = {
         SELECT user_id, epoch_us(min(ts)) / CAST(1000000 AS DOUBLE) AS onset_s, epoch_us(max(ts)) / CAST(1000000 AS DOUBLE) AS last_s, round(max(value), 4) AS peak, count(*) AS n FROM g GROUP BY user_id, g HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
     "q62_stream_thinning": """WITH RECURSIVE s AS (SELECT user_id, epoch_us(ts) / CAST(1000000 AS DOUBLE) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
         f AS (SELECT user_id, t, i, t AS last, TRUE AS keep FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s.t, s.i, CASE WHEN s.t - f.last >= 7200 THEN s.t ELSE f.last END, s.t - f.last >= 7200 FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1)
-        SELECT user_id, round(t, 6) AS "at" FROM f WHERE keep""",
+        SELECT user_id, round(t, 6) AS "at" FROM f WHERE keep AND t <= (SELECT epoch_us(max(ts)) / CAST(1000000 AS DOUBLE) - 86400 FROM events)""",
     "q63_sweep": "WITH RECURSIVE " + AE + "," + ANN + """,
         g AS (SELECT CAST(i * 2 + j AS INTEGER) AS config, ([0, 0.5, 1])[i + 1] AS kf, ([0, 600])[j + 1] AS least, ([600, 7200])[j + 1] AS gap FROM range(3) a(i), range(2) b(j)),
         fr AS (SELECT recording AS file, event_id, onset_s AS t, peak_flux AS v, median(peak_flux) OVER w AS m, mad(peak_flux) OVER w AS d, row_number() OVER (PARTITION BY recording ORDER BY event_id) AS i FROM ae WINDOW w AS (PARTITION BY recording ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
@@ -95,9 +95,10 @@ SQL_MORE: dict[str, str] = {
         sc AS (SELECT g.config, CAST(coalesce(tp, 0) AS BIGINT) AS tp, CAST(coalesce(n, 0) - coalesce(tp, 0) AS BIGINT) AS fp, CAST((SELECT count(*) FROM ref) - coalesce(tp, 0) AS BIGINT) AS fn FROM g LEFT JOIN tp ON tp.config = g.config LEFT JOIN ne ON ne.config = g.config),
         pr AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS pp, coalesce(tp / nullif(tp + fn, 0), 0) AS rr FROM sc)
         SELECT config, tp, fp, fn, round(pp, 4) AS precision, round(rr, 4) AS recall, round(coalesce(2 * pp * rr / nullif(pp + rr, 0), 0), 4) AS f1 FROM pr""",
-    "q64_stream_baseline": """WITH v AS (SELECT user_id, epoch_us(ts) / CAST(1000000 AS DOUBLE) AS t, value FROM events)
-        SELECT user_id, round(t, 6) AS "at", round(median(value) OVER w, 6) AS median, round(mad(value) OVER w, 6) AS mad FROM v WINDOW w AS (PARTITION BY user_id ORDER BY t, value ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
-    "q65_stream_flux": _with(MAG) + ", d AS (SELECT recording, frame, greatest(m - lag(m) OVER (PARTITION BY recording, k ORDER BY frame), 0) AS r FROM mag) SELECT recording, frame, round(sqrt(sum(coalesce(r, 0) * coalesce(r, 0))), 6) AS flux FROM d GROUP BY 1, 2",
+    "q64_stream_baseline": """WITH v AS (SELECT user_id, epoch_us(ts) AS t, value FROM events),
+        r AS (SELECT user_id, t, median(value) OVER w AS m, mad(value) OVER w AS d FROM v WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 172799999999 PRECEDING AND CURRENT ROW))
+        SELECT user_id, round(t / CAST(1000000 AS DOUBLE), 6) AS "at", round(m, 6) AS median, round(d, 6) AS mad FROM r WHERE t <= (SELECT max(t) - 86400000000 FROM v)""",
+    "q65_stream_flux": _with(MAG) + ", d AS (SELECT recording, frame, greatest(m - lag(m) OVER (PARTITION BY recording, k ORDER BY frame), 0) AS r FROM mag) SELECT recording, frame, round(sqrt(sum(coalesce(r, 0) * coalesce(r, 0))), 6) AS flux FROM d WHERE frame <= (SELECT max(vec_id) - 60 FROM embeddings) GROUP BY 1, 2",
     "q66_periodicity": _with(MAG) + """, e AS (SELECT recording, frame, sum(m * m) FILTER (f >= 2000 AND f < 8000) AS e FROM mag GROUP BY 1, 2),
         c AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY frame) AS i, count(*) OVER (PARTITION BY recording) AS n, least(count(*) OVER (PARTITION BY recording), 20) AS w FROM e),
         d AS (SELECT a.recording, a.i, a.n, a.e - (SELECT coalesce(sum(b.e), 0) FROM c b WHERE b.recording = a.recording AND b.i BETWEEN a.i - a.w // 2 AND a.i + (a.w - 1) // 2) / a.w AS x FROM c a),
@@ -137,4 +138,16 @@ SQL_MORE: dict[str, str] = {
           CAST(ceil(184 / CAST(span AS DOUBLE)) AS BIGINT) AS n_ranges, CAST(span AS BIGINT) AS longest, CAST(0 AS BIGINT) AS n_different FROM s, p""",
     "q78_wide_baseline": """SELECT event_id, round(median(value) OVER w, 6) AS median, round(mad(value) OVER w, 6) AS mad FROM events
         WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 4999 PRECEDING AND CURRENT ROW)""",
+    "q79_stream_merged": """WITH m AS (SELECT max(epoch_us(ts)) - 86400000000 AS mark FROM events), e AS (SELECT user_id, epoch_us(ts) AS t, value, coalesce(CAST(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 7200000000 AS INTEGER), 1) AS new FROM events, m WHERE epoch_us(ts) <= mark),
+        g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM e)
+        SELECT user_id, round(min(t) / CAST(1000000 AS DOUBLE), 6) AS onset_s, round(max(t) / CAST(1000000 AS DOUBLE), 6) AS last_s, round(max(value), 4) AS peak, round(list_reduce(list(value ORDER BY t), lambda a, b: (a + b) / 2), 6) AS mean, count(*) AS n
+        FROM g, m GROUP BY user_id, g, mark HAVING max(t) + 7200000000 < mark""",
+    "q80_stream_replies": "WITH RECURSIVE " + AE + """, d AS (SELECT CAST(day AS VARCHAR) AS day, row_number() OVER (ORDER BY day) - 1 AS i FROM (SELECT DISTINCT day FROM ae)), n AS (SELECT count(*) AS n FROM d),
+        q AS (SELECT user_id, epoch_us(ts) AS t, event_type AS e, coalesce(CAST(json_extract(props, '$.k') AS INTEGER), 0) AS k, CAST(CAST(ts AS DATE) + coalesce(CAST(json_extract(props, '$.k') AS INTEGER), 0) % 20 AS DATE) AS want FROM events),
+        v AS (SELECT user_id, t, CASE e WHEN 'click' THEN 'next' WHEN 'view' THEN 'prev' WHEN 'purchase' THEN 'day' WHEN 'error' THEN 'date' ELSE CASE WHEN k % 2 = 0 THEN 'meta' ELSE 'sleep' END END AS verb, CASE WHEN e = 'purchase' THEN CASE WHEN k % 7 <> 0 THEN k - 20 END WHEN e = 'error' THEN d.i END AS goal,
+          row_number() OVER (PARTITION BY user_id ORDER BY t) AS r FROM q LEFT JOIN d ON e = 'error' AND d.day = CAST(want AS VARCHAR)),
+        f AS (SELECT user_id, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS cursor FROM (SELECT DISTINCT user_id FROM v)
+          UNION ALL SELECT v.user_id, v.r, CASE WHEN verb = 'next' THEN (cursor + 1) % n WHEN verb = 'prev' THEN (cursor - 1 + n) % n WHEN verb IN ('day', 'date') AND goal IS NOT NULL THEN greatest(0, least(goal, n - 1)) ELSE cursor END FROM f JOIN v ON v.user_id = f.user_id AND v.r = f.r + 1, n)
+        SELECT user_id, round(t / CAST(1000000 AS DOUBLE), 6) AS "at", verb, CASE WHEN verb <> 'meta' THEN cursor END AS frame, CASE WHEN verb <> 'meta' THEN CAST(d.day AS DATE) END AS day
+        FROM v JOIN f USING (user_id, r) LEFT JOIN d ON d.i = cursor WHERE verb <> 'sleep' AND (verb IN ('next', 'prev', 'meta') OR goal IS NOT NULL) AND t <= (SELECT max(epoch_us(ts)) - 86400000000 FROM events)""",
 }

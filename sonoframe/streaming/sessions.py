@@ -1,17 +1,11 @@
-"""Events from a stream of threshold crossings: sessions by gap, tumbling counts, stateful thinning."""
+"""Events from a stream of threshold crossings by built-in windows: sessions by gap, tumbling counts; and draining a stream into a table."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sonoframe.functions import kernels
-from sonoframe.session import new_path, ship
+from sonoframe.session import new_path
 
 
 def sessions(crossings: DataFrame, key: str, time: str, value: str, gap: str, late: str) -> DataFrame:
@@ -27,60 +21,23 @@ def daily_counts(events: DataFrame, time: str, kind: str, late: str) -> DataFram
     return at.groupBy(F.window(time, "1 day").alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), kind, "n")
 
 
-def thin(events: DataFrame, key: str, time: str, separation: float) -> DataFrame:
-    """Events that begin at least `separation` seconds after the last that stayed; the state of a key is that one time."""
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for t in sorted(t for pdf in batches for t in pdf["at"]):
-            if last is None or t - last >= separation:
-                last = t
-                yield pd.DataFrame({"key": [k[0]], "at": [t]})
-        if last is not None:
-            state.update((last,))
-
-    ship(events.sparkSession)
-    thinned = events.select(F.col(key).alias("key"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("at"))
-    return thinned.groupBy("key").applyInPandasWithState(step, f"key {thinned.schema['key'].dataType.simpleString()}, at double", "last double", "append", GroupStateTimeout.NoTimeout)
-
-
-def running_baseline(values: DataFrame, key: str, time: str, value: str, width: int) -> DataFrame:
-    """key, at, value, median, mad of the last `width` values of each key, fewer at its start: the state is those values, in time order
-    within what a batch brings."""
-    ship(values.sparkSession)
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(["at", "value"])
-        before = np.array(state.get[0] if state.exists else [], float)
-        own = np.concatenate([before, pdf["value"].to_numpy(float)])
-        median, mad = kernels.exact_baseline(own, width)
-        state.update((own[-(width - 1) :].tolist() if width > 1 else [],))
-        yield pd.DataFrame({"key": k[0], "at": pdf["at"], "value": pdf["value"], "median": median[len(before) :], "mad": mad[len(before) :]})
-
-    rows = values.select(F.col(key).alias("key"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("at"), F.col(value).cast("double").alias("value"))
-    return rows.groupBy("key").applyInPandasWithState(step, f"key {rows.schema['key'].dataType.simpleString()}, at double, value double, median double, mad double", "last array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
-def flux(frames: DataFrame, key: str, order: str, mag: str) -> DataFrame:
-    """key, frame, flux of a stream of magnitude frames: the state of a recording is its last frame."""
-    ship(frames.sparkSession)
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values("frame")
-        own = np.stack(pdf["mag"].to_numpy()).astype(float)
-        last = np.array(state.get[0]) if state.exists else own[0]
-        rise = np.maximum(own - np.vstack([last[None, :], own[:-1]]), 0)
-        state.update((own[-1].tolist(),))
-        yield pd.DataFrame({"key": k[0], "frame": pdf["frame"], "flux": np.sqrt((rise * rise).sum(axis=1))})
+#: the state store that operators of stateful need
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    rows = frames.select(F.col(key).alias("key"), F.col(order).alias("frame"), F.col(mag).alias("mag"))
-    return rows.groupBy("key").applyInPandasWithState(step, f"key {rows.schema['key'].dataType.simpleString()}, frame long, flux double", "last array<double>", "append", GroupStateTimeout.NoTimeout)
 
+def drained(stream: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
+    """All that a stream has now, in as many batches as it takes, as a written table in the shared folder.
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that a stream has now, in as many batches as it takes, as a written table in the shared folder."""
+    With the path of an earlier call it goes on where that call stopped, with the state that it left.
+    """
     spark = stream.sparkSession
-    path = new_path(spark, name)
-    query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start(path)
-    query.awaitTermination()
+    path = path or new_path(spark, name)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, ROCKS)
+    try:
+        query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start(path)
+        query.awaitTermination()
+    finally:
+        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
     return spark.read.schema(stream.schema).parquet(path)

@@ -195,5 +195,4 @@ def test_streams(spark, tmp_path):
 
     merged = run(sessions.sessions(stream(), "k", "ts", "v", "5 seconds", "10 seconds"), "merged")
     assert sorted((r.peak, r.n) for r in merged if r.k == "a") == [(3.0, 2), (24.0, 2), (50.0, 1)]
-    assert len(run(sessions.thin(stream().withColumn("ts", F.col("ts")), "k", "ts", 10.0), "thinned")) == 4
     assert {(str(r.day)[:10], r.k, r.n) for r in run(sessions.daily_counts(stream(), "ts", "k", "1 hour"), "days")} == {("2024-01-01", "a", 5)}
