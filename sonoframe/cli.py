@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from sonoframe.functions.bands import DOMAIN_OF, PRESETS, preset
 from sonoframe.operators import matching, metadata, series, sites, timeline
 from sonoframe.plans import detection, validation
+from sonoframe.session import staged
 from sonoframe.sources import annotations, results, wav
 
+MODES = ("events", "phenology", "score", "export", "map")
 COMMANDS = ("detect", "phenology", "osc", "gallery", "metadata", "validate", "doctor")
 
 
@@ -25,8 +27,8 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("inputs", nargs="+")
     d.add_argument("-o", "--output", "--output-dir", default="output")
     d.add_argument("--sensitivity", choices=sorted(PRESETS), default="balanced")
-    for name in ("--threshold", "--min-duration", "--merge-gap", "--min-confidence"):
-        d.add_argument(name, type=float)
+    for names in (("--threshold",), ("--min-duration", "--min-event-duration"), ("--merge-gap",), ("--min-confidence",)):
+        d.add_argument(*names, type=float)
     for name, default in (("--baseline-window", 60.0), ("--pre-roll", 20.0), ("--post-roll", 10.0), ("--max-clip-duration", 300.0), ("--clip-duration", 0.0), ("--clip-pre", 30.0), ("--min-separation", 0.0), ("--days-per-second", 1.0)):
         d.add_argument(name, type=float, default=default)
     for name in ("--ultrasonic", "--json-only", "--phenology", "--no-csv", "--no-osc"):
@@ -38,16 +40,19 @@ def parser() -> argparse.ArgumentParser:
     g = sub.add_parser("gallery", help="events with clips, and their groups")
     g.add_argument("directory")
     g.add_argument("-o", "--output", default="gallery")
-    c = sub.add_parser("phenology", help="calendar of stored results")
+    c = sub.add_parser("phenology", help="calendar of stored results, or of recordings that are analysed first")
     c.add_argument("directory")
-    c.add_argument("-o", "--output", default="phenology")
+    c.add_argument("-o", "--output", "--output-dir", default="phenology")
+    c.add_argument("--reanalyze", action="store_true", help="analyse recordings even if there are results of them")
+    c.add_argument("--update", default="", help="folder of recordings: those without a stored result are analysed, their results join the others")
+    c.add_argument("--threshold", type=float, default=2.5)
     c.add_argument("--days-per-second", type=float, default=1.0)
     c.add_argument("--no-csv", action="store_true")
     c.add_argument("--no-osc", action="store_true")
     o = sub.add_parser("osc", help="timed messages of stored results")
     o.add_argument("directory")
     o.add_argument("-o", "--output", default="osc")
-    o.add_argument("--mode", choices=("events", "phenology", "score", "map"), default="events")
+    o.add_argument("--mode", choices=MODES, default="events", help="may also stand as a word before the directory")
     o.add_argument("--days-per-second", type=float, default=1.0)
     m = sub.add_parser("metadata", help="a row for each WAV file, and a summary")
     m.add_argument("directory")
@@ -58,6 +63,7 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("audio")
     v.add_argument("tables")
     v.add_argument("--tolerance", "--onset-tolerance", type=float, default=0.5)
+    v.add_argument("--min-iou", type=float, default=0.2, help="overlap that a match by intersection over union needs")
     v.add_argument("--limit", type=int, default=0)
     v.add_argument("--sweep", action="store_true", help="all thresholds with all timings")
     v.add_argument("-o", "--output", default="")
@@ -88,7 +94,27 @@ def _write_calendar(tables: dict[str, DataFrame], output: str, rate: float, csv:
     if csv:
         results.write_csv(tables["frames"] if "frames" in tables else tables["daily"], f"{output}/daily_csv")
     if osc and "frames" in tables:
-        results.write_lines(timeline.bundle_lines(timeline.day_messages(tables["frames"], tables["shifts"], rate)), f"{output}/messages")
+        results.write_lines(timeline.bundle_lines(timeline.season_messages(tables["frames"], tables["shifts"], tables["diel_table"], tables["dawn"], rate)), f"{output}/messages")
+
+
+def _stored(spark: SparkSession, args: argparse.Namespace) -> DataFrame | None:
+    """Results below the directory with, if asked for, those of recordings that have none yet; None if there is neither.
+
+    Without results (or with --reanalyze) recordings below the directory are analysed, as measured data only, and their results written below the output.
+    """
+    analyse, update = getattr(args, "reanalyze", False), getattr(args, "update", "")
+    read = None if analyse else results.read_results(spark, args.directory)
+    if read is not None and not read.isEmpty():
+        if update:
+            made, found = detection.analyse(spark, update, settings=detection.Settings(factor=args.threshold), known=read)
+            results.write_results(detection.results(found, made), args.directory, add=True)
+            read = results.read_results(spark, args.directory)
+        return read
+    if args.command != "phenology" or wav.recordings(spark, args.directory).isEmpty():
+        return None
+    made, found = detection.analyse(spark, args.directory, settings=detection.Settings(factor=args.threshold))
+    results.write_results(detection.results(found, made), f"{args.output}/results", folders=True)
+    return results.read_results(spark, f"{args.output}/results")
 
 
 def _detect(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -116,16 +142,18 @@ def _validate(spark: SparkSession, args: argparse.Namespace) -> None:
     base = wav.detect_baseline(wav.frame_features(files)).select(stem, "frame_idx", "t_s", "flux", "median", "mad")
     defaults = PRESETS["balanced"]
     grid = matching.grid(spark) if args.sweep else matching.grid(spark, (defaults[0],), (defaults[1:],))
-    scored = validation.report(validation.sweep(base, grid), ref, grid, args.tolerance)
+    scored = validation.report(staged(validation.sweep(base, grid), "sweep"), ref, grid, args.tolerance, args.min_iou)
     scored = scored.withColumn("label", matching.config_label(F.col("factor"), F.col("min_duration"), F.col("merge_gap"))).orderBy(F.desc("f1"), "config")
     matching.reference_lengths(ref.withColumn("all", F.lit("all")), ["all"]).show()
     if args.output:
         validation.write_report(scored, args.output)
-    scored.select("label", "tp", "fp", "fn", "precision", "recall", "f1").show(12, truncate=False)
+    scored.select("label", "tp", "fp", "fn", "precision", "recall", "f1", "iou_f1").show(12, truncate=False)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     argv = sys.argv[1:] if argv is None else argv
+    if len(argv) > 1 and argv[0] == "osc" and argv[1] in MODES:  # the mode as a word
+        argv = ["osc", *(argv[2:] or ["."]), "--mode", argv[1]]
     args = parser().parse_args(["detect", *argv] if argv and argv[0] not in (*COMMANDS, "-h", "--help") else argv)  # a bare path means detect
     if args.command == "doctor":
         import numpy
@@ -156,7 +184,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         _json(metadata.per_hour(read.withColumn("hour_of", F.hour("recorded_at")), "hour_of"), f"{args.output}/hours")
         _json(metadata.by_place(read, "location", "temperature_c"), f"{args.output}/temperatures")
     else:
-        made = results.read_results(spark, args.directory).withColumn("path", F.coalesce("filepath", "filename"))
+        made = _stored(spark, args)
+        if made is None:
+            print(f"no results and no recordings in {args.directory}", file=sys.stderr)
+            return 1
+        made = made.withColumn("path", F.coalesce("filepath", "filename"))
         stored = results.events_of(made)
         if args.command == "gallery":
             shown = results.gallery(stored, args.directory)
@@ -169,7 +201,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         else:
             tables = detection.calendar_of(stored, made)
             if args.command == "osc":
-                results.write_lines(timeline.bundle_lines(timeline.day_messages(tables["frames"], tables["shifts"], args.days_per_second)), args.output)
+                season = timeline.season_messages(tables["frames"], tables["shifts"], tables["diel_table"], tables["dawn"], args.days_per_second)
+                results.write_lines(timeline.bundle_lines(season), f"{args.output}/phenology" if args.mode == "export" else args.output)
+                if args.mode == "export":
+                    messages = timeline.event_messages(stored.withColumn("event_id", F.col("event_index"))).orderBy("at", "event_id", "seq")
+                    results.write_lines(timeline.bundle_lines(messages), f"{args.output}/events")
             else:
                 _write_calendar(tables, args.output, args.days_per_second, not args.no_csv, not args.no_osc)
     return 0

@@ -270,14 +270,3 @@ def indices_of(bins: np.ndarray, active: np.ndarray, n: int, freqs: np.ndarray)
         out["adi"] = float(-(p * np.log(p)).sum())
         out["aei"] = float(((2 * np.arange(1, 11) - 11) * a).sum() / (10 * a.sum()))
     return {k: round(v, 4) for k, v in out.items()}
-
-
-def greedy_pairs(candidates: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
-    """One-to-one pairs from (cost, left, right), cheapest first, ties by left then right."""
-    left, right, out = set(), set(), []
-    for _, i, j in sorted(candidates):
-        if i not in left and j not in right:
-            left.add(i)
-            right.add(j)
-            out.append((i, j))
-    return out

@@ -1,14 +1,12 @@
-"""Scoring detections against annotations: band joins, greedy one-to-one matching, time rasters, micro averages."""
+"""Scoring detections against annotations: band joins, greedy one-to-one matching in rounds, time rasters, micro averages."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sonoframe.functions.kernels import greedy_pairs
-from sonoframe.session import ship
+from sonoframe.session import staged
 
 
 def onset_pairs(found: DataFrame, reference: DataFrame, tolerance: float) -> DataFrame:
@@ -39,15 +37,29 @@ def overlap_pairs(found: DataFrame, reference: DataFrame, least: float = 0.2, wi
 
 
 def match_greedy(pairs: DataFrame, keys: list[str], cost: str) -> DataFrame:
-    """One-to-one pairs of each key, cheapest first, ties by det then ref. pairs: keys, det, ref, cost."""
+    """One-to-one pairs of each key, cheapest first, ties by det then ref. pairs: keys, det, ref, cost.
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen = greedy_pairs(list(zip(pdf[cost], pdf["det"], pdf["ref"], strict=True)))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(chosen) for k in keys}, "det": [d for d, _ in chosen], "ref": [r for _, r in chosen]})
-
-    ship(pairs.sparkSession)
-    thin = pairs.select(*keys, "det", "ref", cost)
-    return thin.groupBy(*keys).applyInPandas(match, thin.drop(cost).schema)
+    Rounds over all keys at once: a pair that is the best of both its sides is one that the greedy order would take, whatever comes before it, so all of
+    them are taken and the pairs of their sides go. A round is a written table, so a file is no group and may hold most pairs; rounds are as many as the
+    longest chain of pairs in which each is cheaper than the one before, mostly a handful.
+    """
+    order = F.struct(cost, "det", "ref")
+    by_det, by_ref = W.partitionBy(*keys, "det"), W.partitionBy(*keys, "ref")
+    left = pairs.select(*keys, "det", "ref", cost)
+    out = None
+    while True:
+        seen = left.withColumn("_best", F.min(order).over(by_det)).withColumn("_taken", (F.col("_best") == order) & (F.min(order).over(by_ref) == order))
+        seen = staged(seen.withColumn("_gone", F.max("_taken").over(by_ref)).withColumn("_gone", F.col("_gone") | F.max("_taken").over(by_det)).drop("_best"), "matching")
+        found = seen.filter("_taken").select(*keys, "det", "ref")
+        out = found if out is None else out.unionByName(found)
+        left = seen.filter("NOT _gone").drop("_taken", "_gone")
+        if left.isEmpty():
+            return out
+
+
+def match_overlap(found: DataFrame, reference: DataFrame, least: float, keys: list[str], width: float = 60.0) -> DataFrame:
+    """One-to-one pairs by intersection over union, largest first, of `least` or more."""
+    return match_greedy(overlap_pairs(found, reference, least, width).withColumn("_cost", -F.col("iou")), keys, "_cost")
 
 
 def scores(found: DataFrame, reference: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:

@@ -102,6 +102,13 @@ def address_map(namespace: str = "/phenology", queries: tuple[str, ...] = ("meta
     return out | {f"/query/{q}": "request" for q in queries}
 
 
+def season_messages(frames: DataFrame, changes: DataFrame, diel: DataFrame, dawn: DataFrame, rate: float = 1.0, namespace: str = "/phenology") -> DataFrame:
+    """The whole season in order: what a receiver needs first, then days, changes and the end."""
+    head = header_messages(frames, diel, dawn, rate, namespace).withColumns({"sub": F.lit(""), "seq": F.lit(0), "_before": F.lit(0)})
+    days = day_messages(frames, changes, rate, namespace).withColumn("_before", F.lit(1))
+    return head.unionByName(days).orderBy("_before", "at", "grp", "sub", "seq", "addr").drop("_before")
+
+
 def bundle_lines(messages: DataFrame) -> DataFrame:
     """Tab-separated text: time, address, arguments."""
     return messages.select(F.concat_ws("\t", F.format_string("%.4f", "at"), F.col("addr"), F.array_join("args", "\t")).alias("value"))

@@ -83,14 +83,22 @@ def clips(found: DataFrame, s: Settings = Settings()) -> DataFrame:
     return chosen.drop("clip_start_s", "clip_end_s").join(kept.select("path", "event_index"), ["path", "event_index"], "left_semi").join(ends, "path").withColumns({"clip_start_s": start, "clip_end_s": end}).drop("_end")
 
 
-def analyse(spark: SparkSession, *paths: str, settings: Settings = Settings(), stations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def new_recordings(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """Files that stored results (filepath) do not have yet."""
+    plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    return files.withColumn("_p", plain(F.col("path"))).join(stored.select(plain(F.col("filepath")).alias("_p")).distinct(), "_p", "left_anti").drop("_p")
+
+
+def analyse(spark: SparkSession, *paths: str, settings: Settings = Settings(), stations: DataFrame | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(recordings, events) of all WAV files at or below the paths.
 
     recordings: a row for each file, silent and unreadable ones too (with error), with its metadata, place, band means and indices. events: as
     of events(), with site, season and cover. Frames are computed once and written to the shared folder. stations (see
-    sites.placemarks): each recording and event gets the fields of the station of its cover that was sampled nearest to it.
+    sites.placemarks): each recording and event gets the fields of the station of its cover that was sampled nearest to it. known: stored
+    results; recordings that they have are not read again.
     """
     files = wav.recordings(spark, *paths)
+    files = files if known is None else new_recordings(files, known)
     rows = staged(metadata.of_probes(wav.probe(files)), "recordings")
     good = rows.filter("error IS NULL")
     frames = staged(wav.frame_features(good, settings.bands, settings.frame, settings.hop, settings.target_rate), "frames")

@@ -601,3 +601,9 @@ def q80_stream_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sessions.drained(stateful.replies(_cut_stream(ev, "ts", 7200.0), "user_id", "ts", "verb", "arg", days, "1 day"), "stream-replies")
     shown = found.join(days.withColumnRenamed("_i", "frame"), "frame", "left")
     return shown.select(F.col("client").alias("user_id"), F.round("at", 6).alias("at"), "verb", "frame", "day")
+
+
+def q81_overlap_match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-to-one scores by intersection over union."""
+    found, ref = _annotations(spark, sf_dir)
+    return matching.scores(found, ref, matching.match_overlap(found, ref, 0.2, ["file"], 3600.0), ["file"])

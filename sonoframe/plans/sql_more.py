@@ -150,4 +150,10 @@ SQL_MORE: dict[str, str] = {
           UNION ALL SELECT v.user_id, v.r, CASE WHEN verb = 'next' THEN (cursor + 1) % n WHEN verb = 'prev' THEN (cursor - 1 + n) % n WHEN verb IN ('day', 'date') AND goal IS NOT NULL THEN greatest(0, least(goal, n - 1)) ELSE cursor END FROM f JOIN v ON v.user_id = f.user_id AND v.r = f.r + 1, n)
         SELECT user_id, round(t / CAST(1000000 AS DOUBLE), 6) AS "at", verb, CASE WHEN verb <> 'meta' THEN cursor END AS frame, CASE WHEN verb <> 'meta' THEN CAST(d.day AS DATE) END AS day
         FROM v JOIN f USING (user_id, r) LEFT JOIN d ON d.i = cursor WHERE verb <> 'sleep' AND (verb IN ('next', 'prev', 'meta') OR goal IS NOT NULL) AND t <= (SELECT max(epoch_us(ts)) - 86400000000 FROM events)""",
+    "q81_overlap_match_scores": "WITH RECURSIVE " + AE + "," + ANN + """, o AS (SELECT file, det, ref, greatest(0, least(offset_s, r1) - greatest(onset_s, r0)) AS i, (offset_s - onset_s) + (r1 - r0) AS u FROM det JOIN ref USING (file)),
+        p AS (SELECT file, det, ref, row_number() OVER (PARTITION BY file ORDER BY i / (u - i) DESC, det, ref) AS i FROM o WHERE i / (u - i) >= 0.2),
+        w AS (SELECT file, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS d, CAST([] AS BIGINT[]) AS r FROM (SELECT DISTINCT file FROM p)
+          UNION ALL SELECT w.file, p.i, CASE WHEN list_contains(d, det) OR list_contains(r, ref) THEN d ELSE list_append(d, det) END, CASE WHEN list_contains(d, det) OR list_contains(r, ref) THEN r ELSE list_append(r, ref) END FROM w JOIN p ON p.file = w.file AND p.i = w.i + 1),
+        tp AS (SELECT file, len(arg_max(d, i)) AS tp FROM w GROUP BY 1), nd AS (SELECT file, count(*) AS d FROM det GROUP BY 1), nr AS (SELECT file, count(*) AS r FROM ref GROUP BY 1)
+        SELECT coalesce(nd.file, nr.file) AS file, CAST(coalesce(tp, 0) AS BIGINT) AS tp, CAST(coalesce(d, 0) - coalesce(tp, 0) AS BIGINT) AS fp, CAST(coalesce(r, 0) - coalesce(tp, 0) AS BIGINT) AS fn FROM nd FULL JOIN nr ON nd.file = nr.file LEFT JOIN tp ON tp.file = coalesce(nd.file, nr.file)""",
 }

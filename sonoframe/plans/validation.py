@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sonoframe.operators import detect, matching
+from sonoframe.session import staged
 
 
 def sweep(frames: DataFrame, grid: DataFrame) -> DataFrame:
@@ -29,13 +30,20 @@ def sweep(frames: DataFrame, grid: DataFrame) -> DataFrame:
     return kept.select("config", "file", F.row_number().over(W.partitionBy("config", "file").orderBy("onset_s")).alias("det"), "onset_s", "offset_s")
 
 
-def report(events: DataFrame, reference: DataFrame, grid: DataFrame, tolerance: float = 0.5) -> DataFrame:
-    """Micro-averaged onset scores of each configuration, best first."""
+def report(events: DataFrame, reference: DataFrame, grid: DataFrame, tolerance: float = 0.5, min_iou: float | None = None) -> DataFrame:
+    """Micro-averaged onset scores of each configuration, best first; with min_iou also scores by overlap, in columns that begin with iou_."""
     keyed = events.withColumn("file", F.concat_ws("|", F.col("config").cast("string"), "file"))
     wanted = reference.crossJoin(F.broadcast(grid.select("config"))).withColumn("file", F.concat_ws("|", F.col("config").cast("string"), "file"))
-    chosen = matching.match_greedy(matching.onset_pairs(keyed.drop("config"), wanted.drop("config"), tolerance), ["file"], "distance")
-    scored = matching.scores(keyed, wanted, chosen, ["file"]).withColumn("config", F.substring_index("file", "|", 1).cast("int"))
-    return matching.micro(scored, ["config"]).join(grid, "config").orderBy(F.desc("f1"), "config")
+    keyed, wanted = (staged(x.drop("config"), "scored") for x in (keyed, wanted))
+
+    def micro(chosen: DataFrame) -> DataFrame:
+        return matching.micro(matching.scores(keyed, wanted, chosen, ["file"]).withColumn("config", F.substring_index("file", "|", 1).cast("int")), ["config"])
+
+    scored = micro(matching.match_greedy(matching.onset_pairs(keyed, wanted, tolerance), ["file"], "distance"))
+    if min_iou is not None:
+        overlap = micro(matching.match_overlap(keyed, wanted, min_iou, ["file"]))
+        scored = scored.join(overlap.select("config", *[F.col(c).alias(f"iou_{c}") for c in overlap.columns if c != "config"]), "config", "left")
+    return scored.join(grid, "config").orderBy(F.desc("f1"), "config")
 
 
 def write_report(scored: DataFrame, path: str) -> None:

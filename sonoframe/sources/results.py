@@ -21,16 +21,17 @@ RESULT = (
 )
 
 
-def write_results(results: DataFrame, path: str, folders: bool = False) -> None:
+def write_results(results: DataFrame, path: str, folders: bool = False, add: bool = False) -> None:
     """One JSON object a line for each recording, in as many files as there are partitions.
 
     With folders each recording has one of its own, named by its whole path, so equal file names don't collide: for surveys of
-    thousands of recordings, not for millions.
+    thousands of recordings, not for millions. With add they join the results that are there.
     """
+    mode = "append" if add else "overwrite"
     if folders:
-        results.withColumn("recording_id", F.sha2(F.coalesce("filepath", F.lit("")), 256)).write.mode("overwrite").partitionBy("recording_id").json(path)
+        results.withColumn("recording_id", F.sha2(F.coalesce("filepath", F.lit("")), 256)).write.mode(mode).partitionBy("recording_id").json(path)
     else:
-        results.write.mode("overwrite").json(path)
+        results.write.mode(mode).json(path)
 
 
 def read_results(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -73,13 +74,13 @@ def read_calendar(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(frames: DataFrame, path: str) -> None:
-    """A tidy CSV, a row a day; nulls are empty."""
-    frames.coalesce(1).orderBy("day").write.mode("overwrite").csv(path, header=True, nullValue="")
+    """A tidy CSV, a row a day in order over its parts; nulls are empty."""
+    frames.orderBy("day").write.mode("overwrite").csv(path, header=True, nullValue="")
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """Text lines in their order."""
-    lines.coalesce(1).write.mode("overwrite").text(path)
+    """Text lines, in their order over numbered parts: sorted lines stay in the ranges that the sort made, and no task writes them all."""
+    lines.write.mode("overwrite").text(path)
 
 
 def find_first(start: str, patterns: tuple[str, ...], upward: int = 1) -> str | None:

@@ -170,7 +170,33 @@ def test_detect_writes_results_clips_and_calendar(spark, silent, tmp_path):
     tables = tmp_path / "ref"
     tables.mkdir()
     (tables / "20240305_051500.txt").write_text("Begin Time (s)\tEnd Time (s)\tSpecies\n4.0\t5.0\ta\n")
-    assert cli.main(["validate", str(silent), str(tables), "--sweep", "-o", f"{out}/sweep"], spark) == 0 and spark.read.json(f"{out}/sweep").count() == 30
+    assert cli.main(["validate", str(silent), str(tables), "--sweep", "--min-iou", "0.1", "-o", f"{out}/sweep"], spark) == 0
+    swept = spark.read.json(f"{out}/sweep")
+    assert swept.count() == 30 and {"iou_tp", "iou_f1"} <= set(swept.columns) and swept.filter("iou_tp > 0").count() > 0
+    assert cli.main(["osc", "export", f"{out}/results", "-o", f"{out}/export"], spark) == 0
+    lines = [r.value for r in spark.read.text(f"{out}/export/phenology").collect()]
+    assert any(x.split("\t")[1] == "/phenology/meta" for x in lines[:1]) and sum("/phenology/range/" in x for x in lines) == 9 and spark.read.text(f"{out}/export/events").count() == 24 * len(ev)
+
+
+def test_calendars_of_recordings_and_of_new_ones(spark, silent, tmp_path):
+    """Without results recordings are analysed; an update reads new recordings only; --reanalyze reads all again."""
+    out, more = str(tmp_path / "cal"), tmp_path / "more"
+    assert cli.main(["phenology", str(silent), "-o", out, "--threshold", "12"], spark) == 0
+    assert spark.read.json(f"{out}/daily").count() == 2 and results.read_results(spark, f"{out}/results").count() == 3
+    more.mkdir()
+    for p in silent.rglob("*.WAV"):
+        (more / p.name).write_bytes(p.read_bytes())
+    found = wav.recordings(spark, str(more))
+    known = results.read_results(spark, f"{out}/results")
+    assert detection.new_recordings(wav.recordings(spark, str(silent)), known).count() == 1  # the one that cannot be read has no result
+    assert detection.new_recordings(found, known).count() == found.count()
+    assert cli.main(["phenology", f"{out}/results", "-o", f"{out}/again", "--update", str(more), "--threshold", "12"], spark) == 0
+    after = results.read_results(spark, f"{out}/results")
+    assert after.count() == 3 + found.count() and detection.new_recordings(found, after).count() == 0
+    before = after.count()
+    assert cli.main(["phenology", f"{out}/results", "-o", f"{out}/again", "--update", str(more)], spark) == 0 and results.read_results(spark, f"{out}/results").count() == before
+    assert cli.main(["phenology", str(silent), "-o", f"{out}/redone", "--reanalyze", "--threshold", "12"], spark) == 0 and spark.read.json(f"{out}/redone/daily").count() == 2
+    assert cli.main(["phenology", str(tmp_path / "cal" / "daily"), "-o", f"{out}/none"], spark) in (0, 1)
 
 
 def test_workers_need_not_have_the_package(silent, tmp_path):

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonoframe.functions import kernels
-from sonoframe.operators import detect, ranges, sites, spectrogram
+from sonoframe.operators import detect, matching, ranges, sites, spectrogram
 from sonoframe.sources import files, wav
 from sonoframe.streaming import sessions, stateful
 
@@ -154,3 +154,20 @@ def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     found = sorted((r.at, r.verb, r.frame) for r in sessions.drained(asked(), "replies", path=path).collect() if r.client == "c")
     assert [(v, f) for _, v, f in found] == [("next", 1), ("next", 2), ("day", 4), ("next", 0), ("prev", 4), ("date", 1), ("meta", None), ("prev", 0), ("prev", 4)]
     assert stateful.replies(stream, "client", "ts", "verb", "arg", calendar.limit(0), "10 seconds").isStreaming
+
+
+def test_rounds_equal_the_greedy_order(spark):
+    rng = random.Random(4)
+    rows = [(f, d, r, rng.randrange(6) / 2) for f in "abc" for d in range(12) for r in range(9) if rng.random() < 0.4]
+    rows += [("chain", i // 2, (i + 1) // 2, 50.0 - i) for i in range(12)]
+    table = spark.createDataFrame(rows, "file string, det long, ref long, cost double").repartition(5)
+    found = sorted(tuple(r) for r in matching.match_greedy(table, ["file"], "cost").collect())
+    want = []
+    for f in sorted({r[0] for r in rows}):
+        dets, refs = set(), set()
+        for _, d, r in sorted((c, d, r) for g, d, r, c in rows if g == f):
+            if d not in dets and r not in refs:
+                dets.add(d)
+                refs.add(r)
+                want.append((f, d, r))
+    assert found == sorted(want) and matching.match_greedy(table.limit(0), ["file"], "cost").count() == 0
