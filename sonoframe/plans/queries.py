@@ -483,7 +483,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as the JSON results of their recordings, silent ones too, and read again."""
     k = F.col("k")
     made = recordings_made(spark, sf_dir).withColumn("path", F.concat(F.lit("/out/"), "recording"))
-    ev = heard(spark, sf_dir).select(
+    ev = acoustic_events(spark, sf_dir).select(
         F.concat(F.lit("/out/"), "recording").alias("path"), F.row_number().over(W.partitionBy("recording").orderBy("onset_s", "event_id")).alias("event_index"), "onset_s", "offset_s", "role", "domain", "dominant_band", "confidence", "peak_flux",
         F.when(k % 2 == 0, F.concat(F.lit("/out/clips/"), "role", F.lit(" #"), (k % 3).cast("string"), F.lit(".wav"))).alias("clip_path"),
     )
@@ -505,7 +505,7 @@ def q68_gallery_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q69_score_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = timeline.event_messages(acoustic_events(spark, sf_dir).filter("role = 'click'"))
+    m = timeline.event_messages(acoustic_events(spark, sf_dir))
     score = timeline.score_lines(m.filter("addr LIKE '%/role' OR addr LIKE '%/hour' OR addr LIKE '%/confidence'")).withColumn("kind", F.lit("score"))
     bundle = timeline.bundle_lines(m.filter("addr LIKE '%/role' OR addr LIKE '%/hour' OR addr LIKE '%/confidence'")).withColumn("kind", F.lit("bundle"))
     return score.unionByName(bundle).groupBy("kind", "value").count().withColumnRenamed("count", "n")
@@ -513,7 +513,7 @@ def q69_score_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q70_calendar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The calendar through its CSV and its JSON, read again."""
-    days, path = calendar.daily(heard(spark, sf_dir), recordings_made(spark, sf_dir)), new_path(spark, "calendar")
+    days, path = calendar.daily(acoustic_events(spark, sf_dir), recordings_made(spark, sf_dir)), new_path(spark, "calendar")
     results.write_csv(days, f"{path}/csv")
     results.write_calendar(days, f"{path}/json")
     csv = spark.read.csv(f"{path}/csv", header=True)
@@ -548,7 +548,7 @@ def q74_stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q75_role_and_hour_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = heard(spark, sf_dir)
+    ev = acoustic_events(spark, sf_dir)
     roles = timeline.role_messages(ev.groupBy("day", "role").agg(F.count("*").alias("n"))).drop("seq")
     hours = timeline.hourly_messages(calendar.hourly(ev, recordings_made(spark, sf_dir), by_start=True))
     return roles.unionByName(hours).select("day", "addr", F.array_join("args", "|").alias("args"))

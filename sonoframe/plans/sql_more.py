@@ -5,6 +5,7 @@ from __future__ import annotations
 from sonoframe.plans.sql import _MESSAGES, AE, ANN, DAILY, DAWN, DIEL, FRAMES, MAG, _with
 
 REC = "rec AS (SELECT recording, min(day) AS day, min(rec_hour) AS rec_hour FROM ae GROUP BY 1)"
+ALL_HEARD = "he AS (SELECT * FROM ae)"
 HE = "he AS (SELECT * FROM ae WHERE role IN ('click', 'purchase') AND k % 3 = 0 AND day(day) % 7 <> 3)"
 _DOMAINS = ("biophony", "geophony", "anthrophony", "transition")
 _COUNTED = ", ".join(f"count(*) FILTER (domain = '{d}') AS n_{d}" for d in _DOMAINS)
@@ -109,15 +110,15 @@ SQL_MORE: dict[str, str] = {
         r AS (SELECT recording, lag, v - greatest((SELECT min(v) FROM l WHERE l.recording = h.recording AND l.lag > lo AND l.lag <= h.lag), (SELECT min(v) FROM l WHERE l.recording = h.recording AND l.lag >= h.lag AND l.lag < hi)) AS prom FROM h),
         f AS (SELECT recording, arg_min(prom, lag) AS prom, min(lag) AS lag FROM r WHERE prom >= 0.05 GROUP BY 1)
         SELECT p.recording, round(coalesce(least(prom, 1), 0), 4) AS periodicity, round(coalesce(10 / lag, 0), 3) AS pulse_rate_hz FROM p LEFT JOIN f USING (recording)""",
-    "q67_results_round_trip": _with(AE, REC, HE) + """, e AS (SELECT recording, count(*) AS n, count(*) FILTER (k % 2 = 0) AS c, string_agg(role, ',' ORDER BY onset_s, event_id) AS roles FROM he GROUP BY 1)
+    "q67_results_round_trip": _with(AE, REC, ALL_HEARD) + """, e AS (SELECT recording, count(*) AS n, count(*) FILTER (k % 2 = 0) AS c, string_agg(role, ',' ORDER BY onset_s, event_id) AS roles FROM he GROUP BY 1)
         SELECT '/out/' || rec.recording AS filepath, CASE WHEN day(day) % 3 <> 0 THEN CAST(day AS TIMESTAMP) END AS recorded_at, 'pasto' AS habitat, 'seca' AS season, CAST(coalesce(n, 0) AS INTEGER) AS n_events, CAST(coalesce(c, 0) AS INTEGER) AS n_clips, round(rec_hour / CAST(24 AS DOUBLE), 6) AS ndsi, coalesce(roles, '') AS roles
         FROM rec LEFT JOIN e ON e.recording = rec.recording""",
-    "q68_gallery_search": _with(AE, HE) + """SELECT role, domain, 'clips/' || role || '%20%23' || k % 3 || '.wav' AS clip_path, count(*) AS n, round(max(confidence), 4) AS confidence FROM he WHERE k % 2 = 0 AND role = 'purchase' GROUP BY 1, 2, 3""",
-    "q69_score_lines": _with(AE) + """, m AS (SELECT onset_s, '/parliament/event/role' AS a, role AS x, '"' || role || '"' AS y FROM ae WHERE role = 'click' UNION ALL SELECT onset_s, '/parliament/hour', CAST(rec_hour AS VARCHAR), CAST(rec_hour AS VARCHAR) FROM ae WHERE role = 'click'
-          UNION ALL SELECT onset_s, '/parliament/event/confidence', printf('%.4f', confidence), printf('%.4f', confidence) FROM ae WHERE role = 'click'),
+    "q68_gallery_search": _with(AE, ALL_HEARD) + """SELECT role, domain, 'clips/' || role || '%20%23' || k % 3 || '.wav' AS clip_path, count(*) AS n, round(max(confidence), 4) AS confidence FROM he WHERE k % 2 = 0 AND role = 'purchase' GROUP BY 1, 2, 3""",
+    "q69_score_lines": _with(AE) + """, m AS (SELECT onset_s, '/parliament/event/role' AS a, role AS x, '"' || role || '"' AS y FROM ae UNION ALL SELECT onset_s, '/parliament/hour', CAST(rec_hour AS VARCHAR), CAST(rec_hour AS VARCHAR) FROM ae
+          UNION ALL SELECT onset_s, '/parliament/event/confidence', printf('%.4f', confidence), printf('%.4f', confidence) FROM ae),
         u AS (SELECT CAST(round(onset_s * 1000000) AS BIGINT) AS us, * FROM m)
         SELECT kind, value, count(*) AS n FROM (SELECT 'score' AS kind, printf('[%d.%06d, ["%s", %s]],', us // 1000000, us % 1000000, a, y) AS value FROM u UNION ALL SELECT 'bundle', printf('%d.%04d', (us + 50) // 1000000, (us + 50) % 1000000 // 100) || chr(9) || a || chr(9) || x FROM u) GROUP BY 1, 2""",
-    "q70_calendar_files": _with(AE, REC, HE) + """, cnt AS (SELECT day, role, count(*) AS n, min((rec_start, event_id)) AS f FROM he GROUP BY 1, 2), top AS (SELECT day, role FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY n DESC, f) AS r FROM cnt) WHERE r = 1),
+    "q70_calendar_files": _with(AE, REC, ALL_HEARD) + """, cnt AS (SELECT day, role, count(*) AS n, min((rec_start, event_id)) AS f FROM he GROUP BY 1, 2), top AS (SELECT day, role FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY n DESC, f) AS r FROM cnt) WHERE r = 1),
         d AS (SELECT day, count(DISTINCT recording) AS n_recordings FROM rec GROUP BY 1), h AS (SELECT day, count(*) AS n, round(avg(CAST(domain = 'biophony' AS INTEGER)), 4) AS share FROM he GROUP BY 1)
         SELECT CAST(d.day AS VARCHAR) AS day, coalesce(n, 0) AS n_events, share, n_recordings, coalesce(role, 'silence') AS dominant_role FROM d LEFT JOIN h ON h.day = d.day LEFT JOIN top ON top.day = d.day""",
     "q71_header_messages": _with(AE, DAILY, DAWN, FRAMES, DIEL) + """, t AS (SELECT hour, CASE WHEN max(mean_events) OVER () > 0 THEN round(mean_events / max(mean_events) OVER (), 4) ELSE 0 END AS level FROM diel)
@@ -128,7 +129,7 @@ SQL_MORE: dict[str, str] = {
     "q72_stepping": _with(AE) + ", d AS (SELECT day, count(*) AS n_events, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM ae GROUP BY day) SELECT day, n_events, 'before' AS step FROM d WHERE i = n - 1 UNION ALL SELECT day, n_events, 'after' FROM d WHERE i = 5 % n",
     "q73_deployments": """SELECT s_suppkey, CASE WHEN s_suppkey % 7 IN (0, 1, 2, 4) THEN s_suppkey % 7 || ',1' WHEN s_nationkey < 12 THEN n_name ELSE 'No disponible' END AS coordinates FROM supplier JOIN nation ON n_nationkey = s_nationkey""",
     "q74_stride_sample": _with(AE, REC) + ", o AS (SELECT recording, row_number() OVER (ORDER BY recording) - 1 AS i, count(*) OVER () AS n FROM rec) SELECT recording FROM o WHERE n <= 40 OR i IN (SELECT j * (SELECT count(*) FROM rec) // 40 FROM range(40) r(j))",
-    "q75_role_and_hour_messages": _with(AE, REC, HE) + """, r AS (SELECT day, role, count(*) AS n FROM he GROUP BY 1, 2), h AS (SELECT d.day, hour, count(he.event_id) AS n FROM (SELECT DISTINCT day FROM rec) d CROSS JOIN range(24) g(hour) LEFT JOIN he ON he.day = d.day AND he.rec_hour = hour GROUP BY 1, 2)
+    "q75_role_and_hour_messages": _with(AE, REC, ALL_HEARD) + """, r AS (SELECT day, role, count(*) AS n FROM he GROUP BY 1, 2), h AS (SELECT d.day, hour, count(he.event_id) AS n FROM (SELECT DISTINCT day FROM rec) d CROSS JOIN range(24) g(hour) LEFT JOIN he ON he.day = d.day AND he.rec_hour = hour GROUP BY 1, 2)
         SELECT day, '/phenology/day/role' AS addr, role || '|' || n || '|' || printf('%.4f', n / CAST(sum(n) OVER (PARTITION BY day) AS DOUBLE)) AS args FROM r UNION ALL SELECT day, '/phenology/day/hourly', string_agg(CAST(n AS VARCHAR), '|' ORDER BY hour) FROM h GROUP BY 1""",
     "q76_detection_of_audio": """WITH s AS (SELECT CAST(s_suppkey AS INTEGER) AS k FROM supplier), t AS (SELECT k, 500 + k * 37 % 6500 AS hz, k % 5 <> 0 AS loud, make_timestamp(2024, 1 + k % 12, 1 + k % 28, k % 24, k // 24 % 60, CAST(k // 1440 % 60 AS DOUBLE)) AS made FROM s)
         SELECT strftime(made, '%Y%m%d_%H%M%S') || '.wav' AS file, CAST(16000 AS BIGINT) AS samplerate_hz, CAST(6 AS DOUBLE) AS duration_s, made AS recorded_at, CAST(loud AS BIGINT) AS n_events, CASE WHEN loud THEN CAST(3 AS DOUBLE) END AS onset, CASE WHEN loud THEN CAST(4 AS DOUBLE) END AS "offset",
