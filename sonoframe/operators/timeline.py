@@ -15,8 +15,8 @@ def _m(addr: str, *args: Column) -> Column:
 
 
 def number(x: Column, digits: int = 4) -> Column:
-    """A number as text with fixed digits; what lies between two goes to the even one."""
-    return F.format_string(f"%.{digits}f", F.bround(x.cast("double"), digits))
+    """A number as text with fixed digits; what lies between two of them goes up, as its shortest decimal form says."""
+    return F.format_string(f"%.{digits}f", x.cast("double"))
 
 
 def event_messages(events: DataFrame, namespace: str = "/parliament") -> DataFrame:

@@ -130,7 +130,7 @@ SQL_MORE: dict[str, str] = {
     "q73_deployments": """SELECT s_suppkey, CASE WHEN s_suppkey % 7 IN (0, 1, 2, 4) THEN s_suppkey % 7 || ',1' WHEN s_nationkey < 12 THEN n_name ELSE 'No disponible' END AS coordinates FROM supplier JOIN nation ON n_nationkey = s_nationkey""",
     "q74_stride_sample": _with(AE, REC) + ", o AS (SELECT recording, row_number() OVER (ORDER BY recording) - 1 AS i, count(*) OVER () AS n FROM rec) SELECT recording FROM o WHERE n <= 40 OR i IN (SELECT j * (SELECT count(*) FROM rec) // 40 FROM range(40) r(j))",
     "q75_role_and_hour_messages": _with(AE, REC, ALL_HEARD) + """, r AS (SELECT day, role, count(*) AS n FROM he GROUP BY 1, 2), h AS (SELECT d.day, hour, count(he.event_id) AS n FROM (SELECT DISTINCT day FROM rec) d CROSS JOIN range(24) g(hour) LEFT JOIN he ON he.day = d.day AND he.rec_hour = hour GROUP BY 1, 2)
-        SELECT day, '/phenology/day/role' AS addr, role || '|' || n || '|' || printf('%.4f', n / CAST(sum(n) OVER (PARTITION BY day) AS DOUBLE)) AS args FROM r UNION ALL SELECT day, '/phenology/day/hourly', string_agg(CAST(n AS VARCHAR), '|' ORDER BY hour) FROM h GROUP BY 1""",
+        SELECT day, '/phenology/day/role' AS addr, role || '|' || n || '|' || printf('%.4f', floor(n * 10000 / CAST(sum(n) OVER (PARTITION BY day) AS DOUBLE) + 0.5) / 10000) AS args FROM r UNION ALL SELECT day, '/phenology/day/hourly', string_agg(CAST(n AS VARCHAR), '|' ORDER BY hour) FROM h GROUP BY 1""",
     "q76_detection_of_audio": """WITH s AS (SELECT CAST(s_suppkey AS INTEGER) AS k FROM supplier), t AS (SELECT k, 500 + k * 37 % 6500 AS hz, k % 5 <> 0 AS loud, make_timestamp(2024, 1 + k % 12, 1 + k % 28, k % 24, k // 24 % 60, CAST(k // 1440 % 60 AS DOUBLE)) AS made FROM s)
         SELECT strftime(made, '%Y%m%d_%H%M%S') || '.wav' AS file, CAST(16000 AS BIGINT) AS samplerate_hz, CAST(6 AS DOUBLE) AS duration_s, made AS recorded_at, CAST(loud AS BIGINT) AS n_events, CASE WHEN loud THEN CAST(3 AS DOUBLE) END AS onset, CASE WHEN loud THEN CAST(4 AS DOUBLE) END AS "offset",
           CASE WHEN NOT loud THEN NULL WHEN hz < 2000 THEN 'geophony' WHEN hz < 4000 THEN 'biophony_low' ELSE 'biophony_mid' END AS band FROM t""",
