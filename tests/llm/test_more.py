@@ -145,3 +145,53 @@ def test_registered(spark, name):
     rows = found.count()
     assert rows == {"op11_whiten": 8, "op12_align": 1, "op13_toxicity": 1}[name] * spark.read.parquet(f"{SF}/{'embeddings' if name == 'op11_whiten' else 'documents'}.parquet").count()
     assert found.filter(" OR ".join(f"`{c}` IS NULL" for c in found.columns)).count() == 0
+
+
+def recall_of_search(spark, vectors, calibration):
+    """Share of the true five nearest that the search finds, over queries that it was not calibrated on."""
+    from sonoframe.llm.ann import nearest
+
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(6)
+    found = nearest(table, F.col("vec_id") % 20 == 0, calibration=calibration).toPandas()
+    x = np.array([v / np.linalg.norm(v) for v in vectors.astype(np.float32).astype(float)])
+    hit = total = 0
+    for q in range(0, len(x), 20):
+        near = x @ x[q]
+        near[q] = -2
+        true = set(np.argsort(-near, kind="stable")[:5].tolist())
+        hit += len(true & set(found[found.query_id == q].vec_id))
+        total += 5
+    return hit / total
+
+
+@pytest.mark.parametrize("kind", ["plain", "clustered"])
+def test_recall_on_queries_that_were_not_calibrated_on(spark, kind):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(80, 32)) * 3
+    vectors = rng.normal(size=(8000, 32)) + (centres[rng.integers(0, 80, 8000)] if kind == "clustered" else 0)
+    assert recall_of_search(spark, vectors, calibration=24) >= 0.95  # 400 queries
+
+
+def test_recall_of_near_duplicates_in_large_nodes(spark):
+    """Planted pairs at a similarity of 0.77 or more among documents that share half of their shingles: nodes are large and branch."""
+    import random
+
+    from sonoframe.llm.near_dup import near_duplicates
+
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(60)]
+    rows, wanted = [], []
+    for k in range(1200):
+        own = common + [f"o{k}-{i}" for i in range(60)]
+        rows.append((2 * k, " ".join(own)))
+        if k % 3 == 0:
+            changed = list(own)
+            changed[70 + rng.randrange(40)] = f"x{k}"
+            changed[-1] = f"y{k}"
+            rows.append((2 * k + 1, " ".join(changed)))
+            a, b = ({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (own, changed))
+            if 100 * len(a & b) >= 75 * len(a | b):
+                wanted.append(2 * k)
+    found = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(wanted) == 400 and sum(found[i + 1] == i for i in wanted) >= 396
+    assert sum(found[i] != i for i, _ in rows if i % 2 == 0) == 0  # no others are linked
