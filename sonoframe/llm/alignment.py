@@ -135,7 +135,7 @@ class Tokenizers:
 class Chunks:
     """What is known of each chunk: tokens, groups and linked pairs, in arrays by number."""
 
-    def __init__(self, a_path: str, b_path: str, memory: int = 80_000):
+    def __init__(self, a_path: str, b_path: str, memory: int = 240_000):
         import duckdb
 
         self.tokenizers = Tokenizers(a_path, b_path)
