@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sonoframe.functions.bands import CV_FIELDS, colour_of
-from sonoframe.functions.text import hz_to_voct
+from sonoframe.functions.text import fixed, hz_to_voct
 
 
 def _m(addr: str, *args: Column) -> Column:
@@ -15,7 +15,12 @@ def _m(addr: str, *args: Column) -> Column:
 
 
 def number(x: Column, digits: int = 4) -> Column:
-    """A number as text with fixed digits; what lies between two of them goes up, as its shortest decimal form says."""
+    """A number as text with fixed digits, as printf and Python write it."""
+    return fixed(x.cast("double"), digits)
+
+
+def decimal(x: Column, digits: int = 4) -> Column:
+    """A number that stands for its shortest decimal form, times of whole microseconds and shares of counts, as text with fixed digits; halves go up."""
     return F.format_string(f"%.{digits}f", x.cast("double"))
 
 
@@ -24,7 +29,7 @@ def event_messages(events: DataFrame, namespace: str = "/parliament") -> DataFra
     ns, c = namespace.rstrip("/"), lambda n, d: F.coalesce(F.col(n), F.lit(d)) if n in events.columns else F.lit(d)
     centroid, flux, band = c("centroid", 440.0), c("peak_flux", 0.0), c("dominant_band", "unknown")
     own = [
-        _m(f"{ns}/event", F.lit(1)), _m(f"{ns}/event/onset", number(c("onset_s", 0.0))), _m(f"{ns}/event/duration", number(c("offset_s", 0.0) - c("onset_s", 0.0))),
+        _m(f"{ns}/event", F.lit(1)), _m(f"{ns}/event/onset", decimal(c("onset_s", 0.0))), _m(f"{ns}/event/duration", number(c("offset_s", 0.0) - c("onset_s", 0.0))),
         _m(f"{ns}/event/role", c("role", "unknown")), _m(f"{ns}/event/domain", c("domain", "unknown")), _m(f"{ns}/event/band", band),
         _m(f"{ns}/event/centroid", number(centroid)), _m(f"{ns}/event/voct", number(hz_to_voct(centroid))), _m(f"{ns}/event/flatness", number(c("flatness", 0.0))),
         _m(f"{ns}/event/flux", number(flux)), _m(f"{ns}/event/confidence", number(c("confidence", 0.0))),
@@ -85,7 +90,7 @@ def role_messages(day_roles: DataFrame, namespace: str = "/phenology") -> DataFr
     ns = namespace.rstrip("/")
     own = W.partitionBy("day")
     placed = day_roles.withColumns({"seq": F.row_number().over(own.orderBy(F.desc("n"), "role")) - 1, "_all": F.sum("n").over(own)})
-    return placed.select("day", "seq", F.lit(f"{ns}/day/role").alias("addr"), F.array("role", F.col("n").cast("string"), number(F.col("n") / F.greatest("_all", F.lit(1)))).alias("args"))
+    return placed.select("day", "seq", F.lit(f"{ns}/day/role").alias("addr"), F.array("role", F.col("n").cast("string"), decimal(F.col("n") / F.greatest("_all", F.lit(1)))).alias("args"))
 
 
 def hourly_messages(hours: DataFrame, namespace: str = "/phenology") -> DataFrame:
