@@ -135,7 +135,7 @@ class Tokenizers:
 class Chunks:
     """What is known of each chunk: tokens, groups and linked pairs, in arrays by number."""
 
-    def __init__(self, a_path: str, b_path: str, memory: int = 240_000):
+    def __init__(self, a_path: str, b_path: str, memory: int = 160_000):
         import duckdb
 
         self.tokenizers = Tokenizers(a_path, b_path)
@@ -241,6 +241,18 @@ def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((ends * size).astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
 
 
+def scored_links(whole: pa.RecordBatch, kind: type, pair: np.ndarray, count: np.ndarray, best: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of rows with their numbers of links and of best links, and the sum of counts; sums need some ten times the bytes of a run's links, so runs are about 1 MB."""
+    for lo, hi in A.pieces(A.buffers(whole["links"])[1]):
+        batch = whole.slice(lo, hi - lo)
+        raw, offsets = A.buffers(batch["links"])
+        links = raw.view(kind) if len(raw) else np.zeros(0, kind)
+        at = np.searchsorted(pair, links)
+        stop = offsets // np.dtype(kind).itemsize
+        sums = (np.concatenate([[0], np.cumsum(v[at], dtype=np.int64)])[stop] if len(at) else np.zeros(hi - lo + 1, np.int64) for v in (best, count))
+        yield batch, np.diff(stop), *map(np.diff, sums)
+
+
 def align(docs: DataFrame, a: str, b: str, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256; a and b: files, or names among the public tokenizers.
 
@@ -294,15 +306,10 @@ def align(docs: DataFrame, a: str, b: str, text_col: str = "text", keep_text: bo
     last = T.StructType([*fields, *(T.StructField(n, T.LongType()) for n in ("a", "b", "g", "l", "best", "sum"))]).add("sha", "string")
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, count, best = sent.value
-        for batch in batches:
-            raw, offsets = A.buffers(batch["links"])
-            links = raw.view(kind) if len(raw) else np.zeros(0, kind)
-            size = np.diff(offsets) // np.dtype(kind).itemsize
-            at = np.searchsorted(pair, links)
-            sums = [np.concatenate([[0], np.cumsum(v)]) for v in ((best[at].astype(np.int64), count[at]) if len(at) else (np.zeros(0, np.int64),) * 2)]
-            stop = np.cumsum(size)
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in order), batch["a"], batch["b"], batch["g"], pa.array(size.astype(np.int64)), *(pa.array(s[stop] - s[stop - size]) for s in sums), batch["sha"]], names=last.names)
+        _ready.clear()  # this worker may still hold the first pass's memory
+        for whole in batches:
+            for batch, size, best, count in scored_links(whole, kind, *sent.value):
+                yield pa.RecordBatch.from_arrays([*(batch[n] for n in order), batch["a"], batch["b"], batch["g"], pa.array(size), pa.array(best), pa.array(count), batch["sha"]], names=last.names)
 
     scored = done.filter("links IS NOT NULL").drop("pairs", "times").mapInArrow(A.trimmed(second_pass), last)
     names = dict(zip(order, held_columns, strict=True)) | dict(zip(("a", "b", "g", "l", "best", "sum"), RESULT, strict=False))
