@@ -206,36 +206,53 @@ def frame_features(files: DataFrame, bands: dict = AUDIBLE, frame: int = 2048, h
     follows the block. With content=True a file is one task, as Spark hands it over whole.
     """
 
-    def stream(path: str, wave: Wave, first: int = 0, n: int | None = None) -> Iterator[pd.DataFrame]:
+    def stream(path: str, wave: Wave, first: int = 0, n: int | None = None) -> Iterator[dict]:
         rate = target_rate if 0 < target_rate < wave.rate else wave.rate
         total = kernels.resampled_length(wave.frames, wave.rate, rate)
         stop = max(0, (total - frame) // hop + 1) if n is None else first + n
         freqs = kernels.frequency_axis(rate, frame)
         read = lambda at, count: kernels.magnitudes(kernels.resample_range(wave.samples, wave.frames, wave.rate, rate, at * hop, (count - 1) * hop + frame), frame, hop)
-        before = read(first - 1, 1)[0] if first else None
+        before = None
         for done in range(first, stop, block):
-            mag = read(done, min(block, stop - done))
+            lead = int(before is None and done > 0)  # the frame before the range, in the same read
+            mag = read(done - lead, min(block, stop - done) + lead)
+            if lead:
+                before, mag = mag[0], mag[1:]
             series = kernels.frame_series(mag, freqs, bands, before)
             at = done + np.arange(len(mag))
             energies = [dict(zip(bands, v, strict=True)) for v in zip(*(series[b] for b in bands), strict=True)]
-            yield pd.DataFrame({"path": path, "frame_idx": at, "t_s": at * hop / rate, "flux": series["flux"], "centroid": series["centroid"], "flatness": series["flatness"], "band_energies": energies})
+            yield {"path": [path] * len(at), "frame_idx": at, "t_s": at * hop / rate, "flux": series["flux"], "centroid": series["centroid"], "flatness": series["flatness"], "band_energies": energies}
             before = mag[-1]
 
+    def joined(parts: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame({n: [x for p in parts for x in p[n]] if isinstance(parts[0][n], list) else np.concatenate([p[n] for p in parts]) for n in parts[0]})
+
     schema = "path string, frame_idx long, t_s double, flux double, centroid double, flatness double, band_energies map<string,double>"
     if content:
-        return _by_file(files, stream, schema, True)
+        return _by_file(files, lambda path, wave: (joined([part]) for part in stream(path, wave)), schema, True)
 
-    def read_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for pdf in batches:
             for path, own in pdf.groupby("path", sort=False):
                 with Source(path) as source:
                     wave = Wave(source)
-                    for r in own.itertuples():
+                    for r in own.sort_values("first").itertuples():
                         yield from stream(path, wave, r.first, r.n)
 
+    def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for pdf in read_ranges(batches):  # short ranges go on together
+            held.append(pdf)
+            n += len(pdf["t_s"])
+            if n >= block:
+                yield joined(held)
+                held, n = [], 0
+        if held:
+            yield joined(held)
+
     spark = files.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)  # a number, so thin rows are not coalesced
-    return frame_ranges(files, frame, hop, target_rate, span).repartition(tasks, "path", "first").mapInPandas(read_ranges, schema)
+    return frame_ranges(files, frame, hop, target_rate, span).repartition(tasks, "path", F.floor(F.col("first") / max(span, block))).mapInPandas(gathered, schema)  # short ranges of a file go to one task, which opens it once
 
 
 def detect_baseline(frames: DataFrame, seconds: float = 60.0) -> DataFrame:
