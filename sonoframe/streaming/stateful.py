@@ -12,9 +12,8 @@ import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -34,29 +33,30 @@ class InOrder(StatefulProcessor):
 
     def __init__(self, fold: Fold, row: str, kept: str):
         self.fold, self.row, self.kept = fold, row, kept
+        self.fields = [f.split(" ", 1)[0] for f in row.split(", ")]
 
     def init(self, handle) -> None:
         self.handle = handle
+        self.folded: set[tuple] = set()  # (watermark, key) of this task: one entry for each key that had a timer
         self.waiting = handle.getListState("waiting", self.row)
         self.state = handle.getValueState("kept", self.kept)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fields = [f.split(" ", 1) for f in self.row.split(", ")]
-        first = None
-        for pdf in rows:
-            # pandas has whole numbers with nulls among them as floats
-            columns = [[None if x is None or x != x else int(x) for x in pdf[n].tolist()] if kind in ("long", "bigint") else [x.tolist() if isinstance(x, np.ndarray) else x for x in pdf[n].tolist()] for n, kind in fields]
-            self.waiting.appendList(list(zip(*columns, strict=True)))
-            first = min(int(pdf["at"].min()), first) if first is not None else int(pdf["at"].min())
-        if first is not None:
-            self.handle.registerTimer(first // 1000)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        own = [tuple(r[n] for n in self.fields) for r in rows]
+        if own:
+            self.waiting.appendList(own)
+            self.handle.registerTimer(min(r[0] for r in own) // 1000)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: tuple((v is None, v) for v in r)) if self.waiting.exists() else []
+        if (mark, key[0]) in self.folded:  # another timer of the key at the same watermark: all that it waits for has been folded
+            return iter(())
+        self.folded.add((mark, key[0]))
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: tuple((v is None, v) for v in r))
         ready = [r for r in rows if r[0] // 1000 <= mark]
-        before = tuple(self.state.get()) if self.state.exists() else None
+        before = self.state.get()
+        before = None if before is None else tuple(before)
         after, out, wake = self.fold(before, ready, mark * 1000)
         if after is not None:
             self.state.update(after)
@@ -64,14 +64,15 @@ class InOrder(StatefulProcessor):
             self.state.clear()
         if ready:
             rest = rows[len(ready) :]
-            self.waiting.clear()
             if rest:
                 self.waiting.put(rest)
                 self.handle.registerTimer(rest[0][0] // 1000)
+            else:
+                self.waiting.clear()
         if wake is not None:
             self.handle.registerTimer(wake // 1000)
-        n = len(next(iter(out.values()), []))
-        return iter([pd.DataFrame({"key": [key[0]] * n} | out)] if n else ())
+        made = Row("key", *out)
+        return (made(key[0], *values) for values in zip(*out.values(), strict=True))
 
     def close(self) -> None:
         pass
@@ -84,7 +85,7 @@ def _run(rows: DataFrame, key: str, time: str, late: str, fields: dict[str, str]
     own = stamped.select(F.col(key).alias("key"), F.unix_micros("_time").alias("at"), *[F.expr(e).alias(n) for n, e in fields.items()], "_time")
     row = ", ".join(["at long", *(f"{n} {own.schema[n].dataType.simpleString()}" for n in fields)])
     kind = own.schema["key"].dataType.simpleString()
-    return own.groupBy("key").transformWithStateInPandas(InOrder(fold, row, kept), f"key {kind}, {out}", "Append", "eventTime")
+    return own.groupBy("key").transformWithState(InOrder(fold, row, kept), f"key {kind}, {out}", "Append", "eventTime")
 
 
 def thin(events: DataFrame, key: str, time: str, separation: float, late: str) -> DataFrame:
@@ -191,6 +192,6 @@ def replies(requests: DataFrame, client: str, time: str, verb: str, arg: str, ca
                 continue
             for name, x in zip(out, (at / 1e6, what, frame), strict=True):
                 out[name].append(x)
-        return (cursor,), out | {"frame": pd.array(out["frame"], "Int64")}, None
+        return (cursor,), out, None
 
     return _run(wanted, client, time, late, {"verb": "_verb", "to": "_to"}, fold, "cursor long", "at double, verb string, frame long").withColumnRenamed("key", "client")
