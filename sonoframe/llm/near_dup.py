@@ -255,9 +255,10 @@ def _candidates(classes: DataFrame, threshold: int, trees: int, levels: int, lim
     for level in range(levels):
         turned = F.lit(int(_ODD[level].view(np.int64)))  # another order of ids at each level, as plain longs
         pivots = [F.min(F.when(F.pmod(F.xxhash64("rep", F.lit(level)), F.lit(PIVOTS)) == k, F.col("rep").bitwiseXOR(turned))).bitwiseXOR(turned).alias(f"p{k}") for k in range(PIVOTS)]
-        sizes = staged(nodes.groupBy("node").agg(F.count("*").alias("size"), *pivots).filter("size > 1"), "near-sizes")
+        sizes = staged(nodes.groupBy("node").agg(F.count("*").alias("size"), *pivots), "near-sizes")
+        # each row finds its node's one size, single ones too: as many rows as before, whatever the nodes hold
         sized = staged(nodes.join(sizes.select("node", "size"), "node"), "near-sized")
-        small = sized.filter(F.col("size") <= limit).select("node", "rep").join(sketches, "rep")
+        small = sized.filter((F.col("size") > 1) & (F.col("size") <= limit)).select("node", "rep").join(sketches, "rep")
         found.append(staged(small.repartition(n, "node").sortWithinPartitions("node").mapInArrow(A.trimmed(_compare_nodes(threshold)), "a long, b long"), "near-pairs"))
         large = sizes.filter(F.col("size") > limit)
         if large.isEmpty():
