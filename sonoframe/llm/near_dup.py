@@ -30,6 +30,7 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from sonoframe.llm import text_arrays as A
 from sonoframe.llm.components import components
-from sonoframe.llm.staging import partitions, ship, staged
+from sonoframe.llm.staging import partitions, ship, staged, writers
 
 SKETCH = 64
 #: fewest equal sketch values of 64 for a pair that may be linked
@@ -251,15 +252,16 @@ def _candidates(classes: DataFrame, threshold: int, trees: int, levels: int, lim
     are joins of two plain exchanges, which Spark splits where one key is large."""
     sketches = classes.select("rep", "n_shingles", "sketch")
     found: list[DataFrame] = []
+    small: list[DataFrame] = []
+    few = writers(classes.sparkSession)
     nodes = staged(_branch(classes, trees, 0), "near-nodes")
     for level in range(levels):
         turned = F.lit(int(_ODD[level].view(np.int64)))  # another order of ids at each level, as plain longs
         pivots = [F.min(F.when(F.pmod(F.xxhash64("rep", F.lit(level)), F.lit(PIVOTS)) == k, F.col("rep").bitwiseXOR(turned))).bitwiseXOR(turned).alias(f"p{k}") for k in range(PIVOTS)]
-        sizes = staged(nodes.groupBy("node").agg(F.count("*").alias("size"), *pivots), "near-sizes")
+        sizes = staged(nodes.groupBy("node").agg(F.count("*").alias("size"), *pivots).coalesce(few), "near-sizes")
         # each row finds its node's one size, single ones too: as many rows as before, whatever the nodes hold
         sized = staged(nodes.join(sizes.select("node", "size"), "node"), "near-sized")
-        small = sized.filter((F.col("size") > 1) & (F.col("size") <= limit)).select("node", "rep").join(sketches, "rep")
-        found.append(staged(small.repartition(n, "node").sortWithinPartitions("node").mapInArrow(A.trimmed(_compare_nodes(threshold)), "a long, b long"), "near-pairs"))
+        small.append(sized.filter((F.col("size") > 1) & (F.col("size") <= limit)).select("node", "rep"))
         large = sizes.filter(F.col("size") > limit)
         if large.isEmpty():
             break
@@ -267,14 +269,15 @@ def _candidates(classes: DataFrame, threshold: int, trees: int, levels: int, lim
             found.append(sized.join(large.select("node", F.coalesce(*[f"p{k}" for k in range(PIVOTS)]).alias("b")), "node").select(F.col("rep").alias("a"), "b"))
             break
         pivot_of = large.select("node", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("rep")).filter("rep IS NOT NULL").join(sketches.select("rep", "sketch"), "rep")
-        pivot_of = staged(pivot_of.groupBy("node").agg(F.collect_list(F.struct("rep", "sketch")).alias("pivots")), "near-pivots")  # PIVOTS of a node at most
+        pivot_of = staged(pivot_of.groupBy("node").agg(F.collect_list(F.struct("rep", "sketch")).alias("pivots")).coalesce(few), "near-pivots")  # PIVOTS of a node at most
         held = sized.filter(F.col("size") > limit).drop("size").join(pivot_of, "node").join(sketches.select("rep", "sketch"), "rep")
         step = staged(_branch(held, trees, level + 1), "near-nodes")
         found.append(step.filter("node IS NULL").select("rep", "pivot"))
         nodes = step.filter("node IS NOT NULL").select("tree", "node", "rep")
-    alike = found[0]
-    for more in found[1:]:
-        alike = alike.union(more)
+    # small nodes of all levels are compared together: their names are 64-bit hashes of the way down to them
+    whole = reduce(DataFrame.union, small).join(sketches, "rep").repartition(n, "node").sortWithinPartitions("node")
+    alike = staged(whole.mapInArrow(A.trimmed(_compare_nodes(threshold)), "a long, b long"), "near-pairs")
+    alike = reduce(DataFrame.union, found, alike)
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

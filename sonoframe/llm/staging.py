@@ -15,6 +15,11 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def writers(spark: SparkSession) -> int:
+    """How many tasks write a table of thin rows, a few longs each: such a task takes those of several partitions."""
+    return max(spark.sparkContext.defaultParallelism, partitions(spark) // 8)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
