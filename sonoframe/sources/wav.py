@@ -6,12 +6,14 @@ systems work so. With content=True Spark reads whole files instead (of less than
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,7 +99,7 @@ class Wave:
             x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8) / float(1 << 23)
         else:
             x = np.frombuffer(own, f"<i{self.bits // 8}").astype(np.float64) / float(1 << self.bits - 1)
-        return x.reshape(-1, self.channels).mean(axis=1)
+        return x if self.channels == 1 else x.reshape(-1, self.channels).mean(axis=1)
 
     def seconds(self, start: float, end: float) -> np.ndarray:
         first = int(start * self.rate)
@@ -179,6 +181,11 @@ def probe(files: DataFrame, content: bool = False) -> DataFrame:
     return rows.mapInPandas(read, "path string, samplerate_hz long, duration_s double, comment string, error string").withColumn("recorded_at", recorder_datetime(stem))
 
 
+def _frames(wave: Wave, frame: int, hop: int, target_rate: int) -> int:
+    """How many frames a recording has."""
+    return max(0, (kernels.resampled_length(wave.frames, wave.rate, target_rate) - frame) // hop + 1)
+
+
 def frame_ranges(files: DataFrame, frame: int, hop: int, target_rate: int, span: int) -> DataFrame:
     """path, first, n: the frames of every file in ranges of at most `span`, from headers alone."""
     ship(files.sparkSession)
@@ -188,9 +195,7 @@ def frame_ranges(files: DataFrame, frame: int, hop: int, target_rate: int, span:
             frames = []
             for path in pdf["path"]:
                 with Source(path) as source:
-                    wave = Wave(source)
-                total = kernels.resampled_length(wave.frames, wave.rate, target_rate)
-                frames.append(max(0, (total - frame) // hop + 1))
+                    frames.append(_frames(Wave(source), frame, hop, target_rate))
             yield pd.DataFrame({"path": pdf["path"], "frames": frames})
 
     counted = files.select("path").mapInPandas(count, "path string, frames long").filter("frames > 0")
@@ -198,61 +203,79 @@ def frame_ranges(files: DataFrame, frame: int, hop: int, target_rate: int, span:
     return ranged.select("path", "first", F.least(F.lit(span).cast("long"), F.col("frames") - F.col("first")).alias("n"))
 
 
-def frame_features(files: DataFrame, bands: dict = AUDIBLE, frame: int = 2048, hop: int = 512, target_rate: int = 48000, block: int = 4096, content: bool = False, span: int = 1 << 14) -> DataFrame:
-    """path, frame_idx, t_s, flux, centroid, flatness, band_energies of each frame.
+#: frames that are transformed at once: their arrays stay in a processor's cache
+AT_ONCE = 64
 
-    A recording is dealt by ranges of `span` frames (three minutes at the defaults) over all tasks; a range reads its own samples and the frame before
-    it, whose magnitude flux needs, so nothing is carried from one to the next. Within a range samples are read in blocks of `block` frames: memory
-    follows the block. With content=True a file is one task, as Spark hands it over whole.
+
+def _frame_series(path: str, wave: Wave, ranges: Iterable[tuple[int, int]], bands: dict, frame: int, hop: int, target_rate: int, block: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """The path, numbers and series (t_s, flux, centroid, flatness and the bands, a column each) of the frames of ranges (first, n) of a recording.
+
+    Each range reads its own samples and those of the frame before it, in blocks of at most `block` frames. Blocks of one length are transformed
+    together, so ranges of a frame or two don't cost a pass through NumPy each.
     """
+    rate = target_rate if 0 < target_rate < wave.rate else wave.rate
+    freqs = kernels.frequency_axis(rate, frame)
+    most = min(block, AT_ONCE)
+    blocks = ((at, min(most, first + n - at)) for first, n in ranges for at in range(first, first + n, most))
+    for (n, lead), own in itertools.groupby(blocks, lambda b: (b[1], int(b[0] > 0))):  # the frame before, in the same read
+        while held := list(itertools.islice(own, max(1, most // n))):
+            starts = np.array([at for at, _ in held])
+            read = [kernels.resample_range(wave.samples, wave.frames, wave.rate, rate, (at - lead) * hop, (n + lead - 1) * hop + frame) for at, _ in held]
+            mag = kernels.magnitudes(np.stack(read) if len(read) > 1 else read[0][None, :], frame, hop)
+            before = mag[:, :-1].reshape(-1, mag.shape[-1]) if lead else None
+            series = kernels.frame_series(mag[:, lead:].reshape(-1, mag.shape[-1]), freqs, bands, before)
+            at = (starts[:, None] + np.arange(n)).ravel()
+            yield path, at, np.stack([at * hop / rate, *series.values()], axis=1)
+
+
+def _frame_rows(parts: list[tuple[str, np.ndarray, np.ndarray]], bands: dict) -> pa.RecordBatch:
+    at, values = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+    energies = pa.MapArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * len(bands), pa.array(list(bands) * len(at), pa.string()), values[:, 4:].ravel())
+    paths = pa.array([p[0] for p in parts]).take(pa.array(np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])))
+    return pa.RecordBatch.from_pydict({"path": paths, "frame_idx": at} | {n: values[:, i] for i, n in enumerate(("t_s", "flux", "centroid", "flatness"))} | {"band_energies": energies})
 
-    def stream(path: str, wave: Wave, first: int = 0, n: int | None = None) -> Iterator[dict]:
-        rate = target_rate if 0 < target_rate < wave.rate else wave.rate
-        total = kernels.resampled_length(wave.frames, wave.rate, rate)
-        stop = max(0, (total - frame) // hop + 1) if n is None else first + n
-        freqs = kernels.frequency_axis(rate, frame)
-        read = lambda at, count: kernels.magnitudes(kernels.resample_range(wave.samples, wave.frames, wave.rate, rate, at * hop, (count - 1) * hop + frame), frame, hop)
-        before = None
-        for done in range(first, stop, block):
-            lead = int(before is None and done > 0)  # the frame before the range, in the same read
-            mag = read(done - lead, min(block, stop - done) + lead)
-            if lead:
-                before, mag = mag[0], mag[1:]
-            series = kernels.frame_series(mag, freqs, bands, before)
-            at = done + np.arange(len(mag))
-            energies = [dict(zip(bands, v, strict=True)) for v in zip(*(series[b] for b in bands), strict=True)]
-            yield {"path": [path] * len(at), "frame_idx": at, "t_s": at * hop / rate, "flux": series["flux"], "centroid": series["centroid"], "flatness": series["flatness"], "band_energies": energies}
-            before = mag[-1]
-
-    def joined(parts: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame({n: [x for p in parts for x in p[n]] if isinstance(parts[0][n], list) else np.concatenate([p[n] for p in parts]) for n in parts[0]})
 
-    schema = "path string, frame_idx long, t_s double, flux double, centroid double, flatness double, band_energies map<string,double>"
-    if content:
-        return _by_file(files, lambda path, wave: (joined([part]) for part in stream(path, wave)), schema, True)
+def frame_features(files: DataFrame, bands: dict = AUDIBLE, frame: int = 2048, hop: int = 512, target_rate: int = 48000, block: int = 4096, content: bool = False, span: int = 1 << 14) -> DataFrame:
+    """path, frame_idx, t_s, flux, centroid, flatness, band_energies of each frame.
 
-    def read_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
-        for pdf in batches:
-            for path, own in pdf.groupby("path", sort=False):
-                with Source(path) as source:
-                    wave = Wave(source)
-                    for r in own.sort_values("first").itertuples():
-                        yield from stream(path, wave, r.first, r.n)
+    A recording is dealt by ranges of `span` frames (three minutes at the defaults) over all tasks; a range reads its own samples and the frame before
+    it, whose magnitude flux needs, so nothing is carried from one to the next. Rows go out in batches of some `block` frames: memory follows the
+    block. With content=True a file is one task, as Spark hands it over whole.
+    """
 
-    def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gathered(found: Iterator[tuple[str, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for pdf in read_ranges(batches):  # short ranges go on together
-            held.append(pdf)
-            n += len(pdf["t_s"])
+        for part in found:  # short ranges go on together
+            held.append(part)
+            n += len(part[1])
             if n >= block:
-                yield joined(held)
+                yield _frame_rows(held, bands)
                 held, n = [], 0
         if held:
-            yield joined(held)
+            yield _frame_rows(held, bands)
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for path, raw in zip(batch["path"], batch["content"], strict=True):
+                with Source(path.as_py(), raw.as_py()) as source:
+                    wave = Wave(source)
+                    yield from _frame_series(path.as_py(), wave, [(0, _frames(wave, frame, hop, target_rate))], bands, frame, hop, target_rate, block)
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for path, own in batch.to_pandas().groupby("path", sort=False):
+                with Source(path) as source:
+                    ranges = own.sort_values("first")[["first", "n"]].to_numpy().tolist()
+                    yield from _frame_series(path, Wave(source), ranges, bands, frame, hop, target_rate, block)
+
+    schema = "path string, frame_idx long, t_s double, flux double, centroid double, flatness double, band_energies map<string,double>"
+    if content:
+        ship(files.sparkSession)
+        return files.select("path", "content").mapInArrow(lambda batches: gathered(whole(batches)), schema)
     spark = files.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)  # a number, so thin rows are not coalesced
-    return frame_ranges(files, frame, hop, target_rate, span).repartition(tasks, "path", F.floor(F.col("first") / max(span, block))).mapInPandas(gathered, schema)  # short ranges of a file go to one task, which opens it once
+    dealt = frame_ranges(files, frame, hop, target_rate, span).repartition(tasks, "path", F.floor(F.col("first") / max(span, block)))  # short ranges of a file go to one task, which opens it once
+    return dealt.mapInArrow(lambda batches: gathered(ranged(batches)), schema)
 
 
 def detect_baseline(frames: DataFrame, seconds: float = 60.0) -> DataFrame:
