@@ -145,6 +145,11 @@ def listing(files: DataFrame) -> DataFrame:
     return files.select("path", "length", "modificationTime").orderBy("path")
 
 
+def _tasks(spark: SparkSession) -> int:
+    """How many tasks thin rows go to that are much work each: a number, so they are not coalesced by their bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def _by_file(files: DataFrame, kernel: Callable[[str, Wave], Iterator[pd.DataFrame]], schema: str, content: bool) -> DataFrame:
     """kernel's frames of every file, one file open at a time."""
     ship(files.sparkSession)
@@ -156,7 +161,7 @@ def _by_file(files: DataFrame, kernel: Callable[[str, Wave], Iterator[pd.DataFra
                     yield from kernel(path, Wave(source))
 
     # without contents a file is a thin row, so rows are dealt out by path: the scan's own splits hold many files each
-    rows = files.select("path", "content") if content else files.select("path").repartition("path")
+    rows = files.select("path", "content") if content else files.select("path").repartition(_tasks(files.sparkSession), "path")
     return rows.mapInPandas(run, schema)
 
 
@@ -272,9 +277,7 @@ def frame_features(files: DataFrame, bands: dict = AUDIBLE, frame: int = 2048, h
     if content:
         ship(files.sparkSession)
         return files.select("path", "content").mapInArrow(lambda batches: gathered(whole(batches)), schema)
-    spark = files.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)  # a number, so thin rows are not coalesced
-    dealt = frame_ranges(files, frame, hop, target_rate, span).repartition(tasks, "path", F.floor(F.col("first") / max(span, block)))  # short ranges of a file go to one task, which opens it once
+    dealt = frame_ranges(files, frame, hop, target_rate, span).repartition(_tasks(files.sparkSession), "path", F.floor(F.col("first") / max(span, block)))  # short ranges of a file go to one task, which opens it once
     return dealt.mapInArrow(lambda batches: gathered(ranged(batches)), schema)
 
 
